@@ -1,0 +1,8 @@
+"""Streaming.
+
+The source application has no stream source, watermark, streaming window or
+stateful operator; streaming inference is only a stated wish.  Nothing is
+built here for parity.  Every operator in this package is a plain
+DataFrame -> DataFrame function, so a user can apply the feature and scoring
+plans to micro-batches inside their own ``foreachBatch`` if they need it.
+"""
