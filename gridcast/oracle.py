@@ -28,8 +28,13 @@ DAILY_ORDERS = ("SELECT 'orders' AS series_id, CAST(o_orderdate AS TIMESTAMP) AS
 CUTOFF = "TIMESTAMP '2024-01-22 00:00:00'"
 
 
+def snap(expr: str, digits: int = R) -> str:
+    scale = f"{10 ** digits}.0"
+    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
+
+
 def rnd(expr: str, alias: str, digits: int = R) -> str:
-    return f"round({expr}, {digits}) AS {alias}"
+    return f"{snap(expr, digits)} AS {alias}"
 
 
 def _first_dow(y: str, m: int, isodow: int) -> str:
@@ -145,3 +150,37 @@ preds AS (
   SELECT 'lag24' AS model, series_id, ts, load_mw AS y, lag_24h AS p FROM feat
   UNION ALL
   SELECT 'lag168' AS model, series_id, ts, load_mw AS y, lag_168h AS p FROM feat)""")
+
+
+def clean_ctes(src: str) -> str:
+    """M1 stated on the full grid, as the reference does it: ``d`` dedupe,
+    ``b`` bounds, ``g`` grid ⟕ data, ``k`` grid with fills (``iv``),
+    ``i`` filled rows only (``v``), ``st`` per-series mean / std."""
+    up = _w("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    down = _w("ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
+    return f"""
+d AS (SELECT series_id, ts, avg(load_mw) AS v FROM ({src}) s WHERE ts IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT series_id, min(ts) AS t0, max(ts) AS t1 FROM d GROUP BY 1),
+grid AS (SELECT series_id, unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS ts FROM b),
+g AS (SELECT grid.series_id, grid.ts, d.v FROM grid LEFT JOIN d ON grid.series_id = d.series_id AND grid.ts = d.ts),
+k0 AS (SELECT series_id, ts, v,
+    last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER {up} AS pt,
+    last_value(v IGNORE NULLS) OVER {up} AS pv,
+    first_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER {down} AS nt,
+    first_value(v IGNORE NULLS) OVER {down} AS nv
+  FROM g),
+k AS (SELECT series_id, ts, CASE
+    WHEN v IS NOT NULL THEN v
+    WHEN pt IS NULL THEN NULL
+    WHEN epoch(ts - pt) / 3600 > 6 THEN NULL
+    WHEN nt IS NULL THEN pv
+    ELSE pv + (nv - pv) * epoch(ts - pt) / epoch(nt - pt) END AS iv
+  FROM k0),
+i AS (SELECT series_id, ts, iv AS v FROM k WHERE iv IS NOT NULL),
+st AS (SELECT series_id, avg(v) AS mu, stddev_samp(v) AS sd FROM i GROUP BY 1),
+cl AS (SELECT i.series_id, i.ts,
+    CASE WHEN st.sd IS NULL OR st.sd = 0 THEN i.v
+         ELSE least(greatest(i.v, st.mu - 5 * st.sd), st.mu + 5 * st.sd) END AS load_mw,
+    CAST(CASE WHEN st.sd IS NOT NULL AND st.sd <> 0 AND abs((i.v - st.mu) / st.sd) > 5 THEN 1 ELSE 0 END AS INTEGER)
+      AS outlier_flag
+  FROM i JOIN st ON i.series_id = st.series_id)"""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as S
+from .operators import clean as C
 from .plans import features as PF
 from .schema import FEATURE_COLS
 from .sources import fixtures as FX
@@ -43,3 +44,57 @@ def build_features(spark: SparkSession, sf: str) -> DataFrame:
 @register("select_features", f"WITH {S.features_sql()} SELECT {S.rounded_features()} FROM feat")
 def select_features(spark, sf):
     return stable(PF.select_features(_features(spark, sf)))
+
+
+# --- cleaning: A1, A2, A3, J2, W6, F5, M1 -------------------------------------
+
+@register("dedupe_mean", f"SELECT series_id, ts, {S.rnd('avg(load_mw)', 'load_mw')} FROM ({S.DUP}) s GROUP BY 1, 2")
+def dedupe_mean(spark, sf):
+    return stable(C.dedupe_mean(FX.dup_panel(spark, sf)))
+
+
+@register("reindex_hourly", f"WITH {S.clean_ctes(S.SPARSE)} SELECT series_id, ts, {S.rnd('v', 'load_mw')} FROM g")
+def reindex_hourly(spark, sf):
+    return stable(C.reindex_hourly(FX.sparse_panel(spark, sf)))
+
+
+@register("interpolate_gaps", f"WITH {S.clean_ctes(S.SPARSE)} SELECT series_id, ts, {S.rnd('iv', 'load_mw')} FROM k")
+def interpolate_gaps(spark, sf):
+    return stable(C.interpolate_gaps(C.reindex_hourly(FX.sparse_panel(spark, sf))))
+
+
+@register("series_stats", f"WITH {S.clean_ctes(S.DENSE)} SELECT series_id, {S.rnd('mu', 'mean')}, {S.rnd('sd', 'std')} FROM st")
+def series_stats(spark, sf):
+    return stable(C.series_stats(C.fill_series(FX.dense_panel(spark, sf))))
+
+
+@register("clip_outliers", f"WITH {S.clean_ctes(S.DENSE)} SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, outlier_flag FROM cl")
+def clip_outliers(spark, sf):
+    return stable(C.clip_outliers(C.fill_series(FX.dense_panel(spark, sf))))
+
+
+@register("regularize", f"WITH {S.clean_ctes(S.SPARSE)} SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, outlier_flag FROM cl")
+def regularize(spark, sf):
+    return stable(C.regularize(FX.sparse_panel(spark, sf)))
+
+
+@register("regularize_duplicates", f"WITH {S.clean_ctes(S.DUP)} SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, outlier_flag FROM cl")
+def regularize_duplicates(spark, sf):
+    return stable(C.regularize(FX.dup_panel(spark, sf)))
+
+
+@register("regularize_offgrid", f"WITH {S.clean_ctes(S.OFFGRID)} SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, outlier_flag FROM cl")
+def regularize_offgrid(spark, sf):
+    return stable(C.regularize(FX.offgrid_panel(spark, sf)))
+
+
+@register("quality_report", f"""WITH {S.clean_ctes(S.DUP)},
+r AS (SELECT series_id, count(*) AS n_rows, count(DISTINCT ts) AS nd, min(ts) AS ts_min, max(ts) AS ts_max
+      FROM ({S.DUP}) s GROUP BY 1),
+c AS (SELECT series_id, CAST(sum(outlier_flag) AS BIGINT) AS n_outliers, count(*) AS n_clean FROM cl GROUP BY 1)
+SELECT r.series_id, n_rows, n_rows - nd AS n_duplicates,
+       CAST(floor(epoch(ts_max - ts_min) / 3600) AS BIGINT) + 1 - nd AS n_missing, ts_min, ts_max, n_outliers, n_clean
+FROM r LEFT JOIN c ON r.series_id = c.series_id""")
+def quality_report(spark, sf):
+    raw = FX.dup_panel(spark, sf)
+    return C.quality_report(raw, C.regularize(raw))
