@@ -184,3 +184,27 @@ cl AS (SELECT i.series_id, i.ts,
     CAST(CASE WHEN st.sd IS NOT NULL AND st.sd <> 0 AND abs((i.v - st.mu) / st.sd) > 5 THEN 1 ELSE 0 END AS INTEGER)
       AS outlier_flag
   FROM i JOIN st ON i.series_id = st.series_id)"""
+
+
+def metric_exprs(y: str = "y", p: str = "p") -> dict[str, str]:
+    e = f"({y} - {p})"
+    sst = f"(var_pop({y}) * count({y}))"
+    sse = f"sum({e} * {e})"
+    return {
+        "mae": f"avg(abs({e}))",
+        "rmse": f"sqrt(avg({e} * {e}))",
+        "mape": f"avg(CASE WHEN {y} <> 0 THEN abs({e} / {y}) END) * 100.0",
+        "r2": f"CASE WHEN {sst} = 0 THEN CASE WHEN {sse} = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - {sse} / {sst} END",
+    }
+
+
+def metrics_cte(src: str = "preds", name: str = "m", where: str = "TRUE") -> str:
+    """CTE ``name``: unrounded model metrics over ``src``."""
+    ex = metric_exprs()
+    cols = ", ".join(f"{v} AS {k}" for k, v in ex.items())
+    return (f"{name} AS (SELECT model, {cols}, count(*) AS n FROM {src} "
+            f"WHERE y IS NOT NULL AND p IS NOT NULL AND ({where}) GROUP BY model)")
+
+
+def snapped_metrics(prefix: str = "") -> str:
+    return ", ".join(rnd(f"{prefix}{k}", k) for k in ("mae", "rmse", "mape", "r2"))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from . import oracle as S
 from .operators import clean as C
+from .operators import joins as J
+from .operators import metrics as M
+from .operators import split as SP
+from .plans import evaluate as PE
 from .plans import features as PF
 from .schema import FEATURE_COLS
 from .sources import fixtures as FX
@@ -98,3 +102,115 @@ FROM r LEFT JOIN c ON r.series_id = c.series_id""")
 def quality_report(spark, sf):
     raw = FX.dup_panel(spark, sf)
     return C.quality_report(raw, C.regularize(raw))
+
+
+# --- predictions, splits, metrics: P3, P5, W8, A5-A11, A15, F7, K2, K4 --------
+
+def _preds(spark, sf):
+    return PE.lag_predictions(_features(spark, sf))
+
+
+_PRED = S.predictions_sql()
+
+
+@register("split_cutoff", f"""WITH {S.features_sql()}
+SELECT series_id, ts, CASE WHEN ts < {S.CUTOFF} THEN 'train' ELSE 'test' END AS split, {S.rnd('load_mw', 'load_mw')}
+FROM feat""")
+def split_cutoff(spark, sf):
+    f = _features(spark, sf)
+    train, test = SP.split_cutoff(f, FX.CUTOFF)
+    out = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return stable(out.select("series_id", "ts", "split", "load_mw"))
+
+
+@register("walk_forward_folds", f"""WITH {S.features_sql()},
+st AS (SELECT DISTINCT ts FROM feat),
+ix AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS idx, count(*) OVER () AS n FROM st),
+fx AS (SELECT f.series_id, f.ts, ix.idx, ix.n, ix.n // 6 AS t FROM feat f JOIN ix ON f.ts = ix.ts),
+vf AS (SELECT *, CASE WHEN t > 0 AND idx >= n - 5 * t THEN CAST((idx - (n - 5 * t)) // t AS INTEGER) END AS val_fold
+       FROM fx),
+ex AS (SELECT series_id, ts, idx, val_fold, CAST(unnest(range(0, 5)) AS INTEGER) AS fold FROM vf)
+SELECT series_id, ts, idx, fold,
+       CASE WHEN val_fold = fold THEN 'validate' ELSE 'train' END AS role
+FROM ex WHERE val_fold = fold OR val_fold IS NULL OR val_fold < fold""")
+def walk_forward_folds(spark, sf):
+    return SP.walk_forward_folds(_features(spark, sf).select("series_id", "ts"), 5) \
+             .select("series_id", "ts", "idx", F.col("fold").cast("int").alias("fold"), "role")
+
+
+@register("residuals", f"WITH {_PRED} SELECT model, series_id, ts, {S.rnd('y - p', 'resid')} FROM preds")
+def residuals(spark, sf):
+    return stable(M.residuals(_preds(spark, sf)).select("model", "series_id", "ts", "resid"))
+
+
+@register("mask_nonzero", f"WITH {_PRED} SELECT model, count(*) AS n_usable FROM preds WHERE y <> 0 AND p IS NOT NULL GROUP BY model")
+def mask_nonzero(spark, sf):
+    p = _preds(spark, sf)
+    return p.filter((F.col("y") != 0) & F.col("p").isNotNull()).groupBy("model").agg(F.count(F.lit(1)).alias("n_usable"))
+
+
+for _k in ("mae", "rmse", "mape", "r2"):
+    def _one(spark, sf, _k=_k):
+        p = _preds(spark, sf).filter(F.col("y").isNotNull() & F.col("p").isNotNull())
+        fn = getattr(M, _k)
+        return stable(p.groupBy("model").agg(fn(F.col("y"), F.col("p")).alias(_k)))
+    register(f"metric_{_k}", f"WITH {_PRED}, {S.metrics_cte()} SELECT model, {S.rnd(_k, _k)} FROM m")(_one)
+
+
+@register("evaluate_models", f"WITH {_PRED}, {S.metrics_cte()} SELECT model, {S.snapped_metrics()}, n FROM m")
+def evaluate_models(spark, sf):
+    return stable(M.evaluate_models(_preds(spark, sf), rounded=False))
+
+
+@register("evaluate_by_series", f"""WITH {_PRED},
+m AS (SELECT model, series_id, {', '.join(f'{v} AS {k}' for k, v in S.metric_exprs().items())}, count(*) AS n
+      FROM preds WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY model, series_id)
+SELECT model, series_id, {S.snapped_metrics()}, n FROM m""")
+def evaluate_by_series(spark, sf):
+    return stable(M.evaluate_models(_preds(spark, sf), by=("model", "series_id"), rounded=False))
+
+
+@register("best_model", f"""WITH {_PRED}, {S.metrics_cte()}
+SELECT model AS best_model, {S.rnd('mae', 'mae')} FROM m ORDER BY mae, model LIMIT 1""")
+def best_model(spark, sf):
+    return stable(M.best_model(M.evaluate_models(_preds(spark, sf), rounded=False)))
+
+
+@register("best_per_metric", f"""WITH {_PRED}, {S.metrics_cte()},
+l AS (SELECT model, 'mae' AS metric, mae AS value FROM m UNION ALL SELECT model, 'rmse', rmse FROM m
+      UNION ALL SELECT model, 'mape', mape FROM m),
+r AS (SELECT metric, model, value, row_number() OVER (PARTITION BY metric ORDER BY value, model) AS rk
+      FROM l WHERE value IS NOT NULL)
+SELECT metric, model, {S.rnd('value', 'value')} FROM r WHERE rk = 1""")
+def best_per_metric(spark, sf):
+    return stable(M.best_per_metric(M.evaluate_models(_preds(spark, sf), rounded=False)))
+
+
+@register("leaderboard", f"""WITH {_PRED}, {S.metrics_cte()}
+SELECT model AS "Model", {S.rnd('mae', '"MAE (MW)"')}, {S.rnd('rmse', '"RMSE (MW)"')},
+       {S.rnd('mape', '"MAPE (%)"')}, {S.rnd('r2', '"R2"')}, mae = min(mae) OVER () AS is_best FROM m""")
+def leaderboard(spark, sf):
+    return stable(M.leaderboard(M.evaluate_models(_preds(spark, sf), rounded=False)))
+
+
+@register("residual_histogram", f"""WITH {_PRED},
+rr AS (SELECT model, y - p AS resid FROM preds WHERE y IS NOT NULL AND p IS NOT NULL),
+rg AS (SELECT model, min(resid) AS lo, max(resid) AS hi FROM rr GROUP BY model),
+rb AS (SELECT rr.model, rg.lo, rg.hi,
+        CAST(CASE WHEN rg.hi - rg.lo = 0 THEN 0 ELSE least(floor((rr.resid - rg.lo) / (rg.hi - rg.lo) * 80.0), 79) END
+             AS INTEGER) AS bin
+      FROM rr JOIN rg ON rr.model = rg.model)
+SELECT model, bin, {S.rnd('lo + (hi - lo) / 80.0 * bin', 'bin_lo')}, {S.rnd('lo + (hi - lo) / 80.0 * (bin + 1)', 'bin_hi')},
+       count(*) AS count
+FROM rb GROUP BY model, bin, lo, hi""")
+def residual_histogram(spark, sf):
+    return stable(M.residual_histogram(_preds(spark, sf)))
+
+
+@register("head_sample", f"""WITH {S.features_sql()},
+r AS (SELECT series_id, ts, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn
+      FROM feat WHERE ts >= {S.CUTOFF})
+SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')} FROM r WHERE rn <= 100""")
+def head_sample(spark, sf):
+    _, test = SP.split_cutoff(_features(spark, sf), FX.CUTOFF)
+    return stable(SP.head_sample(test.select("series_id", "ts", "load_mw"), 100))
