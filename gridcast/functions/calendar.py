@@ -1,8 +1,8 @@
 """Calendar, cyclical and holiday columns.
 
 All built-in expressions: they stay inside whole-stage codegen.  The holiday
-dimension is generated from the years present in the data, so it is tiny
-(about 15 rows per year) and safe to broadcast.
+dimension is generated by rule for a fixed span of years (about 16 rows per
+year), never from a pass over the data, and is safe to broadcast.
 """
 
 from __future__ import annotations
@@ -99,21 +99,29 @@ def holiday_rows(years: DataFrame, year_col: str = "year") -> DataFrame:
                  .select("holiday_date", "holiday"))
 
 
-def holiday_dimension(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Distinct holiday dates covering the years of ``df[ts]`` (plus the next
-    year, whose Jan 1 may be observed on Dec 31).  Derived by one global
-    min/max aggregate; at most ~16 rows per year spanned."""
-    span = df.agg(F.min(F.year(ts)).alias("lo"), F.max(F.year(ts)).alias("hi"))
-    years = span.filter(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence(F.col("lo"), F.col("hi") + 1)).alias("year"))
-    return holiday_rows(years).groupBy("holiday_date").agg(F.min("holiday").alias("holiday"))
+# Years covered by the generated holiday dimension (rules above hold from 1971).
+HOLIDAY_YEARS = (1971, 2100)
+_DIMENSIONS: dict = {}
+
+
+def holiday_dimension(spark, first_year: int = HOLIDAY_YEARS[0], last_year: int = HOLIDAY_YEARS[1]) -> DataFrame:
+    """Distinct holiday dates ``holiday_date, holiday`` for a span of years,
+    generated by rule (about 16 rows per year, ~2,000 for the default span),
+    independent of the data: no pass over the input is needed.  Cached per
+    session."""
+    key = (id(spark), first_year, last_year)
+    if key not in _DIMENSIONS:
+        years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+        dim = holiday_rows(years).groupBy("holiday_date").agg(F.min("holiday").alias("holiday"))
+        _DIMENSIONS[key] = dim
+    return _DIMENSIONS[key]
 
 
 def add_is_holiday(df: DataFrame, ts: str = "ts", holidays: DataFrame | None = None) -> DataFrame:
     """``is_holiday`` INT, 1 when the row's date is a holiday (actual or
-    observed).  The dimension is bounded by the year span (tens of rows per
-    year), hence the explicit broadcast."""
-    h = holidays if holidays is not None else holiday_dimension(df, ts)
+    observed).  The dimension is generated by rule for a fixed span of years
+    (~16 rows per year, ~2,000 rows), hence the explicit broadcast."""
+    h = holidays if holidays is not None else holiday_dimension(df.sparkSession)
     h = h.select(F.col("holiday_date").alias("_hdate")).distinct().withColumn("_hflag", F.lit(1))
     out = df.join(F.broadcast(h), F.to_date(F.col(ts)) == F.col("_hdate"), "left")
     return out.withColumn("is_holiday", F.coalesce(F.col("_hflag"), F.lit(0)).cast("int")).drop("_hdate", "_hflag")

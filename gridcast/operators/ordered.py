@@ -5,9 +5,9 @@ with one series holding a third of all rows that task is the job. Everything
 order-dependent in this package therefore runs on *chunks* of a series:
 
 * :func:`with_positions` gives every row its exact 0-based position in the
-  series (time order).  Rows are counted per ``(series, time block)``; the
-  small count table is prefix-summed; a ``row_number`` inside each block adds
-  the offset.  Shuffles: one on ``(series, block)``.
+  series (time order).  One window over ``(series, time block)`` ranks rows
+  and sizes blocks; the small per-block table is prefix-summed and joined
+  back as the offset.  Shuffles: one on ``(series, block)``.
 * :func:`with_halo` cuts positions into chunks of ``chunk_rows`` and copies
   the last ``lookback`` rows of each chunk into the next chunk (and the first
   ``lookahead`` rows into the previous one).  A window partitioned by
@@ -46,15 +46,22 @@ def with_positions(df: DataFrame, keys: Sequence[str], ts: str = "ts",
                    tiebreak: Sequence[str] = (), block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
     """Add ``_pos``: the row's 0-based rank inside its series, ordered by
     ``ts`` then ``tiebreak``.  Null keys / null ``ts`` rows are not numbered
-    (callers drop them first)."""
+    (callers drop them first).
+
+    One exchange on ``(series, block)``: the same window yields the rank in
+    the block and the block size; the first row of each block feeds a small
+    offsets table (one row per block) that is prefix-summed and joined back
+    on the already co-partitioned frame."""
     keys = list(keys)
-    d = df.withColumn("_blk", _block(ts, block_hours))
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    blk = Window.partitionBy(*keys, "_blk")
+    d = (df.withColumn("_blk", _block(ts, block_hours))
+           .withColumn("_rn", F.row_number().over(blk.orderBy(F.col(ts), *[F.col(c) for c in tiebreak])))
+           .withColumn("_bn", F.count(F.lit(1)).over(blk)))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    offsets = (d.filter(F.col("_rn") == 1)
+                .select(*keys, "_blk", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_start")))
     d = d.join(offsets, [*keys, "_blk"])
-    inside = Window.partitionBy(*keys, "_blk").orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
-    return d.withColumn(POS, F.col("_start") + F.row_number().over(inside) - F.lit(1)).drop("_start", "_blk")
+    return d.withColumn(POS, F.col("_start") + F.col("_rn") - F.lit(1)).drop("_start", "_blk", "_rn", "_bn")
 
 
 def with_halo(df: DataFrame, lookback: int = 0, lookahead: int = 0,

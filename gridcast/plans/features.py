@@ -45,7 +45,7 @@ def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequ
                    chunk_rows: int = O.DEFAULT_CHUNK_ROWS, dropna: bool = True) -> DataFrame:
     """M2: the 22-column feature frame plus ``load_mw``, keyed by ``keys, ts``."""
     keys = list(keys)
-    holidays = holiday_dimension(load, ts)
+    holidays = holiday_dimension(load.sparkSession)
     d = join_weather(load.select(*keys, ts, TARGET), weather, ts, weather_on)
     d = O.with_positions(d, keys, ts)
     d = O.with_halo(d, lookback=MAX_LOOKBACK, chunk_rows=chunk_rows)
