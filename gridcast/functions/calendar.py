@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 TWO_PI = 2.0 * math.pi
 
 
-def calendar_columns(ts: str = "ts") -> dict[str, Column]:
+def calendar_columns(ts: str | Column = "ts") -> dict[str, Column]:
     """hour, day_of_week (Mon=0), month, quarter, day_of_year, ISO week,
     is_weekend — all INT."""
-    t = F.col(ts)
+    t = F.col(ts) if isinstance(ts, str) else ts
     return {
         "hour": F.hour(t).cast("int"),
         "day_of_week": F.weekday(t).cast("int"),

@@ -41,6 +41,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor.
+        b = b.config("spark.driver.memory", conf.get("spark.driver.memory", "12g"))
     if master and master.startswith("local") and "spark.checkpoint.dir" not in conf:
         b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gridcast-ckpt-"))
         b = b.config("spark.driver.host", "127.0.0.1")
