@@ -215,3 +215,4 @@ def head_sample(spark, sf):
     _, test = SP.split_cutoff(_features(spark, sf), FX.CUTOFF)
     return stable(SP.head_sample(test.select("series_id", "ts", "load_mw"), 100))
 from . import queries_ops  # noqa: E402,F401  (registers part 2)
+from . import queries_models  # noqa: E402,F401  (registers part 3)
