@@ -68,10 +68,11 @@ def reindex_hourly(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, valu
 
 
 def _gap_fills(known: DataFrame, bounds: DataFrame, keys: list[str], ts: str, value: str,
-               limit: int, chunk_rows: int) -> DataFrame:
+               limit: int, chunk_rows: int, with_known: bool = False) -> DataFrame:
     """Rows to add after each known row: ``k = 1..min(limit, gap)`` hours,
     interpolated towards the next known row, or carried after the last one
-    (up to the grid end ``_g1``)."""
+    (up to the grid end ``_g1``).  ``with_known`` also emits the known row
+    itself (``k = 0``) from the same pass."""
     d = O.with_positions(known, keys, ts)
     d = O.with_halo(d, lookahead=1, chunk_rows=chunk_rows)
     w = O.chunk_window(keys)
@@ -80,11 +81,15 @@ def _gap_fills(known: DataFrame, bounds: DataFrame, keys: list[str], ts: str, va
     gap = F.when(F.col("_nt").isNotNull(), (_secs("_nt") - _secs(ts)) / F.lit(HOUR) - 1) \
            .otherwise((_secs("_g1") - _secs(ts)) / F.lit(HOUR))
     d = d.withColumn("_n", F.least(F.floor(gap).cast("int"), F.lit(limit)))
-    d = d.filter(F.col("_n") >= 1).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    first = 0 if with_known else 1
+    if not with_known:
+        d = d.filter(F.col("_n") >= 1)
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(first), F.greatest(F.col("_n"), F.lit(first)))))
     t_k = F.timestamp_add("HOUR", F.col("_k"), F.col(ts))
     pv, nv = F.col(value), F.col("_nv")
     interp = pv + (nv - pv) * (_secs(t_k) - _secs(ts)) / (_secs("_nt") - _secs(ts))
-    return d.select(*keys, t_k.alias(ts), F.when(F.col("_nt").isNotNull(), interp).otherwise(pv).alias(value))
+    v = F.when((F.col("_k") > 0) & F.col("_nt").isNotNull(), interp).otherwise(pv)
+    return d.select(*keys, t_k.alias(ts), v.alias(value))
 
 
 def interpolate_gaps(grid: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
@@ -162,4 +167,4 @@ def fill_series(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value:
     known = (d.join(b.select(*keys, "_g0"), keys)
               .filter(_on_grid(ts) & F.col(value).isNotNull())
               .select(*keys, ts, value))
-    return known.unionByName(_gap_fills(known, b, keys, ts, value, limit, chunk_rows))
+    return _gap_fills(known, b, keys, ts, value, limit, chunk_rows, with_known=True)

@@ -88,10 +88,13 @@ def fit(name: str, train: DataFrame, cols: Sequence[str] = FEATURE_COLS, **overr
     """Fit the named model on ``train`` (rows with any null feature are
     excluded, as the reference's feature frame has none).  The linear model
     is fitted on the non-constant columns; the others have coefficient 0."""
-    t = train.dropna(subset=[*cols, TARGET])
-    if name == "linear":
-        cols = varying_columns(t, cols) or list(cols)[:1]
-    return estimator(name, cols, **overrides).fit(t)
+    t = train.dropna(subset=[*cols, TARGET]).persist()
+    try:
+        if name == "linear":
+            cols = varying_columns(t, cols) or list(cols)[:1]
+        return estimator(name, cols, **overrides).fit(t)
+    finally:
+        t.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS,
