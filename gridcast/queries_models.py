@@ -18,6 +18,7 @@ from .plans import report as RP
 from .plans import search as SR
 from .plans import seasonal as SE
 from .queries import _features, register
+from .schema import FEATURE_COLS
 from .session import scratch_path
 from .sources import fixtures as FX
 from .sources import metrics_io as MIO
@@ -289,12 +290,31 @@ def seasonal_forecast(spark, sf):
 
 # --- M17 ---------------------------------------------------------------------------------
 
-@register("sequence_dataset")
+def _seq_sql() -> str:
+    cols = [*FEATURE_COLS, "load_mw"]
+    mm = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in cols)
+    sc = ", ".join(f"(f.{c} - s.{c}_lo) / (CASE WHEN s.{c}_hi - s.{c}_lo = 0 THEN 1.0 ELSE s.{c}_hi - s.{c}_lo END) AS {c}"
+                   for c in cols)
+    return f"""WITH {S.features_sql()},
+s AS (SELECT {mm} FROM feat WHERE ts < {S.CUTOFF}),
+z AS (SELECT f.series_id, f.ts, CASE WHEN f.ts < {S.CUTOFF} THEN 0 ELSE 1 END AS part, {sc} FROM feat f CROSS JOIN s),
+q AS (SELECT series_id, ts, load_mw, hour_sin,
+        count(*) OVER (PARTITION BY series_id, part ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS n,
+        sum(lag_1h) OVER (PARTITION BY series_id, part ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS s1
+      FROM z)
+SELECT series_id, ts, CAST(n AS INTEGER) AS seq_len, {S.rnd('s1', 'lag_1h_sum')}, {S.rnd('load_mw', 'y')} FROM q WHERE n = 24"""
+
+
+@register("sequence_dataset", _seq_sql())
 def sequence_dataset(spark, sf):
     train, test = _split(spark, sf)
     _, tr, te = SEQ.sequence_dataset(train, test, 24)
-    return tr.select("series_id", "ts", F.size("seq").alias("seq_len"), "y").unionByName(
-        te.select("series_id", "ts", F.size("seq").alias("seq_len"), "y"))
+    i = FEATURE_COLS.index("lag_1h")
+
+    def summary(d):
+        return d.select("series_id", "ts", F.size("seq").alias("seq_len"),
+                        F.aggregate("seq", F.lit(0.0), lambda a, r: a + r[i]).alias("lag_1h_sum"), "y")
+    return stable(summary(tr).unionByName(summary(te)))
 
 
 # --- S4-S6, S9 ----------------------------------------------------------------------------

@@ -371,3 +371,11 @@ SELECT series_id, total_hours, format('{{:,}}', total_hours) AS total_hours_text
   format('{{:,.0f}}', min_load) || ' MW' AS min_load_text FROM k""")
 def kpi_cards(spark, sf):
     return RP.kpi_cards(FX.dense_panel(spark, sf), by=["series_id"]).drop("avg_load", "peak_load", "min_load")
+
+
+# --- P2 ---------------------------------------------------------------------------------
+
+@register("drop_incomplete", f"""WITH {S.features_sql()} SELECT series_id, ts, {S.rnd('lag_168h', 'lag_168h')}, {S.rnd('load_mw', 'load_mw')} FROM feat""")
+def drop_incomplete(spark, sf):
+    f = PF.build_features(FX.dense_panel(spark, sf), FX.weather(spark, sf), dropna=False)
+    return stable(f.dropna(how="any").select("series_id", "ts", "lag_168h", "load_mw"))
