@@ -11,10 +11,12 @@ appends the prediction.
 * Linear models: the whole recursion is one expression — ``F.aggregate``
   over ``sequence(1, N)`` with the coefficients as literals; one plan, no
   loop, no Python UDF.
-* Tree models: Spark models cannot run inside an expression, so the loop is
-  over *steps*, each one ``transform`` of a one-row-per-series frame; the
-  lineage is cut with a reliable ``checkpoint()`` (``spark.checkpoint.dir``)
-  every few steps.
+* Tree ensembles: the fitted node tables (bounded by the model, not the
+  data) are broadcast and every partition of series states runs all steps
+  with vectorised numpy in ``mapInPandas`` — one pass.
+* Any other fitted pipeline: the loop is over *steps*, each one
+  ``transform`` of a one-row-per-series frame; the lineage is cut with a
+  reliable ``checkpoint()`` (``spark.checkpoint.dir``) every few steps.
 """
 
 from __future__ import annotations
@@ -156,9 +158,156 @@ def forecast_models(models: Mapping[str, PipelineModel], history: DataFrame, hor
             cols = m.stages[0].getInputCols()
             coef = dict(zip(cols, [float(c) for c in last.coefficients]))
             parts.append(forecast_linear(history, coef, float(last.intercept), horizon, keys, ts, value, std_ddof, n))
+        elif hasattr(last, "trees"):
+            parts.append(forecast_ensemble(m, history, horizon, keys, ts, value, std_ddof, name=n))
         else:
             parts.append(forecast_model(m, history, horizon, keys, ts, value, std_ddof, name=n))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- tree ensembles in one pass ----------------------------------------------------
+#
+# A fitted forest / boosted model is a fixed set of node tables.  Reading
+# them back from Spark ML's own Parquet persistence and broadcasting them
+# (their size is the model's, not the data's) lets every task run all N
+# steps for its series with vectorised numpy: one Spark pass over the series
+# states instead of one job per step.  ``forecast_model`` (the per-step Spark
+# loop) stays as the reference path; tests check the two agree.
+
+def ensemble_tables(spark, model: PipelineModel) -> dict:
+    """Node arrays of a tree-ensemble pipeline: global ``feat``, ``thr``,
+    ``left``, ``right``, ``value`` per node, ``roots`` and ``weights`` per
+    tree, ``average`` (forests average, boosted models add)."""
+    import numpy as np
+    from ..session import scratch_path
+    last = model.stages[-1]
+    path = scratch_path(spark, "ensemble")
+    last.write().overwrite().save(path)
+    nodes = (spark.read.parquet(f"{path}/data")
+                  .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
+                          F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+                          F.col("nodeData.split.featureIndex").alias("feat"),
+                          F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("thr"))
+                  .orderBy("treeID", "id").toPandas())
+    meta = spark.read.parquet(f"{path}/treesMetadata")
+    w = meta.select(F.col(meta.columns[0]).alias("treeID"), F.col(meta.columns[-1]).alias("w")).orderBy("treeID").toPandas()
+    counts = nodes.groupby("treeID").size().reindex(w["treeID"]).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    off_per_node = np.repeat(offsets, counts)
+    left = nodes["left"].to_numpy()
+    right = nodes["right"].to_numpy()
+    return {
+        "feat": np.where(left >= 0, nodes["feat"].to_numpy(), 0).astype(np.int64),
+        "thr": nodes["thr"].fillna(0.0).to_numpy(dtype=float),
+        "left": np.where(left >= 0, left + off_per_node, -1).astype(np.int64),
+        "right": np.where(right >= 0, right + off_per_node, -1).astype(np.int64),
+        "value": nodes["value"].to_numpy(dtype=float),
+        "roots": offsets.astype(np.int64),
+        "weights": w["w"].to_numpy(dtype=float),
+        "average": type(last).__name__.startswith("RandomForest"),
+        "cols": list(model.stages[0].getInputCols()),
+    }
+
+
+def _predict_ensemble(t: dict, X):
+    import numpy as np
+    m = X.shape[0]
+    cur = np.broadcast_to(t["roots"], (m, len(t["roots"]))).copy()
+    rows = np.arange(m)[:, None]
+    while True:
+        lft = t["left"][cur]
+        inner = lft >= 0
+        if not inner.any():
+            break
+        x = X[rows, t["feat"][cur]]
+        nxt = np.where(x <= t["thr"][cur], lft, t["right"][cur])
+        cur = np.where(inner, nxt, cur)
+    s = t["value"][cur] @ t["weights"]
+    return s / len(t["roots"]) if t["average"] else s
+
+
+def _step_matrix(H, L, e, ts, hol_col, cols, std_ddof):
+    """Feature matrix of one step for all series of a batch (numpy mirror of
+    :func:`step_features`)."""
+    import numpy as np
+    import pandas as pd
+    idx = pd.DatetimeIndex(ts)
+    hour = idx.hour.to_numpy(float)
+    month = idx.month.to_numpy(float)
+    dow = idx.dayofweek.to_numpy(float)
+    n_have = L
+    allv = H[:, :e]
+
+    def tail(n):
+        return H[:, max(e - n, 0):e]
+
+    with np.errstate(invalid="ignore"):
+        mean_all = np.nanmean(allv, axis=1)
+        f = {
+            "hour": hour, "day_of_week": dow, "month": month, "quarter": idx.quarter.to_numpy(float),
+            "day_of_year": idx.dayofyear.to_numpy(float), "week_of_year": idx.isocalendar().week.to_numpy(float),
+            "is_weekend": (dow >= 5).astype(float), "is_holiday": hol_col.astype(float),
+            "hour_sin": np.sin(2 * np.pi * hour / 24), "hour_cos": np.cos(2 * np.pi * hour / 24),
+            "month_sin": np.sin(2 * np.pi * month / 12), "month_cos": np.cos(2 * np.pi * month / 12),
+            "lag_1h": H[:, e - 1],
+            "lag_24h": np.where(n_have >= 24, H[:, e - 24], mean_all),
+            "lag_168h": np.where(n_have >= 168, H[:, e - 168], mean_all),
+            "rolling_mean_24h": np.nanmean(tail(24), axis=1),
+            "rolling_mean_168h": np.nanmean(tail(168), axis=1),
+            "rolling_std_24h": np.nanstd(tail(24), axis=1, ddof=std_ddof),
+        }
+    for c, v in WEATHER_DEFAULTS.items():
+        f[c] = np.full(len(L), v)
+    f["temp_sq"] = np.full(len(L), WEATHER_DEFAULTS["temp"] ** 2)
+    return np.column_stack([f[c] for c in cols])
+
+
+def forecast_ensemble(model: PipelineModel, history: DataFrame, horizon: int = 24, keys: Sequence[str] = KEYS,
+                      ts: str = TS, value: str = TARGET, std_ddof: int = 0, name: str | None = None) -> DataFrame:
+    """M11 for forests / boosted trees in one pass: per partition of series
+    states, all ``horizon`` steps run vectorised over the series."""
+    import numpy as np
+    import pandas as pd
+    keys = list(keys)
+    spark = history.sparkSession
+    tables = spark.sparkContext.broadcast(ensemble_tables(spark, model))
+    state = history_state(history, horizon, keys, ts, value).select(*keys, "_t", "_h", "_hols")
+    key_types = ", ".join(f"`{k}` {t}" for k, t in state.select(*keys).dtypes)
+    schema = f"{key_types}, step int, ts timestamp, forecast_mw double"
+    width = MAX_LOOKBACK
+
+    def run(batches):
+        t = tables.value
+        for b in batches:
+            m = len(b)
+            if m == 0:
+                continue
+            H = np.full((m, width + horizon), np.nan)
+            L = np.zeros(m, dtype=np.int64)
+            for i, h in enumerate(b["_h"]):
+                h = np.asarray(h, dtype=float)
+                H[i, width - len(h):width] = h
+                L[i] = len(h)
+            hols = np.array([np.asarray(x, dtype=float) for x in b["_hols"]]).reshape(m, horizon)
+            t0 = pd.to_datetime(b["_t"]).to_numpy()
+            out_ts, out_p = [], []
+            for s in range(horizon):
+                e = width + s
+                stamp = t0 + np.timedelta64(s + 1, "h")
+                X = _step_matrix(H, L, e, stamp, hols[:, s], t["cols"], std_ddof)
+                p = _predict_ensemble(t, X)
+                H[:, e] = p
+                L = L + 1
+                out_ts.append(stamp)
+                out_p.append(p)
+            res = b[keys].loc[b.index.repeat(horizon)].reset_index(drop=True)
+            res["step"] = np.tile(np.arange(1, horizon + 1, dtype=np.int32), m)
+            res["ts"] = np.stack(out_ts, axis=1).reshape(-1)
+            res["forecast_mw"] = np.stack(out_p, axis=1).reshape(-1)
+            yield res
+
+    out = state.mapInPandas(run, schema)
+    return out.withColumn("model", F.lit(name)).select("model", *keys, "step", "ts", "forecast_mw") if name else out

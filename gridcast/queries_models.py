@@ -243,7 +243,7 @@ def save_load_model(spark, sf):
 @register("forecast_tree")
 def forecast_tree(spark, sf):
     train, _ = _split(spark, sf)
-    return FC.forecast_model(PM.fit("rf", train, numTrees=50), _features(spark, sf), 24, name="rf")
+    return FC.forecast_ensemble(PM.fit("rf", train), _features(spark, sf), 72, name="rf")
 
 
 @register("forecast_models")

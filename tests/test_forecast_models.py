@@ -91,3 +91,34 @@ def test_linear_fit_and_tree_forecast(spark):
     assert len(fc) == 16 and sorted(fc["step"].unique().tolist()) == list(range(1, 9))
     both = FC.forecast_models({"linear": m, "rf": rf}, f, 4).toPandas()
     assert sorted(both["model"].unique()) == ["linear", "rf"] and len(both) == 16
+
+
+@pytest.mark.parametrize("name,kw", [("rf", {"numTrees": 7, "maxDepth": 5}), ("xgboost", {"maxIter": 4, "maxDepth": 3})])
+def test_ensemble_one_pass_equals_step_loop(spark, name, kw):
+    from gridcast.plans import features as PF
+    f = PF.build_features(history(spark, 300), None)
+    m = PM.fit(name, f, **kw)
+    a = FC.forecast_ensemble(m, f, 10).toPandas()
+    b = FC.forecast_model(m, f, 10, checkpoint_every=5).toPandas()
+    j = a.merge(b, on=["series_id", "step"])
+    assert len(j) == len(a) == 20
+    assert np.abs(j.forecast_mw_x - j.forecast_mw_y).max() < 1e-9
+    assert (j.ts_x == j.ts_y).all()
+
+
+def test_seasonal_band_and_search(spark):
+    from gridcast.plans import features as PF
+    from gridcast.plans import search as SR
+    from gridcast.plans import seasonal as SE
+    f = PF.build_features(history(spark, 400), None)
+    train = f.filter(F.col("ts") < F.lit("2024-03-15").cast("timestamp"))
+    test = f.filter(F.col("ts") >= F.lit("2024-03-15").cast("timestamp"))
+    coefs, tp, fp = SE.seasonal_regression(train, test, 12)
+    p = tp.toPandas()
+    assert len(p) == test.count()
+    assert (p.yhat_lower <= p.yhat).all() and (p.yhat <= p.yhat_upper).all() and (p.yhat > 0).all()
+    assert fp.count() == 2 * 12
+    space = dict(SR.SEARCH_SPACE, maxIter=("int", 2, 3), maxDepth=("int", 2, 3))
+    best, scores, table, model = SR.walk_forward_search(spark, train, n_trials=2, n_splits=2, space=space)
+    assert scores.count() == 4 and table.count() == 2
+    assert best == SR.draw_candidates(2, 42, space)[table.first()["candidate"]]
