@@ -73,10 +73,8 @@ def _gap_fills(known: DataFrame, bounds: DataFrame, keys: list[str], ts: str, va
     interpolated towards the next known row, or carried after the last one
     (up to the grid end ``_g1``).  ``with_known`` also emits the known row
     itself (``k = 0``) from the same pass."""
-    d = O.with_positions(known, keys, ts)
-    d = O.with_halo(d, lookahead=1, chunk_rows=chunk_rows)
-    w = O.chunk_window(keys)
-    d = O.finish(d.withColumns({"_nt": F.lead(ts, 1).over(w), "_nv": F.lead(value, 1).over(w)}))
+    d = O.with_positions(known, keys, ts, lead=[value])
+    d = d.withColumnsRenamed({"_next_ts": "_nt", f"_next_{value}": "_nv"}).drop(O.POS)
     d = d.join(bounds.select(*keys, "_g1"), keys)
     gap = F.when(F.col("_nt").isNotNull(), (_secs("_nt") - _secs(ts)) / F.lit(HOUR) - 1) \
            .otherwise((_secs("_g1") - _secs(ts)) / F.lit(HOUR))
@@ -129,10 +127,18 @@ def clip_outliers(df: DataFrame, stats: DataFrame | None = None, keys: Sequence[
 
 def regularize(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
                limit: int = INTERP_LIMIT, z: float = Z_CLIP,
-               chunk_rows: int = O.DEFAULT_CHUNK_ROWS) -> DataFrame:
+               chunk_rows: int = O.DEFAULT_CHUNK_ROWS, materialize: bool = True) -> DataFrame:
     """M1: dedupe → hourly grid → interpolate (≤ ``limit`` h) → flag / clip →
-    drop empty.  Output ``keys, ts, value, outlier_flag``."""
+    drop empty.  Output ``keys, ts, value, outlier_flag``.
+
+    The clip needs statistics of the *filled* rows, so the filled rows are
+    read twice; with ``materialize`` they are checkpointed once (reliable,
+    into ``spark.checkpoint.dir``) instead of recomputing dedupe and the
+    ordering shuffle for the statistics."""
     filled = fill_series(df, keys, ts, value, limit, chunk_rows)
+    if materialize:
+        from ..session import materialize as _materialize
+        filled = _materialize(filled)
     return clip_outliers(filled, None, keys, value, z).select(*keys, ts, value, "outlier_flag")
 
 

@@ -5,9 +5,11 @@ with one series holding a third of all rows that task is the job. Everything
 order-dependent in this package therefore runs on *chunks* of a series:
 
 * :func:`with_positions` gives every row its exact 0-based position in the
-  series (time order).  One window over ``(series, time block)`` ranks rows
-  and sizes blocks; the small per-block table is prefix-summed and joined
-  back as the offset.  Shuffles: one on ``(series, block)``.
+  series (time order), and in the same pass can forward / back fill columns
+  over any distance and attach the next row (across blocks).  A small
+  per-``(series, time block)`` summary — a map-side partial aggregate of the
+  input — is prefix-summed and joined back; the rows are exchanged once on
+  ``(series, block)`` and handled by one window sort.
 * :func:`with_halo` cuts positions into chunks of ``chunk_rows`` and copies
   the last ``lookback`` rows of each chunk into the next chunk (and the first
   ``lookahead`` rows into the previous one).  A window partitioned by
@@ -43,25 +45,67 @@ def _block(ts: str, block_hours: int) -> Column:
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], ts: str = "ts",
-                   tiebreak: Sequence[str] = (), block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
+                   tiebreak: Sequence[str] = (), block_hours: int = DEFAULT_BLOCK_HOURS,
+                   fill: Sequence[str] = (), backfill: bool = True,
+                   lead: Sequence[str] = ()) -> DataFrame:
     """Add ``_pos``: the row's 0-based rank inside its series, ordered by
     ``ts`` then ``tiebreak``.  Null keys / null ``ts`` rows are not numbered
     (callers drop them first).
 
-    One exchange on ``(series, block)``: the same window yields the rank in
-    the block and the block size; the first row of each block feeds a small
-    offsets table (one row per block) that is prefix-summed and joined back
-    on the already co-partitioned frame."""
+    Optionally, in the same pass: ``fill`` columns are forward filled (and,
+    with ``backfill``, leading nulls take the series' first known value) over
+    any distance, and ``lead`` adds ``_next_ts`` / ``_next_<c>`` — the next
+    row of the series, across block boundaries.
+
+    Plan: a per-``(series, time block)`` summary (row count, last / first
+    known values, first row) is a partial aggregate of the input — map-side
+    combined, so only one small row per block is shuffled — then prefix-summed
+    over blocks; the rows themselves are exchanged once on ``(series,
+    block)`` and numbered / filled by one window sort, with the summary joined
+    on the same keys."""
     keys = list(keys)
-    blk = Window.partitionBy(*keys, "_blk")
-    d = (df.withColumn("_blk", _block(ts, block_hours))
-           .withColumn("_rn", F.row_number().over(blk.orderBy(F.col(ts), *[F.col(c) for c in tiebreak])))
-           .withColumn("_bn", F.count(F.lit(1)).over(blk)))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (d.filter(F.col("_rn") == 1)
-                .select(*keys, "_blk", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_start")))
-    d = d.join(offsets, [*keys, "_blk"])
-    return d.withColumn(POS, F.col("_start") + F.col("_rn") - F.lit(1)).drop("_start", "_blk", "_rn", "_bn")
+    order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
+    d = df.withColumn("_blk", _block(ts, block_hours))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in fill:
+        known = F.when(F.col(c).isNotNull(), order)
+        aggs.append(F.max_by(F.col(c), known).alias(f"_last_{c}"))
+        if backfill:
+            aggs.append(F.min_by(F.col(c), known).alias(f"_head_{c}"))
+    if lead:
+        aggs.append(F.min_by(F.struct(F.col(ts).alias("_ts"), *[F.col(c).alias(c) for c in lead]), order)
+                     .alias("_first_row"))
+    summ = d.groupBy(*keys, "_blk").agg(*aggs)
+    ob = Window.partitionBy(*keys).orderBy("_blk")
+    before = ob.rowsBetween(Window.unboundedPreceding, -1)
+    out = [*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")]
+    for c in fill:
+        out.append(F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}"))
+        if backfill:
+            whole = ob.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            out.append(F.first(f"_head_{c}", ignorenulls=True).over(whole).alias(f"_first_{c}"))
+    if lead:
+        out.append(F.lead("_first_row", 1).over(ob).alias("_next_block_row"))
+    summ = summ.select(*out)
+    d = d.join(summ, [*keys, "_blk"], "left")
+    inside = Window.partitionBy(*keys, "_blk").orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
+    cols = {POS: F.col("_start") + F.row_number().over(inside) - F.lit(1)}
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    for c in fill:
+        parts = [F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}")]
+        if backfill:
+            parts.append(F.col(f"_first_{c}"))
+        cols[c] = F.coalesce(*parts)
+    if lead:
+        nxt = F.coalesce(F.lead(F.struct(F.col(ts).alias("_ts"), *[F.col(c).alias(c) for c in lead]), 1).over(inside),
+                         F.col("_next_block_row"))
+        cols["_next_ts"] = nxt["_ts"]
+        for c in lead:
+            cols[f"_next_{c}"] = nxt[c]
+    d = d.withColumns(cols)
+    drop = ["_start", "_blk"] + [f"_carry_{c}" for c in fill] + ([f"_first_{c}" for c in fill] if backfill else [])
+    drop += ["_next_block_row"] if lead else []
+    return d.drop(*drop)
 
 
 def with_halo(df: DataFrame, lookback: int = 0, lookahead: int = 0,

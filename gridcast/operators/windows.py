@@ -63,8 +63,7 @@ def fill_gaps(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, ts
               backfill: bool = True, chunk_rows: int = O.DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W4 (+ W5 with ``backfill``): carry the last known value forward; the
     leading nulls take the first known value.  Exact over any gap length."""
-    d = _prepare(df, keys, ts, 0, 0, chunk_rows)
-    return O.finish(O.carry_fill(d, keys, cols, backfill))
+    return O.with_positions(df, keys, ts, fill=cols, backfill=backfill).drop(O.POS)
 
 
 def recent_window(df: DataFrame, n: int = 168, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:

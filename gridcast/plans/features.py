@@ -1,10 +1,10 @@
 """M2 ``build_features``: load ⟕ weather → fills → calendar → holidays →
 lags / rolling → temp² → drop incomplete rows, as one lazy plan.
 
-Physical shape: one exchange on ``(series, week)`` to number rows, one on
-``(series, chunk)`` for every window (lags, rolling stats and the weather
-fill share one sort), one small per-chunk summary for the unbounded fill,
-and a broadcast holiday dimension bounded by the year span.
+Physical shape: one exchange on ``(series, week)`` that numbers rows and
+fills the weather (one sort; a small map-side-combined per-week summary
+carries values across weeks), one exchange on ``(series, chunk)`` for the
+lag / rolling windows (one sort), and a broadcast holiday dimension.
 """
 
 from __future__ import annotations
@@ -47,10 +47,8 @@ def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequ
     keys = list(keys)
     holidays = holiday_dimension(load.sparkSession)
     d = join_weather(load.select(*keys, ts, TARGET), weather, ts, weather_on)
-    d = O.with_positions(d, keys, ts)
+    d = O.with_positions(d, keys, ts, fill=list(WEATHER_COLS) if weather is not None else (), backfill=backfill)
     d = O.with_halo(d, lookback=MAX_LOOKBACK, chunk_rows=chunk_rows)
-    if weather is not None:
-        d = O.carry_fill(d, keys, list(WEATHER_COLS), backfill)
     w = O.chunk_window(keys)
     d = d.withColumns({**lag_columns(w), **rolling_mean_columns(w), **rolling_std_columns(w)})
     d = O.finish(d)

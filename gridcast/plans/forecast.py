@@ -124,7 +124,9 @@ def forecast_model(model: PipelineModel, history: DataFrame, horizon: int = 24,
                    name: str | None = None) -> DataFrame:
     """M11 for any fitted pipeline (trees): one distributed ``transform`` per
     step over all series; reliable checkpoints bound the lineage."""
+    from ..session import checkpoint_dir
     keys = list(keys)
+    checkpoint_dir(history.sparkSession)
     state = history_state(history, horizon, keys, ts, value).checkpoint(eager=True)
     for step in range(1, horizon + 1):
         t1 = F.timestamp_add("HOUR", F.lit(1), F.col("_t"))

@@ -56,18 +56,29 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediate tables.
 
-    Reads the session's ``spark.checkpoint.dir``; falls back to the context's
-    checkpoint dir. Raises when neither is set: a machine-local temp folder
-    is not safe on a cluster where executors come and go.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    Reads the session's ``spark.checkpoint.dir`` (or the context's checkpoint
+    dir).  Only a local-mode session that names none gets a fresh scratch
+    folder; on a cluster a machine-local folder is not safe, so an unset
+    setting is an error there."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        d = tempfile.mkdtemp(prefix="gridcast-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
+def materialize(df):
+    """Cut lineage with a reliable checkpoint into the shared checkpoint
+    folder (eager).  Used where a plan is read twice (two-pass operators) so
+    the expensive part is computed once and survives executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the checkpoint dir for a written table."""
     import uuid
