@@ -16,9 +16,6 @@ order-dependent in this package therefore runs on *chunks* of a series:
   ``(series, _chunk)`` and ordered by ``_pos`` then sees every row it needs;
   keep ``_own`` rows for the result.  Exact for positional lags / frames of
   at most ``lookback`` rows back and ``lookahead`` rows forward.
-* :func:`carry_fill` fills nulls with the last (and optionally next) known
-  value over any distance: a local fill inside the chunk window plus the
-  last known value of earlier chunks from a per-chunk summary table.
 """
 
 from __future__ import annotations
@@ -47,7 +44,7 @@ def _block(ts: str, block_hours: int) -> Column:
 def with_positions(df: DataFrame, keys: Sequence[str], ts: str = "ts",
                    tiebreak: Sequence[str] = (), block_hours: int = DEFAULT_BLOCK_HOURS,
                    fill: Sequence[str] = (), backfill: bool = True,
-                   lead: Sequence[str] = ()) -> DataFrame:
+                   lead: Sequence[str] = (), with_len: bool = False) -> DataFrame:
     """Add ``_pos``: the row's 0-based rank inside its series, ordered by
     ``ts`` then ``tiebreak``.  Null keys / null ``ts`` rows are not numbered
     (callers drop them first).
@@ -55,7 +52,8 @@ def with_positions(df: DataFrame, keys: Sequence[str], ts: str = "ts",
     Optionally, in the same pass: ``fill`` columns are forward filled (and,
     with ``backfill``, leading nulls take the series' first known value) over
     any distance, and ``lead`` adds ``_next_ts`` / ``_next_<c>`` — the next
-    row of the series, across block boundaries.
+    row of the series, across block boundaries; ``with_len`` adds the series
+    length ``_len``.
 
     Plan: a per-``(series, time block)`` summary (row count, last / first
     known values, first row) is a partial aggregate of the input — map-side
@@ -79,6 +77,8 @@ def with_positions(df: DataFrame, keys: Sequence[str], ts: str = "ts",
     ob = Window.partitionBy(*keys).orderBy("_blk")
     before = ob.rowsBetween(Window.unboundedPreceding, -1)
     out = [*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")]
+    if with_len:
+        out.append(F.sum("_n").over(Window.partitionBy(*keys)).alias("_len"))
     for c in fill:
         out.append(F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}"))
         if backfill:
@@ -135,48 +135,3 @@ def chunk_window(keys: Sequence[str]) -> Window:
 def finish(df: DataFrame) -> DataFrame:
     """Drop halo rows and helper columns."""
     return df.filter(F.col(OWN)).drop(POS, CHUNK, OWN)
-
-
-def chunk_summary(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                  backfill: bool = True) -> DataFrame:
-    """Per ``(series, chunk)``: the last known value of each column in the
-    earlier chunks (``_carry_<c>``) and, with ``backfill``, the first known
-    value of the series (``_first_<c>``).  ``df`` is halo'd; only own rows
-    are summarised.  The result has one row per chunk (small)."""
-    keys = list(keys)
-    own = df.filter(F.col(OWN))
-    aggs = []
-    for c in cols:
-        known_pos = F.when(F.col(c).isNotNull(), F.col(POS))
-        aggs.append(F.max_by(F.col(c), known_pos).alias(f"_last_{c}"))
-        if backfill:
-            aggs.append(F.min_by(F.col(c), known_pos).alias(f"_head_{c}"))
-    summ = own.groupBy(*keys, CHUNK).agg(*aggs)
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.unboundedFollowing)
-    out = [*keys, CHUNK]
-    for c in cols:
-        out.append(F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}"))
-        if backfill:
-            out.append(F.first(f"_head_{c}", ignorenulls=True).over(whole).alias(f"_first_{c}"))
-    return summ.select(*out)
-
-
-def carry_fill(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-               backfill: bool = True) -> DataFrame:
-    """Forward fill (then back fill leading nulls) of ``cols`` over a halo'd
-    frame, exact over any gap length.  Returns the frame with ``cols``
-    replaced; ``_pos/_chunk/_own`` are kept for further windows."""
-    keys = list(keys)
-    summ = chunk_summary(df, keys, cols, backfill)
-    d = df.join(summ, [*keys, CHUNK], "left")
-    upto = chunk_window(keys).rowsBetween(Window.unboundedPreceding, 0)
-    repl = {}
-    for c in cols:
-        parts = [F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}")]
-        if backfill:
-            parts.append(F.col(f"_first_{c}"))
-        repl[c] = F.coalesce(*parts)
-    drop = [f"_carry_{c}" for c in cols] + ([f"_first_{c}" for c in cols] if backfill else [])
-    return d.withColumns(repl).drop(*drop)

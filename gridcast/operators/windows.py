@@ -67,10 +67,7 @@ def fill_gaps(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, ts
 
 
 def recent_window(df: DataFrame, n: int = 168, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """The last ``n`` rows of each series.  Positions come from the
-    chunked numbering; the series length is a per-series count (small)."""
-    keys = list(keys)
-    d = O.with_positions(df, keys, ts)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
-    return (d.join(sizes, keys).filter(F.col(O.POS) >= F.col("_len") - F.lit(n))
-             .drop(O.POS, "_len"))
+    """The last ``n`` rows of each series.  Position and series length
+    come from the same numbering pass (no whole-series task)."""
+    d = O.with_positions(df, list(keys), ts, with_len=True)
+    return d.filter(F.col(O.POS) >= F.col("_len") - F.lit(n)).drop(O.POS, "_len")

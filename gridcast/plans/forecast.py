@@ -27,7 +27,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import add_is_holiday, calendar_columns, cyclical_columns
+from ..functions.calendar import calendar_columns, cyclical_columns
 from ..operators.windows import recent_window
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, MODEL_NAMES, TARGET, TS, WEATHER_DEFAULTS
 
@@ -70,21 +70,32 @@ def history_state(history: DataFrame, horizon: int, keys: Sequence[str] = KEYS,
                   value: str = TARGET) -> DataFrame:
     """One row per series: last stamp ``_t``, last ≤168 values ``_h`` in time
     order, holiday flags of the next ``horizon`` hours ``_hols``, empty
-    ``_out``.  Groups are bounded (168 and ``horizon`` rows)."""
+    ``_out``.  Groups are bounded (168 rows)."""
     keys = list(keys)
     recent = recent_window(history.select(*keys, ts, value), MAX_LOOKBACK, keys, ts)
     st = recent.groupBy(*keys).agg(
         F.max(ts).alias("_t"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))),
                     lambda s: s["v"]).alias("_h"))
-    fut = st.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "_t")
-    fut = fut.withColumn("ts", F.timestamp_add("HOUR", F.col("step"), F.col("_t")))
-    fut = add_is_holiday(fut, "ts")
-    hols = fut.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("step", "is_holiday"))), lambda s: s["is_holiday"])
-         .alias("_hols"))
+    days = holiday_dates(history.sparkSession)
+    hols = F.transform(F.sequence(F.lit(1), F.lit(horizon)),
+                       lambda s: F.array_contains(days, F.to_date(F.timestamp_add("HOUR", s, F.col("_t")))).cast("int"))
     out_t = "array<struct<step:int,ts:timestamp,forecast_mw:double>>"
-    return st.join(hols, keys).withColumn("_out", F.array().cast(out_t))
+    return st.withColumn("_hols", hols).withColumn("_out", F.array().cast(out_t))
+
+
+_HOLIDAY_LITERALS: dict = {}
+
+
+def holiday_dates(spark) -> Column:
+    """The rule-generated holiday dates (~2,000, fixed span of years) as one
+    array literal, so future stamps are flagged without a join."""
+    key = id(spark)
+    if key not in _HOLIDAY_LITERALS:
+        from ..functions.calendar import holiday_dimension
+        dates = sorted(r["holiday_date"] for r in holiday_dimension(spark).select("holiday_date").collect())
+        _HOLIDAY_LITERALS[key] = dates
+    return F.lit(_HOLIDAY_LITERALS[key])
 
 
 def _explode_out(state: DataFrame, keys: Sequence[str], name: str | None) -> DataFrame:

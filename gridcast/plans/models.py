@@ -219,7 +219,7 @@ def train_all(train: DataFrame, test: DataFrame, names: Sequence[str] = MODEL_NA
     """Fit every named model on ``train``, score ``test``, and return
     ``(models, predictions, metrics)``; metrics use the reference's rounding."""
     overrides = overrides or {}
-    train = train.persist()
+    test = test.persist()  # scored by every model
     models = {n: fit(n, train, **overrides.get(n, {})) for n in names}
     preds = score_test(models, test, keys, ts)
     metrics = evaluate_models(preds, rounded=True)

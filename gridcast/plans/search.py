@@ -66,7 +66,8 @@ def walk_forward_search(spark: SparkSession, train: DataFrame, n_trials: int = 5
                         seed: int = 42, parallelism: int = 4, space: dict | None = None, ts: str = TS):
     """M6: returns ``(best_params, fold_scores, cv_table, refitted_model)``."""
     cands = draw_candidates(n_trials, seed, space)
-    data = fold_index(train.dropna(), n_splits, ts).persist()
+    base = train.dropna().persist()  # read by the fold index twice, then by every fit
+    data = fold_index(base, n_splits, ts).persist()
     vf = F.col("val_fold")
 
     def run(job):
@@ -85,6 +86,7 @@ def walk_forward_search(spark: SparkSession, train: DataFrame, n_trials: int = 5
     scores = spark.createDataFrame(rows, schema)
     table = cv_score(scores)
     best = table.first()["candidate"]
-    model = PM.fit("xgboost", train, **cands[best])
+    model = PM.fit("xgboost", base, **cands[best])
     data.unpersist()
+    base.unpersist()
     return cands[best], scores, table, model

@@ -122,3 +122,13 @@ def test_seasonal_band_and_search(spark):
     best, scores, table, model = SR.walk_forward_search(spark, train, n_trials=2, n_splits=2, space=space)
     assert scores.count() == 4 and table.count() == 2
     assert best == SR.draw_candidates(2, 42, space)[table.first()["candidate"]]
+
+
+def test_future_holiday_flags(spark):
+    t0 = pd.Timestamp("2024-01-13 00:00")
+    rows = [("a", t0 + pd.Timedelta(hours=i), 1.0) for i in range(48)]
+    h = spark.createDataFrame(pd.DataFrame(rows, columns=["series_id", "ts", "load_mw"]))
+    st = FC.history_state(h, 30).first()
+    # history ends 2024-01-14 23:00; steps 1..24 fall on 2024-01-15 (a federal holiday)
+    assert st["_hols"] == [1] * 24 + [0] * 6
+    assert len(st["_h"]) == 48

@@ -49,7 +49,7 @@ def test_chunked_features_equal_unchunked(spark):
     assert np.nanmax(np.abs(a[num].to_numpy(float) - b[num].to_numpy(float))) < 1e-9
 
 
-def test_carry_fill_over_long_gaps(spark):
+def test_fill_over_long_gaps(spark):
     rows = [("s", i, (float(i) if i in (3, 250) else None)) for i in range(600)]
     df = spark.createDataFrame(rows, "series_id string, h int, v double") \
         .withColumn("ts", F.timestamp_seconds(F.col("h") * 3600))
