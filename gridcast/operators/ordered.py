@@ -135,3 +135,63 @@ def chunk_window(keys: Sequence[str]) -> Window:
 def finish(df: DataFrame) -> DataFrame:
     """Drop halo rows and helper columns."""
     return df.filter(F.col(OWN)).drop(POS, CHUNK, OWN)
+
+
+# --- time-based chunks (lags counted in hours, not rows) ----------------------
+
+HOUR_COL = "_hr"
+
+
+def with_time_halo(df: DataFrame, ts: str = "ts", lookback_hours: int = 0,
+                   chunk_hours: int = DEFAULT_BLOCK_HOURS * 4) -> DataFrame:
+    """Time chunks: ``_chunk = floor(hour / chunk_hours)``; rows in the last
+    ``lookback_hours`` of a chunk are copied into the next one (``_own``
+    false).  A window over ``(series, _chunk)`` ordered by ``_hr`` with RANGE
+    frames then sees every hour it needs.  No numbering pass: one exchange."""
+    if lookback_hours > chunk_hours:
+        raise ValueError("chunk_hours must be at least the look-back")
+    hr = F.floor(F.unix_seconds(F.col(ts)) / F.lit(3600)).cast("long")
+    own = F.floor(F.col(HOUR_COL) / F.lit(chunk_hours)).cast("long")
+    rem = F.col(HOUR_COL) - own * F.lit(chunk_hours)
+    targets = F.array(own)
+    if lookback_hours:
+        targets = F.concat(targets, F.when(rem >= F.lit(chunk_hours - lookback_hours), F.array(own + 1))
+                                      .otherwise(F.array().cast("array<long>")))
+    d = df.withColumn(HOUR_COL, hr).withColumn("_own_chunk", own)
+    return (d.withColumn(CHUNK, F.explode(targets))
+             .withColumn(OWN, F.col(CHUNK) == F.col("_own_chunk")).drop("_own_chunk"))
+
+
+def time_fill(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], chunk_hours: int,
+              backfill: bool = True) -> DataFrame:
+    """Forward (and back) fill on a time-halo'd frame: local fill inside the
+    chunk window plus the carry of earlier chunks from a per-chunk summary
+    that is a partial aggregate of the *source* rows (no second pass over the
+    windowed data)."""
+    keys = list(keys)
+    src = df.filter(F.col(OWN))
+    aggs = []
+    for c in cols:
+        known = F.when(F.col(c).isNotNull(), F.col(ts))
+        aggs.append(F.max_by(F.col(c), known).alias(f"_last_{c}"))
+        if backfill:
+            aggs.append(F.min_by(F.col(c), known).alias(f"_head_{c}"))
+    summ = src.groupBy(*keys, F.col("_chunk")).agg(*aggs)
+    ob = Window.partitionBy(*keys).orderBy(CHUNK)
+    before = ob.rowsBetween(Window.unboundedPreceding, -1)
+    whole = ob.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sel = [*keys, CHUNK]
+    for c in cols:
+        sel.append(F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}"))
+        if backfill:
+            sel.append(F.first(f"_head_{c}", ignorenulls=True).over(whole).alias(f"_first_{c}"))
+    d = df.join(summ.select(*sel), [*keys, CHUNK], "left")
+    upto = Window.partitionBy(*keys, CHUNK).orderBy(HOUR_COL, ts).rowsBetween(Window.unboundedPreceding, 0)
+    repl = {}
+    for c in cols:
+        parts = [F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}")]
+        if backfill:
+            parts.append(F.col(f"_first_{c}"))
+        repl[c] = F.coalesce(*parts)
+    drop = [f"_carry_{c}" for c in cols] + ([f"_first_{c}" for c in cols] if backfill else [])
+    return d.withColumns(repl).drop(*drop)

@@ -71,3 +71,34 @@ def recent_window(df: DataFrame, n: int = 168, keys: Sequence[str] = KEYS, ts: s
     come from the same numbering pass (no whole-series task)."""
     d = O.with_positions(df, list(keys), ts, with_len=True)
     return d.filter(F.col(O.POS) >= F.col("_len") - F.lit(n)).drop(O.POS, "_len")
+
+
+# --- time mode (T3): lags and frames in hours ------------------------------------
+
+def time_window_columns(keys: Sequence[str], value: str = TARGET, lags: Sequence[int] = LAGS,
+                        means: Sequence[int] = ROLL_MEANS, stds: Sequence[int] = ROLL_STDS) -> dict[str, Column]:
+    """Columns over a time-halo'd frame: ``lag_<n>h`` = value exactly n hours
+    earlier (null when that hour is absent); rolling stats over the previous
+    n hours, null unless all n hours are present and non-null."""
+    w = Window.partitionBy(*keys, O.CHUNK).orderBy(O.HOUR_COL)
+    v = F.col(value)
+    out = {f"lag_{n}h": F.first(v).over(w.rangeBetween(-n, -n)) for n in lags}
+    for n in means:
+        fr = w.rangeBetween(-n, -1)
+        out[f"rolling_mean_{n}h"] = F.when(F.count(v).over(fr) == n, F.avg(v).over(fr))
+    for n in stds:
+        fr = w.rangeBetween(-n, -1)
+        out[f"rolling_std_{n}h"] = F.when(F.count(v).over(fr) == n, F.stddev_samp(v).over(fr))
+    return out
+
+
+def time_lag_features(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
+                      lags: Sequence[int] = LAGS, means: Sequence[int] = ROLL_MEANS, stds: Sequence[int] = ROLL_STDS,
+                      chunk_hours: int = O.DEFAULT_BLOCK_HOURS * 4) -> DataFrame:
+    """W1-W3 by time (hourly stamps, unique per series): one exchange on
+    ``(series, time chunk)``; equal to the positional operators on a complete
+    hourly grid."""
+    keys = list(keys)
+    d = O.with_time_halo(df, ts, max([*lags, *means, *stds]), chunk_hours)
+    d = d.withColumns(time_window_columns(keys, value, lags, means, stds))
+    return d.filter(F.col(O.OWN)).drop(O.CHUNK, O.OWN, O.HOUR_COL)

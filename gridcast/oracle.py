@@ -125,13 +125,13 @@ base AS ({load}),
 {holidays_ctes('base')},
 j AS ({joined}),
 f AS (SELECT series_id, ts, load_mw, {fill} FROM j),
-g AS (SELECT f.*,
+fg AS (SELECT f.*,
     {cal},
     CAST(CASE WHEN hol.d IS NULL THEN 0 ELSE 1 END AS INTEGER) AS is_holiday,
     {lags},
     temp * temp AS temp_sq
   FROM f LEFT JOIN hol ON CAST(f.ts AS DATE) = hol.d),
-feat AS (SELECT series_id, ts, {cols}, load_mw FROM g WHERE {not_null})"""
+feat AS (SELECT series_id, ts, {cols}, load_mw FROM fg WHERE {not_null})"""
 
 
 def rounded_features(prefix: str = "") -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import add_calendar, add_is_holiday, holiday_dimension
 from ..operators import ordered as O
-from ..operators.windows import lag_columns, rolling_mean_columns, rolling_std_columns
+from ..operators.windows import lag_columns, rolling_mean_columns, rolling_std_columns, time_window_columns
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, TARGET, TS
 from ..sources.load import WEATHER_COLS, constant_weather
 
@@ -42,16 +42,31 @@ def add_weather_features(df: DataFrame) -> DataFrame:
 
 def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequence[str] = KEYS,
                    ts: str = TS, backfill: bool = True, weather_on: Sequence[str] | None = None,
-                   chunk_rows: int = O.DEFAULT_CHUNK_ROWS, dropna: bool = True) -> DataFrame:
-    """M2: the 22-column feature frame plus ``load_mw``, keyed by ``keys, ts``."""
+                   chunk_rows: int = O.DEFAULT_CHUNK_ROWS, dropna: bool = True,
+                   lag_mode: str = "position", chunk_hours: int = O.DEFAULT_BLOCK_HOURS * 4) -> DataFrame:
+    """M2: the 22-column feature frame plus ``load_mw``, keyed by ``keys, ts``.
+
+    ``lag_mode="position"`` (reference semantics) counts rows;
+    ``lag_mode="time"`` counts hours (for hourly stamps, e.g. after
+    :func:`regularize`) and needs a single exchange — fill and lags share one
+    ``(series, time chunk)`` window sort."""
     keys = list(keys)
     holidays = holiday_dimension(load.sparkSession)
     d = join_weather(load.select(*keys, ts, TARGET), weather, ts, weather_on)
-    d = O.with_positions(d, keys, ts, fill=list(WEATHER_COLS) if weather is not None else (), backfill=backfill)
-    d = O.with_halo(d, lookback=MAX_LOOKBACK, chunk_rows=chunk_rows)
-    w = O.chunk_window(keys)
-    d = d.withColumns({**lag_columns(w), **rolling_mean_columns(w), **rolling_std_columns(w)})
-    d = O.finish(d)
+    if lag_mode == "time":
+        d = O.with_time_halo(d, ts, MAX_LOOKBACK, chunk_hours)
+        if weather is not None:
+            d = O.time_fill(d, keys, ts, list(WEATHER_COLS), chunk_hours, backfill)
+        d = d.withColumns(time_window_columns(keys))
+        d = d.filter(F.col(O.OWN)).drop(O.CHUNK, O.OWN, O.HOUR_COL)
+    elif lag_mode == "position":
+        d = O.with_positions(d, keys, ts, fill=list(WEATHER_COLS) if weather is not None else (), backfill=backfill)
+        d = O.with_halo(d, lookback=MAX_LOOKBACK, chunk_rows=chunk_rows)
+        w = O.chunk_window(keys)
+        d = d.withColumns({**lag_columns(w), **rolling_mean_columns(w), **rolling_std_columns(w)})
+        d = O.finish(d)
+    else:
+        raise ValueError("lag_mode is 'position' or 'time'")
     d = add_calendar(d, ts)
     d = add_is_holiday(d, ts, holidays)
     d = add_weather_features(d)

@@ -379,3 +379,33 @@ def kpi_cards(spark, sf):
 def drop_incomplete(spark, sf):
     f = PF.build_features(FX.dense_panel(spark, sf), FX.weather(spark, sf), dropna=False)
     return stable(f.dropna(how="any").select("series_id", "ts", "lag_168h", "load_mw"))
+
+
+# --- T3: lags by time on the cleaned sparse panel ----------------------------------------
+
+def _time_lag_sql() -> str:
+    out = []
+    for n in (1, 24, 168):
+        fr = f"(PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL {n} HOUR PRECEDING AND INTERVAL {n} HOUR PRECEDING)"
+        out.append(S.rnd(f"first_value(load_mw) OVER {fr}", f"lag_{n}h"))
+    for n in (24, 168):
+        fr = f"(PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL {n} HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)"
+        out.append(S.rnd(f"CASE WHEN count(load_mw) OVER {fr} = {n} THEN avg(load_mw) OVER {fr} END", f"rolling_mean_{n}h"))
+    fr = "(PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)"
+    out.append(S.rnd(f"CASE WHEN count(load_mw) OVER {fr} = 24 THEN stddev_samp(load_mw) OVER {fr} END", "rolling_std_24h"))
+    return f"WITH {S.clean_ctes(S.DENSE)} SELECT series_id, ts, {', '.join(out)} FROM cl"
+
+
+@register("time_lag_features", _time_lag_sql())
+def time_lag_features(spark, sf):
+    from .operators.clean import regularize
+    clean = regularize(FX.dense_panel(spark, sf)).drop("outlier_flag")
+    return stable(W.time_lag_features(clean, chunk_hours=200).drop("load_mw"))
+
+
+@register("build_features_time", f"WITH {S.features_sql(load='SELECT series_id, ts, load_mw FROM cl')} SELECT series_id, ts, {S.rnd('lag_168h', 'lag_168h')}, {S.rnd('rolling_std_24h', 'rolling_std_24h')}, {S.rnd('temp', 'temp')}, {S.rnd('load_mw', 'load_mw')} FROM feat".replace("WITH \nbase AS", f"WITH {S.clean_ctes(S.DENSE)},\nbase AS"))
+def build_features_time(spark, sf):
+    from .operators.clean import regularize
+    clean = regularize(FX.dense_panel(spark, sf)).drop("outlier_flag")
+    f = PF.build_features(clean, FX.weather(spark, sf), lag_mode="time", chunk_hours=200)
+    return stable(f.select("series_id", "ts", "lag_168h", "rolling_std_24h", "temp", "load_mw"))
