@@ -196,7 +196,10 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     wb = Window.partitionBy("_b")
     base = (base.withColumn("_i", F.row_number().over(wb.orderBy("_rid")))
                 .withColumn("_j", F.row_number().over(wb.orderBy("_r2", "_rid")))
-                .drop("_r2").persist())
+                .drop("_r2"))
+    # random ids must not change if a lost partition is recomputed: reliable checkpoint
+    from ..session import materialize
+    base = materialize(base)
     ref = mae(F.col(TARGET), F.col("prediction"))
     rows = [model.transform(base).agg(ref.alias("mae")).withColumn("feature", F.lit("__baseline__"))]
     for c in cols:
