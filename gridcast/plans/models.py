@@ -33,7 +33,26 @@ SEED = 42
 # Engine settings for the tree learners (not model semantics): cache each
 # row's node id between levels instead of re-walking deep trees, and give the
 # per-level node statistics more room so fewer passes are needed.
-TREE_ENGINE = {"cacheNodeIds": True, "maxMemoryInMB": 512, "checkpointInterval": 10}
+TREE_ENGINE = {"cacheNodeIds": True, "checkpointInterval": 10}
+
+
+def tree_memory_mb(spark: SparkSession) -> int:
+    """Per-task budget for the tree learners' node statistics.  Every
+    concurrent task may allocate it, so it is sized from the executor heap
+    and task slots (local mode: the driver JVM) — a fixed 256-512 MB times
+    8 slots exhausts a 1 GB heap."""
+    sc = spark.sparkContext
+    try:
+        if sc.master.startswith("local"):
+            heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1 << 20)
+            slots = max(1, sc.defaultParallelism)
+        else:
+            mem = spark.conf.get("spark.executor.memory", "4g").lower()
+            heap = float(mem[:-1]) * (1024 if mem.endswith("g") else 1) if mem[-1] in "gm" else float(mem) / (1 << 20)
+            slots = max(1, int(spark.conf.get("spark.executor.cores", "4")))
+    except Exception:  # noqa: BLE001 - fall back to Spark's default
+        return 256
+    return int(max(16, min(512, heap * 0.25 / slots)))
 
 
 def _assembler(cols: Sequence[str]) -> VectorAssembler:
@@ -93,6 +112,8 @@ def fit(name: str, train: DataFrame, cols: Sequence[str] = FEATURE_COLS, **overr
     excluded, as the reference's feature frame has none).  The linear model
     is fitted on the non-constant columns; the others have coefficient 0."""
     t = train.dropna(subset=[*cols, TARGET]).persist()
+    if name in ("rf", "xgboost") and "maxMemoryInMB" not in overrides:
+        overrides = dict(overrides, maxMemoryInMB=tree_memory_mb(train.sparkSession))
     try:
         if name == "linear":
             cols = varying_columns(t, cols) or list(cols)[:1]
