@@ -104,7 +104,7 @@ def features_sql(load: str = DENSE, weather: str | None = WEATHER) -> str:
     """M2 as one statement: CTE ``feat`` with keys, ts, 22 features, load_mw
     (unrounded).  Callers select from ``feat``."""
     if weather is None:
-        fill = "10.0 AS temp, 60.0 AS rhum, 8.0 AS wspd"
+        fill = "CAST(10.0 AS DOUBLE) AS temp, CAST(60.0 AS DOUBLE) AS rhum, CAST(8.0 AS DOUBLE) AS wspd"
         joined = "SELECT series_id, ts, load_mw FROM base"
     else:
         up = _w("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")

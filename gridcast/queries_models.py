@@ -119,10 +119,10 @@ SELECT request_id, datetime, model, ts,
   CASE WHEN ts IS NULL THEN 'Cannot parse datetime: ''' || coalesce(datetime, '') || '''' END AS error,
   hour, day_of_week, month, quarter, day_of_year, week_of_year, is_weekend, CAST(is_holiday AS INTEGER) AS is_holiday,
   {S.rnd('hour_sin', 'hour_sin')}, {S.rnd('hour_cos', 'hour_cos')}, {S.rnd('month_sin', 'month_sin')}, {S.rnd('month_cos', 'month_cos')},
-  {', '.join(f"CASE WHEN ts IS NOT NULL THEN 32000.0 END AS {c}" for c in ('lag_1h', 'lag_24h', 'lag_168h', 'rolling_mean_24h', 'rolling_mean_168h'))},
-  CASE WHEN ts IS NOT NULL THEN 6500.0 END AS rolling_std_24h,
-  CASE WHEN ts IS NOT NULL THEN 10.0 END AS temp, CASE WHEN ts IS NOT NULL THEN 60.0 END AS rhum,
-  CASE WHEN ts IS NOT NULL THEN 8.0 END AS wspd, CASE WHEN ts IS NOT NULL THEN 100.0 END AS temp_sq
+  {', '.join(f"CASE WHEN ts IS NOT NULL THEN CAST(32000.0 AS DOUBLE) END AS {c}" for c in ('lag_1h', 'lag_24h', 'lag_168h', 'rolling_mean_24h', 'rolling_mean_168h'))},
+  CASE WHEN ts IS NOT NULL THEN CAST(6500.0 AS DOUBLE) END AS rolling_std_24h,
+  CASE WHEN ts IS NOT NULL THEN CAST(10.0 AS DOUBLE) END AS temp, CASE WHEN ts IS NOT NULL THEN CAST(60.0 AS DOUBLE) END AS rhum,
+  CASE WHEN ts IS NOT NULL THEN CAST(8.0 AS DOUBLE) END AS wspd, CASE WHEN ts IS NOT NULL THEN CAST(100.0 AS DOUBLE) END AS temp_sq
 FROM c"""
 
 
@@ -136,8 +136,8 @@ _SERVER_TS = "2026-01-01T00:00:00+00:00"
 
 @register("response_record", f"""WITH {S.features_sql()}, {_FIT},
 rq AS (SELECT *, TRY_CAST(datetime AS TIMESTAMP) AS ts FROM ({_REQ}) q)
-SELECT request_id, to_json({{'forecast_mw': round(fit.a + fit.b * 32000.0, 2), 'model': model, 'input_datetime': datetime,
-  'server_timestamp': '{_SERVER_TS}', 'feature_count': 22, 'note': '{SC.NOTE}'}}) AS response
+SELECT request_id, CAST(to_json({{'forecast_mw': round(fit.a + fit.b * 32000.0, 2), 'model': model, 'input_datetime': datetime,
+  'server_timestamp': '{_SERVER_TS}', 'feature_count': 22, 'note': '{SC.NOTE}'}}) AS VARCHAR) AS response
 FROM rq, fit WHERE rq.ts IS NOT NULL""")
 def response_record(spark, sf):
     m, _, _ = _lr1(spark, sf)
@@ -323,7 +323,7 @@ _MET = f"{S.predictions_sql()}, {S.metrics_cte()}"
 
 
 @register("metrics_json", f"""WITH {_MET}
-SELECT to_json(map_from_entries(list({{'k': model, 'v': {{'MAE': round(mae, 2), 'RMSE': round(rmse, 2), 'MAPE': round(mape, 4), 'R2': round(r2, 4)}}}} ORDER BY model))) AS metrics_json FROM m""")
+SELECT CAST(to_json(map_from_entries(list({{'k': model, 'v': {{'MAE': round(mae, 2), 'RMSE': round(rmse, 2), 'MAPE': round(mape, 4), 'R2': round(r2, 4)}}}} ORDER BY model))) AS VARCHAR) AS metrics_json FROM m""")
 def metrics_json(spark, sf):
     return MIO.metrics_document(M.evaluate_models(_lag_preds(spark, sf), rounded=True))
 

@@ -40,7 +40,7 @@ def read_weather(spark, sf):
     return stable(FX.weather(spark, sf))
 
 
-@register("constant_weather", f"SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, 10.0 AS temp, 60.0 AS rhum, 8.0 AS wspd FROM ({S.DENSE}) d")
+@register("constant_weather", f"SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, CAST(10.0 AS DOUBLE) AS temp, CAST(60.0 AS DOUBLE) AS rhum, CAST(8.0 AS DOUBLE) AS wspd FROM ({S.DENSE}) d")
 def constant_weather(spark, sf):
     return stable(LD.constant_weather(FX.dense_panel(spark, sf)))
 

@@ -83,3 +83,18 @@ def test_fixture_counts(spark):
     out = C.regularize(FX.sparse_panel(spark, SF01))
     assert out.count() == 50721
     assert out.agg(F.sum("outlier_flag")).first()[0] == 52
+
+
+def test_one_row_series(spark):
+    got = run(spark, series([0], [42.0]))
+    assert got["load_mw"].tolist() == [42.0] and got["outlier_flag"].tolist() == [0]
+
+
+def test_repartitioning_does_not_change_results(spark):
+    from gridcast.sources import fixtures as FX
+    from tests.conftest import SF01
+    src = FX.sparse_panel(spark, SF01)
+    a = C.regularize(src).toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
+    b = C.regularize(src.repartition(13, "ts")).toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
+    assert a[["series_id", "ts", "outlier_flag"]].equals(b[["series_id", "ts", "outlier_flag"]])
+    assert np.allclose(a["load_mw"], b["load_mw"], rtol=0, atol=1e-9)
