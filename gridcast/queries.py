@@ -45,20 +45,28 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _features(spark, sf):
-    return PF.build_features(FX.dense_panel(spark, sf), FX.weather(spark, sf))
+def _features(spark, sf, materialize: bool = True):
+    """The dense-panel feature frame.  Operators downstream of it read it more
+    than once (numbering, two-pass statistics, fits), so by default it is
+    materialised once with a reliable checkpoint instead of re-running the
+    feature plan in every branch."""
+    f = PF.build_features(FX.dense_panel(spark, sf), FX.weather(spark, sf))
+    if materialize:
+        from .session import materialize as _m
+        f = _m(f)
+    return f
 
 
 # --- M2 / P1 ------------------------------------------------------------------
 
 @register("build_features", f"WITH {S.features_sql()} SELECT series_id, ts, {S.rounded_features()} FROM feat")
 def build_features(spark: SparkSession, sf: str) -> DataFrame:
-    return stable(_features(spark, sf))
+    return stable(_features(spark, sf, materialize=False))
 
 
 @register("select_features", f"WITH {S.features_sql()} SELECT {S.rounded_features()} FROM feat")
 def select_features(spark, sf):
-    return stable(PF.select_features(_features(spark, sf)))
+    return stable(PF.select_features(_features(spark, sf, materialize=False)))
 
 
 # --- cleaning: A1, A2, A3, J2, W6, F5, M1 -------------------------------------
