@@ -31,7 +31,6 @@ from ..functions.calendar import calendar_columns, cyclical_columns
 from ..operators.windows import recent_window
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, MODEL_NAMES, TARGET, TS, WEATHER_DEFAULTS
 
-STATE_COLS = ("_t", "_h", "_hols", "_out")
 
 
 def _mean(h: Column) -> Column:

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame

@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from . import oracle as S
 from .operators import clean as C
-from .operators import joins as J
 from .operators import metrics as M
 from .operators import split as SP
 from .plans import evaluate as PE
 from .plans import features as PF
-from .schema import FEATURE_COLS
 from .sources import fixtures as FX
 from .testing import stable
 

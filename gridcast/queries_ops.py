@@ -17,7 +17,7 @@ from .plans import evaluate as PE
 from .plans import features as PF
 from .plans import report as RP
 from .queries import _features, _preds, register
-from .schema import FEATURE_COLS, TARGET
+from .schema import TARGET
 from .sources import fixtures as FX
 from .sources import load as LD
 from .testing import stable
