@@ -42,9 +42,10 @@ def read_load(spark: SparkSession, path: str, fmt: str = "csv", time_col: str =
     df = _reader(spark, fmt, schema, {}).load(path)
     ts = F.col(time_col)
     if fmt == "csv" or dict(df.dtypes).get(time_col) == "string":
-        ts = F.to_timestamp(ts, timestamp_format) if timestamp_format else F.to_timestamp(ts)
+        # malformed stamps become null and are dropped (ANSI casts would fail the job)
+        ts = F.try_to_timestamp(ts, F.lit(timestamp_format)) if timestamp_format else ts.try_cast("timestamp")
     sid = F.col(series_col).cast("string") if series_col else F.lit(series_id or value_col)
-    return (df.select(sid.alias("series_id"), ts.cast("timestamp").alias("ts"),
+    return (df.select(sid.alias("series_id"), ts.try_cast("timestamp").alias("ts"),
                       F.col(value_col).cast("double").alias("load_mw"))
               .filter(F.col("ts").isNotNull()))
 
@@ -53,9 +54,9 @@ def normalize_weather(raw: DataFrame, time_col: str = "time",
                       keep: tuple[str, ...] = WEATHER_COLS) -> DataFrame:
     """S3: keep the time and weather columns; an absent weather column
     becomes a typed null column; the time column is renamed ``ts``."""
-    cols = [F.col(time_col).cast("timestamp").alias("ts")]
+    cols = [F.col(time_col).try_cast("timestamp").alias("ts")]
     for c in keep:
-        cols.append(F.col(c).cast("double").alias(c) if c in raw.columns
+        cols.append(F.col(c).try_cast("double").alias(c) if c in raw.columns
                     else F.lit(None).cast("double").alias(c))
     return raw.select(*cols)
 
