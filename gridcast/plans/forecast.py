@@ -44,7 +44,7 @@ def _tail(h: Column, n: int) -> Column:
 def _std(h: Column, ddof: int) -> Column:
     m = _mean(h)
     ss = F.aggregate(h, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.sqrt(ss / (F.size(h) - F.lit(ddof)))
+    return F.sqrt(F.try_divide(ss, (F.size(h) - F.lit(ddof)).cast("double")))  # one value, ddof=1 -> null
 
 
 def step_features(h: Column, t: Column, hol: Column, std_ddof: int = 0) -> dict[str, Column]:
