@@ -111,7 +111,8 @@ def holiday_dimension(spark, first_year: int = HOLIDAY_YEARS[0], last_year: int
     session."""
     key = (id(spark), first_year, last_year)
     if key not in _DIMENSIONS:
-        years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+        # one year more: Jan 1 of the next year can be observed on Dec 31 of the last
+        years = spark.range(first_year, last_year + 2).select(F.col("id").cast("int").alias("year"))
         dim = holiday_rows(years).groupBy("holiday_date").agg(F.min("holiday").alias("holiday"))
         _DIMENSIONS[key] = dim
     return _DIMENSIONS[key]
@@ -125,3 +126,27 @@ def add_is_holiday(df: DataFrame, ts: str = "ts", holidays: DataFrame | None = N
     h = h.select(F.col("holiday_date").alias("_hdate")).distinct().withColumn("_hflag", F.lit(1))
     out = df.join(F.broadcast(h), F.to_date(F.col(ts)) == F.col("_hdate"), "left")
     return out.withColumn("is_holiday", F.coalesce(F.col("_hflag"), F.lit(0)).cast("int")).drop("_hdate", "_hflag")
+
+
+def is_holiday_expr(d: Column) -> Column:
+    """The same federal rules as :func:`holiday_rows`, as one boolean
+    expression of a DATE (no lookup, no join): O(1) per row.  Equal to
+    membership in :func:`holiday_dimension` for 1971-2100 (tested)."""
+    y, m, dd = F.year(d), F.month(d), F.dayofmonth(d)
+    dow = F.dayofweek(d)  # 1 = Sunday … 7 = Saturday
+    mon, thu, fri = dow == 2, dow == 5, dow == 6
+
+    def fixed(x: Column) -> Column:
+        xm, xd, xy = F.month(x), F.dayofmonth(x), F.year(x)
+        return (((xm == 1) & (xd == 1)) | ((xm == 6) & (xd == 19) & (xy >= 2021)) | ((xm == 7) & (xd == 4))
+                | ((xm == 11) & (xd == 11) & ((xy < 1971) | (xy > 1977))) | ((xm == 12) & (xd == 25)))
+
+    observed = (fri & fixed(F.date_add(d, 1))) | (mon & fixed(F.date_sub(d, 1)))
+    moving = ((mon & (m == 1) & dd.between(15, 21) & (y >= 1986))
+              | (mon & (m == 2) & dd.between(15, 21))
+              | (mon & (m == 5) & (dd >= 25))
+              | (mon & (m == 9) & (dd <= 7))
+              | (mon & (m == 10) & dd.between(8, 14))
+              | (mon & (m == 10) & dd.between(22, 28) & y.between(1971, 1977))
+              | (thu & (m == 11) & dd.between(22, 28)))
+    return fixed(d) | observed | moving

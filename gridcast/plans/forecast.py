@@ -27,7 +27,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_columns, cyclical_columns
+from ..functions.calendar import calendar_columns, cyclical_columns, is_holiday_expr
 from ..operators.windows import recent_window
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, MODEL_NAMES, TARGET, TS, WEATHER_DEFAULTS
 
@@ -76,27 +76,12 @@ def history_state(history: DataFrame, horizon: int, keys: Sequence[str] = KEYS,
         F.max(ts).alias("_t"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))),
                     lambda s: s["v"]).alias("_h"))
-    days = holiday_dates(history.sparkSession)
     hols = F.transform(F.sequence(F.lit(1), F.lit(horizon)),
-                       lambda s: F.array_contains(days, F.to_date(F.timestamp_add("HOUR", s, F.col("_t")))).cast("int"))
+                       lambda s: is_holiday_expr(F.to_date(F.timestamp_add("HOUR", s, F.col("_t")))).cast("int"))
     out_t = "array<struct<step:int,ts:timestamp,forecast_mw:double>>"
     return st.withColumn("_hols", hols).withColumn("_out", F.array().cast(out_t))
 
 
-_HOLIDAY_LITERALS: dict = {}
-
-
-def holiday_dates(spark) -> Column:
-    """The rule-generated holiday dates (~2,000, fixed span of years) as one
-    array literal, so future stamps are flagged without a join."""
-    key = id(spark)
-    if key not in _HOLIDAY_LITERALS:
-        from ..functions.calendar import holiday_dimension
-        dates = sorted(r["holiday_date"] for r in holiday_dimension(spark).select("holiday_date").collect())
-        _HOLIDAY_LITERALS[key] = dates
-    return F.lit(_HOLIDAY_LITERALS[key])
-
-
 def _explode_out(state: DataFrame, keys: Sequence[str], name: str | None) -> DataFrame:
     out = state.select(*keys, F.inline("_out"))
     return out.withColumn("model", F.lit(name)).select("model", *keys, "step", "ts", "forecast_mw") if name \

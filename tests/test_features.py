@@ -70,3 +70,12 @@ def test_holiday_edges(spark):
     ours = {d for d in dim if dt.date(1996, 1, 1) <= d <= dt.date(2020, 12, 31)}
     assert ref - ours == set()
     assert {d for d in ours - ref if d.weekday() < 5} == set()
+
+
+def test_holiday_expression_equals_dimension(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'1971-01-01', DATE'2100-12-31', INTERVAL 1 DAY)) AS d")
+    dim = CAL.holiday_dimension(spark).select(F.col("holiday_date").alias("d"), F.lit(True).alias("in_dim"))
+    j = days.join(F.broadcast(dim), "d", "left").select(
+        "d", F.coalesce("in_dim", F.lit(False)).alias("a"), CAL.is_holiday_expr(F.col("d")).alias("b"))
+    assert j.filter(F.col("a") != F.col("b")).count() == 0
+    assert j.filter("a").count() > 1500
