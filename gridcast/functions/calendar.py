@@ -119,11 +119,14 @@ def holiday_dimension(spark, first_year: int = HOLIDAY_YEARS[0], last_year: int
 
 
 def add_is_holiday(df: DataFrame, ts: str = "ts", holidays: DataFrame | None = None) -> DataFrame:
-    """``is_holiday`` INT, 1 when the row's date is a holiday (actual or
-    observed).  The dimension is generated by rule for a fixed span of years
-    (~16 rows per year, ~2,000 rows), hence the explicit broadcast."""
-    h = holidays if holidays is not None else holiday_dimension(df.sparkSession)
-    h = h.select(F.col("holiday_date").alias("_hdate")).distinct().withColumn("_hflag", F.lit(1))
+    """``is_holiday`` INT, 1 when the row's date is a US federal holiday
+    (actual or observed).  By default the rules are evaluated as one
+    expression of the date (stays in whole-stage codegen, no join).  A
+    caller-supplied ``holidays`` table (``holiday_date``) is joined instead;
+    it is a calendar dimension (tens of rows per year), hence the broadcast."""
+    if holidays is None:
+        return df.withColumn("is_holiday", is_holiday_expr(F.to_date(F.col(ts))).cast("int"))
+    h = holidays.select(F.col("holiday_date").alias("_hdate")).distinct().withColumn("_hflag", F.lit(1))
     out = df.join(F.broadcast(h), F.to_date(F.col(ts)) == F.col("_hdate"), "left")
     return out.withColumn("is_holiday", F.coalesce(F.col("_hflag"), F.lit(0)).cast("int")).drop("_hdate", "_hflag")
 

@@ -4,7 +4,7 @@ lags / rolling → temp² → drop incomplete rows, as one lazy plan.
 Physical shape: one exchange on ``(series, week)`` that numbers rows and
 fills the weather (one sort; a small map-side-combined per-week summary
 carries values across weeks), one exchange on ``(series, chunk)`` for the
-lag / rolling windows (one sort), and a broadcast holiday dimension.
+lag / rolling windows (one sort); holidays are a rule expression (no join).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import add_calendar, add_is_holiday, holiday_dimension
+from ..functions.calendar import add_calendar, add_is_holiday
 from ..operators import ordered as O
 from ..operators.windows import lag_columns, rolling_mean_columns, rolling_std_columns, time_window_columns
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, TARGET, TS
@@ -51,7 +51,6 @@ def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequ
     :func:`regularize`) and needs a single exchange — fill and lags share one
     ``(series, time chunk)`` window sort."""
     keys = list(keys)
-    holidays = holiday_dimension(load.sparkSession)
     d = join_weather(load.select(*keys, ts, TARGET), weather, ts, weather_on)
     if lag_mode == "time":
         d = O.with_time_halo(d, ts, MAX_LOOKBACK, chunk_hours)
@@ -68,7 +67,7 @@ def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequ
     else:
         raise ValueError("lag_mode is 'position' or 'time'")
     d = add_calendar(d, ts)
-    d = add_is_holiday(d, ts, holidays)
+    d = add_is_holiday(d, ts)
     d = add_weather_features(d)
     d = d.select(*keys, ts, *FEATURE_COLS, TARGET)
     return d.dropna(how="any", subset=[*FEATURE_COLS, TARGET]) if dropna else d

@@ -79,3 +79,12 @@ def test_holiday_expression_equals_dimension(spark):
         "d", F.coalesce("in_dim", F.lit(False)).alias("a"), CAL.is_holiday_expr(F.col("d")).alias("b"))
     assert j.filter(F.col("a") != F.col("b")).count() == 0
     assert j.filter("a").count() > 1500
+
+
+def test_holiday_join_variant_equals_expression(spark):
+    from gridcast.sources import fixtures as FX
+    d = FX.daily_orders(spark, SF01)
+    a = CAL.add_is_holiday(d).select("ts", F.col("is_holiday").alias("a"))
+    b = CAL.add_is_holiday(d, holidays=CAL.holiday_dimension(spark)).select("ts", F.col("is_holiday").alias("b"))
+    j = a.join(b, "ts")
+    assert j.count() == d.count() and j.filter(F.col("a") != F.col("b")).count() == 0
