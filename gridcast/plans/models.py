@@ -218,9 +218,12 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     base = (base.withColumn("_i", F.row_number().over(wb.orderBy("_rid")))
                 .withColumn("_j", F.row_number().over(wb.orderBy("_r2", "_rid")))
                 .drop("_r2"))
-    # random ids must not change if a lost partition is recomputed: reliable checkpoint
-    from ..session import materialize
-    base = materialize(base)
+    # random ids must not change if a lost partition is recomputed: write the
+    # numbered frame once as a table in the shared checkpoint folder
+    from ..session import scratch_path
+    path = scratch_path(base.sparkSession, "permutation-base")
+    base.write.mode("overwrite").parquet(path)
+    base = base.sparkSession.read.parquet(path)
     ref = mae(F.col(TARGET), F.col("prediction"))
     rows = [model.transform(base).agg(ref.alias("mae")).withColumn("feature", F.lit("__baseline__"))]
     for c in cols:
