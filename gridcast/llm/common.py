@@ -51,3 +51,9 @@ def crc32_mod(id_col: str, mod: int):
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of our own through Hadoop's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

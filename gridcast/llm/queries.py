@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, hmm, kernel_quality, line_runs, metric_join, packing, preference, simhash, warc, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,45 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @register("op3_bpe_round_trip")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register("op4_line_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return line_runs.line_report(table(spark, sf, "documents"))
+
+
+@register("op5_warc")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_report(spark, table(spark, sf, "pages"))
+
+
+@register("op6_document_fingerprints")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@register("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@register("op8_preference_format")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    turns = preference.turns_of(table(spark, sf, "conversations"))
+    rows = preference.format_preferences(*preference.reply_pairs(turns))
+    return rows.select(F.col("pair_id").alias("conv_id"), "part", "turn", F.md5("rendered").alias("rendered_md5"), "start",
+                       "length", "train_start", "train_end")
+
+
+ORACLE["op8_preference_format"] = preference.SQL
+
+
+@register("op9_hmm_score")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf, "documents"))
+
+
+@register("op10_quality_classifier")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    scores = kernel_quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scores.drop("th")
