@@ -10,11 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import packing, simhash
+from gridcast.llm import kernel_quality, line_runs, packing, simhash
 from gridcast.llm.common import scratch_path, table
 from gridcast.llm.queries import vocabulary
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return kernel_quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that others repeat (n_chars follows)."""
+    return line_runs.drop_lines(docs, count_col="n_chars")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays."""
     return simhash.keep_one(docs)
@@ -26,6 +36,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
     ("SimHash near-dedup", near_dedup),
     ("best-fit packing", pack),
 ]
