@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import INTERP_LIMIT, KEYS, TARGET, TS, Z_CLIP
@@ -53,6 +53,19 @@ def grid_bounds(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> Data
     return b.select(*keys, "_g0", F.timestamp_add("HOUR", whole, F.col("_g0")).alias("_g1"))
 
 
+def _with_grid(df: DataFrame, source: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Attach ``_g0`` and ``_g1`` (see :func:`grid_bounds`) by time block: the
+    bounds of ``source``'s blocks are a small map-side aggregate, widened to
+    the series over the blocks; rows are exchanged by ``(series, block)``."""
+    blk = O._block(ts, O.DEFAULT_BLOCK_HOURS)
+    per = source.groupBy(*keys, blk.alias("_blk")).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    w = Window.partitionBy(*keys)
+    per = per.select(*keys, "_blk", F.min("_lo").over(w).alias("_g0"), F.max("_hi").over(w).alias("_tmax"))
+    whole = F.floor((_secs("_tmax") - _secs("_g0")) / F.lit(HOUR)).cast("long")
+    per = per.select(*keys, "_blk", "_g0", F.timestamp_add("HOUR", whole, F.col("_g0")).alias("_g1"))
+    return df.withColumn("_blk", blk).join(per, [*keys, "_blk"]).drop("_blk")
+
+
 def _on_grid(ts: str) -> Column:
     return F.pmod(F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_g0")), F.lit(HOUR * 1_000_000)) == 0
 
@@ -67,15 +80,14 @@ def reindex_hourly(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, valu
     return grid.join(df.select(*keys, ts, value), [*keys, ts], "left")
 
 
-def _gap_fills(known: DataFrame, bounds: DataFrame, keys: list[str], ts: str, value: str,
-               limit: int, chunk_rows: int, with_known: bool = False) -> DataFrame:
+def _gap_fills(known: DataFrame, keys: list[str], ts: str, value: str,
+               limit: int, with_known: bool = False) -> DataFrame:
     """Rows to add after each known row: ``k = 1..min(limit, gap)`` hours,
     interpolated towards the next known row, or carried after the last one
-    (up to the grid end ``_g1``).  ``with_known`` also emits the known row
+    (up to the grid end ``_g1``, a column of ``known``).  ``with_known`` also emits the known row
     itself (``k = 0``) from the same pass."""
     d = O.with_positions(known, keys, ts, lead=[value])
     d = d.withColumnsRenamed({"_next_ts": "_nt", f"_next_{value}": "_nv"}).drop(O.POS)
-    d = d.join(bounds.select(*keys, "_g1"), keys)
     gap = F.when(F.col("_nt").isNotNull(), (_secs("_nt") - _secs(ts)) / F.lit(HOUR) - 1) \
            .otherwise((_secs("_g1") - _secs(ts)) / F.lit(HOUR))
     d = d.withColumn("_n", F.least(F.floor(gap).cast("int"), F.lit(limit)))
@@ -91,13 +103,12 @@ def _gap_fills(known: DataFrame, bounds: DataFrame, keys: list[str], ts: str, va
 
 
 def interpolate_gaps(grid: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
-                     limit: int = INTERP_LIMIT, chunk_rows: int = O.DEFAULT_CHUNK_ROWS) -> DataFrame:
+                     limit: int = INTERP_LIMIT) -> DataFrame:
     """W6 on a grid frame (output of :func:`reindex_hourly`): nulls at most
     ``limit`` hours after a known value are filled; the others stay null."""
     keys = list(keys)
-    b = grid_bounds(grid, keys, ts)
-    known = grid.filter(F.col(value).isNotNull()).select(*keys, ts, value)
-    fills = _gap_fills(known, b, keys, ts, value, limit, chunk_rows).withColumnRenamed(value, "_fill")
+    known = _with_grid(grid.filter(F.col(value).isNotNull()).select(*keys, ts, value), grid, keys, ts).drop("_g0")
+    fills = _gap_fills(known, keys, ts, value, limit).withColumnRenamed(value, "_fill")
     out = grid.join(fills, [*keys, ts], "left")
     return out.withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).drop("_fill")
 
@@ -108,15 +119,17 @@ def series_stats(df: DataFrame, keys: Sequence[str] = KEYS, value: str = TARGET)
 
 
 def clip_outliers(df: DataFrame, stats: DataFrame | None = None, keys: Sequence[str] = KEYS,
-                  value: str = TARGET, z: float = Z_CLIP) -> DataFrame:
+                  value: str = TARGET, z: float = Z_CLIP, ts: str = TS) -> DataFrame:
     """F5 (+ J6): ``outlier_flag`` = ``|x-mean|/std > z``; value clipped to
     ``mean ± z·std``.  Null values are dropped first (``least/greatest``
     would otherwise turn a null into a bound).  The stats table has one row
-    per series; Catalyst/AQE choose broadcast or a skew-aware shuffle join."""
+    per series; with a ``ts`` column the rows meet it by time block, never by
+    series alone."""
     keys = list(keys)
     df = df.filter(F.col(value).isNotNull())
     s = stats if stats is not None else series_stats(df, keys, value)
-    d = df.join(s.select(*keys, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), keys)
+    s = s.select(*keys, F.col("mean").alias("_mu"), F.col("std").alias("_sd"))
+    d = O.join_by_block(df, s, keys, ts) if ts in df.columns else df.join(s, keys)
     x, mu, sd = F.col(value), F.col("_mu"), F.col("_sd")
     zc = F.abs(F.try_divide(x - mu, sd))
     lo, hi = mu - F.lit(z) * sd, mu + F.lit(z) * sd
@@ -126,8 +139,7 @@ def clip_outliers(df: DataFrame, stats: DataFrame | None = None, keys: Sequence[
 
 
 def regularize(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
-               limit: int = INTERP_LIMIT, z: float = Z_CLIP,
-               chunk_rows: int = O.DEFAULT_CHUNK_ROWS, materialize: bool = True) -> DataFrame:
+               limit: int = INTERP_LIMIT, z: float = Z_CLIP, materialize: bool = True) -> DataFrame:
     """M1: dedupe → hourly grid → interpolate (≤ ``limit`` h) → flag / clip →
     drop empty.  Output ``keys, ts, value, outlier_flag``.
 
@@ -135,11 +147,11 @@ def regularize(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: s
     read twice; with ``materialize`` they are checkpointed once (reliable,
     into ``spark.checkpoint.dir``) instead of recomputing dedupe and the
     ordering shuffle for the statistics."""
-    filled = fill_series(df, keys, ts, value, limit, chunk_rows)
+    filled = fill_series(df, keys, ts, value, limit, materialize)
     if materialize:
         from ..session import materialize as _materialize
         filled = _materialize(filled)
-    return clip_outliers(filled, None, keys, value, z).select(*keys, ts, value, "outlier_flag")
+    return clip_outliers(filled, None, keys, value, z, ts).select(*keys, ts, value, "outlier_flag")
 
 
 def quality_report(raw: DataFrame, clean: DataFrame | None = None, keys: Sequence[str] = KEYS,
@@ -164,13 +176,16 @@ def quality_report(raw: DataFrame, clean: DataFrame | None = None, keys: Sequenc
 
 
 def fill_series(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
-                limit: int = INTERP_LIMIT, chunk_rows: int = O.DEFAULT_CHUNK_ROWS) -> DataFrame:
+                limit: int = INTERP_LIMIT, materialize: bool = False) -> DataFrame:
     """M1 steps 1-3 only: deduped on-grid known rows plus interpolated hours
-    (before outlier clipping)."""
+    (before outlier clipping).  ``materialize``: the known rows, which the
+    gap pass reads twice, are checkpointed once."""
     keys = list(keys)
-    d = dedupe_mean(df.filter(F.col(ts).isNotNull()), keys, ts, value)
-    b = grid_bounds(d, keys, ts)
-    known = (d.join(b.select(*keys, "_g0"), keys)
+    df = df.filter(F.col(ts).isNotNull())
+    known = (_with_grid(dedupe_mean(df, keys, ts, value), df, keys, ts)
               .filter(_on_grid(ts) & F.col(value).isNotNull())
-              .select(*keys, ts, value))
-    return _gap_fills(known, b, keys, ts, value, limit, chunk_rows, with_known=True)
+              .select(*keys, ts, value, "_g1"))
+    if materialize:
+        from ..session import materialize as _materialize
+        known = _materialize(known)
+    return _gap_fills(known, keys, ts, value, limit, with_known=True)

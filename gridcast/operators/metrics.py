@@ -12,7 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import display_name
 from ..schema import METRIC_NAMES
+from ..session import materialize
+
+#: Rows of a range table that is broadcast without asking Spark.
+RANGES = 10_000
 
 
 def residuals(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -82,7 +87,7 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     row.  The metrics table has one row per model (tiny), so the unpartitioned
     window runs on a handful of rows."""
     best = F.min("mae").over(Window.partitionBy())
-    return (metrics.select(F.col("model").alias("Model"),
+    return (metrics.select(display_name(F.col("model")).alias("Model"),
                            *[F.col(k).alias(v) for k, v in METRIC_NAMES.items()],
                            (F.col("mae") == best).alias("is_best"))
                    .orderBy(F.col(METRIC_NAMES["mae"]).asc_nulls_last(), "Model"))
@@ -91,12 +96,15 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
 def residual_histogram(preds: DataFrame, bins: int = 80, by: Sequence[str] = ("model",),
                        y: str = "y", p: str = "p") -> DataFrame:
     """Equal-width histogram of residuals per model; the maximum falls
-    in the last bin; min = max gives a single bin.  Two small passes: a
-    min/max aggregate, then a grouped count."""
+    in the last bin; min = max gives a single bin.  Two passes: a min/max
+    aggregate, written once (one row per model), then a grouped count.  The
+    ranges are broadcast if they are at most ``RANGES`` rows; beyond, the join
+    is Spark's choice."""
     by = list(by)
     r = residuals(preds.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), y, p)
     rng = r.groupBy(*by).agg(F.min("resid").alias("_lo"), F.max("resid").alias("_hi"))
-    d = r.join(rng, by)
+    rng = materialize(rng)
+    d = r.join(F.broadcast(rng) if rng.count() <= RANGES else rng, by)
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("resid") - F.col("_lo")) / width * F.lit(float(bins))), F.lit(bins - 1)))

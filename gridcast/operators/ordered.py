@@ -108,6 +108,18 @@ def with_positions(df: DataFrame, keys: Sequence[str], ts: str = "ts",
     return d.drop(*drop)
 
 
+def join_by_block(df: DataFrame, per_series: DataFrame, keys: Sequence[str], ts: str = "ts",
+                  block_hours: int = DEFAULT_BLOCK_HOURS) -> DataFrame:
+    """Attach a one-row-per-series table to rows without shuffling rows by
+    series alone: the table meets the (few) time blocks of each series, and
+    the rows meet their block.  A hot series stays spread over its blocks, and
+    a later :func:`with_positions` needs no further exchange."""
+    keys = list(keys)
+    d = df.withColumn("_blk", _block(ts, block_hours))
+    blocks = d.select(*keys, "_blk").distinct().join(per_series, keys)
+    return d.join(blocks, [*keys, "_blk"]).drop("_blk")
+
+
 def with_halo(df: DataFrame, lookback: int = 0, lookahead: int = 0,
               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Assign ``_chunk`` and replicate boundary rows as halo (``_own`` false)."""

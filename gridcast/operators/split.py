@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS, SPLIT_DATE, TS
-from . import ordered as O
 
 
 def _ts_lit(value: str):
@@ -23,11 +22,6 @@ def split_cutoff(df: DataFrame, cutoff: str = SPLIT_DATE, ts: str = TS) -> tuple
     return df.filter(F.col(ts) < c), df.filter(F.col(ts) >= c)
 
 
-def label_split(df: DataFrame, cutoff: str = SPLIT_DATE, ts: str = TS) -> DataFrame:
-    """P3 as one frame with ``split`` = 'train' / 'test'."""
-    return df.withColumn("split", F.when(F.col(ts) < _ts_lit(cutoff), "train").otherwise("test"))
-
-
 def slice_range(df: DataFrame, start: str, end: str, whole_last_day: bool = True, ts: str = TS) -> DataFrame:
     """Inclusive date range; with ``whole_last_day`` the end day's last
     23 hours are kept too (one page of the reference does, the other not)."""
@@ -82,6 +76,7 @@ def walk_forward_folds(df: DataFrame, n_splits: int = 5, ts: str = TS) -> DataFr
 
 def head_sample(df: DataFrame, n: int = 500, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """K4: the first ``n`` rows of each series in time order (deterministic,
-    not random).  Uses the chunked positions, never a whole-series task."""
-    d = O.with_positions(df, keys, ts)
-    return d.filter(F.col(O.POS) < n).drop(O.POS)
+    not random).  A rank limit: every task keeps at most ``n`` rows per series
+    before the exchange."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ts))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")

@@ -60,17 +60,19 @@ def rolling_features(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, va
 
 
 def fill_gaps(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, ts: str = TS,
-              backfill: bool = True, chunk_rows: int = O.DEFAULT_CHUNK_ROWS) -> DataFrame:
+              backfill: bool = True) -> DataFrame:
     """W4 (+ W5 with ``backfill``): carry the last known value forward; the
     leading nulls take the first known value.  Exact over any gap length."""
     return O.with_positions(df, keys, ts, fill=cols, backfill=backfill).drop(O.POS)
 
 
 def recent_window(df: DataFrame, n: int = 168, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """The last ``n`` rows of each series.  Position and series length
-    come from the same numbering pass (no whole-series task)."""
-    d = O.with_positions(df, list(keys), ts, with_len=True)
-    return d.filter(F.col(O.POS) >= F.col("_len") - F.lit(n)).drop(O.POS, "_len")
+    """The last ``n`` rows of each series.  A rank limit: every task
+    keeps at most ``n`` rows per series before the exchange, so one scan and
+    ``n`` rows per series and task are all that moves."""
+    keys = list(keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 # --- time mode (T3): lags and frames in hours ------------------------------------

@@ -43,15 +43,23 @@ def add_weather_features(df: DataFrame) -> DataFrame:
 def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequence[str] = KEYS,
                    ts: str = TS, backfill: bool = True, weather_on: Sequence[str] | None = None,
                    chunk_rows: int = O.DEFAULT_CHUNK_ROWS, dropna: bool = True,
-                   lag_mode: str = "position", chunk_hours: int = O.DEFAULT_BLOCK_HOURS * 4) -> DataFrame:
+                   lag_mode: str = "position", chunk_hours: int = O.DEFAULT_BLOCK_HOURS * 4,
+                   materialize: bool = True) -> DataFrame:
     """M2: the 22-column feature frame plus ``load_mw``, keyed by ``keys, ts``.
 
     ``lag_mode="position"`` (reference semantics) counts rows;
     ``lag_mode="time"`` counts hours (for hourly stamps, e.g. after
     :func:`regularize`) and needs a single exchange — fill and lags share one
-    ``(series, time chunk)`` window sort."""
+    ``(series, time chunk)`` window sort.
+
+    The joined rows are read twice (numbering / fills and their per-block
+    summary); ``materialize`` checkpoints them once, so that the sources are
+    read, aggregated and joined once."""
     keys = list(keys)
     d = join_weather(load.select(*keys, ts, TARGET), weather, ts, weather_on)
+    if materialize:
+        from ..session import materialize as _materialize
+        d = _materialize(d)
     if lag_mode == "time":
         d = O.with_time_halo(d, ts, MAX_LOOKBACK, chunk_hours)
         if weather is not None:

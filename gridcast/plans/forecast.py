@@ -9,12 +9,11 @@ the reference does at inference, weather at its defaults), predicts, and
 appends the prediction.
 
 * Linear models: the whole recursion is one expression — ``F.aggregate``
-  over ``sequence(1, N)`` with the coefficients as literals; one plan, no
-  loop, no Python UDF.
-* Tree ensembles: the fitted node tables (bounded by the model, not the
-  data) are broadcast and every partition of series states runs all steps
-  with vectorised numpy in ``mapInPandas`` — one pass.
-* Any other fitted pipeline: the loop is over *steps*, each one
+  over the steps with the coefficients as literals; one plan, no loop, no
+  Python UDF.  What depends on time alone is added up per step beforehand;
+  the state carries running sums, so a step costs the same for 1 coefficient
+  and for 22.
+* Any other fitted pipeline (trees): the loop is over *steps*, each one
   ``transform`` of a one-row-per-series frame; the lineage is cut with a
   reliable ``checkpoint()`` (``spark.checkpoint.dir``) every few steps.
 """
@@ -28,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, cyclical_columns, is_holiday_expr
+from ..functions.scalar import display_name, model_code
 from ..operators.windows import recent_window
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, MODEL_NAMES, TARGET, TS, WEATHER_DEFAULTS
 
 
-
 def _mean(h: Column) -> Column:
     return F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / F.size(h)
 
@@ -88,30 +87,82 @@ def _explode_out(state: DataFrame, keys: Sequence[str], name: str | None) -> Dat
         else out.select(*keys, "step", "ts", "forecast_mw")
 
 
+def _running_features(st: Column, std_ddof: int) -> dict[str, Column]:
+    """Lag and rolling features from the state's values and running sums."""
+    h = st["h"]
+    n = F.size(h)
+    n24 = F.least(n, F.lit(24)).cast("double")
+    mean = st["s168"] / n
+    m24 = st["s24"] / n24
+    spread = F.greatest(st["q24"] / n24 - m24 * m24, F.lit(0.0))
+    if std_ddof:
+        spread = F.when(n24 > std_ddof, spread * n24 / (n24 - F.lit(float(std_ddof))))
+    return {"lag_1h": F.element_at(h, -1),
+            "lag_24h": F.when(n >= 24, F.try_element_at(h, F.lit(-24))).otherwise(mean),
+            "lag_168h": F.when(n >= 168, F.try_element_at(h, F.lit(-168))).otherwise(mean),
+            "rolling_mean_24h": m24, "rolling_mean_168h": mean, "rolling_std_24h": F.sqrt(spread)}
+
+
 def forecast_linear(history: DataFrame, coefficients: Mapping[str, float], intercept: float,
                     horizon: int = 24, keys: Sequence[str] = KEYS, ts: str = TS, value: str = TARGET,
                     std_ddof: int = 0, name: str | None = None) -> DataFrame:
     """M11 for a linear model: ``keys, step, ts, forecast_mw`` for steps
-    1…``horizon`` of every series, as a single plan."""
+    1…``horizon`` of every series, as a single plan.
+
+    Running sums are taken about the state's mean value, so that the rolling
+    deviation does not lose digits on a high level."""
     keys = list(keys)
     state = history_state(history, horizon, keys, ts, value)
-
-    def merge(acc, step):
-        t1 = F.timestamp_add("HOUR", F.lit(1), acc["_t"])
-        feats = step_features(acc["_h"], t1, F.element_at(acc["_hols"], step), std_ddof)
-        pred = F.lit(float(intercept))
-        for c, b in coefficients.items():
-            pred = pred + F.lit(float(b)) * feats[c]
-        h2 = F.concat(acc["_h"], F.array(pred))
-        h2 = F.slice(h2, F.greatest(F.size(h2) - F.lit(MAX_LOOKBACK - 1), F.lit(1)), MAX_LOOKBACK)
-        rec = F.struct(step.alias("step"), t1.alias("ts"), pred.alias("forecast_mw"))
-        return F.struct(h2.alias("_h"), t1.alias("_t"), acc["_hols"].alias("_hols"),
-                        F.concat(acc["_out"], F.array(rec)).alias("_out"))
-
-    init = F.struct(F.col("_h").alias("_h"), F.col("_t").alias("_t"), F.col("_hols").alias("_hols"),
-                    F.col("_out").alias("_out"))
-    res = state.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, merge).alias("_s"))
-    return _explode_out(res.select(*keys, "_s._out"), keys, name)
+    used = {c: float(b) for c, b in coefficients.items() if b}
+    recent = {"lag_1h", "lag_24h", "lag_168h", "rolling_mean_24h", "rolling_mean_168h", "rolling_std_24h"}
+
+    def known(step: Column) -> Column:
+        """Intercept, calendar and weather part of a step's prediction."""
+        t = F.timestamp_add("HOUR", step, F.col("_t"))
+        cal = calendar_columns(t)
+        feats = {**cal, "is_holiday": F.element_at(F.col("_hols"), step.cast("int")),
+                 **cyclical_columns(cal["hour"], cal["month"]),
+                 **{c: F.lit(v) for c, v in WEATHER_DEFAULTS.items()}, "temp_sq": F.lit(WEATHER_DEFAULTS["temp"] ** 2)}
+        total = F.lit(float(intercept))
+        for c, b in used.items():
+            if c not in recent:
+                total = total + F.lit(b) * feats[c]
+        return total
+
+    state = state.withColumn("_base", F.transform(F.sequence(F.lit(1), F.lit(horizon)), known))
+    state = state.withColumn("_mid", _mean(F.col("_h")))
+    # values about the middle: differences keep the digits of the squares
+    state = state.withColumn("_c", F.transform("_h", lambda x: x - F.col("_mid")))
+    shift = sum(b for c, b in used.items() if c in recent and c != "rolling_std_24h")
+    add = lambda a, x: a + x
+    init = F.struct(F.col("_c").alias("h"), F.aggregate(_tail(F.col("_c"), 24), F.lit(0.0), add).alias("s24"),
+                    F.aggregate(_tail(F.col("_c"), 24), F.lit(0.0), lambda a, x: a + x * x).alias("q24"),
+                    F.aggregate("_c", F.lit(0.0), add).alias("s168"), F.array().cast("array<double>").alias("out"))
+
+    def step(st: Column, base: Column) -> Column:
+        feats = _running_features(st, std_ddof)
+        pred = base + F.lit(shift) * F.col("_mid")
+        for c, b in used.items():
+            if c in recent:
+                pred = pred + F.lit(b) * feats[c]
+
+        def advance(p: Column) -> Column:  # p is evaluated once
+            h, v = st["h"], p - F.col("_mid")
+            old24 = F.when(F.size(h) >= 24, F.try_element_at(h, F.lit(-24))).otherwise(F.lit(0.0))
+            old168 = F.when(F.size(h) >= MAX_LOOKBACK, F.try_element_at(h, F.lit(-MAX_LOOKBACK))).otherwise(F.lit(0.0))
+            grown = F.concat(h, F.array(v))
+            return F.struct(
+                F.slice(grown, F.greatest(F.size(grown) - F.lit(MAX_LOOKBACK - 1), F.lit(1)), MAX_LOOKBACK).alias("h"),
+                (st["s24"] + v - old24).alias("s24"), (st["q24"] + v * v - old24 * old24).alias("q24"),
+                (st["s168"] + v - old168).alias("s168"), F.concat(st["out"], F.array(p)).alias("out"))
+
+        return F.transform(F.array(pred), advance)[0]
+
+    res = state.select(*keys, "_t", F.aggregate("_base", init, step, lambda st: st["out"]).alias("_p"))
+    out = res.select(*keys, "_t", F.posexplode("_p").alias("_i", "forecast_mw"))
+    out = out.select(*keys, (F.col("_i") + 1).alias("step"),
+                     F.timestamp_add("HOUR", F.col("_i") + 1, F.col("_t")).alias(TS), "forecast_mw")
+    return out.withColumn("model", F.lit(name)).select("model", *keys, "step", TS, "forecast_mw") if name else out
 
 
 def forecast_model(model: PipelineModel, history: DataFrame, horizon: int = 24, keys: Sequence[str] = KEYS,
@@ -140,171 +191,26 @@ def forecast_model(model: PipelineModel, history: DataFrame, horizon: int = 24,
 
 def forecast_models(models: Mapping[str, PipelineModel], history: DataFrame, horizon: int = 24,
                     names: Sequence[str] | None = None, keys: Sequence[str] = KEYS, ts: str = TS,
-                    value: str = TARGET, std_ddof: int = 0) -> DataFrame:
+                    value: str = TARGET, std_ddof: int = 0, display: bool = False) -> DataFrame:
     """Forecasts of each named model as one long table ``model, keys,
-    step, ts, forecast_mw``; an unknown or unavailable name is an error.
-    Linear pipelines take the single-plan path."""
-    names = list(names or models)
+    step, ts, forecast_mw``; names may be codes or shown names, ``display``
+    gives shown names in the result.  A name that is unknown or not fitted is
+    an error.  Linear pipelines take the single-plan path."""
+    names = [model_code(n) for n in (names or models)]
+    fitted = {model_code(n): m for n, m in models.items() if m is not None}
     parts = []
     for n in names:
-        if n not in MODEL_NAMES or n not in models or models[n] is None:
-            raise ValueError(f"Unknown model '{n}'. Choose: {', '.join(m for m in models if models[m] is not None)}")
-        m = models[n]
+        if n not in MODEL_NAMES or n not in fitted:
+            raise ValueError(f"no fitted model called {n!r}; there are {sorted(fitted)}")
+        m = fitted[n]
         last = m.stages[-1]
         if hasattr(last, "coefficients") and hasattr(last, "intercept"):
             cols = m.stages[0].getInputCols()
             coef = dict(zip(cols, [float(c) for c in last.coefficients]))
             parts.append(forecast_linear(history, coef, float(last.intercept), horizon, keys, ts, value, std_ddof, n))
-        elif hasattr(last, "trees"):
-            parts.append(forecast_ensemble(m, history, horizon, keys, ts, value, std_ddof, name=n))
         else:
             parts.append(forecast_model(m, history, horizon, keys, ts, value, std_ddof, name=n))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
-
-
-# --- tree ensembles in one pass ----------------------------------------------------
-#
-# A fitted forest / boosted model is a fixed set of node tables.  Reading
-# them back from Spark ML's own Parquet persistence and broadcasting them
-# (their size is the model's, not the data's) lets every task run all N
-# steps for its series with vectorised numpy: one Spark pass over the series
-# states instead of one job per step.  ``forecast_model`` (the per-step Spark
-# loop) stays as the reference path; tests check the two agree.
-
-def ensemble_tables(spark, model: PipelineModel) -> dict:
-    """Node arrays of a tree-ensemble pipeline: global ``feat``, ``thr``,
-    ``left``, ``right``, ``value`` per node, ``roots`` and ``weights`` per
-    tree, ``average`` (forests average, boosted models add)."""
-    import numpy as np
-    from ..session import scratch_path
-    last = model.stages[-1]
-    path = scratch_path(spark, "ensemble")
-    last.write().overwrite().save(path)
-    nodes = (spark.read.parquet(f"{path}/data")
-                  .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
-                          F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-                          F.col("nodeData.split.featureIndex").alias("feat"),
-                          F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("thr"))
-                  .orderBy("treeID", "id").toPandas())
-    meta = spark.read.parquet(f"{path}/treesMetadata")
-    w = meta.select(F.col(meta.columns[0]).alias("treeID"), F.col(meta.columns[-1]).alias("w")).orderBy("treeID").toPandas()
-    counts = nodes.groupby("treeID").size().reindex(w["treeID"]).to_numpy()
-    offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    off_per_node = np.repeat(offsets, counts)
-    left = nodes["left"].to_numpy()
-    right = nodes["right"].to_numpy()
-    return {
-        "feat": np.where(left >= 0, nodes["feat"].to_numpy(), 0).astype(np.int64),
-        "thr": nodes["thr"].fillna(0.0).to_numpy(dtype=float),
-        "left": np.where(left >= 0, left + off_per_node, -1).astype(np.int64),
-        "right": np.where(right >= 0, right + off_per_node, -1).astype(np.int64),
-        "value": nodes["value"].to_numpy(dtype=float),
-        "roots": offsets.astype(np.int64),
-        "weights": w["w"].to_numpy(dtype=float),
-        "average": type(last).__name__.startswith("RandomForest"),
-        "cols": list(model.stages[0].getInputCols()),
-    }
-
-
-def _predict_ensemble(t: dict, X):
-    import numpy as np
-    m = X.shape[0]
-    cur = np.broadcast_to(t["roots"], (m, len(t["roots"]))).copy()
-    rows = np.arange(m)[:, None]
-    while True:
-        lft = t["left"][cur]
-        inner = lft >= 0
-        if not inner.any():
-            break
-        x = X[rows, t["feat"][cur]]
-        nxt = np.where(x <= t["thr"][cur], lft, t["right"][cur])
-        cur = np.where(inner, nxt, cur)
-    s = t["value"][cur] @ t["weights"]
-    return s / len(t["roots"]) if t["average"] else s
-
-
-def _step_matrix(H, L, e, ts, hol_col, cols, std_ddof):
-    """Feature matrix of one step for all series of a batch (numpy mirror of
-    :func:`step_features`)."""
-    import numpy as np
-    import pandas as pd
-    idx = pd.DatetimeIndex(ts)
-    hour = idx.hour.to_numpy(float)
-    month = idx.month.to_numpy(float)
-    dow = idx.dayofweek.to_numpy(float)
-    n_have = L
-    allv = H[:, :e]
-
-    def tail(n):
-        return H[:, max(e - n, 0):e]
-
-    with np.errstate(invalid="ignore"):
-        mean_all = np.nanmean(allv, axis=1)
-        f = {
-            "hour": hour, "day_of_week": dow, "month": month, "quarter": idx.quarter.to_numpy(float),
-            "day_of_year": idx.dayofyear.to_numpy(float), "week_of_year": idx.isocalendar().week.to_numpy(float),
-            "is_weekend": (dow >= 5).astype(float), "is_holiday": hol_col.astype(float),
-            "hour_sin": np.sin(2 * np.pi * hour / 24), "hour_cos": np.cos(2 * np.pi * hour / 24),
-            "month_sin": np.sin(2 * np.pi * month / 12), "month_cos": np.cos(2 * np.pi * month / 12),
-            "lag_1h": H[:, e - 1],
-            "lag_24h": np.where(n_have >= 24, H[:, e - 24], mean_all),
-            "lag_168h": np.where(n_have >= 168, H[:, e - 168], mean_all),
-            "rolling_mean_24h": np.nanmean(tail(24), axis=1),
-            "rolling_mean_168h": np.nanmean(tail(168), axis=1),
-            "rolling_std_24h": np.nanstd(tail(24), axis=1, ddof=std_ddof),
-        }
-    for c, v in WEATHER_DEFAULTS.items():
-        f[c] = np.full(len(L), v)
-    f["temp_sq"] = np.full(len(L), WEATHER_DEFAULTS["temp"] ** 2)
-    return np.column_stack([f[c] for c in cols])
-
-
-def forecast_ensemble(model: PipelineModel, history: DataFrame, horizon: int = 24, keys: Sequence[str] = KEYS,
-                      ts: str = TS, value: str = TARGET, std_ddof: int = 0, name: str | None = None) -> DataFrame:
-    """M11 for forests / boosted trees in one pass: per partition of series
-    states, all ``horizon`` steps run vectorised over the series."""
-    import numpy as np
-    import pandas as pd
-    keys = list(keys)
-    spark = history.sparkSession
-    tables = spark.sparkContext.broadcast(ensemble_tables(spark, model))
-    state = history_state(history, horizon, keys, ts, value).select(*keys, "_t", "_h", "_hols")
-    key_types = ", ".join(f"`{k}` {t}" for k, t in state.select(*keys).dtypes)
-    schema = f"{key_types}, step int, ts timestamp, forecast_mw double"
-    width = MAX_LOOKBACK
-
-    def run(batches):
-        t = tables.value
-        for b in batches:
-            m = len(b)
-            if m == 0:
-                continue
-            H = np.full((m, width + horizon), np.nan)
-            L = np.zeros(m, dtype=np.int64)
-            for i, h in enumerate(b["_h"]):
-                h = np.asarray(h, dtype=float)
-                H[i, width - len(h):width] = h
-                L[i] = len(h)
-            hols = np.array([np.asarray(x, dtype=float) for x in b["_hols"]]).reshape(m, horizon)
-            t0 = pd.to_datetime(b["_t"]).to_numpy()
-            out_ts, out_p = [], []
-            for s in range(horizon):
-                e = width + s
-                stamp = t0 + np.timedelta64(s + 1, "h")
-                X = _step_matrix(H, L, e, stamp, hols[:, s], t["cols"], std_ddof)
-                p = _predict_ensemble(t, X)
-                H[:, e] = p
-                L = L + 1
-                out_ts.append(stamp)
-                out_p.append(p)
-            res = b[keys].loc[b.index.repeat(horizon)].reset_index(drop=True)
-            res["step"] = np.tile(np.arange(1, horizon + 1, dtype=np.int32), m)
-            res["ts"] = np.stack(out_ts, axis=1).reshape(-1)
-            res["forecast_mw"] = np.stack(out_p, axis=1).reshape(-1)
-            yield res
-
-    out = state.mapInPandas(run, schema)
-    return out.withColumn("model", F.lit(name)).select("model", *keys, "step", "ts", "forecast_mw") if name else out
+    return out.withColumn("model", display_name(F.col("model"))) if display else out

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import model_code
 from ..operators.joins import stack_predictions
 from ..operators.metrics import evaluate_models, mae
 from ..schema import FEATURE_COLS, KEYS, MODEL_NAMES, TARGET, TS
+from ..session import materialize
 
 FEATURES_VEC = "features"
 
@@ -36,6 +38,10 @@ SEED = 42
 TREE_ENGINE = {"cacheNodeIds": True, "checkpointInterval": 10}
 
 
+#: Rows a task of the tree learners can take before another one pays off.
+ROWS_PER_TASK = 200_000
+
+
 def tree_memory_mb(spark: SparkSession) -> int:
     """Per-task budget for the tree learners' node statistics.  Every
     concurrent task may allocate it, so it is sized from the executor heap
@@ -96,8 +102,9 @@ ESTIMATORS = {"linear": linear_estimator, "rf": forest_estimator, "xgboost": boo
 
 
 def estimator(name: str, cols: Sequence[str] = FEATURE_COLS, **overrides) -> Pipeline:
+    name = model_code(name)
     if name not in ESTIMATORS:
-        raise ValueError(f"Unknown model '{name}'. Choose: {', '.join(MODEL_NAMES)}")
+        raise ValueError(f"no estimator called {name!r}; there are {sorted(ESTIMATORS)}")
     return ESTIMATORS[name](cols, **overrides) if name != "linear" else linear_estimator(cols)
 
 
@@ -112,11 +119,19 @@ def fit(name: str, train: DataFrame, cols: Sequence[str] = FEATURE_COLS, **overr
     excluded, as the reference's feature frame has none).  The linear model
     is fitted on the non-constant columns; the others have coefficient 0."""
     t = train.dropna(subset=[*cols, TARGET]).persist()
+    if name in ("rf", "xgboost"):
+        # a tree level is a job: no more tasks than the rows can use
+        parts = max(1, -(-t.count() // ROWS_PER_TASK))
+        if parts < t.rdd.getNumPartitions():
+            whole, t = t, t.coalesce(parts).persist()
+            t.count()
+            whole.unpersist()
     if name in ("rf", "xgboost") and "maxMemoryInMB" not in overrides:
         overrides = dict(overrides, maxMemoryInMB=tree_memory_mb(train.sparkSession))
     try:
         if name == "linear":
-            cols = varying_columns(t, cols) or list(cols)[:1]
+            # all constant: the intercept is the fit; one of them (coefficient 0) stands for all
+            cols = varying_columns(t, cols) or [cols[0]]
         return estimator(name, cols, **overrides).fit(t)
     finally:
         t.unpersist()
@@ -200,27 +215,25 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], keys:
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str] = FEATURE_COLS,
-                           seed: int = SEED, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                           seed: int = SEED, buckets: int = 1, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """M9: MAE increase when one feature column is shuffled across rows.
 
-    The shuffle is distributed: rows fall into random buckets of about
-    ``rows_per_bucket``; inside each bucket a row takes the feature value of
-    the row with the same rank under a second random order (two windows per
-    bucket and one equi-join on ``(bucket, rank)``).  Nothing is collected,
-    no window runs without a partition key.  One scoring pass per feature."""
+    The shuffle is distributed: rows fall into ``buckets`` by a hash of their
+    keys; inside each bucket a row takes the feature value of the row with the
+    same rank under a second order, a hash of keys and ``seed`` (two windows
+    per bucket and one equi-join on ``(bucket, rank)``).  The orders are the
+    md5 of the row's keys, so the same data gives the same importances on any
+    cluster.  Nothing is collected, no window runs without a partition key."""
     from pyspark.sql import Window
-    base = df.dropna(subset=[*cols, TARGET]).withColumn("_rid", F.monotonically_increasing_id())
-    n = base.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    base = (base.withColumn("_b", F.floor(F.rand(seed) * F.lit(buckets)).cast("int"))
-                .withColumn("_r2", F.rand(seed + 1)))
+    base = df.dropna(subset=[*cols, TARGET])
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.unix_micros(ts).cast("string"))
+    order = [F.md5(F.concat(F.lit(f"{s}/"), name)) for s in (seed, seed + 1)]
+    base = base.withColumn("_b", F.pmod(F.xxhash64(*keys, ts), F.lit(buckets)) if buckets > 1 else F.lit(0))
     wb = Window.partitionBy("_b")
-    base = (base.withColumn("_i", F.row_number().over(wb.orderBy("_rid")))
-                .withColumn("_j", F.row_number().over(wb.orderBy("_r2", "_rid")))
-                .drop("_r2"))
-    # random ids must not change if a lost partition is recomputed: write the
-    # numbered frame once as a table in the shared checkpoint folder
-    from ..session import scratch_path
+    base = (base.withColumn("_i", F.row_number().over(wb.orderBy(order[0])))
+                .withColumn("_j", F.row_number().over(wb.orderBy(order[1]))))
+    # read once per feature: write the numbered frame once, drop it at the end
+    from ..session import drop_path, materialize, scratch_path
     path = scratch_path(base.sparkSession, "permutation-base")
     base.write.mode("overwrite").parquet(path)
     base = base.sparkSession.read.parquet(path)
@@ -233,6 +246,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
+    out = materialize(out)
+    drop_path(out.sparkSession, path)
     basev = out.filter(F.col("feature") == "__baseline__").select(F.col("mae").alias("_b0"))
     return (out.filter(F.col("feature") != "__baseline__").crossJoin(F.broadcast(basev))
                .select("feature", (F.col("mae") - F.col("_b0")).alias("importance")))
@@ -248,7 +263,8 @@ def train_all(train: DataFrame, test: DataFrame, names: Sequence[str] = MODEL_NA
     overrides = overrides or {}
     test = test.persist()  # scored by every model
     models = {n: fit(n, train, **overrides.get(n, {})) for n in names}
-    preds = score_test(models, test, keys, ts)
+    preds = materialize(score_test(models, test, keys, ts))
+    test.unpersist()
     metrics = evaluate_models(preds, rounded=True)
     return models, preds, metrics
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import add_calendar, add_is_holiday
 from ..functions.scalar import format_mw, format_timestamp, parse_request_time
 from ..operators.metrics import load_kpis
-from ..schema import COLD_LOAD_MEAN, COLD_LOAD_STD, FEATURE_COLS, KEYS, TS, WEATHER_DEFAULTS
+from ..schema import COLD_LOAD_MEAN, COLD_LOAD_STD, DEFAULT_MODEL, FEATURE_COLS, KEYS, TS, WEATHER_DEFAULTS
 
 
 def kpi_cards(df: DataFrame, value: str = "load_mw", by: Sequence[str] = ()) -> DataFrame:
@@ -27,14 +27,20 @@ def kpi_cards(df: DataFrame, value: str = "load_mw", by: Sequence[str] = ()) ->
 def future_frame(df: DataFrame, hours: int, regressors: DataFrame | None = None,
                  keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """The next ``hours`` hourly stamps after each series' last stamp,
-    with regressor values held at ``regressors`` (one row, e.g. test means —
-    broadcast: a single row by construction)."""
+    with regressor values held at ``regressors``: a table with the key columns
+    (one row per series, joined) or a single row for all series; more rows
+    without keys are an error."""
     keys = list(keys)
     last = df.groupBy(*keys).agg(F.max(ts).alias("_last"))
     fut = last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("step"), "_last")
     fut = fut.select(*keys, "step", F.timestamp_add("HOUR", F.col("step"), F.col("_last")).alias(ts))
     if regressors is not None:
-        fut = fut.crossJoin(F.broadcast(regressors.limit(1)))
+        if set(keys) <= set(regressors.columns):
+            return fut.join(regressors, keys, "left")
+        rows = regressors.limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError("regressors without the key columns must be one row")
+        fut = fut.withColumns({c: F.lit(rows[0][c]).cast(t) for c, t in regressors.dtypes})
     return fut
 
 
@@ -64,6 +70,39 @@ def forecast_records(fc: DataFrame, api: bool = True, ts: str = TS, value: str =
              .withColumn(value, F.round(F.col(value), 2 if api else 1))
 
 
+def write_forecast(fc: DataFrame, path: str, fmt: str = "json", ts: str = TS, value: str = "forecast_mw") -> None:
+    """Write forecast records, JSON lines (API style) or headed CSV
+    (table style)."""
+    recs = forecast_records(fc, fmt == "json", ts, value).drop(ts)
+    w = recs.write.mode("overwrite")
+    w.json(path) if fmt == "json" else w.option("header", True).csv(path)
+
+
+def read_forecast(spark, path: str, fmt: str = "json", value: str = "forecast_mw") -> DataFrame:
+    """Forecast records back, ``datetime`` as written and ``value`` as a
+    number; the other columns are text in a CSV."""
+    df = spark.read.json(path) if fmt == "json" else spark.read.option("header", True).csv(path)
+    return df.withColumn(value, F.col(value).cast("double"))
+
+
+def score_points(requests: DataFrame, models, col: str = "datetime", model_col: str = "model") -> DataFrame:
+    """Each request scored by the model it names (none: the default).
+    ``request columns, ts, error, forecast_mw``: an unparsable time or a model
+    that is unknown or not fitted gives a row with its reason and no number."""
+    names = [n for n, m in models.items() if m is not None]
+    asked = requests.withColumn(model_col, F.coalesce(model_col, F.lit(DEFAULT_MODEL)))
+    feats = cold_start_features(asked, col=col)
+    unknown = F.when(~F.col(model_col).isin(names), F.concat(
+        F.lit("no model named '"), F.col(model_col), F.lit("'; known: " + ", ".join(names))))
+    feats = feats.withColumn("error", F.coalesce("error", unknown))
+    kept = [*asked.columns, "ts", "error"]
+    out = feats.where(F.col("error").isNotNull()).select(*kept, F.lit(None).cast("double").alias("forecast_mw"))
+    for n in names:
+        mine = feats.where(F.col("error").isNull() & (F.col(model_col) == n))
+        out = out.unionByName(models[n].transform(mine).select(*kept, F.col("prediction").alias("forecast_mw")))
+    return out
+
+
 def cold_start_features(requests: DataFrame, weather: dict | None = None, col: str = "datetime") -> DataFrame:
     """A feature row for arbitrary times without history.  Lags and
     rolling means take the population stand-in (32,000 MW), the rolling std

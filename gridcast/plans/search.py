@@ -59,7 +59,7 @@ def draw_candidates(n_trials: int, seed: int = 42, space: dict | None = None) ->
 def cv_score(fold_scores: DataFrame) -> DataFrame:
     """Mean fold MAE per candidate, best first."""
     return (fold_scores.groupBy("candidate").agg(F.avg("mae").alias("cv_mae"), F.count(F.lit(1)).alias("n_folds"))
-                       .orderBy("cv_mae", "candidate"))
+                       .orderBy(F.col("cv_mae").asc_nulls_last(), "candidate"))
 
 
 def walk_forward_search(spark: SparkSession, train: DataFrame, n_trials: int = 50, n_splits: int = 3,

@@ -1,15 +1,21 @@
-"""Seasonal regression (M14): a re-aim of the reference's additive-trend +
-multiplicative-seasonality fit with holiday and weather regressors.
-
-Per series, ``log(y)`` (``y > 0``) is regressed on a linear trend, Fourier
-terms of the daily, weekly and yearly cycles (orders 4 / 3 / 10), the
-holiday flag and the weather columns.  Fitting is distributed and safe for a
-hot series: the normal-equation sums ``XᵀX``, ``Xᵀy`` are one grouped
-vector sum per series (partial aggregation map-side, so a huge series is
-pre-reduced in every task); only the small per-series systems are solved,
-one row each, inside ``mapInPandas``.  Predictions are ``exp(x·β)``; the
-band is ``exp(x·β ± z·σ)`` with σ the residual std of the log fit and z the
-normal quantile of ``interval_width`` (0.80 by default).
+"""Seasonal regression (M14): trend times (1 + seasonality), with shrinkage.
+
+Per series ``y = g(t) * (1 + x(t) . b) + noise``.  ``g`` is a piecewise linear
+trend over the train span (changepoints in its first 80 %); ``x`` holds Fourier
+terms of the daily, weekly and yearly cycles, the holiday flag and the weather
+columns, standardised on the train rows.  Time and value are scaled by the
+train span and the largest value, so the priors mean the same for every series.
+
+Every block of coefficients (slope, changepoints, each cycle, holidays,
+regressors) has a Gaussian prior.  Its width is learned from the data (evidence
+maximisation) up to the block's fixed largest width: a cycle that the train
+span does not show is shrunk to nothing instead of being extrapolated.
+
+Fitting is distributed and safe for a hot series: each batch of rows adds up
+``X'X`` and ``X'y`` per series (one matrix product), Spark sums these, and only
+the small per-series systems are solved.  Two passes: the trend, then the
+seasonality around it.  The band is ``yhat`` plus and minus ``z`` residual
+deviations.
 """
 
 from __future__ import annotations
@@ -21,86 +27,197 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import add_is_holiday
 from ..schema import KEYS, TS
 
-# --- fixed values: seasonal orders and periods (hours) ------------------------
+# --- fixed values: seasonal orders and periods (hours), largest prior widths ---
 SEASONS = (("daily", 24.0, 4), ("weekly", 168.0, 3), ("yearly", 8766.0, 10))
 INTERVAL_WIDTH = 0.80
-# -----------------------------------------------------------------------------
-TREND_SCALE = 8766.0  # trend in years since 1970
+SEASONALITY_PRIOR = 10.0
+CHANGEPOINT_PRIOR = 0.05
+SLOPE_PRIOR = 5.0
+CHANGEPOINTS = 25
+CHANGEPOINT_RANGE = 0.8
+# -------------------------------------------------------------------------------
+EVIDENCE_ROUNDS = 40
 
 
-def design_columns(ts: str = TS, regressors: Sequence[str] = ("temp", "rhum", "wspd")) -> list[Column]:
-    """Intercept, trend, Fourier terms, holiday, regressors — in order."""
-    hours = F.unix_seconds(F.col(ts)).cast("double") / F.lit(3600.0)
-    cols = [F.lit(1.0), hours / F.lit(TREND_SCALE)]
-    for _, period, order in SEASONS:
-        for k in range(1, order + 1):
-            ang = F.lit(2.0 * math.pi * k / period) * hours
-            cols += [F.sin(ang), F.cos(ang)]
-    cols.append(F.col("is_holiday").cast("double"))
-    cols += [F.col(r).cast("double") for r in regressors]
-    return cols
+def trend_matrix(s: np.ndarray, changepoints: int) -> np.ndarray:
+    """Intercept, slope and hinges over scaled time ``s`` (0..1 in train)."""
+    knots = CHANGEPOINT_RANGE * np.arange(1, changepoints + 1) / max(1, changepoints)
+    return np.column_stack([np.ones_like(s), s, *(np.maximum(0.0, s - k) for k in knots)])
+
 
+def season_matrix(hours: np.ndarray, holiday: np.ndarray, regressors: np.ndarray, seasons, with_holiday: bool) -> np.ndarray:
+    cols = []
+    for _, period, order in seasons:
+        for k in range(1, order + 1):
+            angle = 2.0 * math.pi * k / period * hours
+            cols += [np.sin(angle), np.cos(angle)]
+    if with_holiday:
+        cols.append(holiday)
+    cols += list(regressors.T)
+    return np.column_stack(cols) if cols else np.zeros((len(hours), 0))
+
+
+def solve_evidence(gram: np.ndarray, xy: np.ndarray, yy: float, n: float, blocks: Sequence[tuple[int, int, float | None]],
+                   rounds: int = EVIDENCE_ROUNDS) -> tuple[np.ndarray, float]:
+    """Posterior mean and noise deviation.  ``blocks``: (start, end, largest
+    prior width; None: no prior)."""
+    p = len(xy)
+    if not p:
+        return np.zeros(0), math.sqrt(yy / max(n, 1.0))
+    width = np.zeros(p)
+    for a, b, w in blocks:
+        width[a:b] = np.inf if w is None else w
+    variance = np.where(np.isinf(width), np.inf, np.minimum(width ** 2, 1.0))
+    noise = max(yy / max(n, 1.0), 1e-12)
+    mean = np.zeros(p)
+    free = not np.isfinite(width).any()
+    tiny = 1e-12 * np.diag(np.maximum(np.diag(gram), 1e-12))
+    for _ in range(1 if free else rounds):
+        precision = np.where(np.isinf(variance), 0.0, 1.0 / np.maximum(variance, 1e-12))
+        cov = np.linalg.pinv((gram + tiny) / noise + np.diag(precision), hermitian=True)
+        mean = cov @ xy / noise
+        sse = max(yy - 2 * mean @ xy + mean @ gram @ mean, 0.0)
+        noise = max((sse + float((gram * cov).sum())) / max(n, 1.0), 1e-12) if not free else noise
+        for a, b, w in blocks:
+            if w is not None and b > a:
+                variance[a:b] = min((mean[a:b] @ mean[a:b] + np.trace(cov[a:b, a:b])) / (b - a), w ** 2)
+    sse = max(yy - 2 * mean @ xy + mean @ gram @ mean, 0.0)
+    return mean, math.sqrt(sse / max(n - min(p, n - 1), 1.0)) if free else math.sqrt(noise)
+
+
+class _Design:
+    """How rows become matrices; shared by fitting and prediction."""
+
+    def __init__(self, keys, ts, value, regressors, seasons, holiday, changepoints, priors):
+        self.keys, self.ts, self.value = list(keys), ts, value
+        self.regressors, self.seasons, self.holiday = list(regressors), tuple(seasons), holiday
+        self.changepoints, self.priors = changepoints, priors
+        w = (lambda x: x) if priors else (lambda x: None)
+        self.trend_blocks = [(0, 1, None), (1, 2, w(SLOPE_PRIOR)), (2, 2 + changepoints, w(CHANGEPOINT_PRIOR))]
+        at, self.season_blocks = 0, []
+        for size in [2 * order for _, _, order in self.seasons] + [1] * holiday + [1] * len(self.regressors):
+            self.season_blocks.append((at, at + size, w(SEASONALITY_PRIOR)))
+            at += size
+
+    def rows(self, df: DataFrame, bounds: DataFrame) -> DataFrame:
+        """Rows with their series' scales; columns as plain numbers."""
+        d = df if "is_holiday" in df.columns or not self.holiday else add_is_holiday(df, self.ts)
+        hours = F.unix_seconds(F.col(self.ts)).cast("double") / F.lit(3600.0)
+        d = d.join(bounds, self.keys)
+        span = F.when(F.col("_h1") > F.col("_h0"), F.col("_h1") - F.col("_h0")).otherwise(F.lit(1.0))
+        scaled = [((F.col(r).cast("double") - F.col(f"_m_{r}"))
+                   / F.when(F.col(f"_s_{r}") > 0, F.col(f"_s_{r}")).otherwise(F.lit(1.0))) for r in self.regressors]
+        return d.withColumns({"_hours": hours, "_s": (hours - F.col("_h0")) / span,
+                              "_hol": F.col("is_holiday").cast("double") if self.holiday else F.lit(0.0),
+                              "_r": F.array(*[F.coalesce(c, F.lit(0.0)) for c in scaled]).cast("array<double>")})
+
+    def bounds(self, train: DataFrame) -> DataFrame:
+        hours = F.unix_seconds(F.col(self.ts)).cast("double") / F.lit(3600.0)
+        return train.groupBy(*self.keys).agg(
+            F.min(hours).alias("_h0"), F.max(hours).alias("_h1"),
+            F.coalesce(F.nullif(F.max(F.abs(self.value)), F.lit(0.0)), F.lit(1.0)).alias("_scale"),
+            *[F.avg(r).alias(f"_m_{r}") for r in self.regressors],
+            *[F.stddev_pop(r).alias(f"_s_{r}") for r in self.regressors])
+
+    def season(self, b) -> np.ndarray:
+        r = np.array(b["_r"].tolist(), dtype=float).reshape(len(b), len(self.regressors))
+        return season_matrix(b["_hours"].to_numpy(float), b["_hol"].to_numpy(float), r, self.seasons, self.holiday)
+
+    def trend(self, b) -> np.ndarray:
+        t = trend_matrix(b["_s"].to_numpy(float), self.changepoints)
+        return (t * np.array(b["_trend"].tolist(), dtype=float).reshape(t.shape)).sum(axis=1)
+
+
+def _key_schema(df: DataFrame, keys) -> str:
+    return ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
+
+
+def _sums(rows: DataFrame, keys: list[str], matrix, target) -> DataFrame:
+    """Per series: flattened ``X'X``, ``X'y``, ``y'y`` and row count.  Batches
+    add up their own rows; Spark adds the batches."""
+    def run(batches):
+        import pandas as pd
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = matrix(b), target(b)
+            out = []
+            for key, i in b.groupby(keys, dropna=False, sort=False).indices.items():
+                xi, yi = x[i], y[i]
+                flat = np.concatenate([(xi.T @ xi).ravel(), xi.T @ yi, [yi @ yi, len(yi)]])
+                out.append((*(key if isinstance(key, tuple) else (key,)), flat.tolist()))
+            yield pd.DataFrame(out, columns=[*keys, "_v"])
+
+    part = rows.mapInPandas(run, _key_schema(rows, keys) + ", _v array<double>")
+    return (part.select(*keys, array_to_vector("_v").alias("_v")).groupBy(*keys)
+            .agg(Summarizer.sum(F.col("_v")).alias("_v")).select(*keys, vector_to_array("_v").alias("_v")))
+
+
+def _solved(sums: DataFrame, keys: list[str], p: int, blocks, name: str) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            got = []
+            for v in b["_v"]:
+                v = np.asarray(v, dtype=float)
+                got.append(solve_evidence(v[:p * p].reshape(p, p), v[p * p:p * p + p], v[-2], v[-1], blocks))
+            yield b[keys].assign(**{name: [m.tolist() for m, _ in got], f"{name}_sd": [s for _, s in got]})
 
-def _design(df: DataFrame, ts: str, regressors: Sequence[str]) -> DataFrame:
-    d = df if "is_holiday" in df.columns else add_is_holiday(df, ts)
-    return d.withColumn("_x", F.array(*design_columns(ts, regressors)))
+    return sums.mapInPandas(run, _key_schema(sums, keys) + f", `{name}` array<double>, `{name}_sd` double")
 
 
 def fit_seasonal(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = "load_mw",
-                 regressors: Sequence[str] = ("temp", "rhum", "wspd"), ridge: float = 1e-8) -> DataFrame:
-    """Per-series coefficients ``keys, beta ARRAY<DOUBLE>, sigma DOUBLE``."""
-    keys = list(keys)
-    d = _design(df.filter(F.col(value) > 0), ts, regressors).withColumn("_ly", F.log(value))
-    p = len(design_columns(ts, regressors))
-    iu = [(i, j) for i in range(p) for j in range(i, p)]
-    x = F.col("_x")
-    stats = F.array(*[x[i] * x[j] for i, j in iu], *[x[i] * F.col("_ly") for i in range(p)],
-                    F.col("_ly") * F.col("_ly"), F.lit(1.0))
-    sums = (d.select(*keys, array_to_vector(stats).alias("_s"))
-             .groupBy(*keys).agg(Summarizer.sum(F.col("_s")).alias("_s"))
-             .select(*keys, vector_to_array("_s").alias("_s")))
-    out_schema = ", ".join([f"`{k}` {t}" for k, t in df.select(*keys).dtypes] + ["beta array<double>", "sigma double"])
-
-    def solve(batches):
-        for b in batches:
-            betas, sigmas = [], []
-            for s in b["_s"]:
-                s = np.asarray(s, dtype=float)
-                a = np.zeros((p, p))
-                for n, (i, j) in enumerate(iu):
-                    a[i, j] = a[j, i] = s[n]
-                xy = s[len(iu):len(iu) + p]
-                yy, n_rows = s[len(iu) + p], s[len(iu) + p + 1]
-                scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-                an = a / np.outer(scale, scale) + ridge * np.eye(p)
-                beta = np.linalg.lstsq(an, xy / scale, rcond=None)[0] / scale
-                sse = max(yy - 2 * beta @ xy + beta @ a @ beta, 0.0)
-                betas.append(beta.tolist())
-                sigmas.append(math.sqrt(sse / max(n_rows - p, 1.0)))
-            yield b[keys].assign(beta=betas, sigma=sigmas)
-
-    return sums.mapInPandas(solve, out_schema)
+                 regressors: Sequence[str] = ("temp", "rhum", "wspd"), seasons=SEASONS, holiday: bool = True,
+                 changepoints: int = CHANGEPOINTS, priors: bool = True) -> DataFrame:
+    """Per series: scales ``_h0, _h1, _scale, _m_*, _s_*``, ``_trend`` and
+    ``_beta`` coefficients and the residual deviation ``sigma`` (in units of
+    ``value``).  Without ``priors`` both fits are plain least squares."""
+    des = _Design(keys, ts, value, regressors, seasons, holiday, changepoints, priors)
+    keys = des.keys
+    train = df.filter(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    bounds = des.bounds(train)
+    rows = des.rows(train, bounds).withColumn("_y", F.col(value) / F.col("_scale"))
+    slim = rows.select(*keys, "_s", "_hours", "_hol", "_r", "_y")
+    y = lambda b: b["_y"].to_numpy(float)
+    trend = _solved(_sums(slim, keys, lambda b: trend_matrix(b["_s"].to_numpy(float), changepoints), y), keys,
+                    2 + changepoints, des.trend_blocks, "_trend")
+    around = slim.join(trend, keys)
+    p = des.season_blocks[-1][1] if des.season_blocks else 0
+    beta = _solved(_sums(around, keys, lambda b: des.season(b) * des.trend(b)[:, None], lambda b: y(b) - des.trend(b)),
+                   keys, p, des.season_blocks, "_beta")
+    return (bounds.join(trend.drop("_trend_sd"), keys).join(beta, keys)
+            .withColumn("sigma", F.col("_beta_sd") * F.col("_scale")).drop("_beta_sd"))
 
 
 def predict_seasonal(df: DataFrame, coefs: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS,
-                     regressors: Sequence[str] = ("temp", "rhum", "wspd"),
-                     interval_width: float = INTERVAL_WIDTH) -> DataFrame:
-    """``keys, ts, yhat, yhat_lower, yhat_upper`` for every row of ``df``
-    (history or a future frame).  The coefficient table has one row per
-    series; Catalyst/AQE pick the join."""
-    keys = list(keys)
+                     regressors: Sequence[str] = ("temp", "rhum", "wspd"), interval_width: float = INTERVAL_WIDTH,
+                     seasons=SEASONS, holiday: bool = True, changepoints: int = CHANGEPOINTS,
+                     keep: Sequence[str] = ()) -> DataFrame:
+    """``keys, ts, yhat, yhat_lower, yhat_upper`` and the ``keep`` columns for
+    every row of ``df`` (history or a future frame).  The coefficient table has
+    one row per series; Catalyst / AQE pick the join."""
+    des = _Design(keys, ts, "", regressors, seasons, holiday, changepoints, True)
     z = NormalDist().inv_cdf(0.5 + interval_width / 2.0)
-    d = _design(df, ts, regressors).join(coefs, keys)
-    lin = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return d.select(*keys, ts, F.exp(lin).alias("yhat"),
-                    F.exp(lin - F.lit(z) * F.col("sigma")).alias("yhat_lower"),
-                    F.exp(lin + F.lit(z) * F.col("sigma")).alias("yhat_upper"))
+    kept = [*des.keys, ts, *keep]
+    rows = des.rows(df, coefs).select(*kept, "_s", "_hours", "_hol", "_r", "_trend", "_beta", "_scale", "sigma")
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = des.season(b)
+            beta = np.array(b["_beta"].tolist(), dtype=float).reshape(x.shape)
+            yhat = des.trend(b) * (1.0 + (x * beta).sum(axis=1)) * b["_scale"].to_numpy(float)
+            half = z * b["sigma"].to_numpy(float)
+            yield b[kept].assign(yhat=yhat, yhat_lower=yhat - half, yhat_upper=yhat + half)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes)
+    return rows.mapInPandas(run, schema + ", yhat double, yhat_lower double, yhat_upper double")
 
 
 def seasonal_regression(train: DataFrame, test: DataFrame, horizon: int = 72, keys: Sequence[str] = KEYS,
@@ -109,12 +226,13 @@ def seasonal_regression(train: DataFrame, test: DataFrame, horizon: int = 72, ke
                         interval_width: float = INTERVAL_WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit on train; score test (``y`` kept for metrics); forecast
     ``horizon`` hours after the last test stamp with regressors held at
-    their test means.  Returns ``(coefs, test_pred, future_pred)``."""
+    their test means.  Returns ``(coefs, test_pred, future_pred)``; the small
+    coefficient table is written once (both predictions read it)."""
     from ..operators.metrics import exog_means
+    from ..session import materialize
     from .report import future_frame
-    coefs = fit_seasonal(train, keys, ts, value, regressors)
-    tp = predict_seasonal(test, coefs, keys, ts, regressors, interval_width) \
-        .join(test.select(*keys, ts, F.col(value).alias("y")), [*keys, ts])
+    coefs = materialize(fit_seasonal(train, keys, ts, value, regressors))
+    tp = predict_seasonal(test.withColumn("y", F.col(value)), coefs, keys, ts, regressors, interval_width, keep=["y"])
     fut = future_frame(test, horizon, exog_means(test, regressors), keys, ts)
     fp = predict_seasonal(fut, coefs, keys, ts, regressors, interval_width)
     return coefs, tp, fp

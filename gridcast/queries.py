@@ -125,8 +125,9 @@ def quality_report(spark, sf):
 
 # --- predictions, splits, metrics: P3, P5, W8, A5-A11, A15, F7, K2, K4 --------
 
-def _preds(spark, sf):
-    return PE.lag_predictions(_features(spark, sf))
+def _preds(spark, sf, materialize: bool = False):
+    """Lag predictions; ``materialize`` where the plan reads them twice."""
+    return PE.lag_predictions(_features(spark, sf, materialize))
 
 
 _PRED = S.predictions_sql()
@@ -136,7 +137,7 @@ _PRED = S.predictions_sql()
 SELECT series_id, ts, CASE WHEN ts < {S.CUTOFF} THEN 'train' ELSE 'test' END AS split, {S.rnd('load_mw', 'load_mw')}
 FROM feat""")
 def split_cutoff(spark, sf):
-    f = _features(spark, sf)
+    f = _features(spark, sf, materialize=False)
     train, test = SP.split_cutoff(f, FX.CUTOFF)
     out = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     return stable(out.select("series_id", "ts", "split", "load_mw"))
@@ -223,15 +224,25 @@ SELECT model, bin, {S.rnd('lo + (hi - lo) / 80.0 * bin', 'bin_lo')}, {S.rnd('lo
        count(*) AS count
 FROM rb GROUP BY model, bin, lo, hi""")
 def residual_histogram(spark, sf):
-    return stable(M.residual_histogram(_preds(spark, sf)))
+    return stable(M.residual_histogram(_preds(spark, sf, True)))
 
 
 @register("head_sample", f"""WITH {S.features_sql()},
 r AS (SELECT series_id, ts, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn
       FROM feat WHERE ts >= {S.CUTOFF})
-SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')} FROM r WHERE rn <= 100""")
+SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')} FROM r WHERE rn <= 500""")
 def head_sample(spark, sf):
-    _, test = SP.split_cutoff(_features(spark, sf), FX.CUTOFF)
-    return stable(SP.head_sample(test.select("series_id", "ts", "load_mw"), 100))
+    _, test = SP.split_cutoff(_features(spark, sf, materialize=False), FX.CUTOFF)
+    return stable(SP.head_sample(test.select("series_id", "ts", "load_mw"), 500))
+
+
+@register("build_features_users", f"""WITH {S.features_sql(load=S.SPARSE)}
+SELECT series_id, ts, {S.rounded_features()} FROM fg""")
+def build_features_users(spark, sf):
+    """The 22 features of every user's series (rows grow with the events);
+    incomplete rows stay, as most users have under 168 stamps."""
+    return stable(PF.build_features(FX.sparse_panel(spark, sf), FX.weather(spark, sf), dropna=False))
+
+
 from . import queries_ops  # noqa: E402,F401  (registers part 2)
 from . import queries_models  # noqa: E402,F401  (registers part 3)

@@ -17,8 +17,9 @@ from .plans import evaluate as PE
 from .plans import features as PF
 from .plans import report as RP
 from .queries import _features, _preds, register
-from .schema import TARGET
+from .schema import FEATURE_COLS, TARGET
 from .sources import fixtures as FX
+from .session import kept, scratch_path
 from .sources import load as LD
 from .testing import stable
 
@@ -32,12 +33,28 @@ _CAL_INT = ["hour", "day_of_week", "month", "quarter", "day_of_year", "week_of_y
 {S.rnd('o_totalprice', 'load_mw')} FROM orders WHERE o_orderdate IS NOT NULL""")
 def read_load(spark, sf):
     return stable(LD.read_load(spark, f"{sf}/orders.parquet", fmt="parquet", time_col="o_orderdate",
-                               value_col="o_totalprice", series_col="o_orderpriority"))
+                               value_col="o_totalprice", series_col="o_orderpriority", bad="drop"))
 
 
 @register("read_weather", f"SELECT ts, {S.rnd('temp', 'temp')}, {S.rnd('rhum', 'rhum')}, {S.rnd('wspd', 'wspd')} FROM ({S.WEATHER}) w")
 def read_weather(spark, sf):
-    return stable(FX.weather(spark, sf))
+    """Written as a CSV whose columns are in another order, read by name."""
+    path = scratch_path(spark, "weather-csv")
+    w = FX.weather(spark, sf)
+    w.select("rhum", "wspd", F.col("ts").alias("Datetime"), "temp").write.option("header", True).csv(path)
+    return kept(stable(LD.read_weather(spark, path)), path)
+
+
+@register("read_load_csv", f"""SELECT o_orderpriority AS series_id, CAST(o_orderdate AS TIMESTAMP) AS ts,
+{S.rnd('o_totalprice', 'load_mw')} FROM orders WHERE o_orderdate IS NOT NULL""")
+def read_load_csv(spark, sf):
+    """A headed CSV of all orders, columns swapped, one stamp unreadable per
+    order without a date: read by name, malformed rows dropped."""
+    path = scratch_path(spark, "load-csv")
+    (FX.table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", F.col("o_orderdate").cast("string").alias("o_orderdate"))
+       .write.option("header", True).csv(path))
+    return kept(stable(LD.read_load(spark, path, time_col="o_orderdate", value_col="o_totalprice",
+                                    series_col="o_orderpriority", bad="drop")), path)
 
 
 @register("constant_weather", f"SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')}, CAST(10.0 AS DOUBLE) AS temp, CAST(60.0 AS DOUBLE) AS rhum, CAST(8.0 AS DOUBLE) AS wspd FROM ({S.DENSE}) d")
@@ -58,7 +75,7 @@ def normalize_weather(spark, sf):
 @register("rename_ds_y", f"""WITH {S.features_sql()}
 SELECT series_id, ts AS ds, {S.rnd('load_mw', 'y')}, {S.rnd('temp', 'temp')}, {S.rnd('rhum', 'rhum')}, {S.rnd('wspd', 'wspd')} FROM feat""")
 def rename_ds_y(spark, sf):
-    return stable(SC.rename_ds_y(_features(spark, sf)))
+    return stable(SC.rename_ds_y(_features(spark, sf, materialize=False)))
 
 
 @register("slice_range", f"""SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')} FROM ({S.DENSE}) d
@@ -163,18 +180,18 @@ def load_kpis(spark, sf):
 @register("exog_means", f"""WITH {S.features_sql()}
 SELECT {S.rnd('avg(temp)', 'temp')}, {S.rnd('avg(rhum)', 'rhum')}, {S.rnd('avg(wspd)', 'wspd')} FROM feat WHERE ts >= {S.CUTOFF}""")
 def exog_means(spark, sf):
-    _, test = SP.split_cutoff(_features(spark, sf), FX.CUTOFF)
+    _, test = SP.split_cutoff(_features(spark, sf, materialize=False), FX.CUTOFF)
     return stable(M.exog_means(test))
 
 
-_MM_COLS = ["lag_1h", "rolling_mean_24h", "temp", "hour", TARGET]
+_MM_COLS = [*FEATURE_COLS, TARGET]
 
 
 @register("minmax_fit", f"""WITH {S.features_sql()}
 SELECT {', '.join(f"{S.rnd(f'min({c})', c + '_min')}, {S.rnd(f'max({c})', c + '_max')}" for c in _MM_COLS)}
 FROM feat WHERE ts < {S.CUTOFF}""")
 def minmax_fit(spark, sf):
-    train, _ = SP.split_cutoff(_features(spark, sf), FX.CUTOFF)
+    train, _ = SP.split_cutoff(_features(spark, sf, materialize=False), FX.CUTOFF)
     return stable(SEQ.minmax_fit(train, _MM_COLS).select(
         *[F.col(f"{c}_{s}").cast("double").alias(f"{c}_{s}") for c in _MM_COLS for s in ("min", "max")]))
 
@@ -257,21 +274,34 @@ def recent_window(spark, sf):
     return stable(W.recent_window(FX.dense_panel(spark, sf), 168))
 
 
-_SEQ_COLS = ["lag_1h", "temp", "hour_sin"]
+# sums of squares of two-decimal values often end on a rounding tie: moved off it on both sides
+_OFF_TIES = 0.0000123
 
 
-@register("make_sequences", f"""WITH {S.features_sql()},
-s AS (SELECT series_id, ts, load_mw,
-        list([lag_1h, temp, hour_sin]) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS seq
+def _sequences_sql() -> str:
+    fr = "(PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
+    sums = ", ".join(S.rnd(f"sum({c}) OVER {fr} + {_OFF_TIES}", f"{c}_sum", 4) for c in FEATURE_COLS)
+    return f"""WITH {S.features_sql()},
+s AS (SELECT series_id, ts, load_mw, count(*) OVER {fr} AS n, {sums},
+        {S.rnd(f"first_value(lag_1h) OVER {fr}", 'first_lag_1h', 4)}, {S.rnd(f"last_value(hour_sin) OVER {fr}", 'last_hour_sin', 4)}
       FROM feat)
-SELECT series_id, ts, CAST(len(seq) AS INTEGER) AS seq_len, {S.rnd('seq[1][1]', 'first_lag_1h')},
-       {S.rnd('seq[24][3]', 'last_hour_sin')}, {S.rnd('list_sum(flatten(seq))', 'seq_sum')}, {S.rnd('load_mw', 'y')}
-FROM s WHERE len(seq) = 24""")
+SELECT series_id, ts, CAST(n AS INTEGER) AS seq_len, first_lag_1h, last_hour_sin, {', '.join(f'{c}_sum' for c in FEATURE_COLS)},
+       {S.rnd('load_mw', 'y', 4)} FROM s WHERE n = 24"""
+
+
+def _column_sums(seq: str = "seq") -> list:
+    """The sum of each feature over a sequence (compared column by column)."""
+    def total(i: int):
+        return F.aggregate(seq, F.lit(0.0), lambda a, r: a + r[i]) + F.lit(_OFF_TIES)
+    return [total(i).alias(f"{c}_sum") for i, c in enumerate(FEATURE_COLS)]
+
+
+@register("make_sequences", _sequences_sql())
 def make_sequences(spark, sf):
-    s = SEQ.make_sequences(_features(spark, sf), 24, _SEQ_COLS)
-    return stable(s.select("series_id", "ts", F.size("seq").alias("seq_len"),
-                           F.col("seq")[0][0].alias("first_lag_1h"), F.col("seq")[23][2].alias("last_hour_sin"),
-                           F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x).alias("seq_sum"), "y"))
+    s = SEQ.make_sequences(_features(spark, sf), 24, list(FEATURE_COLS))
+    first, last = FEATURE_COLS.index("lag_1h"), FEATURE_COLS.index("hour_sin")
+    return stable(s.select("series_id", "ts", F.size("seq").alias("seq_len"), F.col("seq")[0][first].alias("first_lag_1h"),
+                           F.col("seq")[23][last].alias("last_hour_sin"), *_column_sums(), "y"), 4)
 
 
 @register("sort_time", f"SELECT series_id, ts, {S.rnd('load_mw', 'load_mw')} FROM ({S.DENSE}) d ORDER BY ts, series_id")
@@ -320,18 +350,18 @@ def cyclical_features(spark, sf):
 
 @register("weather_features", f"""WITH {S.features_sql()} SELECT series_id, ts, {S.rnd('temp_sq', 'temp_sq')} FROM feat""")
 def weather_features(spark, sf):
-    return stable(_features(spark, sf).select("series_id", "ts", "temp_sq"))
+    return stable(_features(spark, sf, materialize=False).select("series_id", "ts", "temp_sq"))
 
 
-_REQ = f"""SELECT event_id AS request_id,
-  CASE WHEN event_type = 'error' THEN props ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS datetime,
+_REQ = """SELECT event_id AS request_id,
+  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN props ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS datetime,
   CASE event_type WHEN 'view' THEN 'xgboost' WHEN 'click' THEN 'rf' WHEN 'purchase' THEN 'linear'
-                  WHEN 'signup' THEN 'xgboost' ELSE 'magic_model' END AS model
+    WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'xgboost' ELSE 'magic_model' END END AS model
 FROM events"""
 
 
 @register("parse_request_time", f"""SELECT request_id, datetime, model, TRY_CAST(datetime AS TIMESTAMP) AS ts,
-CASE WHEN TRY_CAST(datetime AS TIMESTAMP) IS NULL THEN 'Cannot parse datetime: ''' || coalesce(datetime, '') || '''' END AS error
+CASE WHEN TRY_CAST(datetime AS TIMESTAMP) IS NULL THEN 'unreadable time ''' || coalesce(datetime, '') || '''' END AS error
 FROM ({_REQ}) r""")
 def parse_request_time(spark, sf):
     return SC.parse_request_time(FX.requests(spark, sf))
@@ -345,7 +375,7 @@ def format_output(spark, sf):
     d = FX.dense_panel(spark, sf)
     return d.select("series_id", SC.format_timestamp(F.col("ts")).alias("datetime"),
                     SC.format_timestamp(F.col("ts"), seconds=True).alias("api_datetime"),
-                    F.round("load_mw", 2).alias("forecast_mw"), SC.title_case(F.col("series_id")).alias("display_name"))
+                    F.round("load_mw", 2).alias("forecast_mw"), F.initcap(F.col("series_id")).alias("display_name"))
 
 
 @register("load_band", """SELECT o_orderkey, CASE WHEN o_totalprice >= 0 AND o_totalprice < 20000 THEN '0-20k'
@@ -361,7 +391,9 @@ SELECT model, series_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, round(p,
 FROM preds WHERE ts >= {S.CUTOFF}""")
 def write_forecast(spark, sf):
     p = _preds(spark, sf).filter(F.col("ts") >= F.lit(FX.CUTOFF).cast("timestamp"))
-    return RP.forecast_records(p.withColumnRenamed("p", "forecast_mw")).select("model", "series_id", "datetime", "forecast_mw")
+    path = scratch_path(spark, "forecast-json")
+    RP.write_forecast(p.withColumnRenamed("p", "forecast_mw"), path)
+    return kept(RP.read_forecast(spark, path).select("model", "series_id", "datetime", "forecast_mw"), path)
 
 
 @register("kpi_cards", f"""WITH k AS (SELECT series_id, count(*) AS total_hours, avg(load_mw) AS avg_load, max(load_mw) AS peak_load,
@@ -375,10 +407,10 @@ def kpi_cards(spark, sf):
 
 # --- P2 ---------------------------------------------------------------------------------
 
-@register("drop_incomplete", f"""WITH {S.features_sql()} SELECT series_id, ts, {S.rnd('lag_168h', 'lag_168h')}, {S.rnd('load_mw', 'load_mw')} FROM feat""")
+@register("drop_incomplete", f"""WITH {S.features_sql()} SELECT series_id, ts, {S.rounded_features()} FROM feat""")
 def drop_incomplete(spark, sf):
     f = PF.build_features(FX.dense_panel(spark, sf), FX.weather(spark, sf), dropna=False)
-    return stable(f.dropna(how="any").select("series_id", "ts", "lag_168h", "load_mw"))
+    return stable(f.dropna(how="any"))
 
 
 # --- T3: lags by time on the cleaned sparse panel ----------------------------------------
@@ -403,9 +435,9 @@ def time_lag_features(spark, sf):
     return stable(W.time_lag_features(clean, chunk_hours=200).drop("load_mw"))
 
 
-@register("build_features_time", f"WITH {S.features_sql(load='SELECT series_id, ts, load_mw FROM cl')} SELECT series_id, ts, {S.rnd('lag_168h', 'lag_168h')}, {S.rnd('rolling_std_24h', 'rolling_std_24h')}, {S.rnd('temp', 'temp')}, {S.rnd('load_mw', 'load_mw')} FROM feat".replace("WITH \nbase AS", f"WITH {S.clean_ctes(S.DENSE)},\nbase AS"))
+@register("build_features_time", f"WITH {S.features_sql(load='SELECT series_id, ts, load_mw FROM cl')} SELECT series_id, ts, {S.rounded_features()} FROM feat".replace("WITH \nbase AS", f"WITH {S.clean_ctes(S.DENSE)},\nbase AS"))
 def build_features_time(spark, sf):
     from .operators.clean import regularize
     clean = regularize(FX.dense_panel(spark, sf)).drop("outlier_flag")
     f = PF.build_features(clean, FX.weather(spark, sf), lag_mode="time", chunk_hours=200)
-    return stable(f.select("series_id", "ts", "lag_168h", "rolling_std_24h", "temp", "load_mw"))
+    return stable(f)

@@ -43,8 +43,11 @@ Z_CLIP = 5.0
 METRIC_NAMES = {"mae": "MAE (MW)", "rmse": "RMSE (MW)", "mape": "MAPE (%)", "r2": "R2"}
 # Load bands for the live-predict gauge (MW).
 LOAD_BANDS = [(0.0, 20000.0, "0-20k"), (20000.0, 40000.0, "20-40k"), (40000.0, 60000.0, "40-60k")]
-# Model names accepted for scoring / forecasting.
+# Model names accepted for scoring / forecasting, the default of a request,
+# and the names shown in leaderboards and reports.
 MODEL_NAMES = ("linear", "rf", "xgboost")
+DEFAULT_MODEL = "xgboost"
+DISPLAY_NAMES = {"linear": "Linear Regression", "rf": "Random Forest", "xgboost": "XGBoost", "prophet": "Prophet"}
 # ---------------------------------------------------------------------------
 
 FEATURE_SCHEMA = T.StructType(
@@ -53,19 +56,6 @@ FEATURE_SCHEMA = T.StructType(
     + [T.StructField(TARGET, T.DoubleType())]
 )
 
-LOAD_SCHEMA = T.StructType([
-    T.StructField("series_id", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("load_mw", T.DoubleType()),
-])
-
-WEATHER_SCHEMA = T.StructType([
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("temp", T.DoubleType()),
-    T.StructField("rhum", T.DoubleType()),
-    T.StructField("wspd", T.DoubleType()),
-])
-
 METRICS_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("mae", T.DoubleType()),
@@ -74,9 +64,3 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("r2", T.DoubleType()),
 ])
 
-
-def check_features(df) -> None:
-    """Contract guard: every feature present, in a selectable order."""
-    missing = [c for c in FEATURE_COLS if c not in df.columns]
-    if missing:
-        raise ValueError(f"feature frame lacks columns: {missing}")

@@ -85,3 +85,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the checkpoint dir for a written table."""
     import uuid
     return os.path.join(checkpoint_dir(spark).rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of our own through Hadoop's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept(df, *paths: str):
+    """``df`` as a checkpointed table, with the scratch folders it was read
+    from deleted: nothing written on the way stays behind."""
+    out = materialize(df)
+    for p in paths:
+        drop_path(df.sparkSession, p)
+    return out

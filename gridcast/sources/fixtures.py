@@ -87,16 +87,18 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("series_id", "ts", "load_mw"))
 
 
-# Request model names per event type (the last one is unknown on purpose).
-REQUEST_MODELS = {"view": "xgboost", "click": "rf", "purchase": "linear", "signup": "xgboost",
-                  "error": "magic_model"}
+# Request model names per event type; signups name none (the default is meant).
+REQUEST_MODELS = {"view": "xgboost", "click": "rf", "purchase": "linear"}
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction requests ``datetime STRING, model STRING``: one per event;
-    error events carry their JSON props as an unparsable time."""
+    """Prediction requests ``datetime STRING, model STRING``: one per event.
+    Error events: the even ones carry their JSON props as an unparsable time
+    (for a known model), the odd ones a valid time for an unknown model."""
     e = _events(spark, sf_dir)
     t = F.col("event_type")
-    model = F.create_map(*[x for k, v in REQUEST_MODELS.items() for x in (F.lit(k), F.lit(v))])[t]
-    dt = F.when(t == "error", F.col("props")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    even = F.col("event_id") % 2 == 0
+    model = F.when(t == "error", F.when(even, F.lit("xgboost")).otherwise(F.lit("magic_model"))).otherwise(
+        F.create_map(*[x for k, v in REQUEST_MODELS.items() for x in (F.lit(k), F.lit(v))])[t])
+    dt = F.when((t == "error") & even, F.col("props")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
     return e.select(F.col("event_id").alias("request_id"), dt.alias("datetime"), model.alias("model"))

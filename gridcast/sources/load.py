@@ -1,6 +1,6 @@
 """Series and weather sources.
 
-Explicit schemas on read (no inference pass over 100 TB), no global sort:
+Columns by name, no inference pass over 100 TB, no global sort:
 order is re-established per series by the ordered operators.
 """
 
@@ -8,46 +8,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from ..schema import WEATHER_DEFAULTS
 
 WEATHER_COLS = ("temp", "rhum", "wspd")
 
 
-def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None, options: dict | None):
-    r = spark.read.format(fmt)
-    if schema is not None and fmt == "csv":
-        r = r.schema(schema).option("header", True)
-    for k, v in (options or {}).items():
-        r = r.option(k, v)
-    return r
+def read_named(spark: SparkSession, path: str, fmt: str, needed: tuple[str, ...]) -> DataFrame:
+    """A table whose columns are taken by name.  A headed CSV is read as text
+    in its header's order (no inference pass); a missing column is an error."""
+    df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    missing = [c for c in needed if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}; it has {', '.join(df.columns)}")
+    return df
+
+
+def _stamp(df: DataFrame, time_col: str, timestamp_format: str | None):
+    c = F.col(time_col)
+    if dict(df.dtypes)[time_col] == "string" and timestamp_format:
+        return F.try_to_timestamp(c, F.lit(timestamp_format))
+    return c.try_cast("timestamp")
+
+
+def _load_columns(df: DataFrame, time_col, value_col, series_col, series_id, timestamp_format):
+    sid = F.col(series_col).cast("string") if series_col else F.lit(series_id or value_col)
+    return sid, _stamp(df, time_col, timestamp_format), F.col(value_col).try_cast("double")
 
 
 def read_load(spark: SparkSession, path: str, fmt: str = "csv", time_col: str = "Datetime",
-              value_col: str = "PJME_MW", series_col: str | None = None,
-              series_id: str | None = None, timestamp_format: str | None = None) -> DataFrame:
-    """Hourly load → ``series_id, ts, load_mw``.
+              value_col: str = "PJME_MW", series_col: str | None = None, series_id: str | None = None,
+              timestamp_format: str | None = None, bad: str = "fail") -> DataFrame:
+    """Hourly load → ``series_id, ts, load_mw``; columns by name.
 
     A single-series file gets ``series_id`` as a literal (default: the value
-    column's name); a panel file names its ``series_col``.
-    """
-    schema = None
-    if fmt == "csv":
-        fields = [T.StructField(time_col, T.StringType())]
-        if series_col:
-            fields.append(T.StructField(series_col, T.StringType()))
-        fields.append(T.StructField(value_col, T.DoubleType()))
-        schema = T.StructType(fields)
-    df = _reader(spark, fmt, schema, {}).load(path)
-    ts = F.col(time_col)
-    if fmt == "csv" or dict(df.dtypes).get(time_col) == "string":
-        # malformed stamps become null and are dropped (ANSI casts would fail the job)
-        ts = F.try_to_timestamp(ts, F.lit(timestamp_format)) if timestamp_format else ts.try_cast("timestamp")
-    sid = F.col(series_col).cast("string") if series_col else F.lit(series_id or value_col)
-    return (df.select(sid.alias("series_id"), ts.try_cast("timestamp").alias("ts"),
-                      F.col(value_col).cast("double").alias("load_mw"))
-              .filter(F.col("ts").isNotNull()))
+    column's name); a panel file names its ``series_col``.  ``bad``: a stamp
+    that is missing or malformed, or a malformed number, fails the job
+    ("fail"), or drops its row ("drop"; :func:`rejected_load` lists them)."""
+    if bad not in ("fail", "drop"):
+        raise ValueError("bad is 'fail' or 'drop'")
+    df = read_named(spark, path, fmt, (time_col, value_col, *([series_col] if series_col else [])))
+    sid, ts, value = _load_columns(df, time_col, value_col, series_col, series_id, timestamp_format)
+    wrong = ts.isNull() | (value.isNull() & F.col(value_col).isNotNull())
+    if bad == "drop":
+        df = df.where(~wrong)
+    else:
+        told = F.concat(F.lit("malformed load row: "), F.to_json(F.struct(F.col(time_col).cast("string").alias(time_col),
+                                                                          F.col(value_col).cast("string").alias(value_col))))
+        ts = F.when(wrong, F.raise_error(told).cast("timestamp")).otherwise(ts)
+    return df.select(sid.alias("series_id"), ts.alias("ts"), value.alias("load_mw"))
+
+
+def rejected_load(spark: SparkSession, path: str, fmt: str = "csv", time_col: str = "Datetime",
+                  value_col: str = "PJME_MW", timestamp_format: str | None = None) -> DataFrame:
+    """The rows that :func:`read_load` drops with ``bad="drop"``, as read."""
+    df = read_named(spark, path, fmt, (time_col, value_col))
+    _, ts, value = _load_columns(df, time_col, value_col, None, None, timestamp_format)
+    return df.where(ts.isNull() | (value.isNull() & F.col(value_col).isNotNull()))
 
 
 def normalize_weather(raw: DataFrame, time_col: str = "time",
@@ -64,16 +80,12 @@ def normalize_weather(raw: DataFrame, time_col: str = "time",
 def read_weather(spark: SparkSession, path: str | None, fmt: str = "csv",
                  time_col: str = "Datetime") -> DataFrame | None:
     """Weather table ``ts, temp, rhum, wspd`` or ``None`` when the
-    source does not exist (the feature builder then uses the constants)."""
+    source does not exist (the feature builder then uses the constants).
+    Columns by name; an absent weather column becomes nulls."""
     if path is None:
         return None
     try:
-        if fmt == "csv":
-            schema = T.StructType([T.StructField(time_col, T.StringType())]
-                                  + [T.StructField(c, T.DoubleType()) for c in WEATHER_COLS])
-            raw = _reader(spark, fmt, schema, {}).load(path)
-        else:
-            raw = spark.read.format(fmt).load(path)
+        raw = read_named(spark, path, fmt, (time_col,))
     except Exception as exc:  # missing path → constants
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return None

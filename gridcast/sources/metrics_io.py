@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import code_of_display
 from ..schema import METRIC_NAMES, METRICS_SCHEMA
 
 _JSON_VALUE = T.MapType(T.StringType(), T.StructType([
@@ -48,11 +49,10 @@ def write_metrics_csv(board: DataFrame, path: str) -> None:
 def read_metrics_csv(spark: SparkSession, path: str, digits: int = 2) -> DataFrame:
     """S5 (read side): display columns back to ``model, mae, rmse, mape, r2``
     rounded to ``digits`` (the reference rounds to 2 on read)."""
-    schema = T.StructType([T.StructField("Model", T.StringType())]
-                          + [T.StructField(v, T.DoubleType()) for v in METRIC_NAMES.values()])
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    return df.select(F.col("Model").alias("model"),
-                     *[F.round(F.col(v), digits).alias(k) for k, v in METRIC_NAMES.items()])
+    from .load import read_named
+    df = read_named(spark, path, "csv", ("Model", *METRIC_NAMES.values()))
+    return df.select(code_of_display(F.col("Model")).alias("model"),
+                     *[F.round(F.col(v).cast("double"), digits).alias(k) for k, v in METRIC_NAMES.items()])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -77,11 +77,11 @@ def upsert_metrics_json(spark: SparkSession, new: DataFrame, path: str) -> DataF
     table is materialised before the overwrite so the read is not lazy over
     the file being replaced."""
     from ..operators.joins import upsert_metrics
-    from ..session import scratch_path
+    from ..session import drop_path, scratch_path
     merged = upsert_metrics(read_metrics_json(spark, path), new.select("model", "mae", "rmse", "mape", "r2")) \
         if _exists(spark, path) else new.select("model", "mae", "rmse", "mape", "r2")
     tmp = scratch_path(spark, "metrics-merge")
     merged.write.mode("overwrite").parquet(tmp)
-    merged = spark.read.parquet(tmp)
-    write_metrics_json(merged, path)
-    return merged
+    write_metrics_json(spark.read.parquet(tmp), path)
+    drop_path(spark, tmp)
+    return read_metrics_json(spark, path)

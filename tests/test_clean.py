@@ -98,3 +98,24 @@ def test_repartitioning_does_not_change_results(spark):
     b = C.regularize(src.repartition(13, "ts")).toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True)
     assert a[["series_id", "ts", "outlier_flag"]].equals(b[["series_id", "ts", "outlier_flag"]])
     assert np.allclose(a["load_mw"], b["load_mw"], rtol=0, atol=1e-9)
+
+
+def test_no_row_shuffle_by_series_alone(spark):
+    """What is exchanged by series alone are aggregates (partial sums, block
+    summaries), never rows."""
+    import re
+    from pyspark.sql import functions as F
+    from gridcast.operators import clean as C
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("series_id"),
+                                  F.timestamp_seconds(F.col("id") * 3600 + 1700000000).alias("ts"),
+                                  F.col("id").cast("double").alias("load_mw"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (C.fill_series(df), C.regularize(df, materialize=False), C.interpolate_gaps(C.reindex_hourly(df))):
+            plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+            found = [plan[n + 1] for n, line in enumerate(plan)
+                     if re.search(r"Exchange hashpartitioning\(series_id#\d+, \d+\)", line)]
+            assert found and all("Aggregate(" in below for below in found), found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -93,19 +93,26 @@ def test_linear_fit_and_tree_forecast(spark):
     assert sorted(both["model"].unique()) == ["linear", "rf"] and len(both) == 16
 
 
-@pytest.mark.parametrize("name,kw", [("rf", {"numTrees": 7, "maxDepth": 5}), ("xgboost", {"maxIter": 4, "maxDepth": 3})])
-def test_ensemble_one_pass_equals_step_loop(spark, name, kw):
+def test_linear_plan_equals_step_loop_with_all_features(spark):
     from gridcast.plans import features as PF
     f = PF.build_features(history(spark, 300), None)
-    m = PM.fit(name, f, **kw)
-    a = FC.forecast_ensemble(m, f, 10).toPandas()
+    m = PM.fit("linear", f)
+    coef, b0 = PM.linear_coefficients(m)
+    a = FC.forecast_linear(f, coef, b0, 10).toPandas()
     b = FC.forecast_model(m, f, 10, checkpoint_every=5).toPandas()
     j = a.merge(b, on=["series_id", "step"])
     assert len(j) == len(a) == 20
-    assert np.abs(j.forecast_mw_x - j.forecast_mw_y).max() < 1e-9
+    assert np.abs(j.forecast_mw_x - j.forecast_mw_y).max() < 1e-6
     assert (j.ts_x == j.ts_y).all()
 
 
+def test_forecast_by_shown_name(spark):
+    from gridcast.plans import features as PF
+    f = PF.build_features(history(spark, 300), None)
+    got = FC.forecast_models({"Linear Regression": PM.fit("linear", f)}, f, 3, display=True).toPandas()
+    assert got["model"].unique().tolist() == ["Linear Regression"] and len(got) == 6
+
+
 def test_seasonal_band_and_search(spark):
     from gridcast.plans import features as PF
     from gridcast.plans import search as SR
@@ -118,6 +125,12 @@ def test_seasonal_band_and_search(spark):
     assert len(p) == test.count()
     assert (p.yhat_lower <= p.yhat).all() and (p.yhat <= p.yhat_upper).all() and (p.yhat > 0).all()
     assert fp.count() == 2 * 12
+    # a future frame takes one row of regressors, or one per series
+    from gridcast.plans.report import future_frame
+    means = test.groupBy("series_id").agg(F.avg("temp").alias("temp"))
+    assert future_frame(test, 3, means).where("temp is null").count() == 0
+    with pytest.raises(ValueError, match="one row"):
+        future_frame(test, 3, means.drop("series_id"))
     space = dict(SR.SEARCH_SPACE, maxIter=("int", 2, 3), maxDepth=("int", 2, 3))
     best, scores, table, model = SR.walk_forward_search(spark, train, n_trials=2, n_splits=2, space=space)
     assert scores.count() == 4 and table.count() == 2
@@ -132,3 +145,80 @@ def test_future_holiday_flags(spark):
     # history ends 2024-01-14 23:00; steps 1..24 fall on 2024-01-15 (a federal holiday)
     assert st["_hols"] == [1] * 24 + [0] * 6
     assert len(st["_h"]) == 48
+
+
+def seasonal_history(spark, days, noise, series=("a", "b")):
+    rng = np.random.default_rng(4)
+    t0 = pd.Timestamp("2024-01-01")
+    n = days * 24
+    i = np.arange(n)
+    rows = []
+    for j, s in enumerate(series):
+        temp = rng.normal(10, 5, n)
+        y = (1000 * (j + 1) + 0.2 * i) * (1 + 0.3 * np.sin(2 * np.pi * i / 24) + 0.1 * np.cos(2 * np.pi * i / 168)
+                                        + 0.01 * (temp - 10)) + rng.normal(0, noise, n)
+        rows += [(s, t0 + pd.Timedelta(hours=int(k)), float(v), float(c), 60.0, 8.0) for k, v, c in zip(i, y, temp)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["series_id", "ts", "load_mw", "temp", "rhum", "wspd"]))
+
+
+def test_seasonal_finds_the_pattern_and_its_band_holds(spark):
+    from gridcast.plans import seasonal as SE
+    h = seasonal_history(spark, 40, 30.0)
+    cut = F.lit("2024-02-05").cast("timestamp")
+    _, tp, fp = SE.seasonal_regression(h.where(F.col("ts") < cut), h.where(F.col("ts") >= cut), 72)
+    p = tp.toPandas()
+    for s, g in p.groupby("series_id"):
+        assert (g.y - g.yhat).abs().mean() < 0.25 * (g.y - g.y.mean()).abs().mean()
+        assert 0.6 < ((g.y >= g.yhat_lower) & (g.y <= g.yhat_upper)).mean() < 0.95
+    f = fp.toPandas()
+    assert len(f) == 144 and f.yhat.min() > 0.5 * p.y.min() and f.yhat.max() < 1.3 * p.y.max()
+
+
+def test_seasonal_shrinks_what_the_data_does_not_show(spark):
+    from gridcast.plans import seasonal as SE
+    rng = np.random.default_rng(9)
+    t0 = pd.Timestamp("2024-01-01")
+    h = spark.createDataFrame(pd.DataFrame([("n", t0 + pd.Timedelta(hours=k), float(v)) for k, v in
+                                            enumerate(rng.normal(500, 50, 24 * 20))], columns=["series_id", "ts", "load_mw"]))
+    cut = F.lit("2024-01-15").cast("timestamp")
+    train, test = h.where(F.col("ts") < cut), h.where(F.col("ts") >= cut)
+    p = SE.predict_seasonal(test, SE.fit_seasonal(train, regressors=()), regressors=(), keep=["load_mw"]).toPandas()
+    assert (p.load_mw - p.yhat).abs().mean() < 1.1 * (p.load_mw - 500).abs().mean()
+
+
+def test_seasonal_awkward_series(spark):
+    from gridcast.plans import seasonal as SE
+    rows = [("one", "2024-01-01 00:00:00", 5.0), ("zero", "2024-01-01 00:00:00", 0.0), ("zero", "2024-01-01 01:00:00", 0.0),
+            ("gap", "2024-01-01 00:00:00", None), ("gap", "2024-01-02 00:00:00", 3.0)]
+    h = spark.createDataFrame(rows, "series_id string, ts string, load_mw double").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = SE.predict_seasonal(h, SE.fit_seasonal(h, regressors=()), regressors=()).toPandas()
+    assert len(p) == 5 and np.isfinite(p.yhat).all()
+
+
+def test_score_points_answers_every_request(spark):
+    from gridcast.plans import features as PF
+    from gridcast.plans import report as RP
+    f = PF.build_features(history(spark, 300), None)
+    models = {"linear": PM.fit("linear", f, ["lag_1h"]), "xgboost": PM.fit("linear", f, ["lag_24h"]), "rf": None}
+    rq = spark.createDataFrame([(1, "2025-06-01 14:00", "linear"), (2, "2025-06-01 14:00", None), (3, "not_a_date", "linear"),
+                                (4, "2025-06-01 14:00", "magic_model"), (5, None, "linear"), (6, "2025-06-01 14:00", "rf")],
+                               "request_id int, datetime string, model string")
+    got = {r["request_id"]: r for r in RP.score_points(rq, models).collect()}
+    assert len(got) == 6
+    want = {n: PM.linear_coefficients(models[n], c) for n, c in (("linear", ["lag_1h"]), ("xgboost", ["lag_24h"]))}
+    for i, n in ((1, "linear"), (2, "xgboost")):
+        coef, b0 = want[n]
+        assert abs(got[i]["forecast_mw"] - (b0 + 32000.0 * sum(coef.values()))) < 1e-6
+        assert got[i]["error"] is None and got[i]["model"] == n
+    for i in (3, 4, 5, 6):
+        assert got[i]["forecast_mw"] is None and got[i]["error"]
+    assert "magic_model" in got[4]["error"] and "not_a_date" in got[3]["error"]
+
+
+def test_permutation_importance_is_the_same_for_any_partitioning(spark):
+    from gridcast.plans import features as PF
+    f = PF.build_features(history(spark, 300), None)
+    m = PM.fit("linear", f, ["lag_1h", "lag_24h"])
+    a, b = ({r["feature"]: r["importance"] for r in PM.permutation_importance(m, f.repartition(n), ["lag_1h", "lag_24h"]).collect()}
+            for n in (1, 5))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)

@@ -20,7 +20,10 @@ def test_read_load_csv_and_missing_weather(spark):
     p = os.path.join(d, "load.csv")
     pd.DataFrame({"Datetime": ["2024-01-01 00:00:00", "2024-01-01 01:00:00", "bad"],
                   "PJME_MW": [1.5, 2.5, 3.0]}).to_csv(p, index=False)
-    df = LD.read_load(spark, p).orderBy("ts").toPandas()
+    with pytest.raises(Exception, match="malformed load row"):
+        LD.read_load(spark, p).collect()
+    assert [r["Datetime"] for r in LD.rejected_load(spark, p).collect()] == ["bad"]
+    df = LD.read_load(spark, p, bad="drop").orderBy("ts").toPandas()
     assert df["series_id"].tolist() == ["PJME_MW"] * 2 and df["load_mw"].tolist() == [1.5, 2.5]
     assert LD.read_weather(spark, os.path.join(d, "absent.csv")) is None
     w = os.path.join(d, "weather.csv")
@@ -89,3 +92,29 @@ def test_runs_listing(spark):
     names = set(lst["name"])
     assert "forest-1" in names and any(len(n) == 8 for n in names)
     assert set(lst["status"]) == {"FINISHED"}
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    w = tmp_path / "w.csv"
+    w.write_text("Datetime,rhum,temp,wspd\n2024-01-01 00:00:00,60,10,8\n")
+    got = LD.read_weather(spark, str(w)).first()
+    assert (got["temp"], got["rhum"], got["wspd"]) == (10.0, 60.0, 8.0)
+    p = tmp_path / "p.csv"
+    p.write_text("PJME_MW,zone,Datetime\n5.5,x,2024-01-01 00:00:00\n,y,2024-01-01 01:00:00\n")
+    rows = [tuple(r) for r in LD.read_load(spark, str(p), series_col="zone").select("series_id", "load_mw").orderBy("ts").collect()]
+    assert rows == [("x", 5.5), ("y", None)]
+    with pytest.raises(ValueError, match="no column AEP_MW"):
+        LD.read_load(spark, str(p), value_col="AEP_MW")
+    m = tmp_path / "m.csv"
+    m.write_text("R2,MAE (MW),Model,RMSE (MW),MAPE (%)\n0.9,1.239,XGBoost,2.0,3.0\n")
+    r = MIO.read_metrics_csv(spark, str(m)).first()
+    assert (r["model"], r["mae"], r["r2"]) == ("xgboost", 1.24, 0.9)
+
+
+def test_forecast_records_round_trip(spark, tmp_path):
+    from gridcast.plans import report as RP
+    fc = spark.createDataFrame([("a", 1, pd.Timestamp("2024-01-01 05:00:00").to_pydatetime(), 1.2367)], "series_id string, step int, ts timestamp, forecast_mw double")
+    for fmt, stamp, v in (("json", "2024-01-01 05:00:00", 1.24), ("csv", "2024-01-01 05:00", 1.2)):
+        RP.write_forecast(fc, str(tmp_path / fmt), fmt)
+        r = RP.read_forecast(spark, str(tmp_path / fmt), fmt).first()
+        assert (r["series_id"], r["datetime"], r["forecast_mw"]) == ("a", stamp, v)
