@@ -116,11 +116,10 @@ def forecast_linear(history: DataFrame, coefficients: Mapping[str, float], inter
     used = {c: float(b) for c, b in coefficients.items() if b}
     recent = {"lag_1h", "lag_24h", "lag_168h", "rolling_mean_24h", "rolling_mean_168h", "rolling_std_24h"}
 
-    def known(step: Column) -> Column:
+    def known(t: Column, holiday: Column) -> Column:
         """Intercept, calendar and weather part of a step's prediction."""
-        t = F.timestamp_add("HOUR", step, F.col("_t"))
         cal = calendar_columns(t)
-        feats = {**cal, "is_holiday": F.element_at(F.col("_hols"), step.cast("int")),
+        feats = {**cal, "is_holiday": holiday,
                  **cyclical_columns(cal["hour"], cal["month"]),
                  **{c: F.lit(v) for c, v in WEATHER_DEFAULTS.items()}, "temp_sq": F.lit(WEATHER_DEFAULTS["temp"] ** 2)}
         total = F.lit(float(intercept))
@@ -129,7 +128,8 @@ def forecast_linear(history: DataFrame, coefficients: Mapping[str, float], inter
                 total = total + F.lit(b) * feats[c]
         return total
 
-    state = state.withColumn("_base", F.transform(F.sequence(F.lit(1), F.lit(horizon)), known))
+    times = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda s: F.timestamp_add("HOUR", s, F.col("_t")))
+    state = state.withColumn("_base", F.zip_with(times, "_hols", known))
     state = state.withColumn("_mid", _mean(F.col("_h")))
     # values about the middle: differences keep the digits of the squares
     state = state.withColumn("_c", F.transform("_h", lambda x: x - F.col("_mid")))

@@ -93,7 +93,7 @@ def forest_estimator(cols: Sequence[str] = FEATURE_COLS, **overrides) -> Pipelin
 def boosted_estimator(cols: Sequence[str] = FEATURE_COLS, **overrides) -> Pipeline:
     """M5: gradient-boosted trees (Spark's GBT stands in for xgboost: no
     L1/L2 leaf penalties, column sampling per node)."""
-    p = {**BOOSTED_PARAMS, **TREE_ENGINE, **overrides}
+    p = {**BOOSTED_PARAMS, **TREE_ENGINE, "cacheNodeIds": False, **overrides}  # shallow trees: re-walking is cheaper
     gbt = GBTRegressor(featuresCol=FEATURES_VEC, labelCol=TARGET, predictionCol="prediction", seed=SEED, **p)
     return Pipeline(stages=[_assembler(cols), gbt])
 
@@ -257,12 +257,14 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
 
 def train_all(train: DataFrame, test: DataFrame, names: Sequence[str] = MODEL_NAMES,
               overrides: Mapping[str, dict] | None = None, keys: Sequence[str] = KEYS,
-              ts: str = TS) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
-    """Fit every named model on ``train``, score ``test``, and return
-    ``(models, predictions, metrics)``; metrics use the reference's rounding."""
+              ts: str = TS, fitted: Mapping[str, PipelineModel] | None = None
+              ) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
+    """Fit every named model on ``train`` (those in ``fitted`` are
+    there already), score ``test``, and return ``(models, predictions,
+    metrics)``; metrics use the reference's rounding."""
     overrides = overrides or {}
     test = test.persist()  # scored by every model
-    models = {n: fit(n, train, **overrides.get(n, {})) for n in names}
+    models = {n: (fitted or {}).get(n) or fit(n, train, **overrides.get(n, {})) for n in names}
     preds = materialize(score_test(models, test, keys, ts))
     test.unpersist()
     metrics = evaluate_models(preds, rounded=True)

@@ -199,8 +199,7 @@ def fit_forest(spark, sf):
 
 @register("fit_boosted")
 def fit_boosted(spark, sf):
-    train, test = _split(spark, sf)
-    return PM.predict(PM.fit("xgboost", train), test, name="xgboost")
+    return PM.predict(_fitted(spark, sf, "xgboost"), _split(spark, sf)[1], name="xgboost")
 
 
 @register("feature_importance")
@@ -277,7 +276,7 @@ def score_test(spark, sf):
 @register("train_all")
 def train_all(spark, sf):
     train, test = _split(spark, sf)
-    _, _, metrics = PM.train_all(train, test)
+    _, _, metrics = PM.train_all(train, test, fitted={n: _fitted(spark, sf, n) for n in PM.MODEL_NAMES})
     return M.leaderboard(metrics)
 
 
