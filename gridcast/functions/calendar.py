@@ -133,7 +133,7 @@ def add_is_holiday(df: DataFrame, ts: str = "ts", holidays: DataFrame | None = N
 
 def is_holiday_expr(d: Column) -> Column:
     """The same federal rules as :func:`holiday_rows`, as one boolean
-    expression of a DATE (no lookup, no join): O(1) per row.  Equal to
+    expression of a DATE (before 1971, when other dates held, those of 1971) (no lookup, no join): O(1) per row.  Equal to
     membership in :func:`holiday_dimension` for 1971-2100 (tested)."""
     y, m, dd = F.year(d), F.month(d), F.dayofmonth(d)
     dow = F.dayofweek(d)  # 1 = Sunday … 7 = Saturday

@@ -53,6 +53,6 @@ def test_fill_over_long_gaps(spark):
     rows = [("s", i, (float(i) if i in (3, 250) else None)) for i in range(600)]
     df = spark.createDataFrame(rows, "series_id string, h int, v double") \
         .withColumn("ts", F.timestamp_seconds(F.col("h") * 3600))
-    out = W.fill_gaps(df, ["v"], chunk_rows=100).orderBy("h").toPandas()
+    out = W.fill_gaps(df, ["v"]).orderBy("h").toPandas()
     exp = [3.0] * 4 + [3.0] * (250 - 4) + [250.0] * (600 - 250)
     assert out["v"].tolist() == exp
