@@ -33,6 +33,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,7 +117,10 @@ def links_and_counts(reps: DataFrame, threshold: float, n: int, dim: int) -> Dat
     spark = reps.sparkSession
     bounded_batches(spark)
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vec").toPandas()["vec"].tolist()
+    # about twice as many rows by hash, then the first of them: few rows move, however many there are
+    share = F.lit(math.ceil(min(1.0, 2 * SAMPLE / max(1, n)) * (1 << 40)))
+    sample = (reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < share).orderBy(F.xxhash64("rep")).limit(SAMPLE)
+              .select("vec").toPandas()["vec"].tolist()) or reps.limit(1).select("vec").toPandas()["vec"].tolist()
     shared = spark.sparkContext.broadcast(choose_pivots(_unit(sample, dim), n, eps))  # MAX_PIVOTS rows at most
 
     def near(vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
