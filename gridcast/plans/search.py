@@ -90,3 +90,12 @@ def walk_forward_search(spark: SparkSession, train: DataFrame, n_trials: int = 5
     data.unpersist()
     base.unpersist()
     return cands[best], scores, table, model
+
+
+def tuned_run(best: dict, table: DataFrame, model, test: DataFrame, experiment: str = "tuned") -> DataFrame:
+    """The refitted best candidate as a run record: its parameters, the best
+    mean fold MAE and its scores on the test frame."""
+    from ..operators.metrics import evaluate_models
+    from ..sources.runs import run_records
+    metrics = evaluate_models(PM.predict(model, test, name="xgboost"), rounded=False)
+    return run_records(metrics, experiment, {**best, "cv_best_mae": table.first()["cv_mae"]})

@@ -236,3 +236,14 @@ def seasonal_regression(train: DataFrame, test: DataFrame, horizon: int = 72, ke
     fut = future_frame(test, horizon, exog_means(test, regressors), keys, ts)
     fp = predict_seasonal(fut, coefs, keys, ts, regressors, interval_width)
     return coefs, tp, fp
+
+
+def seasonal_run(predictions: DataFrame, experiment: str = "seasonal", interval_width: float = INTERVAL_WIDTH) -> DataFrame:
+    """A scored test frame (``y, yhat``) as a run record with the fixed
+    settings of the fit."""
+    from ..operators.metrics import evaluate_models
+    from ..sources.runs import run_records
+    scored = predictions.select(F.lit("prophet").alias("model"), "y", F.col("yhat").alias("p"))
+    return run_records(evaluate_models(scored, rounded=False), experiment, {
+        "changepoint_prior_scale": CHANGEPOINT_PRIOR, "seasonality_prior_scale": SEASONALITY_PRIOR,
+        "seasonality_mode": "multiplicative", "interval_width": interval_width})

@@ -507,3 +507,17 @@ def list_runs(spark, sf):
     path = scratch_path(spark, "runs")
     RU.log_runs(runs, path)
     return kept(stable(RU.list_runs(RU.read_runs(spark, path))), path)
+
+
+@register("list_model_runs")
+def list_model_runs(spark, sf):
+    """S9 for the tuned and the seasonal model: both logged, then listed with
+    shown names and parameters."""
+    train, test = _split(spark, sf)
+    best, _, table, model = SR.walk_forward_search(spark, train, n_trials=SEARCH_TRIALS, n_splits=3, space=_SMALL_SPACE)
+    path = scratch_path(spark, "model-runs")
+    RU.log_runs(SR.tuned_run(best, table, model, test), path)
+    RU.log_runs(SE.seasonal_run(SE.seasonal_regression(train, test, 72)[1]), path)
+    runs = RU.read_runs(spark, path)
+    listed = RU.list_runs(runs).join(runs.select("run_id", F.to_json("params").alias("params")), "run_id")
+    return kept(listed.withColumn("model", SC.display_name(F.col("model"))), path)

@@ -135,6 +135,11 @@ def test_seasonal_band_and_search(spark):
     best, scores, table, model = SR.walk_forward_search(spark, train, n_trials=2, n_splits=2, space=space)
     assert scores.count() == 4 and table.count() == 2
     assert best == SR.draw_candidates(2, 42, space)[table.first()["candidate"]]
+    run = SR.tuned_run(best, table, model, test).first()
+    assert run["model"] == "xgboost" and float(run["params"]["cv_best_mae"]) == table.first()["cv_mae"]
+    assert run["params"]["maxDepth"] == str(best["maxDepth"]) and run["metrics"]["mae"] > 0
+    seasonal = SE.seasonal_run(tp).first()
+    assert seasonal["model"] == "prophet" and seasonal["metrics"]["rmse"] >= seasonal["metrics"]["mae"]
 
 
 def test_future_holiday_flags(spark):
