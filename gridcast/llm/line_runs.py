@@ -136,7 +136,8 @@ def dropped_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
         if high is not None:
             part = part.where(F.col("doc_id") < F.lit(high))
         store.add(part)
-    common = store.merged().where(F.col("docs") >= min_docs).select("h1", "h2", "owner")
+    # written, so that the join below is between two plain exchanges and a hot line's rows can be split
+    common = materialize(store.merged().where(F.col("docs") >= min_docs).select("h1", "h2", "owner"))
     return keys.join(common, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "h1", "h2")
 
 
