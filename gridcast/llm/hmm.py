@@ -298,11 +298,14 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
         yield flat[a:b]
 
 
-def train(tokens: DataFrame, size: int):
-    """Baum-Welch over all rows of ``tokens(symbols)``."""
+def train(tokens: DataFrame, size: int, documents: int):
+    """Baum-Welch over all ``documents`` rows of ``tokens(symbols)``."""
     spark = tokens.sparkSession
-    some = (tokens.where(F.col("n") <= START_TOKENS).select("row", "symbols").orderBy(F.xxhash64("row"))
-            .limit(START_DOCS).select("symbols").toArrow())
+    # about twice as many rows by hash, then the first of them: few rows move, however many there are
+    share = min(1.0, 2 * START_DOCS / max(1, documents))
+    some = (tokens.where((F.col("n") <= START_TOKENS)
+                         & (F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40)))))
+            .select("row", "symbols").orderBy(F.xxhash64("row")).limit(START_DOCS).select("symbols").toArrow())
     model = first_model([np.asarray(s, dtype=np.int64) for s in some.column(0).to_pylist()], size)
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)  # (OWN + 1 + ENDINGS) x STATES numbers
@@ -355,7 +358,7 @@ def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_co
     shared = spark.sparkContext.broadcast(alphabet)  # LISTED words at most
     path = scratch_path(spark, "hmm-tokens")
     tokens = encode(docs, shared, held, path, id_col, text_col)
-    model = train(tokens.where("not held_out"), alphabet.size)
+    model = train(tokens.where("not held_out"), alphabet.size, documents)
     final = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
