@@ -49,6 +49,11 @@ _SENTENCE = np.array([ord(c) for c in ".,;:?'\"-"])
 _OTHER = np.array([b for b in range(33, 127) if not chr(b).isalnum() and b not in _SENTENCE])
 
 
+# Shares of a text are drawn towards these many characters or words of usual
+# prose, so that a text of a few words does not look extreme.
+_CHARS, _WORDS = 60.0, 10.0
+
+
 def statistics(text: str) -> list[float]:
     """The statistics of a whole text (all 0 for the empty text)."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -66,12 +71,20 @@ def statistics(text: str) -> list[float]:
     tails = sum(1 for w in words if w[-1] in _TAILS)
     shouted = sum(1 for w in words if w.isupper())
     m = len(words)
-    return [math.log1p(n), math.log1p(m), float(sizes.mean()), float(sizes.std()), float((sizes > 14).mean()),
-            (low + up) / n, up / n, digit / n, (int(count[32]) + int(count[9])) / n, int(count[10]) / n,
-            int(count[128:].sum()) / n, int(count[_SENTENCE].sum()) / m, int(other.sum()) / m,
-            float((other > 0).sum()), float(-(share * np.log2(share)).sum()), len(set(words)) / m,
-            len(pairs) / max(1, m - 1), 1 - len(set(lines)) / len(lines), math.log1p(n / len(lines)), tails / m,
-            float(other.max()) / m, shouted / m]
+
+    def by_char(x: float, usual: float) -> float:
+        return (float(x) + usual * _CHARS) / (n + _CHARS)
+
+    def by_word(x: float, usual: float) -> float:
+        return (float(x) + usual * _WORDS) / (m + _WORDS)
+
+    return [math.log1p(n), math.log1p(m), by_word(sizes.sum(), 5.0), math.sqrt(by_word(((sizes - sizes.mean()) ** 2).sum(), 9.0)),
+            by_word((sizes > 14).sum(), 0.02), by_char(low + up, 0.78), by_char(up, 0.03), by_char(digit, 0.01),
+            by_char(count[32] + count[9], 0.17), by_char(count[10], 0.005), by_char(count[128:].sum(), 0.03),
+            by_word(count[_SENTENCE].sum(), 0.15), by_word(other.sum(), 0.02), float((other > 0).sum()),
+            by_char(-(share * np.log2(share)).sum() * n, 4.2), by_word(len(set(words)), 0.7), by_word(len(pairs), 0.95),
+            1 - len(set(lines)) / len(lines), math.log1p(n / len(lines)), by_word(tails, 0.02), by_word(other.max(), 0.01),
+            by_word(shouted, 0.02)]
 
 
 _TAILS = frozenset(_OTHER.tolist())
