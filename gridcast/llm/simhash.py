@@ -150,7 +150,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             mask = _signed(SEGMENTS[i] | SEGMENTS[(i + step) % RING])
             rings.append(F.struct(F.lit(i * 2 + step - 1).alias("ring"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
     keyed = fp.select("fp", F.explode(F.array(*rings)).alias("k")).select("fp", "k.ring", "k.bits")
-    sizes = keyed.groupBy("ring", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below is between two plain exchanges and a hot key's rows can be split
+    sizes = materialize(keyed.groupBy("ring", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = (keyed.join(sizes, ["ring", "bits"])
              .withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
              .withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks")))
