@@ -4,32 +4,33 @@ Tokens: words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then
 one end token.  All training documents are counted; ``words`` (word, count) is
 a distributed table.
 
-The model's alphabet is bounded whatever the corpus: at most ``OWN`` frequent
-words are symbols of their own, so is the end token, and any other word is the
-symbol of its ending (``ENDINGS`` classes by the last three bytes), times its
-share of that class: ``(c + 1) / (N + V + 1)`` with the class's own counts,
-the extra one for words not seen.  So
+Every training word is a symbol of its own, so is the end token.  A state gives
+a word either its own share or that of its ending (``ENDINGS`` classes by the
+last three bytes) divided by the class's words:
 
-    P(text) = sum over state paths of  start * transitions * emissions
-              * product of the shares,
+    P(word | state) = (1 - mix) * own + mix * ending / (V + 1)
 
-which the scaled forward recursion gives exactly.
+with ``V`` words in the class, the extra one for words not seen, and ``mix`` the
+share of add-one counts in all counts; one state would give ``(c + 1) / (N + V
++ 1)``, but for the endings.  This sums to one over all words, and the scaled
+forward recursion gives P(text) exactly.
 
-Training: Baum-Welch.  Every round each partition adds up expected starts,
-transitions and emissions of all its training documents, and Spark adds them
-across partitions; the start is a few rounds over a bounded sample.
-
-Counts of words: the at most ``LISTED`` most frequent go to the tasks as a
-table of that bound; the others are looked up by a join on the word.
+Training: Baum-Welch over all training documents.  Expected counts of the at
+most ``LISTED`` most frequent words, of starts, transitions and endings are
+tables of that bound, added up by Spark and sent to the tasks; those of all
+other words are a distributed table ``word, c, s0..``, summed by ``groupBy`` and
+joined each round to the words of every block of documents.  The start is a few
+rounds over a bounded sample, in which at most ``OWN`` words have a symbol.
 
 Defined results: null text is the empty text (the end token alone); null ids
 are training rows; repeated rows are scored each and count each; without any
-training document every symbol is equally likely; an empty table gives no
+training document every ending is equally likely; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
@@ -48,10 +49,10 @@ ROUNDS = 2          # over all training documents
 START_ROUNDS = 12   # over the sample
 START_DOCS = 600
 START_TOKENS = 5000  # documents of the sample have at most so many tokens
-OWN = 8192
+OWN = 8192          # words with a symbol in the sample; in the training every word has one
 ENDINGS = 1024
 LISTED = 1 << 18
-#: Tokens that a task holds at a time; longer documents train in pieces.
+#: Tokens of a block, which a task holds at a time; longer documents train in pieces.
 HOLD = 500_000
 #: Words that a task counts before it passes the counts on.
 COUNTED = 400_000
@@ -88,23 +89,23 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Alphabet:
-    """Symbols of words: made on the driver, of bounded size."""
+    """The listed words and the classes: made on the driver, of bounded size."""
 
-    def __init__(self, listed: list[bytes], counts: np.ndarray, own_from: int, class_counts: np.ndarray,
-                 class_words: np.ndarray, total: int, distinct: int, documents: int):
-        self.listed, self.counts = listed, counts
+    def __init__(self, listed: list[bytes], counts: np.ndarray, own: int, class_words: np.ndarray,
+                 rare_counts: np.ndarray, total: int, distinct: int, documents: int):
+        self.listed, self.counts, self.own = listed, counts, own
         self.total, self.distinct, self.documents = total, distinct, documents
-        own = counts >= own_from
-        order = np.cumsum(own) - 1
-        self.own = int(own.sum())
-        self.end = self.own
-        self.size = self.own + 1 + ENDINGS
+        self.end = len(listed)
+        self.unseen = self.end + 1  # and the class: words that are not in the training
+        self.size = self.unseen + ENDINGS
+        self.rare_counts = rare_counts
+        self.class_norm = class_words + 1.0
         classes = np.array([ending(w) for w in listed], dtype=np.int64) if listed else np.zeros(0, np.int64)
-        self.symbol = np.where(own, order, self.own + 1 + classes).astype(np.int32)
-        self.class_norm = np.log10(class_counts + class_words + 1.0)
-        log_count = np.log10(counts + 1.0)
-        self.log_count = log_count
-        self.share = np.where(own, 0.0, log_count - self.class_norm[classes] if len(classes) else 0.0)
+        # by symbol: class (the end token is one of its own), share of it, count
+        self.classes = np.concatenate([classes, [ENDINGS], np.arange(ENDINGS)])
+        self.share = np.concatenate([1.0 / self.class_norm[classes], [1.0], 1.0 / self.class_norm])
+        self.symbol_counts = np.concatenate([counts, [documents], np.zeros(ENDINGS, np.int64)])
+        self.mix = (distinct + 1.0) / (total + distinct + 1.0)
         self._table = None
 
     def __getstate__(self):
@@ -115,9 +116,15 @@ class Alphabet:
             self._table = {w: i for i, w in enumerate(self.listed)}
         return self._table
 
+    def without_words(self) -> Alphabet:
+        """The same without the words themselves, for the passes after ``encode``."""
+        out = copy.copy(self)
+        out.listed = []
+        return out
+
 
 def ending(word: bytes) -> int:
-    """Class of a word that is no symbol of its own."""
+    """Class of a word."""
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
@@ -136,66 +143,75 @@ def make_alphabet(words: DataFrame, documents: int) -> tuple[Alphabet, int]:
 
     own_from, listed_from = at_least(OWN), at_least(LISTED)
     listed = words.where(F.col("c") >= listed_from).toArrow()  # LISTED rows at most
-    got = (words.where(F.col("c") < own_from)
-           .groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % F.lit(ENDINGS)).alias("k"))
-           .agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect())
-    class_counts, class_words = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    rare = F.when(F.col("c") < listed_from, F.col("c"))
+    got = (words.groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % F.lit(ENDINGS)).alias("k"))
+           .agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum(rare).alias("r")).collect())
+    class_counts, class_words, rare_counts = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in got:
-        class_counts[r["k"]], class_words[r["k"]] = r["c"], r["v"]
-    sums = words.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
+        class_counts[r["k"]], class_words[r["k"]], rare_counts[r["k"]] = r["c"], r["v"], r["r"] or 0
     counts = listed.column("c").to_numpy().astype(np.int64)
     order = np.argsort(-counts, kind="stable")
     names = listed.column("word").to_pylist()
-    return Alphabet([names[i] for i in order], counts[order], own_from, class_counts, class_words,
-                    (sums["c"] or 0) + documents, sums["v"] + (1 if documents else 0), documents), listed_from
+    return Alphabet([names[i] for i in order], counts[order], int((counts >= own_from).sum()), class_words, rare_counts,
+                    int(class_counts.sum()) + documents, int(class_words.sum()) + (1 if documents else 0),
+                    documents), listed_from
 
 
 def encode(docs: DataFrame, alphabet, held, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Write and reread ``row, doc_id, held_out, n, known, log_counts, shares,
-    symbols, rare``: the token table that all later passes read.  ``rare``:
-    words beyond the listed, whose counts a join adds."""
+    """Write and reread the token table that all later passes read: a row
+    ``block, kind, at, doc_id, held_out, symbols`` per document (kind 1), and per
+    block the ``words`` that are not listed (kind 0).  Words of that list have
+    the symbols from ``size`` on.  A block has ``HOLD`` tokens, or one document
+    more, and is of training documents or of others."""
     id_type = dict(docs.dtypes)[id_col]
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Alphabet = alphabet.value
         table = a.table()
-        row = TaskContext.get().partitionId() << 33
-        log_end = math.log10(a.documents + 1.0)
+        first = TaskContext.get().partitionId() << 33
+        blocks = 0
+        opened: dict = {}  # by held_out: block, tokens, words
+
+        def batch(block, kind, at, ids, held_out, symbols, words):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(at, pa.int64()), ids, held_out,
+                 pa.array(symbols, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.binary()))],
+                names=["block", "kind", "at", "doc_id", "held_out", "symbols", "words"])
+
+        def closed(shut, ids_type):
+            n = len(shut)
+            return batch([o[0] for _, o in shut], [0] * n, [0] * n, pa.nulls(n, ids_type),
+                         pa.array([h for h, _ in shut], pa.bool_()), [None] * n, [list(o[2]) for _, o in shut])
+
+        row, ids_type = first, None
         for b in batches:
-            n, known, logs, shares, symbols, rare, rows = [], [], [], [], [], [], []
-            for t in texts_of(b.column(2)):
-                words = tokens_of(t)
-                code = np.array([table.get(w, -1) for w in words], dtype=np.int64)
-                hit = code >= 0
-                found = code[hit]
-                sym = np.empty(len(code) + 1, dtype=np.int32)
+            ids_type = b.column(0).type
+            block, symbols, full = [], [], []
+            for t, h in zip(texts_of(b.column(2)), b.column(1).to_pylist(), strict=True):
+                if h in opened and opened[h][1] >= HOLD:
+                    full.append((h, opened.pop(h)))
+                if h not in opened:
+                    opened[h] = [first + blocks, 0, {}]
+                    blocks += 1
+                now = opened[h]
+                lost = now[2]
+                sym = np.empty(len(words := tokens_of(t)) + 1, dtype=np.int32)
                 sym[-1] = a.end
-                sym[:-1][hit] = a.symbol[found]
-                other = np.flatnonzero(~hit)
-                share = float(a.share[found].sum())
-                lost = [words[i] for i in other]
-                if lost:
-                    k = np.array([ending(w) for w in lost])
-                    sym[other] = a.own + 1 + k
-                    share -= float(a.class_norm[k].sum())
-                rows.append(row)
-                row += 1
-                n.append(len(sym))
-                known.append(len(found) + (1 if a.documents else 0))
-                logs.append(float(a.log_count[found].sum()) + log_end)
-                shares.append(share)
+                sym[:-1] = [table[w] if w in table else a.size + lost.setdefault(w, len(lost)) for w in words]
+                now[1] += len(sym)
+                block.append(now[0])
                 symbols.append(sym)
-                rare.append(lost)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(logs), pa.array(shares), pa.array(symbols, pa.list_(pa.int32())),
-                 pa.array(rare, pa.list_(pa.binary()))],
-                names=["row", "doc_id", "held_out", "n", "known", "log_counts", "shares", "symbols", "rare"])
+            n = len(block)
+            yield batch(block, [1] * n, np.arange(row, row + n), b.column(0), b.column(1), symbols, [None] * n)
+            row += n
+            if full:
+                yield closed(full, ids_type)
+        if opened:
+            yield closed(list(opened.items()), ids_type)
 
     out = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), text_col).mapInArrow(
-        run, f"row long, doc_id {id_type}, held_out boolean, n long, known long, log_counts double, shares double, "
-             "symbols array<int>, rare array<binary>")
+        run, f"block long, kind int, at long, doc_id {id_type}, held_out boolean, symbols array<int>, words array<binary>")
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
@@ -228,9 +244,9 @@ def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kee
     """Scaled forward recursion: the scale of every token, and (``keep``) the
     forward rows and emissions.  ``emit``: symbols x states."""
     total, states = len(s.symbols), len(start)
-    scale = np.empty(total)
+    scale = np.empty(total, emit.dtype)
     e = emit[s.symbols]
-    rows = np.empty((total, states)) if keep else None
+    rows = np.empty((total, states), e.dtype) if keep else None
     a = None
     for t in range(s.steps):
         x, y = s.begin[t], s.begin[t + 1]
@@ -298,50 +314,192 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
         yield flat[a:b]
 
 
-def train(tokens: DataFrame, size: int, documents: int):
-    """Baum-Welch over all ``documents`` rows of ``tokens(symbols)``."""
-    spark = tokens.sparkSession
+class Model:
+    """Sums of a round turned into probabilities (tables of bounded size; the
+    words that are not listed have theirs from the joined rows)."""
+
+    def __init__(self, start, move, own: np.ndarray, own_total: np.ndarray, back: np.ndarray, alphabet: Alphabet):
+        self.start, self.move, self.mix = start, move, alphabet.mix
+        self.rate = (1 - alphabet.mix) / np.maximum(own_total, 1e-300)  # of an expected count, by state
+        self.own = own * self.rate
+        self.back = alphabet.mix * back / back.sum(axis=0)
+
+    def emissions(self, alphabet: Alphabet, words: list[bytes], counts: np.ndarray):
+        """Own part and whole of every symbol's emission, with its class: the
+        listed, the unseen and then ``words`` with expected ``counts``."""
+        classes = np.concatenate([alphabet.classes, np.array([ending(w) for w in words], dtype=np.int64)])
+        share = np.concatenate([alphabet.share, 1.0 / alphabet.class_norm[classes[alphabet.size:]]])
+        own = np.concatenate([self.own, np.zeros((ENDINGS, STATES)), counts * self.rate])
+        return own, own + self.back[classes] * share[:, None], classes
+
+
+_SUMS = [f"s{k}" for k in range(STATES)]
+_LIKE = 1 + STATES          # rows of the summed table before the symbols: starts, transitions, then
+_RARE = _LIKE + 1           # log-likelihood, own counts of words that are not listed
+_CLASS = _RARE + 1          # and a row per class
+_FIRST = _CLASS + ENDINGS + 1
+
+
+def seeded(sample: list[np.ndarray], a: Alphabet) -> tuple[Model, np.ndarray]:
+    """The model of the sample spread over all words, and the states of a class."""
+    low = np.concatenate([np.arange(a.own), a.own + 1 + a.classes[a.own:a.end], [a.own],
+                          a.own + 1 + np.arange(ENDINGS)])  # symbols of the sample by symbol
+    size = a.own + 1 + ENDINGS
+    start, move, emit = first_model(sample, size)
+    seen = np.zeros((size, STATES)) if not sample else expected(sample, start, move, emit)[2]
+    weight = emit * (seen.sum(axis=0) + 1)
+    states = weight / weight.sum(axis=1, keepdims=True)  # of a symbol
+    of_class = states[a.own + 1:]
+    own = a.symbol_counts[:a.end + 1, None] * states[low[:a.end + 1]]
+    rare = a.rare_counts[:, None] * of_class
+    back = np.zeros((ENDINGS + 1, STATES))
+    np.add.at(back, a.classes[:a.end + 1], own)
+    back[:ENDINGS] += rare
+    return Model(start, move, own, own.sum(axis=0) + rare.sum(axis=0), back + _SMOOTH, a), of_class
+
+
+def sample_of(learn: DataFrame, alphabet, documents: int, text_col: str) -> list[np.ndarray]:
+    """At most ``START_DOCS`` documents in the symbols of the sample."""
     # about twice as many rows by hash, then the first of them: few rows move, however many there are
     share = min(1.0, 2 * START_DOCS / max(1, documents))
-    some = (tokens.where((F.col("n") <= START_TOKENS)
-                         & (F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40)))))
-            .select("row", "symbols").orderBy(F.xxhash64("row")).limit(START_DOCS).select("symbols").toArrow())
-    model = first_model([np.asarray(s, dtype=np.int64) for s in some.column(0).to_pylist()], size)
-    for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model)  # (OWN + 1 + ENDINGS) x STATES numbers
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            held, count, sums = [], 0, None
-
-            def add(held, sums):
-                got = expected(held, *now.value)[:3]
-                return got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
-
-            for b in batches:
-                for seq in _pieces(b, 0):
-                    for k in range(0, len(seq), HOLD):
-                        held.append(seq[k:k + HOLD])
-                        count += len(held[-1])
-                        if count >= HOLD:
-                            sums, held, count = add(held, sums), [], 0
-            if held:
-                sums = add(held, sums)
-            if sums is not None:  # rows of the three tables, told apart by number
-                rows = np.concatenate([sums[0][None, :], sums[1], sums[2]])
-                seen = np.flatnonzero(rows.any(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(rows[seen, k]) for k in range(STATES)]],
-                                                 names=["i", *[f"s{k}" for k in range(STATES)]])
-
-        summed = (tokens.select("symbols")
-                  .mapInArrow(run, "i int, " + ", ".join(f"s{k} double" for k in range(STATES)))
-                  .groupBy("i").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]).toArrow())
-        rows = np.zeros((1 + STATES + size, STATES))
-        if summed.num_rows:
-            at = summed.column("i").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: Alphabet = alphabet.value
+        table = a.table()
+        for b in batches:
+            symbols = []
+            for t in texts_of(b.column(1)):
+                known = ((w, table.get(w, a.end)) for w in tokens_of(t))
+                symbols.append([*(i if i < a.own else a.own + 1 + ending(w) for w, i in known), a.own])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(symbols, pa.list_(pa.int32()))], names=["at", "symbols"])
+
+    some = (learn.select(F.monotonically_increasing_id().alias("at"), text_col)
+            .where(F.pmod(F.xxhash64("at"), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40))))
+            .mapInArrow(run, "at long, symbols array<int>").where(F.size("symbols") <= START_TOKENS)
+            .orderBy(F.xxhash64("at")).limit(START_DOCS).select("symbols").toArrow())
+    return [np.asarray(s, dtype=np.int64) for s in some.column(0).to_pylist()]
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], a: Alphabet, of_class: np.ndarray):
+    """``words, c, counts, documents`` of each block (documents: batches of
+    kind 1) from rows sorted by block, kind, place."""
+    def parts():
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for x, y in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                yield int(block[x]), int(kind[x]), b.slice(x, y - x)
+
+    def whole(rows, docs):
+        if not rows:
+            return [], np.zeros(0), np.zeros((0, STATES)), docs
+        t = pa.Table.from_batches(rows)
+        words = t.column("word").to_pylist()
+        c = t.column("c").fill_null(0).to_numpy().astype(float)
+        counts = np.stack([t.column(k).to_numpy() for k in _SUMS], 1).astype(float)
+        new = np.isnan(counts[:, 0])  # the first round, or a word not seen
+        counts[new] = c[new, None] * of_class[[ending(words[i]) for i in np.flatnonzero(new)]].reshape(-1, STATES)
+        return words, c, counts, docs
+
+    at, rows, docs = None, [], []
+    for block, kind, b in parts():
+        if block != at:
+            if docs:
+                yield whole(rows, docs)
+            at, rows, docs = block, [], []
+        (docs if kind else rows).append(b)
+    if docs:
+        yield whole(rows, docs)
+
+
+def log_scores(sequences: list[np.ndarray], start, move, emit) -> np.ndarray:
+    """log10 P of each sequence."""
+    s = Steps(sequences)
+    scale, _, _ = forward(s, start, move, emit, False)
+    out = np.zeros(len(sequences))
+    out[s.order] = np.bincount(s.which, weights=np.log10(scale), minlength=len(sequences))
+    return out
+
+
+def with_emissions(tokens: DataFrame, emissions: DataFrame) -> DataFrame:
+    """Blocks of ``tokens``, each with the rows of its words that are not
+    listed before its documents; a block is in one task."""
+    words = tokens.where("kind = 0").select("block", F.posexplode("words").alias("at", "word"))
+    empty = [F.lit(None).cast(t).alias(n) for n, t in tokens.select("doc_id", "held_out", "symbols").dtypes]
+    rows = (words.join(emissions, "word", "left")
+            .select("block", F.lit(0).alias("kind"), F.col("at").cast("long").alias("at"), *empty, "word", "c", *_SUMS))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in rows.select("word", "c", *_SUMS).dtypes]
+    docs = tokens.where("kind = 1").select("block", "kind", "at", "doc_id", "held_out", "symbols", *nothing)
+    return docs.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind", "at")
+
+
+def one_round(tokens: DataFrame, emissions: DataFrame, model: Model, alphabet: Alphabet, of_class: np.ndarray, path: str):
+    """A Baum-Welch round: the summed table (its rows in the order of
+    ``_LIKE``, ``_RARE``, ...) and the next ``emissions``, written to ``path``."""
+    spark = tokens.sparkSession
+    now = spark.sparkContext.broadcast((model, alphabet, of_class))  # LISTED x STATES numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, a, states = now.value
+        sums = np.zeros((_FIRST + a.end + 1, STATES))
+
+        def table(i, words, c, s):
+            return pa.RecordBatch.from_arrays([i, words, c, *[pa.array(s[:, k]) for k in range(STATES)]],
+                                              names=["i", "word", "c", *_SUMS])
+
+        for words, c, counts, docs in blocks_of(batches, a, states):
+            own, emit, classes = m.emissions(a, words, counts)
+            held = [s for b in docs for s in _pieces(b, b.schema.get_field_index("symbols"))]
+            starts, moves, emits, like = expected(held, m.start, m.move, emit)
+            mine = emits * (own / emit)
+            sums[0] += starts
+            sums[1:1 + STATES] += moves
+            sums[_LIKE, 0] += like
+            rest = emits - mine
             for k in range(STATES):
-                rows[at, k] = summed.column(f"s{k}").to_numpy()
-        model = improved(rows[0], rows[1:1 + STATES], rows[1 + STATES:])
-    return model
+                sums[_CLASS:_FIRST, k] += np.bincount(classes, weights=rest[:, k], minlength=ENDINGS + 1)
+            sums[_FIRST:] += mine[:a.end + 1]
+            if words:
+                rare = mine[a.size:]
+                sums[_RARE] += rare.sum(axis=0)
+                yield table(pa.nulls(len(words), pa.int32()), pa.array(words, pa.binary()), pa.array(c.astype(np.int64)), rare)
+        seen = np.flatnonzero(sums.any(axis=1))
+        if len(seen):
+            yield table(pa.array(seen, pa.int32()), pa.nulls(len(seen), pa.binary()), pa.nulls(len(seen), pa.int64()), sums[seen])
+
+    (with_emissions(tokens, emissions)
+     .mapInArrow(run, "i int, word binary, c long, " + ", ".join(f"{k} double" for k in _SUMS))
+     .write.option("compression", "zstd").parquet(path))
+    now.destroy()
+    got = spark.read.parquet(path)
+    added = [F.sum(k).alias(k) for k in _SUMS]
+    summed = got.where("word is null").groupBy("i").agg(*added).toArrow()
+    rows = np.zeros((_FIRST + alphabet.end + 1, STATES))
+    if summed.num_rows:
+        rows[summed.column("i").to_numpy()] = np.stack([summed.column(k).to_numpy() for k in _SUMS], 1)
+    return rows, got.where("word is not null").groupBy("word").agg(F.max("c").alias("c"), *added)
+
+
+def train(tokens: DataFrame, rare: DataFrame, alphabet: Alphabet, sample: list[np.ndarray]):
+    """Baum-Welch over all training documents of ``tokens``; ``rare``: ``word,
+    c`` of the words that are not listed.  The model, the table of emissions of
+    those words, the states of a class and the folder of the table."""
+    spark, documents = tokens.sparkSession, alphabet.documents
+    model, of_class = seeded(sample, alphabet)
+    said = None
+    emissions = rare.select("word", "c", *[F.lit(None).cast("double").alias(k) for k in _SUMS])
+    for _ in range(ROUNDS if documents else 0):
+        path = scratch_path(spark, "hmm-emissions")
+        rows, emissions = one_round(tokens, emissions, model, alphabet, of_class, path)
+        if said:
+            drop_path(spark, said)
+        said = path
+        start, move, _ = improved(rows[0], rows[1:_LIKE], np.ones((1, STATES)))
+        own = rows[_FIRST:]
+        model = Model(start, move, own, own.sum(axis=0) + rows[_RARE], rows[_CLASS:_FIRST] + _SMOOTH, alphabet)
+    return model, emissions, of_class, said
 
 
 def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_col: str = "doc_id",
@@ -358,49 +516,34 @@ def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_co
     shared = spark.sparkContext.broadcast(alphabet)  # LISTED words at most
     path = scratch_path(spark, "hmm-tokens")
     tokens = encode(docs, shared, held, path, id_col, text_col)
-    model = train(tokens.where("not held_out"), alphabet.size, documents)
-    final = spark.sparkContext.broadcast(model)
+    sample = sample_of(learn, shared, documents, text_col)
+    slim = alphabet.without_words()
+    model, emissions, of_class, said = train(tokens.where("not held_out"), words.where(F.col("c") < listed_from), slim, sample)
+    final = spark.sparkContext.broadcast((model, slim, of_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = final.value
-
-        def scored(held, meta):
-            out = np.zeros(len(held))
-            s = Steps(held)
-            scale, _, _ = forward(s, start, move, emit, False)
-            out[s.order] = np.bincount(s.which, weights=np.log10(scale), minlength=len(held))
-            rows = pa.Table.from_batches(meta).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(out)], names=[*rows.schema.names, "forward"])
-
-        held, meta, count = [], [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held += list(_pieces(b, b.num_columns - 1))
-            meta.append(b.select(list(range(b.num_columns - 1))))
-            count += len(b.column(b.num_columns - 1).values)
-            if count >= HOLD:
-                yield scored(held, meta)
-                held, meta, count = [], [], 0
-        if held:
-            yield scored(held, meta)
-
-    names = ["row", "doc_id", "held_out", "n", "known", "log_counts", "shares"]
-    scored = tokens.select(*names, "symbols").mapInArrow(
-        run, f"row long, doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, n long, known long, log_counts double, "
-             "shares double, forward double")
-    rare = tokens.select("row", F.explode("rare").alias("word"))
-    looked = (rare.join(words.where(F.col("c") < listed_from), "word", "left").groupBy("row")
-              .agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("logs")))
-    n, v = alphabet.total, alphabet.distinct
-    every = F.lit(math.log10(n + v + 1))
-    logs = F.coalesce("logs", F.lit(0.0))
-    out = (scored.join(looked, "row", "left")
-           .select("doc_id", "held_out", F.col("n").alias("n_tokens"),
-                   (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-                   F.lit(n).cast("long").alias("train_tokens"),
-                   (F.col("log_counts") + logs - F.col("n") * every).alias("base_score"),
-                   (F.col("forward") + F.col("shares") + logs).alias("score")))
-    out = materialize(out)
-    drop_path(spark, path)
+        m, a, states = final.value
+        every = math.log10(a.total + a.distinct + 1)
+
+        for words, c, counts, docs in blocks_of(batches, a, states):
+            _, emit, _ = m.emissions(a, words, counts)
+            number = np.concatenate([a.symbol_counts, c])
+            logs = np.log10(number + 1.0) - every
+            held = [s for b in docs for s in _pieces(b, b.schema.get_field_index("symbols"))]
+            scores = log_scores(held, m.start, m.move, emit)
+            n = [len(s) for s in held]
+            known = [int((number[s] > 0).sum()) for s in held]
+            base = [float(logs[s].sum()) for s in held]
+            t = pa.Table.from_batches([b.select(["doc_id", "held_out"]) for b in docs]).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                 pa.array([a.total] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = materialize(with_emissions(tokens, emissions).mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+             "base_score double, score double"))
+    for p in [path, said]:
+        if p:
+            drop_path(spark, p)
     return out

@@ -357,6 +357,31 @@ def test_hmm_rare_words_go_by_join(spark, monkeypatch):
     assert all(abs(got[i]["base_score"] - full[i]["base_score"]) < 1e-6 and got[i]["n_known"] == full[i]["n_known"] for i in full)
 
 
+def test_hmm_words_beyond_the_listed_keep_their_states(spark, monkeypatch):
+    """Words of one ending, neither listed nor symbols of the sample: those of
+    the one kind of document are likelier beside its common word."""
+    monkeypatch.setattr(hmm, "OWN", 2)
+    monkeypatch.setattr(hmm, "LISTED", 2)
+    rng = np.random.default_rng(1)
+
+    def text(common, kind):
+        return " ".join(x for _ in range(15) for x in (common * 2, f"{kind}{rng.integers(30):02d}xyz"))
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    own, other = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, text("ab"[n % 2], "ab"[n % 2])) for n, i in enumerate(ids)]
+    got = {r["doc_id"]: r["score"] - r["base_score"]
+           for r in hmm.score_documents(docs(spark, [*rows, (own, text("a", "a")), (other, text("a", "b"))])).collect()}
+    assert got[own] > got[other] + 3
+
+
+def test_hmm_probabilities_sum_to_one(spark):
+    df = docs(spark, [(1, "a b c a"), (2, "b d e"), (4, "a f")])
+    a, _ = hmm.make_alphabet(hmm.word_counts(df), 3)
+    model, _ = hmm.seeded([], a)
+    _, emit, _ = model.emissions(a, [], np.zeros((0, hmm.STATES)))
+    assert np.allclose(emit.sum(axis=0), 1)  # the unseen are one word per class
+
+
 def test_hmm_forward_is_exact():
     rng = np.random.default_rng(0)
     k, size = 3, 5
