@@ -19,8 +19,11 @@ Training: Baum-Welch over all training documents.  Expected counts of the at
 most ``LISTED`` most frequent words, of starts, transitions and endings are
 tables of that bound, added up by Spark and sent to the tasks; those of all
 other words are a distributed table ``word, c, s0..``, summed by ``groupBy`` and
-joined each round to the words of every block of documents.  The start is a few
-rounds over a bounded sample, in which at most ``OWN`` words have a symbol.
+joined each round to the words of every block of documents.  Rounds go on until
+the summed log-likelihood gains less than a share of ``GAIN``.  The start is a
+few rounds over a bounded sample, in which at most ``OWN`` words have a symbol.
+Documents over ``HOLD`` tokens go through in pieces, with the forward and the
+backward state carried over their borders.
 
 Defined results: null text is the empty text (the end token alone); null ids
 are training rows; repeated rows are scored each and count each; without any
@@ -45,14 +48,16 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc32_mod, drop_path, materialize, scratch_path, texts_of
 
 STATES = 8
-ROUNDS = 2          # over all training documents
-START_ROUNDS = 12   # over the sample
+#: Rounds over all training documents go on until one gains less than this
+#: share of the summed log-likelihood.
+GAIN = 0.002
+START_ROUNDS = 12   # over the sample, which only seeds
 START_DOCS = 600
-START_TOKENS = 5000  # documents of the sample have at most so many tokens
+START_TOKENS = 5000  # of a document in the sample; longer ones are in it with their beginning
 OWN = 8192          # words with a symbol in the sample; in the training every word has one
 ENDINGS = 1024
 LISTED = 1 << 18
-#: Tokens of a block, which a task holds at a time; longer documents train in pieces.
+#: Tokens of a block, which a task holds at a time; longer documents go in pieces.
 HOLD = 500_000
 #: Words that a task counts before it passes the counts on.
 COUNTED = 400_000
@@ -281,6 +286,58 @@ def expected(sequences: list[np.ndarray], start, move, emit):
     return gamma[:first].sum(axis=0), moves, emits, float(np.log(scale).sum())
 
 
+def _border(piece: np.ndarray, state: np.ndarray, move, emit, after):
+    """Of one piece: starts, transitions, emissions, log-likelihood, its last
+    forward row and its first emission * backward / scale.  ``after``: that of
+    the next piece."""
+    s = Steps([piece])
+    scale, rows, e = forward(s, state, move, emit, True)
+    back = np.empty_like(e)
+    turned = np.ascontiguousarray(move.T)
+    b = np.ones(len(state)) if after is None else after @ turned
+    gamma = np.empty_like(e)
+    for t in range(len(piece) - 1, -1, -1):
+        gamma[t] = rows[t] * b
+        back[t] = e[t] * b / scale[t]
+        b = back[t] @ turned
+    moves = (rows[:-1].T @ back[1:]) * move
+    emits = np.stack([np.bincount(s.symbols, weights=gamma[:, k], minlength=emit.shape[0]) for k in range(len(state))], 1)
+    return gamma[0], moves, emits, float(np.log(scale).sum()), rows[-1], back[0]
+
+
+def in_pieces(sequence: np.ndarray, start, move, emit) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """Pieces of a long sequence, the forward state before each and the
+    log-likelihood: nothing longer than a piece is held with its rows."""
+    pieces, states, like = [sequence[k:k + HOLD] for k in range(0, len(sequence), HOLD)], [start], 0.0
+    for piece in pieces:
+        scale, rows, _ = forward(Steps([piece]), states[-1], move, emit, True)
+        like += float(np.log(scale).sum())
+        states.append(rows[-1] @ move)
+    return pieces, states[:-1], like
+
+
+def expected_long(sequence: np.ndarray, start, move, emit):
+    """``expected`` of one sequence of any length, piece by piece."""
+    pieces, states, like = in_pieces(sequence, start, move, emit)
+    moves, emits, after, starts = np.zeros_like(move), np.zeros(emit.shape), None, None
+    for piece, state in zip(reversed(pieces), reversed(states), strict=True):
+        starts, m, x, _, last, first = _border(piece, state, move, emit, after)
+        moves += m
+        emits += x
+        if after is not None:
+            moves += np.outer(last, after) * move
+        after = first
+    return starts, moves, emits, like
+
+
+def expected_of(sequences: list[np.ndarray], start, move, emit):
+    """``expected`` with sequences over ``HOLD`` tokens piece by piece."""
+    short = [s for s in sequences if len(s) <= HOLD]
+    parts = [expected(short, start, move, emit)] if short else []
+    parts += [expected_long(s, start, move, emit) for s in sequences if len(s) > HOLD]
+    return tuple(sum(p[1:], p[0]) for p in zip(*parts, strict=True))
+
+
 def improved(starts, moves, emits):
     """The model that fits the sums, smoothed so that nothing is impossible."""
     start = (starts + _SMOOTH) / (starts + _SMOOTH).sum()
@@ -369,13 +426,13 @@ def sample_of(learn: DataFrame, alphabet, documents: int, text_col: str) -> list
         for b in batches:
             symbols = []
             for t in texts_of(b.column(1)):
-                known = ((w, table.get(w, a.end)) for w in tokens_of(t))
-                symbols.append([*(i if i < a.own else a.own + 1 + ending(w) for w, i in known), a.own])
+                known = [(w, table.get(w, a.end)) for w in tokens_of(t)]
+                symbols.append([*(i if i < a.own else a.own + 1 + ending(w) for w, i in known), a.own][:START_TOKENS])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(symbols, pa.list_(pa.int32()))], names=["at", "symbols"])
 
     some = (learn.select(F.monotonically_increasing_id().alias("at"), text_col)
             .where(F.pmod(F.xxhash64("at"), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40))))
-            .mapInArrow(run, "at long, symbols array<int>").where(F.size("symbols") <= START_TOKENS)
+            .mapInArrow(run, "at long, symbols array<int>")
             .orderBy(F.xxhash64("at")).limit(START_DOCS).select("symbols").toArrow())
     return [np.asarray(s, dtype=np.int64) for s in some.column(0).to_pylist()]
 
@@ -416,10 +473,15 @@ def blocks_of(batches: Iterator[pa.RecordBatch], a: Alphabet, of_class: np.ndarr
 
 def log_scores(sequences: list[np.ndarray], start, move, emit) -> np.ndarray:
     """log10 P of each sequence."""
-    s = Steps(sequences)
-    scale, _, _ = forward(s, start, move, emit, False)
     out = np.zeros(len(sequences))
-    out[s.order] = np.bincount(s.which, weights=np.log10(scale), minlength=len(sequences))
+    short = np.array([i for i, x in enumerate(sequences) if len(x) <= HOLD], dtype=np.int64)
+    if len(short):
+        s = Steps([sequences[i] for i in short])
+        scale, _, _ = forward(s, start, move, emit, False)
+        out[short[s.order]] = np.bincount(s.which, weights=np.log10(scale), minlength=len(short))
+    for i, x in enumerate(sequences):
+        if len(x) > HOLD:
+            out[i] = in_pieces(x, start, move, emit)[2] / math.log(10)
     return out
 
 
@@ -452,7 +514,7 @@ def one_round(tokens: DataFrame, emissions: DataFrame, model: Model, alphabet: A
         for words, c, counts, docs in blocks_of(batches, a, states):
             own, emit, classes = m.emissions(a, words, counts)
             held = [s for b in docs for s in _pieces(b, b.schema.get_field_index("symbols"))]
-            starts, moves, emits, like = expected(held, m.start, m.move, emit)
+            starts, moves, emits, like = expected_of(held, m.start, m.move, emit)
             mine = emits * (own / emit)
             sums[0] += starts
             sums[1:1 + STATES] += moves
@@ -479,7 +541,8 @@ def one_round(tokens: DataFrame, emissions: DataFrame, model: Model, alphabet: A
     rows = np.zeros((_FIRST + alphabet.end + 1, STATES))
     if summed.num_rows:
         rows[summed.column("i").to_numpy()] = np.stack([summed.column(k).to_numpy() for k in _SUMS], 1)
-    return rows, got.where("word is not null").groupBy("word").agg(F.max("c").alias("c"), *added)
+    return rows, (got.where("word is not null").groupBy("word")
+                  .agg(F.max("c").alias("c"), *[F.sum(k).cast("float").alias(k) for k in _SUMS]))
 
 
 def train(tokens: DataFrame, rare: DataFrame, alphabet: Alphabet, sample: list[np.ndarray]):
@@ -488,9 +551,9 @@ def train(tokens: DataFrame, rare: DataFrame, alphabet: Alphabet, sample: list[n
     those words, the states of a class and the folder of the table."""
     spark, documents = tokens.sparkSession, alphabet.documents
     model, of_class = seeded(sample, alphabet)
-    said = None
-    emissions = rare.select("word", "c", *[F.lit(None).cast("double").alias(k) for k in _SUMS])
-    for _ in range(ROUNDS if documents else 0):
+    said, before = None, -math.inf
+    emissions = rare.select("word", "c", *[F.lit(None).cast("float").alias(k) for k in _SUMS])
+    while documents:
         path = scratch_path(spark, "hmm-emissions")
         rows, emissions = one_round(tokens, emissions, model, alphabet, of_class, path)
         if said:
@@ -499,6 +562,10 @@ def train(tokens: DataFrame, rare: DataFrame, alphabet: Alphabet, sample: list[n
         start, move, _ = improved(rows[0], rows[1:_LIKE], np.ones((1, STATES)))
         own = rows[_FIRST:]
         model = Model(start, move, own, own.sum(axis=0) + rows[_RARE], rows[_CLASS:_FIRST] + _SMOOTH, alphabet)
+        like = rows[_LIKE, 0]
+        if like - before < GAIN * abs(like):  # of the model that the round began with
+            break
+        before = like
     return model, emissions, of_class, said
 
 

@@ -382,6 +382,40 @@ def test_hmm_probabilities_sum_to_one(spark):
     assert np.allclose(emit.sum(axis=0), 1)  # the unseen are one word per class
 
 
+def test_hmm_pieces_are_the_whole_sequence(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = [x / x.sum(axis=a, keepdims=True) for x, a in (
+        (rng.random(3), 0), (rng.random((3, 3)), 1), (rng.random((5, 3)), 0))]
+    seqs = [rng.integers(0, 5, n) for n in (17, 4, 8, 9)]
+    want, scores = hmm.expected(seqs, *model), hmm.log_scores(seqs, *model)
+    monkeypatch.setattr(hmm, "HOLD", 4)
+    assert all(np.allclose(a, b) for a, b in zip(hmm.expected_of(seqs, *model), want, strict=True))
+    assert np.allclose(hmm.log_scores(seqs, *model), scores)
+
+
+def test_hmm_trains_on_all_documents_until_no_gain(spark, monkeypatch):
+    """Every round reads all training documents, and the likelihood rises up to
+    the stop; long documents are in the sample."""
+    likes = []
+    plain = hmm.one_round
+    monkeypatch.setattr(hmm, "START_TOKENS", 3)
+    monkeypatch.setattr(hmm, "START_DOCS", 5)
+    sample = []
+    first = hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda s, size: sample.append(s) or first(s, size))
+
+    def watched(*args):
+        rows, emissions = plain(*args)
+        likes.append(rows[hmm._LIKE, 0])
+        assert abs(rows[0].sum() - args[3].documents) < 1e-6
+        return rows, emissions
+    monkeypatch.setattr(hmm, "one_round", watched)
+    hmm.score_documents(docs(spark)).count()
+    assert [len(x) for x in sample[0]] and max(map(len, sample[0])) == 3
+    gains = [(b - a) / abs(b) for a, b in zip(likes, likes[1:])]
+    assert len(likes) > 2 and all(g >= hmm.GAIN for g in gains[:-1]) and -1e-6 < gains[-1] < hmm.GAIN
+
+
 def test_hmm_forward_is_exact():
     rng = np.random.default_rng(0)
     k, size = 3, 5
