@@ -93,6 +93,23 @@ def reply_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chosen, rejected
 
 
+def whole_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected conversations made from one table, with every turn
+    in: a conversation, and the same with its last assistant turn's text
+    replaced by the last reply of its partner (ids 2k and 2k + 1 are partners;
+    without a partner's reply the rejected side lacks the turn).  Turns after
+    it stay on both sides; conversations without an assistant turn are equal
+    pairs, hence all prompt."""
+    last = turns.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max("turn").alias("last"))
+    kept = turns.join(last, "pair_id", "left")
+    reply = (kept.where("turn = last")
+             .select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("text").alias("reply")))
+    swapped = last.join(reply, "pair_id").select("pair_id", F.col("last").alias("turn"), F.lit(TRAINED_ROLE).alias("role"),
+                                                 F.col("reply").alias("text"))
+    others = kept.where("last IS NULL OR turn <> last").select("pair_id", "turn", "role", "text")
+    return turns.select("pair_id", "turn", "role", "text"), others.union(swapped)
+
+
 #: The registered query in SQL (DuckDB).
 SQL = f"""
 WITH t0 AS (SELECT CAST(conv_id AS BIGINT) AS pair_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role,
@@ -118,3 +135,8 @@ SELECT pair_id AS conv_id, part, turn, md5(rendered) AS rendered_md5, start, CAS
     CAST(CASE WHEN part <> 'prompt' AND role = '{TRAINED_ROLE}' THEN start + length(head) END AS BIGINT) AS train_start,
     CAST(CASE WHEN part <> 'prompt' AND role = '{TRAINED_ROLE}' THEN start + n END AS BIGINT) AS train_end
 FROM o"""
+
+#: The same over ``whole_pairs``.
+WHOLE_SQL = (SQL.replace("last FROM t JOIN la USING", "last FROM t LEFT JOIN la USING")
+             .replace("FROM k WHERE turn <= last", "FROM k")
+             .replace("FROM k WHERE turn < last", "FROM k WHERE last IS NULL OR turn <> last"))

@@ -77,6 +77,18 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["op8_preference_format"] = preference.SQL
 
 
+@register("op8_preference_format_whole")
+def op8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every turn of every conversation."""
+    turns = preference.turns_of(table(spark, sf, "conversations"))
+    rows = preference.format_preferences(*preference.whole_pairs(turns))
+    return rows.select(F.col("pair_id").alias("conv_id"), "part", "turn", F.md5("rendered").alias("rendered_md5"), "start",
+                       "length", "train_start", "train_end")
+
+
+ORACLE["op8_preference_format_whole"] = preference.WHOLE_SQL
+
+
 @register("op9_hmm_score")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf, "documents"))

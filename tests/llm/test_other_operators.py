@@ -221,6 +221,31 @@ def test_preferences_against_sql(spark):
     assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
 
 
+def test_preferences_of_every_turn(spark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    want = con.execute(preference.WHOLE_SQL)
+    names = [d[0] for d in want.description]
+    got = QUERIES["op8_preference_format_whole"](spark, SF)
+    assert got.columns == names
+    rows = got.collect()
+    assert Counter(map(tuple, rows)) == Counter(want.fetchall())
+    given = {(r["conv_id"], r["turn"]) for r in table(spark, SF, "conversations").collect() if None not in (r["conv_id"], r["turn"])}
+    assert {(r["conv_id"], r["turn"]) for r in rows if r["part"] != "rejected"} == given
+    turns = preference.turns_of(conversation(spark, [
+        (2, 0, "user", "q"), (2, 1, "assistant", "two"), (2, 2, "user", "thanks"), (3, 0, "assistant", "three"),
+        (4, 0, "user", "no reply"), (6, 0, "assistant", "no partner"), (6, 1, "user", "ok")]))
+    got = {k: v[0].replace("<|im_end|>\n", ";") for k, v in
+           rendered(preference.format_preferences(*preference.whole_pairs(turns)).collect()).items()}
+    head = lambda role, text: f"<|im_start|>{role}\n{text};"
+    assert got == {(2, "prompt"): head("user", "q"), (2, "chosen"): head("assistant", "two") + head("user", "thanks"),
+                   (2, "rejected"): head("assistant", "three") + head("user", "thanks"),
+                   (3, "chosen"): head("assistant", "three"), (3, "rejected"): head("assistant", "two"),
+                   (4, "prompt"): head("user", "no reply"), (6, "chosen"): head("assistant", "no partner") + head("user", "ok"),
+                   (6, "rejected"): head("user", "ok")}
+
+
 # -- pipeline --------------------------------------------------------------
 
 def test_pipeline_stages_against_brute_force(spark):
