@@ -227,3 +227,19 @@ def test_permutation_importance_is_the_same_for_any_partitioning(spark):
     a, b = ({r["feature"]: r["importance"] for r in PM.permutation_importance(m, f.repartition(n), ["lag_1h", "lag_24h"]).collect()}
             for n in (1, 5))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_fit_queries_fit_though_a_model_is_kept(spark, monkeypatch):
+    """``fit_boosted`` and ``train_all`` fit again, ``score_test`` does not."""
+    from gridcast import queries_models as QM
+    calls, plain = [], PM.fit
+    monkeypatch.setattr(QM, "_FITTED", {})
+    monkeypatch.setattr(PM, "fit", lambda name, train, *a, **k: calls.append(name) or plain("linear", train, ["lag_24h"]))
+    frame = QM._features(spark, "/root/testdata/sf0.01")
+    monkeypatch.setattr(QM, "_features", lambda spark, sf: frame)
+    for name in PM.MODEL_NAMES:
+        QM._fitted(spark, "/root/testdata/sf0.01", name)
+    for query, fitted in ((QM.fit_boosted, ["xgboost"]), (QM.train_all, list(PM.MODEL_NAMES)), (QM.score_test, [])):
+        calls.clear()
+        query(spark, "/root/testdata/sf0.01")
+        assert calls == fitted
