@@ -61,7 +61,7 @@ LISTED = 1 << 18
 HOLD = 500_000
 #: Words that a task counts before it passes the counts on.
 COUNTED = 400_000
-_TOP = 100_000  # counts beyond are one bar of the histogram
+_BITS = 10  # leading binary digits of a count that its bar of the histogram keeps
 _SMOOTH = 0.05
 
 
@@ -134,11 +134,13 @@ def ending(word: bytes) -> int:
 
 
 def make_alphabet(words: DataFrame, documents: int) -> tuple[Alphabet, int]:
-    bars = {r["k"]: r["n"] for r in words.groupBy(F.least("c", F.lit(_TOP)).alias("k")).agg(F.count("*").alias("n")).collect()}
+    # a bar is the smallest of its counts: exact below 2 ** _BITS, then in steps of a fixed share, without a top
+    step = F.expr(f"shiftleft(1L, greatest(length(bin(c)) - {_BITS}, 0))")
+    bars = {r["k"]: r["n"] for r in words.groupBy((F.col("c") - F.pmod("c", step)).alias("k")).agg(F.count("*").alias("n")).collect()}
 
     def at_least(limit: int) -> int:
         """Smallest count such that at most ``limit`` words have it or more."""
-        seen, bound = 0, _TOP + 1
+        seen, bound = 0, max(bars, default=0) * 2 + 1
         for k in sorted(bars, reverse=True):
             seen += bars[k]
             if seen > limit:

@@ -416,6 +416,19 @@ def test_hmm_trains_on_all_documents_until_no_gain(spark, monkeypatch):
     assert len(likes) > 2 and all(g >= hmm.GAIN for g in gains[:-1]) and -1e-6 < gains[-1] < hmm.GAIN
 
 
+def test_hmm_bounds_hold_for_words_of_any_count(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "OWN", 3)
+    monkeypatch.setattr(hmm, "LISTED", 6)
+    counts = [5_000_000_000, 3_000_000, 900_000, 400_000, 300_000, 200_000, 150_000, 120_000, 1500, 1499, 7, 1]
+    words = spark.createDataFrame([(f"w{i}".encode(), c) for i, c in enumerate(counts)], "word binary, c long")
+    a, listed_from = hmm.make_alphabet(words, 4)
+    assert a.own == 3 and sorted(a.listed) == [f"w{i}".encode() for i in range(6)]
+    assert 150_000 < listed_from <= 200_000
+    tied = spark.createDataFrame([(f"w{i}".encode(), 200_000) for i in range(9)], "word binary, c long")
+    a, listed_from = hmm.make_alphabet(tied, 4)
+    assert a.own == 0 and a.listed == [] and listed_from > 200_000
+
+
 def test_hmm_forward_is_exact():
     rng = np.random.default_rng(0)
     k, size = 3, 5
