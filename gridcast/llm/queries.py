@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, kernel_quality, line_runs, metric_join, packing, preference, simhash, warc, winnow
+from . import (bpe, hard_negatives, hmm, kernel_quality, line_runs, metric_join, packing, preference, repeats, simhash,
+               warc, whitening, winnow)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,23 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return scores.drop("th")
 
 
+@register("op11_hard_negatives")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_vectors(table(spark, sf, "embeddings"), moved, F.col("vec_id") % 50 == 0)
+    return hard_negatives.mine(rows)
+
+
+@register("op12_embedding_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@register("op13_repeat_removal")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf, "documents"))
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE["op4_line_dedup"] = f"""
@@ -134,3 +152,20 @@ n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u),
 c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id"""
+
+ORACLE["op11_hard_negatives"] = f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+f AS (SELECT vec_id, label, list_transform(v, lambda x: floor(x * {hard_negatives.SCALE})) AS v FROM e
+    WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM f a, f b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {hard_negatives.POSITIVES}),
+n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND {hard_negatives.LOW} * positive_score <= 100 * s.score
+    AND 100 * s.score <= {hard_negatives.HIGH} * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+WHERE rank <= {hard_negatives.NEGATIVES}"""
