@@ -38,6 +38,9 @@ END_ID = 2
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters beyond which the two libraries' Unicode tables might differ.
 _RARE = re.compile("[^\x00-\u024f]")
+#: White space beyond which the pattern's look-ahead runs out of stack.
+BLANKS = 100_000
+_BLANK = re.compile(rf"\s{{{BLANKS}}}")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -52,8 +55,9 @@ class Encoder:
     """Token ids of whole texts, exactly as ``tokenizers`` gives them.
 
     The file's vocabulary is read as merge ranks by ``tiktoken``, which runs
-    the same merges several times faster; texts that hold an added token or a
-    character beyond Latin letters go to ``tokenizers`` itself.
+    the same merges several times faster; texts that hold an added token, a
+    character beyond Latin letters or very long white space go to
+    ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -69,7 +73,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _RARE.search(text) or any(s in text for s in self.special):
+        long_blank = len(text) >= BLANKS and _BLANK.search(text)
+        if long_blank or _RARE.search(text) or any(s in text for s in self.special):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4").tobytes()
 
