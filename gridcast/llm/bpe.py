@@ -11,7 +11,9 @@ in the word's length.
 
 Before that, text is split at added tokens, normalised (NFC, lower case) and
 cut into pieces as the vocabulary file demands; pieces never span white space,
-so each word of a text is encoded once per worker and remembered.
+so each word of a text is encoded once per worker and remembered.  Words with
+characters that Python's Unicode tables do not know are normalised and cut by
+the file's own rules, whose tables may be newer.
 
 Decoding joins the tokens' strings by single spaces (the file names no
 decoder), added tokens included.
@@ -45,6 +47,19 @@ _MARK = "\n"  # stands for the end of a word inside the automaton
 _CODECS: dict[str, "PrefixBPE"] = {}
 
 
+def unknown_characters() -> str:
+    """A regular expression's class of the code points that Python's Unicode
+    tables do not assign."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
 def byte_alphabet() -> list[str]:
     """The printable character of each byte: printable Latin-1 bytes stand
     for themselves, the others follow from 256 on in order."""
@@ -63,8 +78,11 @@ class PrefixBPE:
     """Encoder of one vocabulary file (BPE with an end-of-word suffix)."""
 
     def __init__(self, path: str):
+        import re
+
         import ahocorasick
         import regex
+        import tokenizers
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -75,6 +93,9 @@ class PrefixBPE:
         self.string = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.pieces = regex.compile(_PIECES, regex.V0)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        self.unknown = re.compile(unknown_characters())
+        own = tokenizers.Tokenizer.from_file(path)
+        self.normalizer, self.cutter = own.normalizer, own.pre_tokenizer
         self.bytes = byte_alphabet()
         self.merge: dict[tuple[int, int], int] = {}   # pair -> rank
         self.parts: dict[int, tuple[int, int]] = {}   # merged token -> its pair
@@ -147,13 +168,18 @@ class PrefixBPE:
 
     def chunk(self, text: str) -> tuple[int, str, str]:
         """Count, ids and strings of a text without added tokens."""
-        norm = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # sigma: no final form
-        ids: list[int] = []
         table = self.bytes
-        for piece in self.pieces.findall(norm):
+        if text.isascii() or not self.unknown.search(text):
+            norm = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # sigma: no final form
+            pieces = ["".join([table[b] for b in p.encode("utf-8")]) if not p.isascii() else p
+                      for p in self.pieces.findall(norm)]
+        else:
+            pieces = [p for p, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        ids: list[int] = []
+        for piece in pieces:
             got = self.words.get(piece)
             if got is None:
-                got = self.word("".join([table[b] for b in piece.encode("utf-8")]))
+                got = self.word(piece)
                 if len(self.words) >= CACHE_ENTRIES:
                     self.words.clear()
                 self.words[piece] = got
