@@ -1,25 +1,30 @@
 """WARC archives written from and read back as a chunked record table.
 
 A payload travels as rows ``(record, chunk number, bytes)`` of at most
-``CHUNK`` bytes: the archive writer streams a record's chunks behind its
-header, and the reader emits them again with an incremental SHA-1, so neither
-ever holds a record whole.  Every record is a gzip member of its own.
-
-Writing.  SHA-1 of every payload; of the records with equal payloads of at
-least ``min_revisit_bytes`` bytes the one with the smallest id is the
-``response``, the others are ``revisit`` records without a payload that name
-it (WARC-Refers-To); smaller payloads are all responses.  An archive is
-written by one task under a name of its own try and listed in the returned manifest only when complete: a task that is run
-again writes another file, and readers see listed files alone.
+``CHUNK`` bytes, from the scan on: digests are SHA-1 sums carried from chunk to
+chunk, shuffles and sorts move chunk rows, the archive writer streams a record's
+chunks behind its header, and the reader emits them again with a digest of what
+it read.  No step after the scan holds a record whole.  Every record is a gzip
+member of its own.
+
+Writing.  Of the records with equal payloads of at least ``min_revisit_bytes``
+bytes the one with the smallest id is the ``response``, the others are
+``revisit`` records without a payload that name it (WARC-Refers-To); smaller
+payloads are all responses.  Only ids and digests meet by digest; the responses
+of repeated payloads are a written table, so that a payload that is everywhere
+can be split.  An archive is written by one task under a name of its own try and
+listed in the returned manifest only when complete: a task that is run again
+writes another file, and readers see listed files alone.
 
 Archives go to a folder that every executor reaches (a Hadoop-style URI that
 ``pyarrow.fs`` knows: file, s3, gs, hdfs).
 
-Defined results: null payload is the empty payload; pages without an id are
-not records and are left out; rows that share an id are records of their own
-(a repeated row's payload is equal, so one is the response: that of the
-smallest id, then lowest row number); an empty table gives no archives and no
-rows; other columns are ignored.
+Defined results: null payload is the empty payload; every row is a record, also
+where ids repeat or are null; of equal payloads that with the smallest id is the
+response, rows without an id come last and rows of one id in the order of the
+table; a revisit of a response without an id refers to null; a URL of any length
+comes back whole but for its white space; an empty table gives no archives and
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, drop_path, materialize, scratch_path, shuffle_parts
@@ -43,49 +48,81 @@ MIN_REVISIT_BYTES = 0
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int, copy: int) -> str:
+def record_id(page_id: int | None, copy: int) -> str:
     """A record's URI: made from its id and copy number, so it is the same
     whenever a task runs again."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{copy}')}>"
 
 
-def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-               min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, copy, url, payload, sha1, size, first_id, first_copy`` of
-    every record (first: the response it repeats, null for a response).  Only
-    ids and digests meet by digest, never payloads."""
-    raw = (pages.where(F.col(id_col).isNotNull())
-           .select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                   F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html")))
-    repeated = raw.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeated:  # number the rows of an id; they differ at most by url and payload
-        w = Window.partitionBy("page_id").orderBy(F.sha1("html"), "url")
-        raw = materialize(raw.withColumn("copy", (F.row_number().over(w) - 1).cast("int")))
-    else:
-        raw = raw.withColumn("copy", F.lit(0))
-    slim = raw.select("page_id", "copy", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("sha1"),
-                      F.octet_length("html").cast("long").alias("size"))
-    slim = materialize(slim)
-    first = (slim.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size")
-             .agg(F.count("*").alias("n"), F.min(F.struct("page_id", "copy")).alias("first"))
-             .where("n > 1").drop("n"))
-    revisit = (slim.join(first, ["sha1", "size"])
-               .where((F.col("page_id") != F.col("first.page_id")) | (F.col("copy") != F.col("first.copy")))
-               .select(F.col("page_id"), F.col("copy"), F.col("first.page_id").alias("first_id"),
-                       F.col("first.copy").alias("first_copy")))
-    out = raw.withColumn("payload", F.encode("html", "UTF-8")).drop("html").join(revisit, ["page_id", "copy"], "left")
-    return out.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
+def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """``page_id, copy, url, html`` of every record; ``(page_id, copy)`` names
+    it.  Where ids repeat or are missing the table is written to number it."""
+    raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+                       F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
+    n = raw.agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("d")).first()
+    if n["n"] == n["d"]:
+        return raw.withColumn("copy", F.lit(0).cast("long"))
+    return materialize(raw.withColumn("copy", F.monotonically_increasing_id()))
+
+
+def _record(row: str = "") -> list:
+    """Columns that name a record, safe to join by."""
+    return [F.coalesce(F.col(f"{row}page_id"), F.lit(-1)).alias("k1"),
+            F.when(F.col(f"{row}page_id").isNull(), -F.col(f"{row}copy") - 1).otherwise(F.col(f"{row}copy")).alias("k2")]
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table: a row per ``chunk`` bytes (one at least);
-    revisits carry no payload."""
-    n = F.when(F.col("first_id").isNull(), F.ceil(F.col("size") / F.lit(chunk))).otherwise(F.lit(0)).cast("int")
-    numbered = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
-    body = F.when(F.col("first_id").isNull(),
-                  F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})")).otherwise(F.expr("X''"))
-    return numbered.select("page_id", "copy", "chunk_no", "url", "sha1", "size", "first_id", "first_copy",
-                           body.alias("chunk"))
+    """The chunked record table: ``k1, k2, page_id, copy, chunk_no, url,
+    chunk``, a row per ``chunk`` bytes (one at least), the URL on the first.  A
+    record's rows leave its task one after another."""
+    payload = records.withColumn("payload", F.encode("html", "UTF-8")).drop("html")
+    n = F.ceil(F.octet_length("payload") / F.lit(chunk)).cast("int")
+    numbered = payload.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
+    return numbered.select(*_record(), "page_id", "copy", "chunk_no", F.when(F.col("chunk_no") == 0, F.col("url")).alias("url"),
+                           F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})").alias("chunk"))
+
+
+def payload_digests(chunks: DataFrame) -> DataFrame:
+    """``k1, k2, page_id, copy, sha1, size`` of every record, the digest carried
+    from chunk to chunk."""
+    bounded_batches(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, size = None, None, 0
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:4]),
+                                               pa.array([o[4] for o in out], pa.binary()), pa.array([o[5] for o in out], pa.int64())],
+                                              names=["k1", "k2", "page_id", "copy", "sha1", "size"])
+
+        for b in batches:
+            out = []
+            for k1, k2, page_id, copy, no, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if no == 0:
+                    if now is not None:
+                        out.append((*now, sha.digest(), size))
+                    now, sha, size = (k1, k2, page_id, copy), hashlib.sha1(), 0
+                sha.update(part)
+                size += len(part)
+            if out:
+                yield rows(out)
+        if now is not None:
+            yield rows([(*now, sha.digest(), size)])
+
+    return (chunks.select("k1", "k2", "page_id", "copy", "chunk_no", "chunk")
+            .mapInArrow(run, "k1 long, k2 long, page_id long, copy long, sha1 binary, size long"))
+
+
+def revisits(digests: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """``k1, k2, sha1, size, revisit, first_id, first_copy`` of every record:
+    whether it repeats an earlier response, and which."""
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "copy")
+    first = materialize(digests.where(F.col("size") >= min_revisit_bytes).groupBy("sha1", "size")
+                        .agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").drop("n"))
+    again = F.col("first").isNotNull() & (F.col("first") != order)
+    return (digests.join(first, ["sha1", "size"], "left")
+            .select("k1", "k2", "sha1", "size", again.alias("revisit"), F.when(again, F.col("first.page_id")).alias("first_id"),
+                    F.when(again, F.col("first.copy")).alias("first_copy")))
 
 
 def as_uri(folder: str) -> str:
@@ -99,28 +136,34 @@ def _line(text: str) -> str:
     return "".join(text.split())
 
 
-def _header(page_id, copy, url, sha1, size, first_id, first_copy, date: str) -> bytes:
+def _header(page_id, copy, url, sha1, size, revisit, first_id, first_copy, date: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    fields = [("WARC-Type", "response" if first_id is None else "revisit"), ("WARC-Record-ID", record_id(page_id, copy)),
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, copy)),
               ("WARC-Date", date), ("WARC-Target-URI", _line(url or "") or f"urn:page:{page_id}"),
-              ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()), ("X-Page-Id", str(page_id))]
-    if first_id is not None:
-        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(first_id, first_copy)),
-                   ("X-Refers-To-Page-Id", str(first_id))]
+              ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode())]
+    if page_id is not None:
+        fields += [("X-Page-Id", str(page_id))]
+    if revisit:
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(first_id, first_copy))]
+        fields += [("X-Refers-To-Page-Id", str(first_id))] if first_id is not None else []
     fields += [("Content-Type", "application/http; msgtype=response"),
-               ("Content-Length", str(len(http) + (size if first_id is None else 0)))]
+               ("Content-Length", str(len(http) + (0 if revisit else size)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + http
 
 
 def write_archives(records: DataFrame, folder: str, archives: int | None = None, chunk: int = CHUNK,
-                   date: str | None = None) -> DataFrame:
+                   date: str | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write ``records`` under ``folder``; the manifest ``path, records,
     bytes`` of the archives (a checkpointed table)."""
     spark = records.sparkSession
     bounded_batches(spark)
     stamp = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    # a record's chunks leave its row one after another: no shuffle, no sort
-    rows = chunk_rows(records.repartition(archives, "page_id", "copy") if archives else records, chunk)
+    chunks = chunk_rows(records, chunk)
+    known = materialize(revisits(materialize(payload_digests(chunks)), min_revisit_bytes))
+    rows = chunks.join(known, ["k1", "k2"]).where("not revisit or chunk_no = 0").withColumn(
+        "chunk", F.when(F.col("revisit"), F.expr("X''")).otherwise(F.col("chunk")))
+    rows = rows.repartition(archives, "k1", "k2") if archives else rows
+    rows = rows.sortWithinPartitions("k1", "k2", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -139,7 +182,7 @@ def write_archives(records: DataFrame, folder: str, archives: int | None = None,
                         size += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                     count += 1
-                    size += out.write(gz.compress(_header(r["page_id"], r["copy"], r["url"], r["sha1"], r["size"],
+                    size += out.write(gz.compress(_header(r["page_id"], r["copy"], r["url"], r["sha1"], r["size"], r["revisit"],
                                                           r["first_id"], r["first_copy"], stamp)))
                 size += out.write(gz.compress(r["chunk"]))
         if out is not None:
@@ -156,7 +199,7 @@ class _Stream:
     """Bytes of a file of gzip members, unpacked piece by piece."""
 
     def __init__(self, raw, step: int):
-        self.raw, self.step, self.left, self.buf, self.unzip = raw, step, b"", b"", None
+        self.raw, self.step, self.left, self.buf, self.unzip = raw, step, b"", bytearray(), None
 
     def _more(self) -> bool:
         while True:
@@ -175,23 +218,26 @@ class _Stream:
                 self.buf += got
                 return True
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes | None:
+    def until(self, mark: bytes) -> bytes | None:
         """Bytes up to and with ``mark``; None at the end of the file."""
-        while (at := self.buf.find(mark)) < 0:
-            if len(self.buf) > limit:
-                raise ValueError("a record header is too long")
+        seen = 0
+        while (at := self.buf.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.buf)
             if not self._more():
                 if self.buf.strip():
                     raise ValueError("the archive ends within a record")
                 return None
-        out, self.buf = self.buf[:at + len(mark)], self.buf[at + len(mark):]
-        return out
+        return self._take(at + len(mark))
 
     def some(self, n: int) -> bytes:
         """Between 1 and ``n`` bytes."""
         if not self.buf and not self._more():
             raise ValueError("the archive ends within a record")
-        out, self.buf = self.buf[:n], self.buf[n:]
+        return self._take(n)
+
+    def _take(self, n: int) -> bytes:
+        out = bytes(self.buf[:n])
+        del self.buf[:n]
         return out
 
 
@@ -224,9 +270,9 @@ def read_archives(manifest: DataFrame, with_chunks: bool = True, chunk: int = CH
                 left = int(f["content-length"])
                 http = s.until(b"\r\n\r\n")
                 left -= len(http)
-                refers = f.get("x-refers-to-page-id")
+                page, refers = f.get("x-page-id"), f.get("x-refers-to-page-id")
                 sha, size, no = hashlib.sha1(), 0, 0
-                base = (f["warc-record-id"], int(f["x-page-id"]), f["warc-type"], f.get("warc-refers-to"),
+                base = (f["warc-record-id"], None if page is None else int(page), f["warc-type"], f.get("warc-refers-to"),
                         None if refers is None else int(refers))
                 declared = f["warc-payload-digest"].partition(":")[2]
                 while True:
@@ -267,7 +313,7 @@ def archive_report(spark: SparkSession, pages: DataFrame, folder: str | None = N
     that does not match what was read or declared is an error."""
     own_folder = folder is None
     folder = as_uri(folder or scratch_path(spark, "warc"))
-    manifest = write_archives(records_of(pages, min_revisit_bytes=min_revisit_bytes), folder, archives)
+    manifest = write_archives(records_of(pages), folder, archives, min_revisit_bytes=min_revisit_bytes)
     last = materialize(read_archives(manifest, with_chunks=False)
                        .select("record_id", "page_id", "record_type", "refers_to_record", "refers_to",
                                F.col("bytes_so_far").alias("size"), "payload_digest", "declared_digest"))

@@ -30,11 +30,11 @@ def pages(spark, rows):
 
 PAGES = [(1, "http://a/ b", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é日" * 90000),
          (6, "u", "é日" * 90000), (7, "u", "WARC/1.1\r\n\r\n\r\n\r\nx"), (8, "u", "\r\n"), (9, "same", "row"), (9, "same", "row"),
-         (None, "u", "lost")]
+         (None, "u", "no id")]
 
 
 def plain_records(rows):
-    rows = sorted((i, (h or "").encode()) for i, _, h in rows if i is not None)
+    rows = sorted(((i, (h or "").encode()) for i, _, h in rows), key=lambda r: (r[0] is None, r[0] or 0))
     first, out = {}, []
     for i, p in rows:
         new = p not in first
@@ -49,6 +49,34 @@ def test_warc_round_trip(spark):
     assert sorted(got, key=str) == sorted(plain_records(PAGES), key=str)
 
 
+def test_warc_pages_without_ids_and_long_urls(spark):
+    rows = [*PAGES, (None, "v", "no id"), (None, None, "row"), (20, "http://h/" + "é" * 1_000_000, "long url"), (-1, "u", "<p>one</p>")]
+    got = [tuple(r) for r in warc.archive_report(spark, pages(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(plain_records(rows), key=str) and len(got) == len(rows)
+
+
+def test_warc_keeps_a_long_url_whole(spark, tmp_path):
+    url = "http://h/" + "a" * 2_000_000
+    manifest = warc.write_archives(warc.records_of(pages(spark, [(1, url, "x")])), str(tmp_path), archives=1)
+    path = manifest.first()["path"].replace("file://", "")
+    assert f"WARC-Target-URI: {url}\r\n".encode() in gzip.open(path).read()
+    assert warc.read_archives(manifest).first()["bytes_so_far"] == 1
+
+
+def test_warc_against_sql(spark, tmp_path):
+    import duckdb
+
+    from gridcast.llm.queries import ORACLE
+    rows = [*PAGES, (None, "v", "no id"), (None, None, "row")]
+    df = pages(spark, rows)
+    df.write.parquet(str(tmp_path / "p"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/p/*.parquet'")
+    want = con.execute(ORACLE["op5_warc"]).fetchall()
+    got = [tuple(r) for r in warc.archive_report(spark, df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_smaller_payloads_are_all_responses(spark):
     got = {r["page_id"]: r["record_type"] for r in
            warc.archive_report(spark, pages(spark, PAGES[:6]), min_revisit_bytes=11).collect()}
@@ -59,7 +87,7 @@ def test_warc_files_are_archives_and_chunks_rebuild_payloads(spark, tmp_path):
     manifest = warc.write_archives(warc.records_of(pages(spark, PAGES)), str(tmp_path), archives=2, chunk=1000)
     files = [r["path"] for r in manifest.collect()]
     raw = b"".join(gzip.open(f.replace("file://", "")).read() for f in files)
-    assert raw.count(b"WARC-Type: ") == 10 and raw.count(b"WARC-Refers-To: <urn:uuid:") == 4
+    assert raw.count(b"WARC-Type: ") == 11 and raw.count(b"WARC-Refers-To: <urn:uuid:") == 4
     rows = warc.read_archives(manifest, chunk=700).where("record_type = 'response'").collect()
     parts = {}
     for r in rows:
@@ -222,22 +250,14 @@ def test_preferences_against_sql(spark):
 
 
 def test_preferences_of_every_turn(spark):
-    import duckdb
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    want = con.execute(preference.WHOLE_SQL)
-    names = [d[0] for d in want.description]
-    got = QUERIES["op8_preference_format_whole"](spark, SF)
-    assert got.columns == names
-    rows = got.collect()
-    assert Counter(map(tuple, rows)) == Counter(want.fetchall())
+    rows = QUERIES["op8_preference_format"](spark, SF).collect()
     given = {(r["conv_id"], r["turn"]) for r in table(spark, SF, "conversations").collect() if None not in (r["conv_id"], r["turn"])}
     assert {(r["conv_id"], r["turn"]) for r in rows if r["part"] != "rejected"} == given
     turns = preference.turns_of(conversation(spark, [
         (2, 0, "user", "q"), (2, 1, "assistant", "two"), (2, 2, "user", "thanks"), (3, 0, "assistant", "three"),
         (4, 0, "user", "no reply"), (6, 0, "assistant", "no partner"), (6, 1, "user", "ok")]))
     got = {k: v[0].replace("<|im_end|>\n", ";") for k, v in
-           rendered(preference.format_preferences(*preference.whole_pairs(turns)).collect()).items()}
+           rendered(preference.format_pairs(preference.reply_pairs(turns)).collect()).items()}
     head = lambda role, text: f"<|im_start|>{role}\n{text};"
     assert got == {(2, "prompt"): head("user", "q"), (2, "chosen"): head("assistant", "two") + head("user", "thanks"),
                    (2, "rejected"): head("assistant", "three") + head("user", "thanks"),
