@@ -69,8 +69,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op8_preference_format")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    turns = preference.turns_of(table(spark, sf, "conversations"))
-    rows = preference.format_preferences(*preference.reply_pairs(turns))
+    rows = preference.format_pairs(preference.reply_pairs(preference.turns_of(table(spark, sf, "conversations"))))
     return rows.select(F.col("pair_id").alias("conv_id"), "part", "turn", F.md5("rendered").alias("rendered_md5"), "start",
                        "length", "train_start", "train_end")
 
@@ -78,18 +77,6 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE["op8_preference_format"] = preference.SQL
 
 
-@register("op8_preference_format_whole")
-def op8_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with every turn of every conversation."""
-    turns = preference.turns_of(table(spark, sf, "conversations"))
-    rows = preference.format_preferences(*preference.whole_pairs(turns))
-    return rows.select(F.col("pair_id").alias("conv_id"), "part", "turn", F.md5("rendered").alias("rendered_md5"), "start",
-                       "length", "train_start", "train_end")
-
-
-ORACLE["op8_preference_format_whole"] = preference.WHOLE_SQL
-
-
 @register("op9_hmm_score")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf, "documents"))
@@ -135,12 +122,13 @@ ORACLE["op5_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, strlen(h) AS n, array_to_string(list_transform(string_split(sha1(h), ''), lambda c:
     ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110',
-     '1111'][strpos('0123456789abcdef', c)]), '') AS bits, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+     '1111'][strpos('0123456789abcdef', c)]), '') AS bits, min(page_id) OVER (PARTITION BY h) AS first,
+    row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) = 1 AS response FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
         CAST(substr(bits, CAST(i * 5 + j + 1 AS BIGINT), 1) AS INTEGER) * (16 >> CAST(j AS INTEGER)))) AS BIGINT), 1)), '') AS payload_digest,
-    CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN first <> page_id THEN first END AS refers_to
+    CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN NOT response THEN first END AS refers_to
 FROM s"""
 
 ORACLE["op7_embedding_near_dedup"] = f"""
