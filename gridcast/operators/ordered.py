@@ -207,3 +207,33 @@ def time_fill(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
         repl[c] = F.coalesce(*parts)
     drop = [f"_carry_{c}" for c in cols] + ([f"_first_{c}" for c in cols] if backfill else [])
     return d.withColumns(repl).drop(*drop)
+
+
+#: Rows that one task ranks, and leading digits of a hash that blocks have at most.
+RANK_ROWS = 1_000_000
+RANK_DIGITS = 4
+
+
+def hash_rank(df: DataFrame, order: str, rank: str) -> DataFrame:
+    """``df`` with ``rank``, 1 for the first row in the order of ``order``, a
+    column of evenly spread hexadecimal hashes (ties: by a hash of the row).
+
+    No task sees all rows: the leading digits of the hash are blocks, their
+    counts (at most ``16 ** RANK_DIGITS`` rows) are summed up on the driver, and
+    rows are numbered inside their block."""
+    spark = df.sparkSession
+    counts = dict(df.groupBy(F.substring(order, 1, RANK_DIGITS).alias("b")).agg(F.count("*").alias("n")).collect())
+    total, digits = sum(counts.values()), 1
+    while digits < RANK_DIGITS and total > RANK_ROWS * 16 ** digits:
+        digits += 1
+    blocks: dict[str, int] = {}
+    for b, n in sorted(counts.items()):
+        blocks[b[:digits]] = blocks.get(b[:digits], 0) + n
+    rows, before = [], 0
+    for b, n in blocks.items():
+        rows.append((b, before))
+        before += n
+    offsets = spark.createDataFrame(rows, "_rank_block string, _rank_before long")
+    within = Window.partitionBy("_rank_block").orderBy(order, F.xxhash64(*df.columns))
+    return (df.withColumn("_rank_block", F.substring(order, 1, digits)).join(offsets, "_rank_block")
+            .withColumn(rank, F.col("_rank_before") + F.row_number().over(within)).drop("_rank_block", "_rank_before"))

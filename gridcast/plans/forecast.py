@@ -13,9 +13,12 @@ appends the prediction.
   Python UDF.  What depends on time alone is added up per step beforehand;
   the state carries running sums, so a step costs the same for 1 coefficient
   and for 22.
-* Any other fitted pipeline (trees): the loop is over *steps*, each one
-  ``transform`` of a one-row-per-series frame; the lineage is cut with a
-  reliable ``checkpoint()`` (``spark.checkpoint.dir``) every few steps.
+* Tree ensembles: the same, with the ensemble flattened to arrays (feature,
+  threshold, children, value) in a one-row table; a step walks all trees down
+  from their roots inside the aggregate.
+* Any other fitted pipeline: the loop is over *steps*, each one ``transform``
+  of a one-row-per-series frame; the lineage is cut with a reliable
+  ``checkpoint()`` (``spark.checkpoint.dir``) every few steps.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, cyclical_columns, is_holiday_expr
@@ -165,11 +168,103 @@ def forecast_linear(history: DataFrame, coefficients: Mapping[str, float], inter
     return out.withColumn("model", F.lit(name)).select("model", *keys, "step", TS, "forecast_mw") if name else out
 
 
+#: Nodes of an ensemble that is flattened (28 bytes each, sent to every task).
+FLAT_NODES = 8_000_000
+
+
+def flat_trees(model: PipelineModel) -> DataFrame | None:
+    """A fitted tree ensemble as one row of arrays: ``roots``, and by node
+    ``feature, threshold, left, right, value`` (a leaf leads to itself; values
+    are weighted, so that the prediction is their sum), with its ``depth``.
+    None if it has more than ``FLAT_NODES`` nodes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..session import drop_path, scratch_path
+    spark, last = SparkSession.active(), model.stages[-1]
+    if last.totalNumNodes > FLAT_NODES:
+        return None
+    path = scratch_path(spark, "trees")
+    last.write().save(path)
+    split = F.col("nodeData.split")
+    nodes = (spark.read.parquet(f"{path}/data")
+             .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+                     split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+                     split["numCategories"].alias("categories")).toPandas().sort_values(["treeID", "id"]))
+    drop_path(spark, path)
+    if (nodes["categories"] >= 0).any():
+        raise ValueError("categorical splits cannot be flattened")
+    tree, at = nodes["treeID"].to_numpy(), np.arange(len(nodes))
+    roots = np.flatnonzero(nodes["id"].to_numpy() == 0)
+    first = roots[np.searchsorted(tree[roots], tree)]
+    leaf = nodes["leftChild"].to_numpy() < 0
+    left = np.where(leaf, at, first + nodes["leftChild"].to_numpy())
+    right = np.where(leaf, at, first + nodes["rightChild"].to_numpy())
+    weights = np.array(last.treeWeights)
+    if type(last).__name__.startswith("RandomForest"):
+        weights = weights / weights.sum()
+    depth, level = 1, roots
+    while len(level := np.concatenate([x[level[~leaf[level]]] for x in (left, right)])):
+        depth += 1
+    cols = {"roots": roots.astype(np.int32), "feature": np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),
+            "threshold": np.where(leaf, np.inf, nodes["threshold"].to_numpy(dtype=float)), "left": left.astype(np.int32),
+            "right": right.astype(np.int32), "value": nodes["prediction"].to_numpy() * weights[tree]}
+    row = {k: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for k, v in cols.items()}
+    return spark.createDataFrame(pa.table(row | {"depth": pa.array([depth], pa.int32())}))
+
+
+def _walked(x: Column) -> Column:
+    """Prediction of the flattened ensemble for the feature array ``x``."""
+    part = {k: F.col(f"_trees.{k}") for k in ("feature", "threshold", "left", "right", "value")}
+    levels = F.sequence(F.lit(1), F.col("_trees.depth"))
+
+    def down(n: Column, _: Column) -> Column:
+        goes_left = F.get(x, F.get(part["feature"], n)) <= F.get(part["threshold"], n)
+        return F.when(goes_left, F.get(part["left"], n)).otherwise(F.get(part["right"], n))
+
+    return F.aggregate(F.col("_trees.roots"), F.lit(0.0),
+                       lambda total, root: total + F.get(part["value"], F.aggregate(levels, root, down)))
+
+
+def forecast_trees(model: PipelineModel, history: DataFrame, horizon: int = 24, keys: Sequence[str] = KEYS,
+                   ts: str = TS, value: str = TARGET, std_ddof: int = 0, name: str | None = None) -> DataFrame:
+    """M11 for tree ensembles, as a single plan: the steps of a series are one
+    ``F.aggregate`` over its state, features and ensemble included.  Equal to
+    :func:`forecast_model`, which takes over for ensembles too large to send."""
+    trees = flat_trees(model)
+    if trees is None:
+        return forecast_model(model, history, horizon, keys, ts, value, std_ddof, name=name)
+    keys, inputs = list(keys), model.stages[0].getInputCols()
+    # one row of known size
+    state = history_state(history, horizon, keys, ts, value).crossJoin(F.broadcast(trees.select(F.struct("*").alias("_trees"))))
+    hours = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda s: F.timestamp_add("HOUR", s, F.col("_t")))
+    steps = F.zip_with(hours, "_hols", lambda t, holiday: F.struct(t.alias("t"), holiday.alias("holiday")))
+    init = F.struct(F.col("_h").alias("h"), F.array().cast("array<double>").alias("out"))
+
+    def step(st: Column, hour: Column) -> Column:
+        feats = step_features(st["h"], hour["t"], hour["holiday"], std_ddof)
+        x = F.array(*[feats[c].cast("double") for c in inputs])
+        predicted = F.transform(F.array(x), lambda x: _walked(x))  # the features are evaluated once, so is the prediction
+
+        def advance(p: Column) -> Column:
+            grown = F.concat(st["h"], F.array(p))
+            return F.struct(F.slice(grown, F.greatest(F.size(grown) - F.lit(MAX_LOOKBACK - 1), F.lit(1)), MAX_LOOKBACK).alias("h"),
+                            F.concat(st["out"], F.array(p)).alias("out"))
+
+        return F.get(F.transform(predicted, advance), F.lit(0))
+
+    out = state.select(*keys, "_t", F.aggregate(steps, init, step, lambda st: st["out"]).alias("_p"))
+    out = out.select(*keys, "_t", F.posexplode("_p").alias("_i", "forecast_mw"))
+    out = out.select(*keys, (F.col("_i") + 1).alias("step"),
+                     F.timestamp_add("HOUR", F.col("_i") + 1, F.col("_t")).alias(TS), "forecast_mw")
+    return out.withColumn("model", F.lit(name)).select("model", *keys, "step", TS, "forecast_mw") if name else out
+
+
 def forecast_model(model: PipelineModel, history: DataFrame, horizon: int = 24, keys: Sequence[str] = KEYS,
                    ts: str = TS, value: str = TARGET, std_ddof: int = 0, checkpoint_every: int = 6,
                    name: str | None = None) -> DataFrame:
-    """M11 for any fitted pipeline (trees): one distributed ``transform`` per
-    step over all series; reliable checkpoints bound the lineage."""
+    """M11 for any fitted pipeline: one distributed ``transform`` per step over
+    all series; reliable checkpoints bound the lineage."""
     from ..session import checkpoint_dir
     keys = list(keys)
     checkpoint_dir(history.sparkSession)
@@ -195,7 +290,7 @@ def forecast_models(models: Mapping[str, PipelineModel], history: DataFrame, hor
     """Forecasts of each named model as one long table ``model, keys,
     step, ts, forecast_mw``; names may be codes or shown names, ``display``
     gives shown names in the result.  A name that is unknown or not fitted is
-    an error.  Linear pipelines take the single-plan path."""
+    an error.  Linear pipelines and tree ensembles are single plans."""
     names = [model_code(n) for n in (names or models)]
     fitted = {model_code(n): m for n, m in models.items() if m is not None}
     parts = []
@@ -208,6 +303,8 @@ def forecast_models(models: Mapping[str, PipelineModel], history: DataFrame, hor
             cols = m.stages[0].getInputCols()
             coef = dict(zip(cols, [float(c) for c in last.coefficients]))
             parts.append(forecast_linear(history, coef, float(last.intercept), horizon, keys, ts, value, std_ddof, n))
+        elif hasattr(last, "treeWeights"):
+            parts.append(forecast_trees(m, history, horizon, keys, ts, value, std_ddof, n))
         else:
             parts.append(forecast_model(m, history, horizon, keys, ts, value, std_ddof, name=n))
     out = parts[0]

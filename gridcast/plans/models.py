@@ -163,10 +163,10 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    """Reload a saved model; a missing path raises a clear error."""
+    """Reload a saved model; a path that holds none is an error."""
     from ..sources.metrics_io import _exists
     if not _exists(spark, path):
-        raise FileNotFoundError(f"Model not found: {path}. Train it first.")
+        raise FileNotFoundError(f"no saved model at {path}")
     return PipelineModel.load(path)
 
 
@@ -215,42 +215,37 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], keys:
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str] = FEATURE_COLS,
-                           seed: int = SEED, buckets: int = 1, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """M9: MAE increase when one feature column is shuffled across rows.
-
-    The shuffle is distributed: rows fall into ``buckets`` by a hash of their
-    keys; inside each bucket a row takes the feature value of the row with the
-    same rank under a second order, a hash of keys and ``seed`` (two windows
-    per bucket and one equi-join on ``(bucket, rank)``).  The orders are the
-    md5 of the row's keys, so the same data gives the same importances on any
-    cluster.  Nothing is collected, no window runs without a partition key."""
-    from pyspark.sql import Window
-    base = df.dropna(subset=[*cols, TARGET])
+                           seed: int = SEED, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+    """M9: MAE increase when one feature column is shuffled across all rows.
+
+    Rows have two random orders, md5 hashes of their keys and ``seed``.  A row
+    takes the feature value of the row whose rank in the second order is its own
+    rank in the first.  Ranks are exact and global but made by blocks of the hash
+    (:func:`hash_rank`); rows and donors of all features meet in one join on the
+    rank, written once, and every feature is a scan of it.  The same data gives
+    the same importances on any cluster."""
+    from ..operators.ordered import hash_rank
+    from ..session import drop_path, scratch_path
+    spark = df.sparkSession
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.unix_micros(ts).cast("string"))
-    order = [F.md5(F.concat(F.lit(f"{s}/"), name)) for s in (seed, seed + 1)]
-    base = base.withColumn("_b", F.pmod(F.xxhash64(*keys, ts), F.lit(buckets)) if buckets > 1 else F.lit(0))
-    wb = Window.partitionBy("_b")
-    base = (base.withColumn("_i", F.row_number().over(wb.orderBy(order[0])))
-                .withColumn("_j", F.row_number().over(wb.orderBy(order[1]))))
-    # read once per feature: write the numbered frame once, drop it at the end
-    from ..session import drop_path, materialize, scratch_path
-    path = scratch_path(base.sparkSession, "permutation-base")
-    base.write.mode("overwrite").parquet(path)
-    base = base.sparkSession.read.parquet(path)
-    ref = mae(F.col(TARGET), F.col("prediction"))
-    rows = [model.transform(base).agg(ref.alias("mae")).withColumn("feature", F.lit("__baseline__"))]
+    hashed = [F.md5(F.concat(F.lit(f"{s}/"), name)).alias(c) for s, c in ((seed, "_a"), (seed + 1, "_b"))]
+    path, paired = scratch_path(spark, "permutation-rows"), scratch_path(spark, "permutation-pairs")
+    df.dropna(subset=[*cols, TARGET]).select("*", *hashed).write.parquet(path)
+    base = spark.read.parquet(path)
+    donors = hash_rank(base.select("_b", *cols), "_b", "_i").select("_i", *[F.col(c).alias(f"_p_{c}") for c in cols])
+    hash_rank(base.drop("_b"), "_a", "_i").join(donors, "_i").write.parquet(paired)
+    pairs = spark.read.parquet(paired)
+    error = mae(F.col(TARGET), F.col("prediction"))
+    out = model.transform(pairs).agg(error.alias("mae")).withColumn("feature", F.lit(None).cast("string"))
     for c in cols:
-        donor = base.select("_b", F.col("_j").alias("_i"), F.col(c).alias("_perm"))
-        shuffled = base.join(donor, ["_b", "_i"]).withColumn(c, F.col("_perm")).drop("_perm")
-        rows.append(model.transform(shuffled).agg(ref.alias("mae")).withColumn("feature", F.lit(c)))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        out = out.unionByName(model.transform(pairs.withColumn(c, F.col(f"_p_{c}"))).agg(error.alias("mae"))
+                              .withColumn("feature", F.lit(c)))
     out = materialize(out)
-    drop_path(out.sparkSession, path)
-    basev = out.filter(F.col("feature") == "__baseline__").select(F.col("mae").alias("_b0"))
-    return (out.filter(F.col("feature") != "__baseline__").crossJoin(F.broadcast(basev))
-               .select("feature", (F.col("mae") - F.col("_b0")).alias("importance")))
+    for p in (path, paired):
+        drop_path(spark, p)
+    plain = out.where("feature is null").select(F.col("mae").alias("_plain"))  # one row
+    return (out.where("feature is not null").crossJoin(F.broadcast(plain))
+            .select("feature", (F.col("mae") - F.col("_plain")).alias("importance")))
 
 
 # --- flows (M15, M16) -------------------------------------------------------------

@@ -313,7 +313,7 @@ def save_load_model_one(spark, sf):
 
 @register("forecast_tree")
 def forecast_tree(spark, sf):
-    return FC.forecast_model(_fitted(spark, sf, "rf"), _features(spark, sf), 72, name="rf")
+    return FC.forecast_trees(_fitted(spark, sf, "rf"), _features(spark, sf), 72, name="rf")
 
 
 @register("forecast_models")

@@ -1,5 +1,7 @@
 """Recursive forecasts, sequences, models."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -224,9 +226,56 @@ def test_permutation_importance_is_the_same_for_any_partitioning(spark):
     from gridcast.plans import features as PF
     f = PF.build_features(history(spark, 300), None)
     m = PM.fit("linear", f, ["lag_1h", "lag_24h"])
-    a, b = ({r["feature"]: r["importance"] for r in PM.permutation_importance(m, f.repartition(n), ["lag_1h", "lag_24h"]).collect()}
-            for n in (1, 5))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    cols = ["lag_1h", "lag_24h"]
+    got = [{r["feature"]: r["importance"] for r in PM.permutation_importance(m, f.repartition(n), cols).collect()} for n in (1, 8, 211)]
+    # the permutation itself, in one process
+    p = f.toPandas()
+    coef, b0 = PM.linear_coefficients(m, cols)
+    name = p.series_id + "/" + (p.ts.astype("datetime64[us]").astype("int64")).astype(str)
+    i, j = (np.argsort([hashlib.md5(f"{s}/{x}".encode()).hexdigest() for x in name]) for s in (PM.SEED, PM.SEED + 1))
+    error = lambda d: (p.load_mw - b0 - sum(coef[c] * d[c] for c in cols)).abs().mean()
+    for c in cols:
+        d = p.copy()
+        d.loc[d.index[i], c] = p[c].to_numpy()[j]
+        assert all(abs(g[c] - (error(d) - error(p))) < 1e-9 for g in got)
+
+
+def test_hash_rank_is_the_global_rank(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from gridcast.operators import ordered
+    df = spark.range(3000).withColumn("h", F.md5(F.col("id").cast("string"))).withColumn("_before", F.lit(1))
+    want = {r["id"]: r["n"] for r in df.withColumn("n", F.row_number().over(Window.orderBy("h"))).collect()}
+    for rows in (1_000_000, 3):
+        monkeypatch.setattr(ordered, "RANK_ROWS", rows)
+        for n in (1, 8, 211):
+            got = ordered.hash_rank(df.drop("_before").repartition(n), "h", "n")
+            assert {r["id"]: r["n"] for r in got.collect()} == want
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert ordered.hash_rank(df.limit(0), "h", "n").collect() == []
+
+
+@pytest.mark.parametrize("kind", ["rf", "xgboost"])
+def test_flattened_trees_forecast_like_the_step_loop(spark, kind):
+    from gridcast.plans import features as PF
+    h = history(spark, 320).union(history(spark, 30, ("short",)))
+    f = PF.build_features(h, None)
+    m = PM.fit(kind, f, **({"numTrees": 7, "maxDepth": 8} if kind == "rf" else {"maxIter": 6, "maxDepth": 4}))
+    a = FC.forecast_trees(m, h, 30).toPandas()
+    b = FC.forecast_model(m, h, 30).toPandas()
+    j = a.merge(b, on=["series_id", "step", "ts"])
+    assert len(j) == len(a) == len(b) == 90
+    assert np.abs(j.forecast_mw_x - j.forecast_mw_y).max() < 1e-9
+
+
+def test_flattened_trees_of_one_leaf_and_the_limit(spark, monkeypatch):
+    from gridcast.plans import features as PF
+    h = history(spark, 200)
+    f = PF.build_features(h, None)
+    m = PM.fit("rf", f.withColumn("load_mw", F.lit(5.0)), numTrees=2, maxDepth=3)
+    assert {r["forecast_mw"] for r in FC.forecast_trees(m, h, 3).collect()} == {5.0}
+    monkeypatch.setattr(FC, "FLAT_NODES", 1)
+    assert FC.flat_trees(m) is None and FC.forecast_trees(m, h, 2).count() == 4
 
 
 def test_fit_queries_fit_though_a_model_is_kept(spark, monkeypatch):
