@@ -172,16 +172,19 @@ def forecast_linear(history: DataFrame, coefficients: Mapping[str, float], inter
 FLAT_NODES = 8_000_000
 
 
-def flat_trees(model: PipelineModel) -> DataFrame | None:
+def flat_trees(model) -> DataFrame | None:
     """A fitted tree ensemble as one row of arrays: ``roots``, and by node
     ``feature, threshold, left, right, value`` (a leaf leads to itself; values
     are weighted, so that the prediction is their sum), with its ``depth``.
     None if it has more than ``FLAT_NODES`` nodes."""
     import numpy as np
-    import pyarrow as pa
 
     from ..session import drop_path, scratch_path
-    spark, last = SparkSession.active(), model.stages[-1]
+    spark = SparkSession.active()
+    if hasattr(model, "flat"):
+        trees = model.flat()
+        return flat_frame(spark, trees) if len(trees["feature"]) <= FLAT_NODES else None
+    last = model.stages[-1]
     if last.totalNumNodes > FLAT_NODES:
         return None
     path = scratch_path(spark, "trees")
@@ -209,11 +212,19 @@ def flat_trees(model: PipelineModel) -> DataFrame | None:
     cols = {"roots": roots.astype(np.int32), "feature": np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),
             "threshold": np.where(leaf, np.inf, nodes["threshold"].to_numpy(dtype=float)), "left": left.astype(np.int32),
             "right": right.astype(np.int32), "value": nodes["prediction"].to_numpy() * weights[tree]}
-    row = {k: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for k, v in cols.items()}
-    return spark.createDataFrame(pa.table(row | {"depth": pa.array([depth], pa.int32())}))
+    return flat_frame(spark, cols | {"depth": depth})
+
 
+def flat_frame(spark: SparkSession, trees: Mapping) -> DataFrame:
+    """One row of :func:`flat_trees` from its arrays and ``depth``."""
+    import pyarrow as pa
+    kinds = {"roots": pa.int32(), "feature": pa.int32(), "threshold": pa.float64(), "left": pa.int32(), "right": pa.int32(),
+             "value": pa.float64()}
+    row = {k: pa.array([trees[k]], pa.list_(kind)) for k, kind in kinds.items()}
+    return spark.createDataFrame(pa.table(row | {"depth": pa.array([trees["depth"]], pa.int32())}))
 
-def _walked(x: Column) -> Column:
+
+def walked(x: Column) -> Column:
     """Prediction of the flattened ensemble for the feature array ``x``."""
     part = {k: F.col(f"_trees.{k}") for k in ("feature", "threshold", "left", "right", "value")}
     levels = F.sequence(F.lit(1), F.col("_trees.depth"))
@@ -234,7 +245,7 @@ def forecast_trees(model: PipelineModel, history: DataFrame, horizon: int = 24,
     trees = flat_trees(model)
     if trees is None:
         return forecast_model(model, history, horizon, keys, ts, value, std_ddof, name=name)
-    keys, inputs = list(keys), model.stages[0].getInputCols()
+    keys, inputs = list(keys), model.cols if hasattr(model, "flat") else model.stages[0].getInputCols()
     # one row of known size
     state = history_state(history, horizon, keys, ts, value).crossJoin(F.broadcast(trees.select(F.struct("*").alias("_trees"))))
     hours = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda s: F.timestamp_add("HOUR", s, F.col("_t")))
@@ -244,7 +255,7 @@ def forecast_trees(model: PipelineModel, history: DataFrame, horizon: int = 24,
     def step(st: Column, hour: Column) -> Column:
         feats = step_features(st["h"], hour["t"], hour["holiday"], std_ddof)
         x = F.array(*[feats[c].cast("double") for c in inputs])
-        predicted = F.transform(F.array(x), lambda x: _walked(x))  # the features are evaluated once, so is the prediction
+        predicted = F.transform(F.array(x), lambda x: walked(x))  # the features are evaluated once, so is the prediction
 
         def advance(p: Column) -> Column:
             grown = F.concat(st["h"], F.array(p))
@@ -298,6 +309,9 @@ def forecast_models(models: Mapping[str, PipelineModel], history: DataFrame, hor
         if n not in MODEL_NAMES or n not in fitted:
             raise ValueError(f"no fitted model called {n!r}; there are {sorted(fitted)}")
         m = fitted[n]
+        if hasattr(m, "flat"):
+            parts.append(forecast_trees(m, history, horizon, keys, ts, value, std_ddof, n))
+            continue
         last = m.stages[-1]
         if hasattr(last, "coefficients") and hasattr(last, "intercept"):
             cols = m.stages[0].getInputCols()

@@ -17,6 +17,7 @@ from .functions import scalar as SC
 from .operators import metrics as M
 from .operators import sequences as SEQ
 from .operators import split as SP
+from .plans import boosting as BO
 from .plans import forecast as FC
 from .plans import models as PM
 from .plans import report as RP
@@ -203,6 +204,37 @@ def fit_boosted(spark, sf):
     return PM.predict(PM.fit("xgboost", train), test, name="xgboost")
 
 
+# one round of depth 1 over two features, with both penalties on
+_L1, _L2, _RATE = 5.0, 2.0, 0.5
+_T1 = f"(sign({{g}}) * greatest(abs({{g}}) - {_L1}, 0))"
+
+
+def _stump_sql() -> str:
+    def term(g, h):
+        return f"power({_T1.format(g=g)}, 2) / ({h} + {_L2})"
+    sides = " UNION ALL ".join(f"""SELECT {k} AS f, v, sum(CASE WHEN {c} <= v THEN g ELSE 0 END) AS gl,
+        sum(CASE WHEN {c} <= v THEN 1 ELSE 0 END) AS hl, sum(g) AS gt, count(*) AS ht
+        FROM t, (SELECT DISTINCT {c} AS v FROM t) d GROUP BY v""" for k, c in enumerate(("hour", "day_of_week")))
+    left = f"-{_T1.format(g='gl')} / (hl + {_L2})"
+    right = f"-{_T1.format(g='(gt - gl)')} / (ht - hl + {_L2})"
+    return f"""WITH {S.features_sql()},
+b AS (SELECT avg(load_mw) AS base FROM feat WHERE ts < {S.CUTOFF}),
+t AS (SELECT hour, day_of_week, base - load_mw AS g FROM feat, b WHERE ts < {S.CUTOFF}),
+s AS ({sides}),
+w AS (SELECT f, v, {left} AS lw, {right} AS rw FROM s WHERE hl >= 3 AND ht - hl >= 3
+    ORDER BY {term('gl', 'hl')} + {term('(gt - gl)', '(ht - hl)')} - {term('gt', 'ht')} DESC, f, v LIMIT 1)
+SELECT series_id, ts, {S.rnd(f"base + {_RATE} * (CASE WHEN (CASE WHEN f = 0 THEN hour ELSE day_of_week END) <= v THEN lw ELSE rw END)", 'prediction', D4)}
+FROM feat, b, w WHERE ts >= {S.CUTOFF}"""
+
+
+@register("boosted_round", _stump_sql())
+def boosted_round(spark, sf):
+    """M5: gradient and Hessian sums, both penalties, one tree."""
+    train, test = _split(spark, sf)
+    m = BO.fit_penalised(train, ["hour", "day_of_week"], rounds=1, depth=1, rate=_RATE, row_share=1.0, column_share=1.0, l1=_L1, l2=_L2)
+    return stable(m.transform(test).select("series_id", "ts", "prediction"), D4)
+
+
 @register("feature_importance")
 def feature_importance(spark, sf):
     return PM.feature_importance(spark, _fitted(spark, sf, "rf"))
