@@ -92,38 +92,28 @@ def bin_cuts(df: DataFrame, cols: Sequence[str], bins: int = BINS) -> list[list[
     return out
 
 
-def binned(x: Column, cuts: list[float]) -> Column:
-    """Number of the bin of ``x``: how many upper bounds are below it, by
-    halving steps over the sorted array of bounds."""
-    if not cuts:
-        return F.lit(0)
-    bounds = F.lit(cuts) if len(cuts) > 1 else F.array(F.lit(cuts[0]))
-    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
-
-    def halve(st: Column, _: Column) -> Column:
-        mid = F.floor((st["a"] + st["b"]) / 2).cast("int")
-        right = (st["a"] < st["b"]) & (F.get(bounds, mid) < x)
-        return F.struct(F.when(right, mid + 1).otherwise(st["a"]).alias("a"),
-                        F.when(right | (st["a"] >= st["b"]), st["b"]).otherwise(mid).alias("b"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")), halve, lambda st: st["a"])
+def _array(values: Sequence) -> str:
+    """A literal array in SQL, as one short expression."""
+    kind = "int" if all(isinstance(v, int) for v in values) else "double"
+    return f"cast(split('{','.join(map(repr, values))}', ',') as array<{kind}>)"
 
 
-def _array(values: Sequence) -> Column:
-    """A literal array, given as text so that it is one expression."""
-    kind = "array<int>" if all(isinstance(v, int) for v in values) else "array<double>"
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(kind)
-
-
-def _node(tree: Tree, bins: Column) -> Column:
-    """Where a row of ``bins`` ends in ``tree``."""
-    parts = {k: _array(getattr(tree, k)) for k in ("feature", "bin", "left", "right")}
+def binned(column: str, cuts: list[float]) -> Column:
+    """Number of the bin of a column's value: how many upper bounds are below
+    it, by halving steps over the sorted array of bounds."""
+    if not cuts:
+        return F.lit(0)
+    mid = "cast(floor((st.a + st.b) / 2) as int)"
+    right = f"st.a < st.b and get({_array(cuts)}, {mid}) < cast(`{column}` as double)"
+    return F.expr(f"""aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('a', 0, 'b', {len(cuts)}), (st, i) ->
+        named_struct('a', if({right}, {mid} + 1, st.a), 'b', if({right} or st.a >= st.b, st.b, {mid})), st -> st.a)""")
 
-    def down(n: Column, _: Column) -> Column:
-        goes_left = F.get(bins, F.get(parts["feature"], n)) <= F.get(parts["bin"], n)
-        return F.when(goes_left, F.get(parts["left"], n)).otherwise(F.get(parts["right"], n))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(tree.depth())), F.lit(0), down)
+def _node(tree: Tree) -> str:
+    """In SQL, where a row of ``bins`` ends in ``tree``."""
+    at = {k: f"get({_array(getattr(tree, k))}, n)" for k in ("feature", "bin", "left", "right")}
+    return (f"aggregate(sequence(1, {tree.depth()}), 0, (n, i) -> if(get(bins, {at['feature']}) <= {at['bin']}, "
+            f"{at['left']}, {at['right']}))")
 
 
 def best_splits(sums: dict[str, np.ndarray], n_bins: int, l1: float, l2: float, min_child_weight: float) -> dict[int, tuple]:
@@ -199,16 +189,15 @@ def _grown(rows: DataFrame, chosen: list[int], n_bins: int, depth: int, l1: floa
         return tree
     tree.leaf(float(leaf_value(total[0], total[1], l1, l2)))
     open_, group = [0], max(1, READ_SUMS // (len(chosen) * n_bins))
-    wanted = F.array(*[F.lit(c) for c in chosen])
+    cells = f"inline(transform({_array(chosen)}, f -> named_struct('feature', f, 'bin', get(bins, f))))"
     for _ in range(depth):
         found: dict[int, tuple] = {}
         for k in range(0, len(open_), group):
             nodes = open_[k:k + group]
-            placed = rows.select("g", "bins", _node(tree, F.col("bins")).alias("node"))
+            placed = rows.selectExpr("g", "bins", f"{_node(tree)} as node")
             if len(nodes) < len(tree.left):
-                placed = placed.where(F.array_contains(_array(nodes), F.col("node")))
-            cells = F.transform(wanted, lambda f: F.struct(f.alias("feature"), F.get(F.col("bins"), f).alias("bin")))
-            sums = (placed.select("g", "node", F.inline(cells)).groupBy("node", "feature", "bin")
+                placed = placed.where(f"array_contains({_array(nodes)}, node)")
+            sums = (placed.selectExpr("g", "node", cells).groupBy("node", "feature", "bin")
                     .agg(F.sum("g").alias("g"), F.count("*").alias("h")).toArrow())  # READ_SUMS rows at most, or one node's
             cols = {c: sums.column(c).to_numpy() for c in ("node", "feature", "bin", "g", "h")}
             found |= best_splits(cols, n_bins, l1, l2, min_child_weight)
@@ -244,7 +233,7 @@ def fit_penalised(train: DataFrame, cols: Sequence[str] = FEATURE_COLS, rounds:
 
     def table(df: DataFrame, part: int) -> DataFrame:
         return df.select(F.lit(part).alias("part"), F.col(target).cast("double").alias("y"), F.xxhash64(*keys, ts).alias("row"),
-                         F.array(*[binned(F.col(c).cast("double"), x) for c, x in zip(cols, cuts, strict=True)]).alias("bins"))
+                         F.array(*[binned(c, x) for c, x in zip(cols, cuts, strict=True)]).alias("bins"))
 
     base = known.agg(F.avg(target).alias("b")).first()["b"]
     if base is None:
@@ -267,8 +256,8 @@ def fit_penalised(train: DataFrame, cols: Sequence[str] = FEATURE_COLS, rounds:
             if tree.left[n] != n:
                 tree.threshold[n] = cuts[c][tree.bin[n]]
         trees.append(tree)
-        step = F.lit(rate) * F.get(_array([float(v) for v in tree.value]), _node(tree, F.col("bins")))
-        before, state = state, state.withColumn("m", F.col("m") + step)
+        step = f"{rate!r}D * get({_array([float(v) for v in tree.value])}, {_node(tree)})"
+        before, state = state, state.selectExpr("part", "y", "row", "bins", f"m + {step} as m")
         state = materialize(state) if (k + 1) % WRITE_EVERY == 0 else state.persist()
         if valid is not None:
             scores.append(state.where("part = 1").agg(mae(F.col("y"), F.col("m"))).first()[0])

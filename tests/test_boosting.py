@@ -95,10 +95,10 @@ def test_bins_and_cuts(spark):
     df = spark.createDataFrame([(float(i % 40), float(i), 1.0, None if i % 2 else 2.0) for i in range(2000)], "a double, b double, k double, z double")
     cuts = BO.bin_cuts(df, ["a", "b", "k", "z"], 64)
     assert cuts[0] == [float(v) for v in range(39)] and 50 <= len(cuts[1]) <= 63 and cuts[2] == [] and cuts[3] == []
-    got = df.select("b", BO.binned(F.col("b"), cuts[1]).alias("n")).collect()
+    got = df.select("b", BO.binned("b", cuts[1]).alias("n")).collect()
     assert all(r["n"] == sum(c < r["b"] for c in cuts[1]) for r in got)
     one = spark.createDataFrame([(1.0,), (2.0,)], "a double")
-    assert sorted(r[0] for r in one.select(BO.binned(F.col("a"), [1.0])).collect()) == [0, 1]
+    assert sorted(r[0] for r in one.select(BO.binned("a", [1.0])).collect()) == [0, 1]
 
 
 def test_boosted_forecast_and_nothing(spark):
