@@ -97,6 +97,7 @@ class PrefixBPE:
         own = tokenizers.Tokenizer.from_file(path)
         self.normalizer, self.cutter = own.normalizer, own.pre_tokenizer
         self.bytes = byte_alphabet()
+        self.byte = {c: b for b, c in enumerate(self.bytes)}
         self.merge: dict[tuple[int, int], int] = {}   # pair -> rank
         self.parts: dict[int, tuple[int, int]] = {}   # merged token -> its pair
         self.rank: dict[int, int] = {}                # merged token -> rank
@@ -168,18 +169,18 @@ class PrefixBPE:
 
     def chunk(self, text: str) -> tuple[int, str, str]:
         """Count, ids and strings of a text without added tokens."""
-        table = self.bytes
         if text.isascii() or not self.unknown.search(text):
             norm = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # sigma: no final form
-            pieces = ["".join([table[b] for b in p.encode("utf-8")]) if not p.isascii() else p
-                      for p in self.pieces.findall(norm)]
+            pieces = self.pieces.findall(norm)
         else:
-            pieces = [p for p, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+            cut = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))
+            pieces = [bytes(self.byte[c] for c in p).decode("utf-8") for p, _ in cut]
         ids: list[int] = []
+        table = self.bytes
         for piece in pieces:
             got = self.words.get(piece)
             if got is None:
-                got = self.word(piece)
+                got = self.word("".join([table[b] for b in piece.encode("utf-8")]))
                 if len(self.words) >= CACHE_ENTRIES:
                     self.words.clear()
                 self.words[piece] = got
