@@ -4,6 +4,12 @@ best-fit packing, each stage one operator of ``gridcast.llm``.
 Every stage takes ``(spark, docs, sf_dir)``, works on all that the stage
 before it kept, and its result is written as Parquet and read again before
 the next.  All but the last return the columns of ``documents``.
+
+Defined results: a null text is scored as the empty text and leaves line dedup
+as the empty text; rows without an id are never learned from and go through all
+stages; rows that share an id are scored each on its own text, lose the same
+lines and are packed each; of equal fingerprints the row with the smallest id
+stays; without labels every document is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridcast.llm import kernel_quality, line_runs, packing, simhash
-from gridcast.llm.common import scratch_path, table
+from gridcast.llm.common import drop_path, scratch_path, table
 from gridcast.llm.queries import vocabulary
+from gridcast.session import kept
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the last one's rows, as a checkpointed
+    table.  What a stage wrote is deleted when the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+        if before:
+            drop_path(spark, before)
+        before = path
+    return kept(docs, before)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, materialize, scratch_path  # noqa: F401  (re-exported)
+from ..session import checkpoint_dir, drop_path, materialize, scratch_path  # noqa: F401  (re-exported)
 
 #: Rows of one Arrow batch handed to a Python task.  Texts may be long, so a
 #: batch stays a few MB; the value bounds memory, not what is processed.
@@ -51,9 +51,3 @@ def crc32_mod(id_col: str, mod: int):
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder of our own through Hadoop's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
