@@ -41,23 +41,16 @@ CACHE_ENTRIES = 500_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACE + r"\p{L}\p{N}]+"
 
+_FIRST_UNKNOWN = "\u0378"  # every code point below is assigned
 _END = "</w>"
 _MARK = "\n"  # stands for the end of a word inside the automaton
 
 _CODECS: dict[str, "PrefixBPE"] = {}
 
 
-def unknown_characters() -> str:
-    """A regular expression's class of the code points that Python's Unicode
-    tables do not assign."""
-    runs: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+def known_characters() -> bytes:
+    """By code point, whether Python's Unicode tables assign it."""
+    return bytes(unicodedata.category(chr(c)) != "Cn" for c in range(0x110000))
 
 
 def byte_alphabet() -> list[str]:
@@ -78,8 +71,6 @@ class PrefixBPE:
     """Encoder of one vocabulary file (BPE with an end-of-word suffix)."""
 
     def __init__(self, path: str):
-        import re
-
         import ahocorasick
         import regex
         import tokenizers
@@ -93,7 +84,7 @@ class PrefixBPE:
         self.string = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.pieces = regex.compile(_PIECES, regex.V0)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.unknown = re.compile(unknown_characters())
+        self.known = known_characters()
         own = tokenizers.Tokenizer.from_file(path)
         self.normalizer, self.cutter = own.normalizer, own.pre_tokenizer
         self.bytes = byte_alphabet()
@@ -169,7 +160,7 @@ class PrefixBPE:
 
     def chunk(self, text: str) -> tuple[int, str, str]:
         """Count, ids and strings of a text without added tokens."""
-        if text.isascii() or not self.unknown.search(text):
+        if text.isascii() or max(text) < _FIRST_UNKNOWN or all(self.known[ord(c)] for c in text):
             norm = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # sigma: no final form
             pieces = self.pieces.findall(norm)
         else:
