@@ -52,10 +52,11 @@ class Tree:
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
+    cover: list[float] = field(default_factory=list)
 
-    def leaf(self, value: float) -> int:
+    def leaf(self, value: float, cover: float = 0.0) -> int:
         n = len(self.feature)
-        for name, x in (("feature", 0), ("threshold", math.inf), ("bin", 1 << 30), ("left", n), ("right", n), ("value", value)):
+        for name, x in (("feature", 0), ("threshold", math.inf), ("bin", 1 << 30), ("left", n), ("right", n), ("value", value), ("cover", cover)):
             getattr(self, name).append(x)
         return n
 
@@ -151,12 +152,13 @@ class BoostedModel:
         one leaf."""
         base = Tree()
         base.leaf(self.base / self.rate)
-        out = {k: [] for k in ("roots", "feature", "threshold", "left", "right", "value")}
+        out = {k: [] for k in ("roots", "feature", "threshold", "left", "right", "value", "cover")}
         for t in [base, *self.trees]:
             first = len(out["feature"])
             out["roots"].append(first)
             out["feature"] += t.feature
             out["threshold"] += t.threshold
+            out["cover"] += t.cover
             out["left"] += [first + n for n in t.left]
             out["right"] += [first + n for n in t.right]
             out["value"] += [v * self.rate for v in t.value]
@@ -187,7 +189,7 @@ def _grown(rows: DataFrame, chosen: list[int], n_bins: int, depth: int, l1: floa
     if not total[1]:
         tree.leaf(0.0)
         return tree
-    tree.leaf(float(leaf_value(total[0], total[1], l1, l2)))
+    tree.leaf(float(leaf_value(total[0], total[1], l1, l2)), total[1])
     open_, group = [0], max(1, READ_SUMS // (len(chosen) * n_bins))
     cells = f"inline(transform({_array(chosen)}, f -> named_struct('feature', f, 'bin', get(bins, f))))"
     for _ in range(depth):
@@ -204,8 +206,8 @@ def _grown(rows: DataFrame, chosen: list[int], n_bins: int, depth: int, l1: floa
         open_ = []
         for n, (feature, b, _, gl, hl, gr, hr) in sorted(found.items()):
             tree.feature[n], tree.bin[n] = feature, b
-            tree.left[n] = tree.leaf(float(leaf_value(gl, hl, l1, l2)))
-            tree.right[n] = tree.leaf(float(leaf_value(gr, hr, l1, l2)))
+            tree.left[n] = tree.leaf(float(leaf_value(gl, hl, l1, l2)), hl)
+            tree.right[n] = tree.leaf(float(leaf_value(gr, hr, l1, l2)), hr)
             open_ += [tree.left[n], tree.right[n]]
         if not open_:
             break

@@ -172,26 +172,22 @@ def forecast_linear(history: DataFrame, coefficients: Mapping[str, float], inter
 FLAT_NODES = 8_000_000
 
 
-def flat_trees(model) -> DataFrame | None:
-    """A fitted tree ensemble as one row of arrays: ``roots``, and by node
-    ``feature, threshold, left, right, value`` (a leaf leads to itself; values
-    are weighted, so that the prediction is their sum), with its ``depth``.
-    None if it has more than ``FLAT_NODES`` nodes."""
+def tree_arrays(model) -> dict:
+    """A fitted tree ensemble as arrays: ``roots``, and by node ``feature,
+    threshold, left, right, value, cover`` (a leaf leads to itself; values are
+    weighted, so that the prediction is their sum; cover: training rows), with
+    its ``depth``."""
     import numpy as np
 
     from ..session import drop_path, scratch_path
-    spark = SparkSession.active()
     if hasattr(model, "flat"):
-        trees = model.flat()
-        return flat_frame(spark, trees) if len(trees["feature"]) <= FLAT_NODES else None
-    last = model.stages[-1]
-    if last.totalNumNodes > FLAT_NODES:
-        return None
+        return model.flat()
+    spark, last = SparkSession.active(), model.stages[-1]
     path = scratch_path(spark, "trees")
     last.write().save(path)
     split = F.col("nodeData.split")
     nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+             .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", "nodeData.rawCount",
                      split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
                      split["numCategories"].alias("categories")).toPandas().sort_values(["treeID", "id"]))
     drop_path(spark, path)
@@ -209,10 +205,18 @@ def flat_trees(model) -> DataFrame | None:
     depth, level = 1, roots
     while len(level := np.concatenate([x[level[~leaf[level]]] for x in (left, right)])):
         depth += 1
-    cols = {"roots": roots.astype(np.int32), "feature": np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),
-            "threshold": np.where(leaf, np.inf, nodes["threshold"].to_numpy(dtype=float)), "left": left.astype(np.int32),
-            "right": right.astype(np.int32), "value": nodes["prediction"].to_numpy() * weights[tree]}
-    return flat_frame(spark, cols | {"depth": depth})
+    return {"roots": roots, "feature": np.where(leaf, 0, nodes["feature"].to_numpy()),
+            "threshold": np.where(leaf, np.inf, nodes["threshold"].to_numpy(dtype=float)), "left": left, "right": right,
+            "value": nodes["prediction"].to_numpy() * weights[tree], "cover": nodes["rawCount"].to_numpy(), "depth": depth}
+
+
+def flat_trees(model) -> DataFrame | None:
+    """:func:`tree_arrays` as one row; None if the ensemble has more than
+    ``FLAT_NODES`` nodes."""
+    if not hasattr(model, "flat") and model.stages[-1].totalNumNodes > FLAT_NODES:
+        return None
+    trees = tree_arrays(model)
+    return flat_frame(SparkSession.active(), trees) if len(trees["feature"]) <= FLAT_NODES else None
 
 
 def flat_frame(spark: SparkSession, trees: Mapping) -> DataFrame:

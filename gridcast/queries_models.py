@@ -18,6 +18,7 @@ from .operators import metrics as M
 from .operators import sequences as SEQ
 from .operators import split as SP
 from .plans import boosting as BO
+from .plans import contributions as CO
 from .plans import forecast as FC
 from .plans import models as PM
 from .plans import report as RP
@@ -288,6 +289,13 @@ def linear_contributions_full(spark, sf):
                           .withColumnRenamed("mean_abs_contribution", "importance"), 20)
 
 
+@register("tree_contributions")
+def tree_contributions(spark, sf):
+    """M8, A13, K3 for the boosted model: exact Shapley values of every row."""
+    rows = CO.tree_contributions(_fitted(spark, sf, "xgboost"), _split(spark, sf)[1])
+    return M.top_features(M.mean_abs_contribution(rows).withColumnRenamed("mean_abs_contribution", "importance"), 20)
+
+
 @register("score_test_one", f"""WITH {S.features_sql()},
 fits AS ({_each("SELECT '{n}' AS model, regr_intercept(load_mw, {c}) AS a, regr_slope(load_mw, {c}) AS b FROM feat WHERE ts < " + S.CUTOFF)}),
 preds AS ({_each("SELECT f.model, load_mw AS y, f.a + f.b * {c} AS p FROM feat, fits f WHERE f.model = '{n}' AND ts >= " + S.CUTOFF)}),
