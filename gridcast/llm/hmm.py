@@ -17,10 +17,12 @@ forward recursion gives P(text) exactly.
 
 Training: Baum-Welch over all training documents.  Expected counts of the at
 most ``LISTED`` most frequent words, of starts, transitions and endings are
-tables of that bound, added up by Spark and sent to the tasks; those of all
-other words are a distributed table ``word, c, s0..``, summed by ``groupBy`` and
-joined each round to the words of every block of documents.  Rounds go on until
-the summed log-likelihood gains less than a share of ``GAIN``.  The start is a
+tables of that bound, added up by Spark and sent to the tasks.  All other words
+are dealt to buckets by hash, and a block of documents knows its words' places
+in each: every round it sends a bucket its sums and gets back the totals of its
+words, while the blocks' tokens stay where they are.  The rounds run in single
+precision (sums over documents and scores in double).  They go on until the
+summed log-likelihood gains less than a share of ``GAIN``.  The start is a
 few rounds over a bounded sample, in which at most ``OWN`` words have a symbol.
 Documents over ``HOLD`` tokens go through in pieces, with the forward and the
 backward state carried over their borders.
@@ -34,10 +36,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import copy
+import gc
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +62,11 @@ OWN = 8192          # words with a symbol in the sample; in the training every w
 ENDINGS = 1024
 LISTED = 1 << 18
 #: Tokens of a block, which a task holds at a time; longer documents go in pieces.
-HOLD = 500_000
+HOLD = 2_000_000
+#: Tokens of words that are not listed, by which their buckets are numbered.
+BUCKET = 1 << 18
+#: Listed words of a row of sums.
+RANGE = 1 << 14
 #: Words that a task counts before it passes the counts on.
 COUNTED = 400_000
 _BITS = 10  # leading binary digits of a count that its bar of the histogram keeps
@@ -164,12 +172,34 @@ def make_alphabet(words: DataFrame, documents: int) -> tuple[Alphabet, int]:
                     documents), listed_from
 
 
-def encode(docs: DataFrame, alphabet, held, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Write and reread the token table that all later passes read: a row
-    ``block, kind, at, doc_id, held_out, symbols`` per document (kind 1), and per
-    block the ``words`` that are not listed (kind 0).  Words of that list have
-    the symbols from ``size`` on.  A block has ``HOLD`` tokens, or one document
-    more, and is of training documents or of others."""
+class Look(dict):
+    """Symbols of words; words that are not listed get the next ones from ``size`` on."""
+
+    def __init__(self, table: dict[bytes, int], size: int):
+        super().__init__(table)
+        self.size, self.words = size, []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = self.size + len(self.words)
+        self.words.append(word)
+        return i
+
+
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values, dtype=np.int32).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 4 * size, "zstd", asbytes=True), np.int32)
+
+
+def encode(docs: DataFrame, alphabet, held, buckets: int, path: str, id_col: str, text_col: str) -> DataFrame:
+    """Write and reread the blocks that all later passes read, a row each:
+    ``block, held_out``, the documents' ``ids`` and ``sizes``, their ``symbols`` (packed)
+    and the ``words`` that are not listed with their ``classes`` and numbers ``n``.
+    Such words have the symbols from ``size`` on, in the order of their buckets.
+    A block has ``HOLD`` tokens, or one document more, and is of training
+    documents or of others."""
     id_type = dict(docs.dtypes)[id_col]
     bounded_batches(docs.sparkSession)
 
@@ -178,51 +208,109 @@ def encode(docs: DataFrame, alphabet, held, path: str, id_col: str, text_col: st
         table = a.table()
         first = TaskContext.get().partitionId() << 33
         blocks = 0
-        opened: dict = {}  # by held_out: block, tokens, words
-
-        def batch(block, kind, at, ids, held_out, symbols, words):
+        opened: dict = {}  # by held_out: words, ids, symbols, tokens
+
+        def closed(h, look, ids, symbols, ids_type):
+            nonlocal blocks
+            bucket = np.array([zlib.crc32(w) % buckets for w in look.words], dtype=np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(a.size + len(order), dtype=np.int32)
+            place[:a.size] = np.arange(a.size)
+            place[a.size + order] = a.size + np.arange(len(order))
+            flat = place[np.concatenate(symbols)]
+            words = [look.words[i] for i in order]
+            classes = np.array([ending(w) for w in words], dtype=np.int16)
+            blocks += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(at, pa.int64()), ids, held_out,
-                 pa.array(symbols, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.binary()))],
-                names=["block", "kind", "at", "doc_id", "held_out", "symbols", "words"])
+                [pa.array([first + blocks], pa.int64()), pa.array([h], pa.bool_()), pa.array([ids], pa.list_(ids_type)),
+                 pa.array([[len(x) for x in symbols]], pa.list_(pa.int64())), pa.array([packed(flat)], pa.binary()),
+                 pa.array([words], pa.list_(pa.binary())), pa.array([classes.tobytes()], pa.binary()),
+                 pa.array([np.bincount(flat, minlength=len(place))[a.size:]], pa.list_(pa.int64()))],
+                names=["block", "held_out", "ids", "sizes", "symbols", "words", "classes", "n"])
 
-        def closed(shut, ids_type):
-            n = len(shut)
-            return batch([o[0] for _, o in shut], [0] * n, [0] * n, pa.nulls(n, ids_type),
-                         pa.array([h for h, _ in shut], pa.bool_()), [None] * n, [list(o[2]) for _, o in shut])
-
-        row, ids_type = first, None
+        ids_type = None
         for b in batches:
             ids_type = b.column(0).type
-            block, symbols, full = [], [], []
-            for t, h in zip(texts_of(b.column(2)), b.column(1).to_pylist(), strict=True):
-                if h in opened and opened[h][1] >= HOLD:
-                    full.append((h, opened.pop(h)))
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
                 if h not in opened:
-                    opened[h] = [first + blocks, 0, {}]
-                    blocks += 1
+                    opened[h] = [Look(table, a.size), [], [], 0]
                 now = opened[h]
-                lost = now[2]
-                sym = np.empty(len(words := tokens_of(t)) + 1, dtype=np.int32)
-                sym[-1] = a.end
-                sym[:-1] = [table[w] if w in table else a.size + lost.setdefault(w, len(lost)) for w in words]
-                now[1] += len(sym)
-                block.append(now[0])
-                symbols.append(sym)
-            n = len(block)
-            yield batch(block, [1] * n, np.arange(row, row + n), b.column(0), b.column(1), symbols, [None] * n)
-            row += n
-            if full:
-                yield closed(full, ids_type)
-        if opened:
-            yield closed(list(opened.items()), ids_type)
+                words = tokens_of(t)
+                sym = np.full(len(words) + 1, a.end, dtype=np.int32)
+                sym[:-1] = np.fromiter(map(now[0].__getitem__, words), np.int32, len(words))
+                now[1].append(i)
+                now[2].append(sym)
+                now[3] += len(sym)
+                if now[3] >= HOLD:
+                    yield closed(h, *opened.pop(h)[:3], ids_type)
+        for h, now in opened.items():
+            yield closed(h, *now[:3], ids_type)
 
     out = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), text_col).mapInArrow(
-        run, f"block long, kind int, at long, doc_id {id_type}, held_out boolean, symbols array<int>, words array<binary>")
+        run, f"block long, held_out boolean, ids array<{id_type}>, sizes array<long>, symbols binary, words array<binary>, "
+             "classes binary, n array<long>")
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def settings(spark, **values: str):
+    """Session settings for the plans made and run inside."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def one_block_a_batch(spark):
+    """Blocks are rows of some MB: one at a time goes to a task."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1")
+
+
+def placed(tokens: DataFrame, buckets: int) -> DataFrame:
+    """The blocks of ``tokens`` with ``parts`` instead of words: by bucket, the
+    words' places in the bucket's list and their counts in the training.  A
+    checkpoint that stays hash partitioned by block: later joins on the block
+    move the other side alone."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                bucket = np.array([zlib.crc32(w) % buckets for w in r["words"]], dtype=np.int64)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+                full = [(k, x, y) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                if full:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k for k, _, _ in full], pa.int32()), pa.array([r["block"]] * len(full), pa.int64()),
+                         pa.array([r["held_out"]] * len(full), pa.bool_()),
+                         pa.array([r["words"][x:y] for _, x, y in full], pa.list_(pa.binary())),
+                         pa.array([r["n"][x:y] for _, x, y in full], pa.list_(pa.int64()))],
+                        names=["bucket", "block", "held_out", "words", "n"])
+
+    def listed(t: pa.Table) -> pa.Table:
+        places: dict[bytes, int] = {}
+        at = [np.array([places.setdefault(w, len(places)) for w in words], dtype=np.int32)
+              for words in t.column("words").to_pylist()]
+        c = np.zeros(len(places), dtype=np.int64)
+        for i, n, h in zip(at, t.column("n").to_pylist(), t.column("held_out").to_pylist(), strict=True):
+            if not h:
+                c[i] += n
+        return pa.table([t.column("bucket"), t.column("block"), pa.array([i.tobytes() for i in at], pa.binary()),
+                         pa.array([c[i].tobytes() for i in at], pa.binary())], names=["bucket", "block", "place", "c"])
+
+    spark = tokens.sparkSession
+    with one_block_a_batch(spark), settings(spark, spark__sql__adaptive__enabled="false"):
+        parts = (tokens.select("block", "held_out", "words", "n")
+                 .mapInArrow(split, "bucket int, block long, held_out boolean, words array<binary>, n array<long>")
+                 .groupBy("bucket").applyInArrow(listed, "bucket int, block long, place binary, c binary")
+                 .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "place", "c"))).alias("parts")))
+        return materialize(tokens.drop("words", "n").join(parts.hint("merge"), "block", "left"))
+
+
 class Steps:
     """Sequences side by side: all first tokens, all second tokens, ..."""
 
@@ -249,21 +337,24 @@ class Steps:
 
 def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
     """Scaled forward recursion: the scale of every token, and (``keep``) the
-    forward rows and emissions.  ``emit``: symbols x states."""
-    total, states = len(s.symbols), len(start)
-    scale = np.empty(total, emit.dtype)
-    e = emit[s.symbols]
-    rows = np.empty((total, states), e.dtype) if keep else None
+    forward rows and emissions (tokens x states, each state's values together).
+    ``emit``: symbols x states; all is kept in its precision."""
+    total, states, kind = len(s.symbols), len(start), emit.dtype
+    scale = np.empty(total, kind)
+    e = np.empty((states, total), kind)
+    for k in range(states):
+        np.take(np.ascontiguousarray(emit[:, k]), s.symbols, out=e[k])
+    rows = np.empty_like(e) if keep else None
+    turned, begin = np.ascontiguousarray(move.T, dtype=kind), s.begin.tolist()
     a = None
-    for t in range(s.steps):
-        x, y = s.begin[t], s.begin[t + 1]
-        a = start * e[x:y] if a is None else (a[:y - x] @ move) * e[x:y]
-        norm = a.sum(axis=1)
-        a /= norm[:, None]
-        scale[x:y] = norm
-        if keep:
-            rows[x:y] = a
-    return scale, rows, e
+    for x, y in zip(begin, begin[1:], strict=False):
+        now = rows[:, x:y] if keep else e[:, x:y]
+        ahead = np.asarray(start, kind)[:, None] if a is None else turned @ a[:, :y - x]
+        np.multiply(ahead, e[:, x:y], out=now)
+        np.add.reduce(now, axis=0, out=scale[x:y])
+        now /= scale[x:y]
+        a = now
+    return scale, rows.T if keep else None, e.T
 
 
 def expected(sequences: list[np.ndarray], start, move, emit):
@@ -271,21 +362,21 @@ def expected(sequences: list[np.ndarray], start, move, emit):
     states), log-likelihood."""
     s = Steps(sequences)
     scale, rows, e = forward(s, start, move, emit, True)
-    back = np.empty_like(e)  # emission * backward / scale
-    gamma = np.empty_like(e)
-    turned = np.ascontiguousarray(move.T)
-    for t in range(s.steps - 1, -1, -1):
-        x, y = s.begin[t], s.begin[t + 1]
-        b = np.ones((y - x, e.shape[1]))
-        if t + 1 < s.steps:
-            more = s.active[t + 1]
-            b[:more] = back[y:y + more] @ turned
-        gamma[x:y] = rows[x:y] * b
-        back[x:y] = e[x:y] * b / scale[x:y, None]
-    first = int(s.active[0])
-    moves = (rows[s.previous].T @ back[first:]) * move if len(s.previous) else np.zeros_like(move)
-    emits = np.stack([np.bincount(s.symbols, weights=gamma[:, k], minlength=emit.shape[0]) for k in range(e.shape[1])], 1)
-    return gamma[:first].sum(axis=0), moves, emits, float(np.log(scale).sum())
+    gamma, back = rows.T, e.T  # both are overwritten: state probabilities, emission * backward / scale
+    back /= scale
+    forth, begin = move.astype(emit.dtype), s.begin.tolist()
+    moves, after = np.zeros(move.shape), None
+    for x, y in zip(reversed(begin[:-1]), reversed(begin[1:]), strict=True):
+        if after is not None:
+            more = x + after.shape[1]
+            moves += gamma[:, x:more] @ after.T
+            b = forth @ after
+            gamma[:, x:more] *= b
+            back[:, x:more] *= b
+        after = back[:, x:y]
+    starts = gamma[:, :int(s.active[0])].astype(float)
+    emits = np.stack([np.bincount(s.symbols, weights=g, minlength=emit.shape[0]) for g in gamma], 1)
+    return (starts / starts.sum(axis=0)).sum(axis=1), moves * move, emits, float(np.log(scale).sum(dtype=float))
 
 
 def _border(piece: np.ndarray, state: np.ndarray, move, emit, after):
@@ -365,14 +456,6 @@ def first_model(sample: list[np.ndarray], size: int):
     return model
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
-    col = batch.column(column)
-    flat = col.values.to_numpy(zero_copy_only=False)
-    cuts = col.offsets.to_numpy()
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield flat[a:b]
-
-
 class Model:
     """Sums of a round turned into probabilities (tables of bounded size; the
     words that are not listed have theirs from the joined rows)."""
@@ -383,16 +466,17 @@ class Model:
         self.own = own * self.rate
         self.back = alphabet.mix * back / back.sum(axis=0)
 
-    def emissions(self, alphabet: Alphabet, words: list[bytes], counts: np.ndarray):
+    def emissions(self, alphabet: Alphabet, others, counts: np.ndarray):
         """Own part and whole of every symbol's emission, with its class: the
-        listed, the unseen and then ``words`` with expected ``counts``."""
-        classes = np.concatenate([alphabet.classes, np.array([ending(w) for w in words], dtype=np.int64)])
+        listed, the unseen and then words of the classes ``others`` with expected
+        ``counts``."""
+        classes = np.concatenate([alphabet.classes, np.asarray(others, dtype=np.int64)])
         share = np.concatenate([alphabet.share, 1.0 / alphabet.class_norm[classes[alphabet.size:]]])
         own = np.concatenate([self.own, np.zeros((ENDINGS, STATES)), counts * self.rate])
         return own, own + self.back[classes] * share[:, None], classes
 
 
-_SUMS = [f"s{k}" for k in range(STATES)]
+_HEAD = -1                  # bucket of the first rows of the summed table; the listed words follow below
 _LIKE = 1 + STATES          # rows of the summed table before the symbols: starts, transitions, then
 _RARE = _LIKE + 1           # log-likelihood, own counts of words that are not listed
 _CLASS = _RARE + 1          # and a row per class
@@ -439,38 +523,20 @@ def sample_of(learn: DataFrame, alphabet, documents: int, text_col: str) -> list
     return [np.asarray(s, dtype=np.int64) for s in some.column(0).to_pylist()]
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], a: Alphabet, of_class: np.ndarray):
-    """``words, c, counts, documents`` of each block (documents: batches of
-    kind 1) from rows sorted by block, kind, place."""
-    def parts():
-        for b in batches:
-            if not b.num_rows:
-                continue
-            block, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
-            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
-            for x, y in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                yield int(block[x]), int(kind[x]), b.slice(x, y - x)
-
-    def whole(rows, docs):
-        if not rows:
-            return [], np.zeros(0), np.zeros((0, STATES)), docs
-        t = pa.Table.from_batches(rows)
-        words = t.column("word").to_pylist()
-        c = t.column("c").fill_null(0).to_numpy().astype(float)
-        counts = np.stack([t.column(k).to_numpy() for k in _SUMS], 1).astype(float)
-        new = np.isnan(counts[:, 0])  # the first round, or a word not seen
-        counts[new] = c[new, None] * of_class[[ending(words[i]) for i in np.flatnonzero(new)]].reshape(-1, STATES)
-        return words, c, counts, docs
-
-    at, rows, docs = None, [], []
-    for block, kind, b in parts():
-        if block != at:
-            if docs:
-                yield whole(rows, docs)
-            at, rows, docs = block, [], []
-        (docs if kind else rows).append(b)
-    if docs:
-        yield whole(rows, docs)
+def blocks_of(batches: Iterator[pa.RecordBatch], of_class: np.ndarray):
+    """Of each block: its row, the symbols of its documents, and of its words
+    that are not listed the classes, counts and expected counts (by state)."""
+    for b in batches:
+        for r in b.to_pylist():
+            sizes = np.array(r["sizes"])
+            flat = unpacked(r["symbols"], int(sizes.sum()))
+            classes = np.frombuffer(r["classes"], np.int16)
+            c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p["c"], np.int64) for p in r["parts"] or [])])
+            if r["got"]:
+                counts = np.concatenate([np.frombuffer(p["sums"], np.float32) for p in r["got"]]).reshape(-1, STATES)
+            else:  # the first round
+                counts = c[:, None] * of_class[classes]
+            yield r, np.split(flat, np.cumsum(sizes)[:-1]), classes, c, counts
 
 
 def log_scores(sequences: list[np.ndarray], start, move, emit) -> np.ndarray:
@@ -487,79 +553,107 @@ def log_scores(sequences: list[np.ndarray], start, move, emit) -> np.ndarray:
     return out
 
 
-def with_emissions(tokens: DataFrame, emissions: DataFrame) -> DataFrame:
-    """Blocks of ``tokens``, each with the rows of its words that are not
-    listed before its documents; a block is in one task."""
-    words = tokens.where("kind = 0").select("block", F.posexplode("words").alias("at", "word"))
-    empty = [F.lit(None).cast(t).alias(n) for n, t in tokens.select("doc_id", "held_out", "symbols").dtypes]
-    rows = (words.join(emissions, "word", "left")
-            .select("block", F.lit(0).alias("kind"), F.col("at").cast("long").alias("at"), *empty, "word", "c", *_SUMS))
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in rows.select("word", "c", *_SUMS).dtypes]
-    docs = tokens.where("kind = 1").select("block", "kind", "at", "doc_id", "held_out", "symbols", *nothing)
-    return docs.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind", "at")
-
-
-def one_round(tokens: DataFrame, emissions: DataFrame, model: Model, alphabet: Alphabet, of_class: np.ndarray, path: str):
+def with_emissions(blocks: DataFrame, emissions: DataFrame | None) -> DataFrame:
+    """The blocks with the expected counts of their words that are not listed."""
+    if emissions is None:
+        return blocks.withColumn("got", F.lit(None).cast("array<struct<bucket:int,sums:binary>>"))
+    got = emissions.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "sums"))).alias("got"))
+    return blocks.join(got, "block", "left")
+
+
+def _added(t: pa.Table) -> pa.Table:
+    """Sums of a bucket, for each block those of its words (for the tables of
+    listed words: once)."""
+    bucket, block = t.column("bucket"), t.column("block")
+    place, sums = t.column("place").to_pylist(), t.column("sums").to_pylist()
+    if bucket[0].as_py() < 0:
+        kind = np.float64 if bucket[0].as_py() == _HEAD else np.float32
+        total = sum(np.frombuffer(x, kind).astype(float) for x in sums)
+        return pa.table([bucket[:1], block[:1], pa.array([total.tobytes()], pa.binary())], names=["bucket", "block", "sums"])
+    at = [np.frombuffer(p, np.int32) for p in place]
+    total = np.zeros((1 + max(int(i.max()) for i in at), STATES))
+    for i, x in zip(at, sums, strict=True):
+        if x is not None:  # a word is in a block's list once
+            total[i] += np.frombuffer(x, np.float32).reshape(-1, STATES)
+    return pa.table([bucket, block, pa.array([total[i].astype(np.float32).tobytes() for i in at], pa.binary())],
+                    names=["bucket", "block", "sums"])
+
+
+def one_round(blocks: DataFrame, emissions: DataFrame | None, model: Model, alphabet: Alphabet, of_class: np.ndarray, path: str):
     """A Baum-Welch round: the summed table (its rows in the order of
-    ``_LIKE``, ``_RARE``, ...) and the next ``emissions``, written to ``path``."""
-    spark = tokens.sparkSession
+    ``_LIKE``, ``_RARE``, ...) and the next ``emissions``, written to ``path``.
+    Blocks of other documents take no part but get the emissions of their words."""
+    spark = blocks.sparkSession
     now = spark.sparkContext.broadcast((model, alphabet, of_class))  # LISTED x STATES numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, a, states = now.value
-        sums = np.zeros((_FIRST + a.end + 1, STATES))
-
-        def table(i, words, c, s):
-            return pa.RecordBatch.from_arrays([i, words, c, *[pa.array(s[:, k]) for k in range(STATES)]],
-                                              names=["i", "word", "c", *_SUMS])
-
-        for words, c, counts, docs in blocks_of(batches, a, states):
-            own, emit, classes = m.emissions(a, words, counts)
-            held = [s for b in docs for s in _pieces(b, b.schema.get_field_index("symbols"))]
-            starts, moves, emits, like = expected_of(held, m.start, m.move, emit)
-            mine = emits * (own / emit)
-            sums[0] += starts
-            sums[1:1 + STATES] += moves
-            sums[_LIKE, 0] += like
-            rest = emits - mine
-            for k in range(STATES):
-                sums[_CLASS:_FIRST, k] += np.bincount(classes, weights=rest[:, k], minlength=ENDINGS + 1)
-            sums[_FIRST:] += mine[:a.end + 1]
-            if words:
-                rare = mine[a.size:]
-                sums[_RARE] += rare.sum(axis=0)
-                yield table(pa.nulls(len(words), pa.int32()), pa.array(words, pa.binary()), pa.array(c.astype(np.int64)), rare)
-        seen = np.flatnonzero(sums.any(axis=1))
-        if len(seen):
-            yield table(pa.array(seen, pa.int32()), pa.nulls(len(seen), pa.binary()), pa.nulls(len(seen), pa.int64()), sums[seen])
-
-    (with_emissions(tokens, emissions)
-     .mapInArrow(run, "i int, word binary, c long, " + ", ".join(f"{k} double" for k in _SUMS))
-     .write.option("compression", "zstd").parquet(path))
+        head, listed, any_block = np.zeros((_FIRST, STATES)), np.zeros((a.end + 1, STATES)), False
+
+        def rows(bucket, block, place, sums):
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()),
+                                               pa.array(place, pa.binary()), pa.array(sums, pa.binary())],
+                                              names=["bucket", "block", "place", "sums"])
+
+        for r, held, others, _, counts in blocks_of(batches, states):
+            parts, rare = r["parts"] or [], None
+            if not r["held_out"]:
+                any_block = True
+                own, emit, classes = m.emissions(a, others, counts)
+                starts, moves, emits, like = expected_of(held, m.start, m.move, emit.astype(np.float32))
+                mine = emits * (own / emit)
+                head[0] += starts
+                head[1:1 + STATES] += moves
+                head[_LIKE, 0] += like
+                rest = emits - mine
+                for k in range(STATES):
+                    head[_CLASS:_FIRST, k] += np.bincount(classes, weights=rest[:, k], minlength=ENDINGS + 1)
+                listed += mine[:a.end + 1]
+                head[_RARE] += mine[a.size:].sum(axis=0)
+                rare = mine[a.size:].astype(np.float32)
+            at = 0
+            for p in parts:
+                n = len(p["place"]) // 4
+                yield rows([p["bucket"]], [r["block"]], [p["place"]], [None if rare is None else rare[at:at + n].tobytes()])
+                at += n
+        if any_block:
+            yield rows([_HEAD], [None], [None], [head.tobytes()])
+            for k in range(0, a.end + 1, RANGE):
+                yield rows([_HEAD - 1 - k // RANGE], [None], [None], [listed[k:k + RANGE].astype(np.float32).tobytes()])
+
+    with one_block_a_batch(spark):
+        (with_emissions(blocks, emissions)
+         .mapInArrow(run, "bucket int, block long, place binary, sums binary")
+         .groupBy("bucket").applyInArrow(_added, "bucket int, block long, sums binary")
+         .write.option("compression", "zstd").parquet(path))
     now.destroy()
     got = spark.read.parquet(path)
-    added = [F.sum(k).alias(k) for k in _SUMS]
-    summed = got.where("word is null").groupBy("i").agg(*added).toArrow()
-    rows = np.zeros((_FIRST + alphabet.end + 1, STATES))
-    if summed.num_rows:
-        rows[summed.column("i").to_numpy()] = np.stack([summed.column(k).to_numpy() for k in _SUMS], 1)
-    return rows, (got.where("word is not null").groupBy("word")
-                  .agg(F.max("c").alias("c"), *[F.sum(k).cast("float").alias(k) for k in _SUMS]))
-
-
-def train(tokens: DataFrame, rare: DataFrame, alphabet: Alphabet, sample: list[np.ndarray]):
-    """Baum-Welch over all training documents of ``tokens``; ``rare``: ``word,
-    c`` of the words that are not listed.  The model, the table of emissions of
-    those words, the states of a class and the folder of the table."""
-    spark, documents = tokens.sparkSession, alphabet.documents
+    summed = {r["bucket"]: np.frombuffer(r["sums"]).reshape(-1, STATES) for r in got.where("bucket < 0").collect()}
+    nothing = np.zeros((_FIRST + alphabet.end + 1, STATES))
+    table = np.concatenate([summed[k] for k in sorted(summed, reverse=True)]) if summed else nothing
+    return table, got.where("bucket >= 0").select("block", "bucket", "sums")
+
+
+def let_go(spark) -> None:
+    """Shuffle files of ended rounds are deleted once the driver's objects of
+    them are collected; do not wait for it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def train(blocks: DataFrame, alphabet: Alphabet, sample: list[np.ndarray]):
+    """Baum-Welch over all training documents of ``blocks``.  The model, the
+    expected counts of the words that are not listed by block, the states of a
+    class and the folder of those counts."""
+    spark, documents = blocks.sparkSession, alphabet.documents
     model, of_class = seeded(sample, alphabet)
-    said, before = None, -math.inf
-    emissions = rare.select("word", "c", *[F.lit(None).cast("float").alias(k) for k in _SUMS])
+    said, before, emissions = None, -math.inf, None
     while documents:
         path = scratch_path(spark, "hmm-emissions")
-        rows, emissions = one_round(tokens, emissions, model, alphabet, of_class, path)
+        rows, emissions = one_round(blocks, emissions, model, alphabet, of_class, path)
         if said:
             drop_path(spark, said)
+        let_go(spark)
         said = path
         start, move, _ = improved(rows[0], rows[1:_LIKE], np.ones((1, STATES)))
         own = rows[_FIRST:]
@@ -580,39 +674,43 @@ def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_co
     held = F.coalesce(crc32_mod(id_col, folds) == F.lit(fold), F.lit(False)) if fold is not None else F.lit(False)
     learn = docs.where(~held)
     documents = learn.count()
-    words = materialize(word_counts(learn, text_col))
-    alphabet, listed_from = make_alphabet(words, documents)
+    counted, path = scratch_path(spark, "hmm-words"), scratch_path(spark, "hmm-tokens")
+    word_counts(learn, text_col).write.parquet(counted)
+    alphabet, _ = make_alphabet(spark.read.parquet(counted), documents)
+    drop_path(spark, counted)
     shared = spark.sparkContext.broadcast(alphabet)  # LISTED words at most
-    path = scratch_path(spark, "hmm-tokens")
-    tokens = encode(docs, shared, held, path, id_col, text_col)
+    buckets = 1 + int(alphabet.rare_counts.sum()) // BUCKET
+    blocks = placed(encode(docs, shared, held, buckets, path, id_col, text_col), buckets)
+    drop_path(spark, path)
+    let_go(spark)
     sample = sample_of(learn, shared, documents, text_col)
     slim = alphabet.without_words()
-    model, emissions, of_class, said = train(tokens.where("not held_out"), words.where(F.col("c") < listed_from), slim, sample)
+    model, emissions, of_class, said = train(blocks, slim, sample)
     final = spark.sparkContext.broadcast((model, slim, of_class))
+    id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, a, states = final.value
         every = math.log10(a.total + a.distinct + 1)
 
-        for words, c, counts, docs in blocks_of(batches, a, states):
-            _, emit, _ = m.emissions(a, words, counts)
-            number = np.concatenate([a.symbol_counts, c])
-            logs = np.log10(number + 1.0) - every
-            held = [s for b in docs for s in _pieces(b, b.schema.get_field_index("symbols"))]
-            scores = log_scores(held, m.start, m.move, emit)
-            n = [len(s) for s in held]
-            known = [int((number[s] > 0).sum()) for s in held]
-            base = [float(logs[s].sum()) for s in held]
-            t = pa.Table.from_batches([b.select(["doc_id", "held_out"]) for b in docs]).combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array([a.total] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = materialize(with_emissions(tokens, emissions).mapInArrow(
-        run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-             "base_score double, score double"))
-    for p in [path, said]:
-        if p:
-            drop_path(spark, p)
+        for b in batches:
+            ids_type = b.schema.field("ids").type.value_type
+            for r, held, others, c, counts in blocks_of([b], states):
+                _, emit, _ = m.emissions(a, others, counts)
+                number = np.concatenate([a.symbol_counts, c])
+                logs = np.log10(number + 1.0) - every
+                n = len(held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r["ids"], ids_type), pa.array([r["held_out"]] * n, pa.bool_()),
+                     pa.array([len(x) for x in held], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in held], pa.int64()),
+                     pa.array([a.total] * n, pa.int64()), pa.array([float(logs[x].sum()) for x in held], pa.float64()),
+                     pa.array(log_scores(held, m.start, m.move, emit), pa.float64())],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    with one_block_a_batch(spark):
+        out = materialize(with_emissions(blocks, emissions).mapInArrow(
+            run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                 "base_score double, score double"))
+    if said:
+        drop_path(spark, said)
     return out
