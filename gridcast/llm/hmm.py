@@ -329,10 +329,6 @@ class Steps:
         self.symbols[at] = flat
         self.which = np.empty(len(flat), dtype=np.int32)
         self.which[at] = which
-        self.previous = None
-        first = int(self.active[0])
-        step_of = np.repeat(np.arange(self.steps), self.active)
-        self.previous = self.begin[step_of[first:] - 1] + self.which[first:]
 
 
 def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
