@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import code_of_display
 from ..schema import METRIC_NAMES, METRICS_SCHEMA
+from . import commits
 
 _JSON_VALUE = T.MapType(T.StringType(), T.StructType([
     T.StructField("MAE", T.DoubleType()), T.StructField("RMSE", T.DoubleType()),
@@ -26,8 +27,9 @@ def metrics_document(metrics: DataFrame) -> DataFrame:
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
-    """Overwrite the JSON document (a single small text file)."""
-    metrics_document(metrics).coalesce(1).write.mode("overwrite").text(path)
+    """Replace the JSON document (a single small text file) by a commit:
+    readers see the old one or the new one, whole."""
+    commits.replace(metrics.sparkSession, path, lambda _, to: metrics_document(metrics).coalesce(1).write.text(to))
 
 
 def parse_metrics_document(doc: DataFrame, col: str = "metrics_json") -> DataFrame:
@@ -38,7 +40,7 @@ def parse_metrics_document(doc: DataFrame, col: str = "metrics_json") -> DataFra
 
 
 def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_metrics_document(spark.read.text(path).withColumnRenamed("value", "metrics_json"))
+    return parse_metrics_document(spark.read.text(commits.current(spark, path)).withColumnRenamed("value", "metrics_json"))
 
 
 def write_metrics_csv(board: DataFrame, path: str) -> None:
@@ -73,15 +75,14 @@ def metrics_source(spark: SparkSession, json_path: str, csv_path: str) -> DataFr
 
 def upsert_metrics_json(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
     """S4 merge mode (retrain writes merge, evaluation writes overwrite):
-    existing models are replaced by the new rows, the rest kept.  The merged
-    table is materialised before the overwrite so the read is not lazy over
-    the file being replaced."""
+    existing models are replaced by the new rows, the rest kept.  If another
+    writer commits meanwhile, the merge is done again on its document."""
     from ..operators.joins import upsert_metrics
-    from ..session import drop_path, scratch_path
-    merged = upsert_metrics(read_metrics_json(spark, path), new.select("model", "mae", "rmse", "mape", "r2")) \
-        if _exists(spark, path) else new.select("model", "mae", "rmse", "mape", "r2")
-    tmp = scratch_path(spark, "metrics-merge")
-    merged.write.mode("overwrite").parquet(tmp)
-    write_metrics_json(spark.read.parquet(tmp), path)
-    drop_path(spark, tmp)
+    rows = new.select("model", "mae", "rmse", "mape", "r2")
+
+    def write(before, to):
+        merged = rows if before is None else upsert_metrics(
+            parse_metrics_document(spark.read.text(before).withColumnRenamed("value", "metrics_json")), rows)
+        metrics_document(merged).coalesce(1).write.text(to)
+    commits.replace(spark, path, write)
     return read_metrics_json(spark, path)

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
+
 
 def run_records(metrics: DataFrame, experiment: str, params: dict[str, str] | None = None,
                 name_col: str | None = None, status: str = "FINISHED") -> DataFrame:
@@ -26,8 +28,9 @@ def run_records(metrics: DataFrame, experiment: str, params: dict[str, str] | No
 
 
 def log_runs(runs: DataFrame, path: str) -> None:
-    """Append runs (partitioned by experiment)."""
-    runs.write.mode("append").partitionBy("experiment").parquet(path)
+    """Append runs (partitioned by experiment) by a commit: all of them are
+    seen or none, and writers at the same time lose nothing."""
+    commits.append(runs.sparkSession, path, lambda to: runs.write.partitionBy("experiment").parquet(to))
 
 
 def list_runs(runs: DataFrame) -> DataFrame:
@@ -39,4 +42,4 @@ def list_runs(runs: DataFrame) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.option("basePath", path).parquet(*commits.parts(spark, path)).drop("commit")
