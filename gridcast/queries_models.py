@@ -19,6 +19,7 @@ from .operators import sequences as SEQ
 from .operators import split as SP
 from .plans import boosting as BO
 from .plans import contributions as CO
+from .plans import features as PF
 from .plans import forecast as FC
 from .plans import models as PM
 from .plans import report as RP
@@ -26,7 +27,7 @@ from .plans import search as SR
 from .plans import seasonal as SE
 from .queries import _features, register
 from .schema import FEATURE_COLS
-from .session import kept, scratch_path
+from .session import kept, materialize, scratch_path
 from .sources import fixtures as FX
 from .sources import metrics_io as MIO
 from .sources import runs as RU
@@ -193,6 +194,62 @@ def fit_linear_full(spark, sf):
     return spark.createDataFrame(list(coef.items()) + [("intercept", b0)], "term string, value double")
 
 
+def _gradient(train, cols):
+    """Per column the cosine between it and the residuals of the full fit: all
+    are 0 exactly where the squared error is least (the normal equations)."""
+    scored = PM.fit("linear", train, cols).transform(train)
+    r = F.col("load_mw") - F.col("prediction")
+    terms = {"intercept": F.lit(1.0), **{c: F.col(c).cast("double") for c in cols}}
+    sums = scored.agg(F.count("*").alias("n"), *[
+        (F.sum(x * r) / F.nullif(F.sqrt(F.sum(x * x) * F.sum(r * r)), F.lit(0.0))).alias(c) for c, x in terms.items()])
+    cells = [F.struct(F.lit(c).alias("term"), F.coalesce(F.col(c), F.lit(0.0)).alias("gradient")) for c in terms]
+    return sums.select("n", F.inline(F.array(*cells))).select("term", "n", "gradient")
+
+
+def _gradient_sql(load: str, cols, where: str) -> str:
+    terms = ", ".join(f"('{c}')" for c in ("intercept", *cols))
+    return f"""WITH {load}, k AS (SELECT count(*) AS n FROM {where})
+SELECT term, n, CAST(0.0 AS DOUBLE) AS gradient FROM k, (VALUES {terms}) t(term)"""
+
+
+@register("fit_linear_gradient", _gradient_sql(S.features_sql(), FEATURE_COLS, f"feat WHERE ts < {S.CUTOFF}"))
+def fit_linear_gradient(spark, sf):
+    """M3 with all 22 features, checked by its normal equations."""
+    return stable(_gradient(_split(spark, sf)[0], FEATURE_COLS), D4)
+
+
+# the user-level panel: rows grow with the events; features over a day at most, as few users have 168 stamps
+_USER_COLS = [c for c in FEATURE_COLS if "168h" not in c]
+_USER_ROWS = " AND ".join(f"{c} IS NOT NULL" for c in _USER_COLS)
+
+
+def _user_features(spark, sf):
+    return PF.build_features(FX.sparse_panel(spark, sf), FX.weather(spark, sf), dropna=False)
+
+
+@register("fit_linear_users", _gradient_sql(S.features_sql(load=S.SPARSE), _USER_COLS, f"fg WHERE ts < {S.CUTOFF} AND {_USER_ROWS}"))
+def fit_linear_users(spark, sf):
+    """M3 over the series of all users, 20 features, checked by its normal equations."""
+    train = SP.split_cutoff(_user_features(spark, sf), FX.CUTOFF)[0]
+    return stable(_gradient(materialize(train.dropna(subset=_USER_COLS)), _USER_COLS), D4)
+
+
+_USER_REC = f"""WITH RECURSIVE {S.features_sql(load=S.SPARSE)},
+rk AS (SELECT series_id, ts, load_mw, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM fg),
+h0 AS (SELECT series_id, max(ts) AS t, list(load_mw ORDER BY ts) AS h FROM rk WHERE rn <= 168 GROUP BY series_id),
+r AS (SELECT series_id, 0 AS step, t, h, CAST(NULL AS DOUBLE) AS p FROM h0
+      UNION ALL
+      SELECT series_id, step + 1, t + INTERVAL 1 HOUR, list_append(h, q)[-168:], q
+      FROM (SELECT *, 7.0 + 0.8 * (CASE WHEN len(h) >= 24 THEN h[-24] ELSE list_avg(h) END) AS q FROM r WHERE step < 72) x)
+SELECT series_id, CAST(step AS INTEGER) AS step, t AS ts, {S.rnd('p', 'forecast_mw', D4)} FROM r WHERE step >= 1"""
+
+
+@register("forecast_users", _USER_REC)
+def forecast_users(spark, sf):
+    """M11, M13 for every user's series at once."""
+    return stable(FC.forecast_linear(_user_features(spark, sf), {"lag_24h": 0.8}, 7.0, 72), D4)
+
+
 @register("fit_forest")
 def fit_forest(spark, sf):
     train, test = _split(spark, sf)
