@@ -11,7 +11,7 @@ from tests.conftest import SF001
 
 SAMPLE = ["build_features", "regularize", "regularize_duplicates", "quality_report", "evaluate_models",
           "walk_forward_folds", "holiday_join", "forward_fill", "residual_histogram", "make_sequences",
-          "cold_start_features", "future_frame", "fit_linear_gradient", "forecast_users", "seasonal_trend"]
+          "cold_start_features", "future_frame", "forecast_users", "seasonal_trend"]
 
 
 def test_entry(spark):
