@@ -62,7 +62,7 @@ OWN = 8192          # words with a symbol in the sample; in the training every w
 ENDINGS = 1024
 LISTED = 1 << 18
 #: Tokens of a block, which a task holds at a time; longer documents go in pieces.
-HOLD = 2_000_000
+HOLD = 1_000_000
 #: Tokens of words that are not listed, by which their buckets are numbered.
 BUCKET = 1 << 18
 #: Listed words of a row of sums.
@@ -321,14 +321,15 @@ class Steps:
         # sequences that reach step t: their number falls with t
         self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(self.steps), side="right")
         self.begin = np.concatenate([[0], np.cumsum(self.active)])
-        flat = np.concatenate([sequences[i] for i in self.order])
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = self.begin[step] + which
-        self.symbols = np.empty(len(flat), dtype=np.int32)
-        self.symbols[at] = flat
-        self.which = np.empty(len(flat), dtype=np.int32)
+        which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # step, then place
+        at = self.begin[at]
+        at += which
+        self.which = np.empty_like(which)
         self.which[at] = which
+        del which
+        self.symbols = np.empty(len(at), dtype=np.int32)
+        self.symbols[at] = np.concatenate([sequences[i] for i in self.order])
 
 
 def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
@@ -597,11 +598,13 @@ def one_round(blocks: DataFrame, emissions: DataFrame | None, model: Model, alph
                 any_block = True
                 own, emit, classes = m.emissions(a, others, counts)
                 starts, moves, emits, like = expected_of(held, m.start, m.move, emit.astype(np.float32))
-                mine = emits * (own / emit)
+                mine = np.divide(own, emit, out=own)
+                mine *= emits
+                del emit
                 head[0] += starts
                 head[1:1 + STATES] += moves
                 head[_LIKE, 0] += like
-                rest = emits - mine
+                rest = np.subtract(emits, mine, out=emits)
                 for k in range(STATES):
                     head[_CLASS:_FIRST, k] += np.bincount(classes, weights=rest[:, k], minlength=ENDINGS + 1)
                 listed += mine[:a.end + 1]
