@@ -62,7 +62,7 @@ OWN = 8192          # words with a symbol in the sample; in the training every w
 ENDINGS = 1024
 LISTED = 1 << 18
 #: Tokens of a block, which a task holds at a time; longer documents go in pieces.
-HOLD = 1_000_000
+HOLD = 500_000
 #: Tokens of words that are not listed, by which their buckets are numbered.
 BUCKET = 1 << 18
 #: Listed words of a row of sums.
@@ -683,6 +683,7 @@ def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_co
     drop_path(spark, path)
     let_go(spark)
     sample = sample_of(learn, shared, documents, text_col)
+    shared.destroy()  # the words themselves are not needed any more
     slim = alphabet.without_words()
     model, emissions, of_class, said = train(blocks, slim, sample)
     final = spark.sparkContext.broadcast((model, slim, of_class))
