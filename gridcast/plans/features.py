@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import add_calendar, add_is_holiday
 from ..operators import ordered as O
-from ..operators.windows import lag_columns, rolling_mean_columns, rolling_std_columns, time_window_columns
+from ..operators.windows import add_rolling, add_time_windows, lag_columns
 from ..schema import FEATURE_COLS, KEYS, MAX_LOOKBACK, TARGET, TS
 from ..sources.load import WEATHER_COLS, constant_weather
 
@@ -64,14 +64,13 @@ def build_features(load: DataFrame, weather: DataFrame | None = None, keys: Sequ
         d = O.with_time_halo(d, ts, MAX_LOOKBACK, chunk_hours)
         if weather is not None:
             d = O.time_fill(d, keys, ts, list(WEATHER_COLS), chunk_hours, backfill)
-        d = d.withColumns(time_window_columns(keys))
+        d = add_time_windows(d, keys)
         d = d.filter(F.col(O.OWN)).drop(O.CHUNK, O.OWN, O.HOUR_COL)
     elif lag_mode == "position":
         d = O.with_positions(d, keys, ts, fill=list(WEATHER_COLS) if weather is not None else (), backfill=backfill)
         d = O.with_halo(d, lookback=MAX_LOOKBACK, chunk_rows=chunk_rows)
         w = O.chunk_window(keys)
-        d = d.withColumns({**lag_columns(w), **rolling_mean_columns(w), **rolling_std_columns(w)})
-        d = O.finish(d)
+        d = O.finish(add_rolling(d.withColumns(lag_columns(w)), w))
     else:
         raise ValueError("lag_mode is 'position' or 'time'")
     d = add_calendar(d, ts)

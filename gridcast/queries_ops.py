@@ -298,7 +298,15 @@ def _column_sums(seq: str = "seq") -> list:
 
 @register("make_sequences", _sequences_sql())
 def make_sequences(spark, sf):
-    s = SEQ.make_sequences(_features(spark, sf), 24, list(FEATURE_COLS))
+    return _sequence_sums(SEQ.make_sequences(_features(spark, sf), 24, list(FEATURE_COLS)))
+
+
+@register("compact_sequences", _sequences_sql())
+def compact_sequences(spark, sf):
+    return _sequence_sums(SEQ.expand_sequences(SEQ.compact_sequences(_features(spark, sf), 24, list(FEATURE_COLS)), 24))
+
+
+def _sequence_sums(s):
     first, last = FEATURE_COLS.index("lag_1h"), FEATURE_COLS.index("hour_sin")
     return stable(s.select("series_id", "ts", F.size("seq").alias("seq_len"), F.col("seq")[0][first].alias("first_lag_1h"),
                            F.col("seq")[23][last].alias("last_hour_sin"), *_column_sums(), "y"), 4)
