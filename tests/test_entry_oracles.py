@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 SAMPLE = ["build_features", "regularize", "regularize_duplicates", "quality_report", "evaluate_models",
-          "walk_forward_folds", "holiday_join", "forward_fill", "residual_histogram", "make_sequences",
+          "walk_forward_folds", "holiday_join", "forward_fill", "residual_histogram", "make_sequences", "compact_sequences",
           "cold_start_features", "future_frame", "forecast_users", "seasonal_trend"]
 
 
