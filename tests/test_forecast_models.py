@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridcast.operators import sequences as SEQ
 from gridcast.plans import forecast as FC
 from gridcast.plans import models as PM
+from gridcast.schema import FEATURE_COLS
 
 
 def history(spark, n, series=("a", "b")):
@@ -293,3 +294,15 @@ def test_fit_queries_fit_though_a_model_is_kept(spark, monkeypatch):
         calls.clear()
         query(spark, "/root/testdata/sf0.01")
         assert calls == fitted
+
+
+def test_permutation_importance_of_all_features_plans_in_bounded_memory(spark):
+    """Donors renamed above a hash of all columns made the planner keep 2 ** 22
+    facts: the query ended for want of driver memory."""
+    from gridcast.plans import features as PF
+    f = PF.build_features(history(spark, 220), None).localCheckpoint()
+    m = PM.fit("linear", f)
+    got = {r["feature"]: r["importance"] for r in PM.permutation_importance(m, f).collect()}
+    coef, _ = PM.linear_coefficients(m)
+    assert set(got) == set(FEATURE_COLS) and max(got.values()) > 0
+    assert all(abs(got[c]) < 1e-9 for c, b in coef.items() if b == 0.0)
