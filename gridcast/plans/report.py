@@ -12,6 +12,7 @@ from ..functions.calendar import add_calendar, add_is_holiday
 from ..functions.scalar import format_mw, format_timestamp, parse_request_time
 from ..operators.metrics import load_kpis
 from ..schema import COLD_LOAD_MEAN, COLD_LOAD_STD, DEFAULT_MODEL, FEATURE_COLS, KEYS, TS, WEATHER_DEFAULTS
+from .walk import walked_rows, walker
 
 
 def kpi_cards(df: DataFrame, value: str = "load_mw", by: Sequence[str] = ()) -> DataFrame:
@@ -97,8 +98,12 @@ def score_points(requests: DataFrame, models, col: str = "datetime", model_col:
     feats = feats.withColumn("error", F.coalesce("error", unknown))
     kept = [*asked.columns, "ts", "error"]
     out = feats.where(F.col("error").isNotNull()).select(*kept, F.lit(None).cast("double").alias("forecast_mw"))
-    for n in names:
-        mine = feats.where(F.col("error").isNull() & (F.col(model_col) == n))
+    asked_of = F.col("error").isNull()
+    walkers = {n: w for n in names if (w := walker(models[n]))}
+    if walkers:  # all tree ensembles in one pass
+        out = out.unionByName(walked_rows(feats.where(asked_of & F.col(model_col).isin(list(walkers))), walkers, model_col, kept, "forecast_mw"))
+    for n in [n for n in names if n not in walkers]:
+        mine = feats.where(asked_of & (F.col(model_col) == n))
         out = out.unionByName(models[n].transform(mine).select(*kept, F.col("prediction").alias("forecast_mw")))
     return out
 
