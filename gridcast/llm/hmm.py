@@ -63,6 +63,10 @@ ENDINGS = 1024
 LISTED = 1 << 18
 #: Tokens of a block, which a task holds at a time; longer documents go in pieces.
 HOLD = 500_000
+#: Tokens of a piece; pieces of a longer document go side by side, their states chained.
+CUT = 1024
+#: Blocks of a task, which sends its sums of listed words once for all of them.
+TASK_BLOCKS = 64
 #: Tokens of words that are not listed, by which their buckets are numbered.
 BUCKET = 1 << 18
 #: Listed words of a row of sums.
@@ -272,6 +276,13 @@ def one_block_a_batch(spark):
     return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1")
 
 
+def tasks_of(blocks: int, cores: int) -> int:
+    """Tasks over the blocks: two a core, more if a task had over ``TASK_BLOCKS``.
+    A task's sums of listed words have one size however many blocks are in them, so
+    their traffic does not grow with the blocks before that."""
+    return max(1, min(blocks, max(2 * cores, -(-blocks // TASK_BLOCKS))))
+
+
 def placed(tokens: DataFrame, buckets: int) -> DataFrame:
     """The blocks of ``tokens`` with ``parts`` instead of words: by bucket, the
     words' places in the bucket's list and their counts in the training.  A
@@ -335,6 +346,7 @@ class Steps:
 def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
     """Scaled forward recursion: the scale of every token, and (``keep``) the
     forward rows and emissions (tokens x states, each state's values together).
+    ``start``: the states ahead, or a column of them for each sequence in order.
     ``emit``: symbols x states; all is kept in its precision."""
     total, states, kind = len(s.symbols), len(start), emit.dtype
     scale = np.empty(total, kind)
@@ -346,7 +358,7 @@ def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kee
     a = None
     for x, y in zip(begin, begin[1:], strict=False):
         now = rows[:, x:y] if keep else e[:, x:y]
-        ahead = np.asarray(start, kind)[:, None] if a is None else turned @ a[:, :y - x]
+        ahead = np.asarray(start, kind).reshape(states, -1) if a is None else turned @ a[:, :y - x]
         np.multiply(ahead, e[:, x:y], out=now)
         np.add.reduce(now, axis=0, out=scale[x:y])
         now /= scale[x:y]
@@ -354,24 +366,82 @@ def forward(s: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kee
     return scale, rows.T if keep else None, e.T
 
 
+def cut_up(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces of at most ``CUT`` tokens, and the number of each in its sequence."""
+    pieces = [q[k:k + CUT] for q in sequences for k in range(0, max(1, len(q)), CUT)]
+    many = np.array([max(1, -(-len(q) // CUT)) for q in sequences])
+    number = np.arange(len(pieces)) - np.repeat(np.cumsum(many) - many, many)
+    return pieces, number
+
+
+def carried(pieces: list[np.ndarray], number: np.ndarray, start, move, emit) -> tuple[np.ndarray, np.ndarray]:
+    """By piece the states ahead of its first token, and what its sequence's later
+    pieces make of the states after its last one (any scale; ones if none follow).
+    Every piece of a longer sequence becomes a matrix, from all states ahead of it to
+    those after it; they are chained in order, all sequences side by side."""
+    n, states = len(pieces), len(start)
+    ahead, behind = np.repeat(np.asarray(start, float)[:, None], n, 1), np.ones((states, n))
+    follows = np.append(number[1:] > 0, False)  # another piece of the sequence does
+    long = np.flatnonzero(follows | (number > 0))
+    if not len(long):
+        return ahead, behind
+    s = Steps([pieces[i] for i in long])
+    turned, begin = np.ascontiguousarray(move.T, dtype=emit.dtype), s.begin.tolist()
+    ends, a = np.empty((states, len(long), states)), None
+    for x, y in zip(begin, begin[1:], strict=False):
+        m = y - x
+        if a is None:
+            now = np.repeat(np.eye(states, dtype=emit.dtype)[:, None], m, 1)
+        else:
+            if m < a.shape[1]:
+                ends[:, m:a.shape[1]] = a[:, m:]
+            now = (turned @ a[:, :m].reshape(states, -1)).reshape(states, m, states)
+        now *= emit[s.symbols[x:y]].T[:, :, None]
+        now /= now.max(axis=0).max(axis=1)[:, None]
+        a = now
+    ends[:, :a.shape[1]] = a
+    matrix = np.empty((n, states, states))  # of a piece: after, ahead
+    matrix[long[s.order]] = ends.transpose(1, 0, 2)
+    for k in range(1, int(number.max()) + 1):
+        at = np.flatnonzero(number == k)
+        after = np.einsum("pij,jp->ip", matrix[at - 1], ahead[:, at - 1])
+        ahead[:, at] = move.T @ (after / after.sum(axis=0))
+    for k in range(int(number.max()), 0, -1):
+        at = np.flatnonzero(number == k)
+        rest = move @ np.einsum("pij,ip->jp", matrix[at], behind[:, at])
+        behind[:, at - 1] = rest / rest.sum(axis=0)
+    return ahead, behind
+
+
 def expected(sequences: list[np.ndarray], start, move, emit):
     """Baum-Welch sums of a batch: starts, transitions, emissions (symbols x
-    states), log-likelihood."""
-    s = Steps(sequences)
-    scale, rows, e = forward(s, start, move, emit, True)
+    states), log-likelihood.  Pieces of long sequences go side by side."""
+    pieces, number = cut_up(sequences)
+    ahead, behind = carried(pieces, number, start, move, emit)
+    s = Steps(pieces)
+    scale, rows, e = forward(s, ahead[:, s.order], move, emit, True)
     gamma, back = rows.T, e.T  # both are overwritten: state probabilities, emission * backward / scale
     back /= scale
+    place = np.empty_like(s.order)
+    place[s.order] = np.arange(len(place))
+    last = s.begin[[len(q) - 1 for q in pieces]] + place
+    ended = gamma[:, last].astype(float)  # forward states after each piece
+    behind /= (ended * behind).sum(axis=0)
+    gamma[:, last] *= behind
+    back[:, last] *= behind
     forth, begin = move.astype(emit.dtype), s.begin.tolist()
     moves, after = np.zeros(move.shape), None
     for x, y in zip(reversed(begin[:-1]), reversed(begin[1:]), strict=True):
         if after is not None:
-            more = x + after.shape[1]
-            moves += gamma[:, x:more] @ after.T
+            n = after.shape[1]
+            moves += gamma[:, x:x + n] @ after.T
             b = forth @ after
-            gamma[:, x:more] *= b
-            back[:, x:more] *= b
+            gamma[:, x:x + n] *= b
+            back[:, x:x + n] *= b
         after = back[:, x:y]
-    starts = gamma[:, :int(s.active[0])].astype(float)
+    later = np.flatnonzero(number > 0)
+    moves += ended[:, later - 1] @ back[:, place[later]].astype(float).T
+    starts = gamma[:, place[number == 0]].astype(float)
     emits = np.stack([np.bincount(s.symbols, weights=g, minlength=emit.shape[0]) for g in gamma], 1)
     return (starts / starts.sum(axis=0)).sum(axis=1), moves * move, emits, float(np.log(scale).sum(dtype=float))
 
@@ -463,14 +533,23 @@ class Model:
         self.own = own * self.rate
         self.back = alphabet.mix * back / back.sum(axis=0)
 
+    def listed(self, alphabet: Alphabet):
+        """Own part and whole of the emissions of the listed words and the unseen:
+        the same in all blocks."""
+        own = np.concatenate([self.own, np.zeros((ENDINGS, STATES))])
+        return own, own + self.back[alphabet.classes] * alphabet.share[:, None]
+
+    def others(self, alphabet: Alphabet, classes: np.ndarray, counts: np.ndarray):
+        """The same of words that are not listed, of ``classes`` with expected ``counts``."""
+        own = counts * self.rate
+        return own, own + self.back[classes] / alphabet.class_norm[classes][:, None]
+
     def emissions(self, alphabet: Alphabet, others, counts: np.ndarray):
         """Own part and whole of every symbol's emission, with its class: the
-        listed, the unseen and then words of the classes ``others`` with expected
-        ``counts``."""
-        classes = np.concatenate([alphabet.classes, np.asarray(others, dtype=np.int64)])
-        share = np.concatenate([alphabet.share, 1.0 / alphabet.class_norm[classes[alphabet.size:]]])
-        own = np.concatenate([self.own, np.zeros((ENDINGS, STATES)), counts * self.rate])
-        return own, own + self.back[classes] * share[:, None], classes
+        listed, the unseen and then words of the classes ``others``."""
+        others = np.asarray(others, dtype=np.int64)
+        parts = zip(self.listed(alphabet), self.others(alphabet, others, counts), strict=True)
+        return *(np.concatenate(p) for p in parts), np.concatenate([alphabet.classes, others])
 
 
 _HEAD = -1                  # bucket of the first rows of the summed table; the listed words follow below
@@ -585,40 +664,44 @@ def one_round(blocks: DataFrame, emissions: DataFrame | None, model: Model, alph
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, a, states = now.value
-        head, listed, any_block = np.zeros((_FIRST, STATES)), np.zeros((a.end + 1, STATES)), False
+        head, seen, any_block = np.zeros((_FIRST, STATES)), np.zeros((a.size, STATES)), False
+        listed = m.listed(a)[1].astype(np.float32)
+
+        def add_classes(head, classes, rest):
+            for k in range(STATES):
+                head[_CLASS:_FIRST, k] += np.bincount(classes, weights=rest[:, k], minlength=ENDINGS + 1)
 
         def rows(bucket, block, place, sums):
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()),
                                                pa.array(place, pa.binary()), pa.array(sums, pa.binary())],
                                               names=["bucket", "block", "place", "sums"])
 
-        for r, held, others, _, counts in blocks_of(batches, states):
+        for r, held, classes, _, counts in blocks_of(batches, states):
             parts, rare = r["parts"] or [], None
             if not r["held_out"]:
                 any_block = True
-                own, emit, classes = m.emissions(a, others, counts)
-                starts, moves, emits, like = expected_of(held, m.start, m.move, emit.astype(np.float32))
-                mine = np.divide(own, emit, out=own)
-                mine *= emits
-                del emit
+                own, emit = m.others(a, classes, counts)
+                starts, moves, emits, like = expected_of(held, m.start, m.move, np.concatenate([listed, emit.astype(np.float32)]))
+                seen += emits[:a.size]
+                mine = own / emit * emits[a.size:]
                 head[0] += starts
                 head[1:1 + STATES] += moves
                 head[_LIKE, 0] += like
-                rest = np.subtract(emits, mine, out=emits)
-                for k in range(STATES):
-                    head[_CLASS:_FIRST, k] += np.bincount(classes, weights=rest[:, k], minlength=ENDINGS + 1)
-                listed += mine[:a.end + 1]
-                head[_RARE] += mine[a.size:].sum(axis=0)
-                rare = mine[a.size:].astype(np.float32)
+                add_classes(head, classes, emits[a.size:] - mine)
+                head[_RARE] += mine.sum(axis=0)
+                rare = mine.astype(np.float32)
             at = 0
             for p in parts:
                 n = len(p["place"]) // 4
                 yield rows([p["bucket"]], [r["block"]], [p["place"]], [None if rare is None else rare[at:at + n].tobytes()])
                 at += n
         if any_block:
+            own, emit = m.listed(a)
+            mine = own / emit * seen
+            add_classes(head, a.classes, seen - mine)
             yield rows([_HEAD], [None], [None], [head.tobytes()])
             for k in range(0, a.end + 1, RANGE):
-                yield rows([_HEAD - 1 - k // RANGE], [None], [None], [listed[k:k + RANGE].astype(np.float32).tobytes()])
+                yield rows([_HEAD - 1 - k // RANGE], [None], [None], [mine[k:min(k + RANGE, a.end + 1)].astype(np.float32).tobytes()])
 
     with one_block_a_batch(spark):
         (with_emissions(blocks, emissions)
@@ -679,7 +762,17 @@ def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_co
     drop_path(spark, counted)
     shared = spark.sparkContext.broadcast(alphabet)  # LISTED words at most
     buckets = 1 + int(alphabet.rare_counts.sum()) // BUCKET
-    blocks = placed(encode(docs, shared, held, buckets, path, id_col, text_col), buckets)
+    tokens = encode(docs, shared, held, buckets, path, id_col, text_col)
+    tasks = str(tasks_of(tokens.count(), spark.sparkContext.defaultParallelism))
+    with settings(spark, spark__sql__shuffle__partitions=tasks):  # in all passes, so that the blocks stay in place
+        return _scored(docs, learn, tokens, buckets, documents, shared, path, id_col, text_col)
+
+
+def _scored(docs: DataFrame, learn: DataFrame, tokens: DataFrame, buckets: int, documents: int, shared, path: str,
+            id_col: str, text_col: str) -> DataFrame:
+    """``score_documents`` from the encoded blocks on."""
+    spark, alphabet = docs.sparkSession, shared.value
+    blocks = placed(tokens, buckets)
     drop_path(spark, path)
     let_go(spark)
     sample = sample_of(learn, shared, documents, text_col)
@@ -692,17 +785,18 @@ def score_documents(docs: DataFrame, fold: int | None = 2, folds: int = 7, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, a, states = final.value
         every = math.log10(a.total + a.distinct + 1)
+        listed, known, logged = m.listed(a)[1], a.symbol_counts > 0, np.log10(a.symbol_counts + 1.0) - every
 
         for b in batches:
             ids_type = b.schema.field("ids").type.value_type
-            for r, held, others, c, counts in blocks_of([b], states):
-                _, emit, _ = m.emissions(a, others, counts)
-                number = np.concatenate([a.symbol_counts, c])
-                logs = np.log10(number + 1.0) - every
+            for r, held, classes, c, counts in blocks_of([b], states):
+                emit = np.concatenate([listed, m.others(a, classes, counts)[1]])
+                some = np.concatenate([known, c > 0])
+                logs = np.concatenate([logged, np.log10(c + 1.0) - every])
                 n = len(held)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r["ids"], ids_type), pa.array([r["held_out"]] * n, pa.bool_()),
-                     pa.array([len(x) for x in held], pa.int64()), pa.array([int((number[x] > 0).sum()) for x in held], pa.int64()),
+                     pa.array([len(x) for x in held], pa.int64()), pa.array([int(some[x].sum()) for x in held], pa.int64()),
                      pa.array([a.total] * n, pa.int64()), pa.array([float(logs[x].sum()) for x in held], pa.float64()),
                      pa.array(log_scores(held, m.start, m.move, emit), pa.float64())],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -103,6 +103,33 @@ def test_scores_are_those_of_plain_baum_welch(spark, monkeypatch, listed, hold,
         assert got[i]["score"] == pytest.approx(plain.alpha(w)[1] / math.log(10), rel=2e-4), i
 
 
+@pytest.mark.parametrize("cut", [1, 5, 8, 16])
+def test_pieces_side_by_side_give_the_sums_of_whole_sequences(monkeypatch, cut):
+    r, n = np.random.default_rng(1), 300
+    start, move, emit = r.dirichlet(np.ones(8)), r.dirichlet(np.ones(8) * 0.3, 8), r.dirichlet(np.ones(n) * 0.2, 8).T + 1e-9
+    some = [r.integers(0, n, k).astype(np.int32) for k in (1, 5, 7, 8, 9, 16, 17, 100, 40, 63, 64, 65, 3)]
+    monkeypatch.setattr(hmm, "CUT", 1 << 30)
+    want, steps = hmm.expected(some, start, move, emit), []
+    monkeypatch.setattr(hmm, "CUT", cut)
+    plain = hmm.forward
+    monkeypatch.setattr(hmm, "forward", lambda s, *x: steps.append(s.steps) or plain(s, *x))
+    got = hmm.expected(some, start, move, emit)
+    assert steps == [cut]  # 100 before: one a token of the longest
+    assert all(np.allclose(x, y, rtol=1e-9, atol=1e-11) for x, y in zip(got, want, strict=True))
+
+
+def test_sums_of_listed_words_are_sent_by_few_tasks(spark, monkeypatch):
+    assert [hmm.tasks_of(n, 6) for n in (0, 5, 300, 16_000)] == [1, 5, 12, 250]
+    monkeypatch.setattr(hmm, "tasks_of", lambda blocks, cores: min(blocks, 3))
+    monkeypatch.setattr(hmm, "HOLD", 50)
+    seen, plain = [], hmm.placed
+    monkeypatch.setattr(hmm, "placed", lambda *x: seen.append(plain(*x)) or seen[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    hmm.score_documents(spark.createDataFrame(texts(), "doc_id long, text string")).count()
+    assert seen[0].count() > 3 and seen[0].rdd.getNumPartitions() == 3  # as many as shuffles have, before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_blocks_do_not_move_in_a_round(spark, monkeypatch):
     """The tokens are read where the checkpoint put them: no exchange of the
     blocks' side of the join."""
