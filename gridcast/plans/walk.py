@@ -2,9 +2,11 @@
 batches of rows, one tree after the other.
 
 ``transform`` walks objects, row by row and tree by tree.  Here the nodes of a
-tree stay in the cache while a slice of rows passes it.  Predictions are those of
-``transform`` up to the order of their sum; as there, a missing feature is an
-error.
+tree stay in the cache while a slice of rows passes it.  Where a feature has one
+value in all rows of a batch, as the stand-ins of points without history have,
+its splits are decided once for the batch and not row by row.  Predictions are
+those of ``transform`` up to the order of their sum; as there, a missing feature
+is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .forecast import FLAT_NODES, tree_arrays
 
 #: Rows that pass a tree at a time.
 SLICE = 4096
+#: Rows from which on deciding a batch's constant splits beforehand pays off.
+NARROW_ROWS = 256
 
 
 class Walker:
@@ -31,29 +35,50 @@ class Walker:
         self.roots, self.feature = (np.asarray(trees[k], np.int64) for k in ("roots", "feature"))
         self.threshold, self.value = (np.asarray(trees[k], float) for k in ("threshold", "value"))
         self.child = np.stack([trees["right"], trees["left"]], axis=1).astype(np.int64).ravel()  # of node n: 2n + (goes left)
-        ends = [*self.roots[1:].tolist(), len(self.feature)]
-        self.depth = [self._depth(a, z) for a, z in zip(self.roots.tolist(), ends, strict=True)]
-
-    def _depth(self, root: int, end: int) -> int:
-        level, deep = np.array([root]), 0
-        while len(level := level[self.child[2 * level] != level]):
-            level, deep = np.concatenate([self.child[2 * level], self.child[2 * level + 1]]), deep + 1
-        return deep
+        self.depth = self._depths(self.roots, self.child)
+        self._narrowed = None, (self.roots, self.child, self.depth)
+
+    def _depths(self, roots: np.ndarray, child: np.ndarray) -> list[int]:
+        """Steps by tree from its root to its deepest leaf."""
+        deep, tree, node, level = np.zeros(len(roots), np.int64), np.arange(len(roots)), roots, 0
+        while True:
+            inner = child[2 * node] != node
+            if not inner.any():
+                return deep.tolist()
+            tree, node, level = tree[inner], node[inner], level + 1
+            deep[tree] = level
+            tree, node = np.concatenate([tree, tree]), np.concatenate([child[2 * node], child[2 * node + 1]])
+
+    def _trees(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Roots, children and depths for the rows of ``x``: nodes that split on a
+        feature of one value lead straight to where all rows go."""
+        first = x[:, 0].copy()
+        first[(x != first[:, None]).any(axis=1)] = np.nan
+        if self._narrowed[0] != (key := first.tobytes()):
+            n = np.arange(len(self.feature))
+            one = first[self.feature]
+            skip = np.where(np.isnan(one), n, self.child[2 * n + (one <= self.threshold)])
+            while not np.array_equal(far := skip[skip], skip):
+                skip = far
+            roots, child = skip[self.roots], skip[self.child]
+            self._narrowed = key, (roots, child, self._depths(roots, child))
+        return self._narrowed[1]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Predictions of the columns of ``x`` (features x rows)."""
-        return np.concatenate([np.zeros(0), *(self._slice(np.ascontiguousarray(x[:, k:k + SLICE]))
+        trees = self._trees(x) if x.shape[1] >= NARROW_ROWS else (self.roots, self.child, self.depth)
+        return np.concatenate([np.zeros(0), *(self._slice(np.ascontiguousarray(x[:, k:k + SLICE]), *trees)
                                               for k in range(0, x.shape[1], SLICE))])
 
-    def _slice(self, x: np.ndarray) -> np.ndarray:
+    def _slice(self, x: np.ndarray, roots: np.ndarray, child: np.ndarray, depths: list[int]) -> np.ndarray:
         n = x.shape[1]
         at, flat, first = np.arange(n), x.ravel(), self.feature * n
         total = np.zeros(n)
-        for root, depth in zip(self.roots.tolist(), self.depth, strict=True):
+        for root, depth in zip(roots.tolist(), depths, strict=True):
             node = np.full(n, root)
             for _ in range(depth):
                 left = flat.take(first.take(node) + at) <= self.threshold.take(node)
-                node = self.child.take(2 * node + left)
+                node = child.take(2 * node + left)
             total += self.value.take(node)
         return total
 

@@ -1,5 +1,7 @@
 """Tree ensembles walked by batches of rows."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -63,3 +65,38 @@ def test_a_missing_feature_is_an_error(spark, fitted):
     rows = df.limit(5).withColumn("m", F.lit("rf")).withColumn("temp", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="missing feature"):
         WA.walked_rows(rows, {"rf": WA.walker(models["rf"])}, "m", ["ts"], "p").collect()
+
+
+def test_splits_on_features_of_one_value_are_decided_once(fitted, monkeypatch):
+    df, models = fitted
+    rows = df.toPandas()
+    for n in ("rf", "xgboost"):
+        w = WA.walker(models[n])
+        table = rows[w.cols].to_numpy().T
+        wanted = WA.walker(models[n])
+        one = [i for i, c in enumerate(w.cols) if c != "hour"]
+        batches = [table.copy() for _ in range(4)]
+        batches[1][one] = batches[1][one, :1]
+        batches[2][one] = batches[2][one, 7:8]  # other values: not the trees of the batch before
+        batches[3][:] = batches[3][:, 5:6]
+        with monkeypatch.context() as m:
+            m.setattr(WA, "NARROW_ROWS", 10 ** 9)
+            want = [wanted(x) for x in batches]
+        assert all(np.array_equal(w(x), p) for x, p in zip(batches, want, strict=True))
+        assert w._trees(batches[0])[2] == w.depth and max(w._trees(batches[3])[2]) == 0
+        assert sum(w._trees(batches[1])[2]) < sum(w.depth)
+
+
+def test_stages_too_large_for_the_jvm_to_compile_run_in_parts(spark, capsys):
+    from gridcast import queries as Q
+    from gridcast.session import HUGE_METHOD
+    from gridcast.sources import fixtures as FX
+    s = spark.newSession()
+    s.conf.unset(HUGE_METHOD[0])
+    RP.cold_start_features(FX.requests(s, "/root/testdata/sf0.01")).explain("codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))) > 8000  # the reason for the setting
+    Q.ensure_compiled(s)
+    assert s.conf.get(HUGE_METHOD[0]) == "8000"
+    s.conf.set(HUGE_METHOD[0], "6000")
+    Q.ensure_compiled(s)
+    assert s.conf.get(HUGE_METHOD[0]) == "6000"
