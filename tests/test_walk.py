@@ -87,6 +87,19 @@ def test_splits_on_features_of_one_value_are_decided_once(fitted, monkeypatch):
         assert sum(w._trees(batches[1])[2]) < sum(w.depth)
 
 
+def test_models_of_a_query_are_fitted_on_one_frame(spark, monkeypatch):
+    from gridcast import queries_models as QM
+    sf, built, plain = "/root/testdata/sf0.01", [], PM.fit
+    frame = QM._features(spark, sf)
+    monkeypatch.setattr(QM, "_features", lambda spark, sf: built.append(sf) or frame)
+    monkeypatch.setattr(PM, "fit", lambda name, train, *a, **k: plain("linear", train, ["lag_24h"]))
+    for query in (QM.score_points, QM.score_test, QM.forecast_models):
+        monkeypatch.setattr(QM, "_FITTED", {})
+        built.clear()
+        query(spark, sf)
+        assert built == [sf]
+
+
 def test_stages_too_large_for_the_jvm_to_compile_run_in_parts(spark, capsys):
     from gridcast import queries as Q
     from gridcast.session import HUGE_METHOD
