@@ -180,6 +180,38 @@ def test_more_pivots_where_they_separate():
     assert len(metric_join.choose_pivots(tight, 10_000_000, 0.316)) >= 8
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.25, 1.0])
+def test_metric_join_of_many_cells_and_tiles(spark, spread, monkeypatch):
+    chosen = metric_join.choose_pivots
+    monkeypatch.setattr(metric_join, "choose_pivots", lambda sample, n, eps: chosen(sample, 10_000_000, eps))
+    monkeypatch.setattr(metric_join, "BLOCK", 8)
+    monkeypatch.setattr(metric_join, "PLANES", 3)
+    monkeypatch.setattr(metric_join, "TILE_BYTES", 60 * (16 * 4 + 40))
+    rows = [(k, np.float32(v).tolist()) for k, v in clustered(500, 5, spread)]
+    rows += [(1000 + k, v) for k, v in rows[:40]] + [(2000, rows[0][1])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = [tuple(r) for r in metric_join.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == plain_vectors(rows)
+
+
+def test_metric_join_writes_no_copies(spark, monkeypatch):
+    """What tasks hand on is in proportion to the vectors, however many blocks they meet."""
+    given, frame = spark.sparkContext.accumulator(0), type(spark.range(0))
+
+    def counted(self, fn, *a, map_in_arrow=frame.mapInArrow, **b):
+        def run(batches):
+            for x in fn(batches):
+                given.add(x.nbytes)
+                yield x
+        return map_in_arrow(self, run, *a, **b)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    monkeypatch.setattr(metric_join, "BLOCK", 16)
+    rows = list(enumerate(np.random.default_rng(3).normal(size=(1500, 64)).tolist()))
+    assert len(metric_join.near_duplicates(vectors(spark, rows)).collect()) == 1500
+    assert given.value < 5 * 1500 * 64 * 8
+
+
 # -- components ------------------------------------------------------------
 
 def test_components_of_a_path_a_star_and_loops(spark):
