@@ -59,8 +59,8 @@ from .hmm import let_go
 
 THRESHOLD = 0.95
 #: Vectors sampled to choose pivots, and the most pivots.
-SAMPLE = 2000
-MAX_PIVOTS = 1024
+SAMPLE = 8000
+MAX_PIVOTS = 2048
 #: Vectors that one product compares, with a quarter of as many others.
 BLOCK = 1024
 #: Of a tile, two of which a task holds.
@@ -80,7 +80,7 @@ def choose_pivots(sample: np.ndarray, n: int, eps: float) -> np.ndarray:
     comparing ``n`` vectors cheapest."""
     m, dim = sample.shape
     order, near = [0], np.full(m, np.inf)
-    for _ in range(min(MAX_PIVOTS, m) - 1):
+    for _ in range(min(MAX_PIVOTS, m, math.isqrt(n) + 1) - 1):
         near = np.minimum(near, 2 - 2 * sample @ sample[order[-1]])
         nxt = int(near.argmax())
         if near[nxt] <= 1e-12:
@@ -98,7 +98,7 @@ def choose_pivots(sample: np.ndarray, n: int, eps: float) -> np.ndarray:
         over = own[:, None] - cos[:, home]
         met = (over + over.T <= eps * apart[np.ix_(home, home)] + _SLACK).mean()
         # nanoseconds: pairs that meet, a vector at a plane, a pair of cells
-        price = n * n / 2 * met * (0.6 + dim * 0.02) + n * p * (150 + dim * 0.5) + p * p / 2 * 1.5e5
+        price = n * n / 2 * met * (0.6 + dim * 0.02) + n * p * (60 + dim * 0.6) + p * p / 2 * 2e5
         if cost is None or price < cost:
             best, cost = order[:p], price
         p *= 2
@@ -186,18 +186,22 @@ class _Planes:
 
     def __init__(self, pivots: np.ndarray, axes: np.ndarray, threshold: float):
         self.threshold, self.eps = threshold, float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        self.pivots, self.axes = pivots.astype(np.float32), axes.astype(np.float32)
-        apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-        self.room = ((self.eps + _SLACK) * apart + _SLACK).astype(np.float32)
+        self.pivots, self.axes, self.exact = pivots.astype(np.float32), axes.astype(np.float32), pivots
+
+    def room(self, cells: np.ndarray, others: np.ndarray | slice) -> np.ndarray:
+        """What the distances to the plane may sum to, times the pivots'."""
+        apart = np.sqrt(np.maximum(0, 2 - 2 * self.exact[cells] @ self.exact[others].T))
+        return ((self.eps + _SLACK) * apart + _SLACK).astype(np.float32)
 
     def reach(self, unit: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Cells that a vector of these may link into."""
         out = np.zeros(len(self.pivots), bool)
-        for x in range(0, len(unit), BLOCK):
-            cos, home = unit[x:x + BLOCK] @ self.pivots.T, cell[x:x + BLOCK]
-            own = cos[np.arange(len(home)), home]
-            out |= (own[:, None] - cos <= self.room[home]).any(axis=0)
-        out[cell] = True
+        for c in np.unique(cell):
+            at, room = np.flatnonzero(cell == c), self.room(np.array([c]), slice(None))[0]
+            for x in range(0, len(at), BLOCK):
+                cos = unit[at[x:x + BLOCK]] @ self.pivots.T
+                out |= (cos[:, c, None] - cos).min(axis=0) <= room
+            out[c] = True
         return np.flatnonzero(out)
 
 
@@ -244,21 +248,21 @@ class _Links:
                 # negative cosines of a's vectors with b's pivots, and of b's with a's
                 to_b = -(pivots[b.cells[yours]] @ a.unit[at:a.edge[mine[-1] + 1]].T)
                 to_a = -(pivots[a.cells[mine]] @ b.unit[bt:b.edge[yours[-1] + 1]].T)
+                room = self.planes.room(a.cells[mine], b.cells[yours])
                 for i in mine:
                     for j in yours:
                         if a.cells[i] != b.cells[j]:
                             if not self.one or j > i:
-                                self._pair(i, j, to_b[j - y, a.edge[i] - at:a.edge[i + 1] - at],
+                                self._pair(i, j, room[i - x, j - y], to_b[j - y, a.edge[i] - at:a.edge[i + 1] - at],
                                            to_a[i - x, b.edge[j] - bt:b.edge[j + 1] - bt])
                         else:
                             rows, others = np.arange(a.edge[i], a.edge[i + 1]), np.arange(b.edge[j], b.edge[j + 1])
-                            self._sweep(rows, others, None, None, 0)
+                            self._sweep(rows, None, others, None)
 
-    def _pair(self, i: int, j: int, to_b: np.ndarray, to_a: np.ndarray) -> None:
+    def _pair(self, i: int, j: int, room: np.float32, to_b: np.ndarray, to_a: np.ndarray) -> None:
         """Vectors of two cells that may link by their distances to the plane
         between them and by the cells' radii."""
         a, b, eps = self.a, self.b, self.planes.eps + _RADIUS
-        room = self.planes.room[a.cells[i], b.cells[j]]
         over_a, over_b = to_b + a.own[a.edge[i]:a.edge[i + 1]], to_a + b.own[b.edge[j]:b.edge[j + 1]]
 
         def near(over, other, cos, low, high):
@@ -272,21 +276,25 @@ class _Links:
         others = near(over_b, over_a.min(), to_a, a.low[i], a.high[i])
         if not len(others):
             return
-        over_b = over_b[others]
-        by_a, by_b = np.argsort(over_a), np.argsort(over_b)
-        self._sweep(rows[by_a] + a.edge[i], others[by_b] + b.edge[j], over_a[by_a], over_b[by_b], room)
-
-    def _sweep(self, rows, others, over_a, over_b, room) -> None:
+        # 255 steps make up the room; two vectors of more steps together do not link
+        sides = []
+        for at, over in ((rows + a.edge[i], over_a), (others + b.edge[j], over_b[others])):
+            steps = np.clip(over * (255 / room), 0, 255).astype(np.uint8)
+            order = np.argsort(steps, kind="stable")
+            sides += [at[order], steps[order]]
+        self._sweep(*sides)
+
+    def _sweep(self, rows, steps_a, others, steps_b) -> None:
         """Compare in blocks as far as the distances to the plane allow."""
-        if over_a is None:  # one cell
+        if steps_a is None:  # one cell
             left, right = self.a.bound[rows[0]:rows[-1] + 1], self.b.bound[others[0]:others[-1] + 1]
         else:
-            left, right = self.a.bound[rows], self.b.bound[others]
+            left, right = self.a.bound.take(rows, axis=0), self.b.bound.take(others, axis=0)
         step = self.step
         for y in range(0, len(others), step):
             end = len(rows)
-            if over_a is not None:
-                end = int(np.searchsorted(over_a, room - over_b[y], "right"))
+            if steps_a is not None:
+                end = int(np.searchsorted(steps_a, 255 - steps_b[y], "right"))
             elif self.one:
                 end = min(end, y + step)
             if not end:
@@ -296,7 +304,7 @@ class _Links:
                 self._block(rows[x:stop], others[y:y + step], left[x:stop], right[y:y + step])
 
     def _block(self, rows, others, left, right) -> None:
-        low, high = self.planes.threshold - _SINGLE, self.planes.threshold + _SINGLE
+        low = self.planes.threshold - _SINGLE
         size = len(rows) * len(others)
         bound = np.matmul(left, right.T, out=self.product[:size].reshape(len(rows), len(others)))
         np.greater_equal(bound, np.float32(low), out=self.over[:size].reshape(bound.shape))
@@ -306,32 +314,49 @@ class _Links:
         some = np.flatnonzero((flags.view(np.uint64) != 0).view(np.uint64))
         if not len(some):
             return
+        if np.count_nonzero(flags) * 16 > size:
+            return self._dense(rows, others)
         may, bit = np.nonzero(flags.reshape(-1, 64)[some])
         may = some[may] * 64 + bit
-        if len(may) * 16 < size:
-            i, j = np.divmod(may, len(others))
-            i, j = rows[i], others[j]
-            cos = np.einsum("ij,ij->i", self.a.unit[i], self.b.unit[j])
-            yes = cos >= low
-            i, j, cos = i[yes], j[yes], cos[yes]
-        else:
-            cos = self.a.unit[rows] @ self.b.unit[others].T
-            i, j = np.nonzero(cos >= low)
-            i, j, cos = rows[i], others[j], cos[i, j]
+        i, j = np.divmod(may, len(others))
+        i, j = rows[i], others[j]
+        cos = np.einsum("ij,ij->i", self.a.unit[i], self.b.unit[j])
+        yes = cos >= low
         if self.one:  # rows of a later cell come later
-            yes = i < j
-            i, j, cos = i[yes], j[yes], cos[yes]
-        doubt = np.flatnonzero(cos < high)
-        if len(doubt):
-            sure = np.einsum("ij,ij->i", _unit(self.a.rows[i[doubt]]), _unit(self.b.rows[j[doubt]])) >= self.planes.threshold
-            gone = np.zeros(len(i), bool)
-            gone[doubt[~sure]] = True
-            i, j = i[~gone], j[~gone]
+            yes &= i < j
+        i, j, cos = i[yes], j[yes], cos[yes]
+        yes = self._decided(i, j, cos)
+        i, j = i[yes], j[yes]
         if len(i):
             np.add.at(self.count, i, self.b.m[j])
             np.add.at(self.count, j + self.shift, self.a.m[i])
             _union(self.parent, i, j + self.shift)
 
+    def _decided(self, i, j, cos) -> np.ndarray:
+        """Which proposed pairs link; near the threshold in double precision."""
+        yes = cos >= self.planes.threshold
+        at = np.flatnonzero(np.abs(cos - self.planes.threshold) < 2 * _SINGLE)
+        if len(at):
+            yes[at] = np.einsum("ij,ij->i", _unit(self.a.rows[i[at]]), _unit(self.b.rows[j[at]])) >= self.planes.threshold
+        return yes
+
+    def _dense(self, rows, others) -> None:
+        """Links of a block with many, as a matrix."""
+        cos = self.a.unit[rows] @ self.b.unit[others].T
+        yes = cos >= self.planes.threshold
+        at = np.flatnonzero((cos >= self.planes.threshold - 2 * _SINGLE) != (cos >= self.planes.threshold + 2 * _SINGLE))
+        i, j = np.divmod(at, len(others))
+        yes[i, j] = self._decided(rows[i], others[j], cos[i, j])
+        if self.one:
+            yes &= rows[:, None] < others
+        each = yes.astype(np.float64)  # sums below 2 ** 53 are exact
+        self.count[rows] += (each @ self.b.m[others]).astype(np.int64)
+        self.count[others + self.shift] += (self.a.m[rows] @ each).astype(np.int64)
+        met = np.concatenate([rows[yes.any(axis=1)], others[yes.any(axis=0)] + self.shift])
+        if len(met) and np.ptp(_roots(self.parent, met)):  # not yet one group
+            i, j = np.nonzero(yes)
+            _union(self.parent, rows[i], others[j] + self.shift)
+
     def rows(self) -> pa.RecordBatch | None:
         met = np.flatnonzero(self.count)
         if not len(met):
@@ -359,7 +384,7 @@ def make_tiles(reps: DataFrame, shared, kind: str, n: int, dim: int) -> DataFram
     spark, dtype = reps.sparkSession, np.dtype(kind)
     width = dim * dtype.itemsize
     most = max(1, min(TILE_BYTES // (width + 40), 1 << 20))
-    tiles = max(math.ceil(1.2 * n / most),
+    tiles = max(math.ceil(1.05 * n / most),
                 min(math.ceil(n / BLOCK), math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +418,7 @@ def make_tiles(reps: DataFrame, shared, kind: str, n: int, dim: int) -> DataFram
             if b.num_rows:
                 held.append(b)
                 size += b.num_rows
-            if size >= most:
+            if size >= 1.5 * most:  # seldom: n and ranges are estimates
                 yield tile()
                 no, held, size = no + 1, [], 0
         if size:
@@ -410,12 +435,15 @@ def links_and_counts(tiles: DataFrame, shared, kind: str, dim: int) -> DataFrame
     and u, v are in one component, or ``links`` vectors link with u."""
     spark = tiles.sparkSession
     sides = [tiles.select(*(F.col(c).alias(c + side) for c in ("no", "cells", "counts", "reach", "m", "vecs"))) for side in "ab"]
-    parts = tiles.rdd.getNumPartitions()
-    left = sides[0].coalesce(parts if parts <= 16 else math.ceil(parts / 8))
+    # tiles that a task reads from either side: of many, it reads each less often
+    parts, tasks = tiles.rdd.getNumPartitions(), 16 * spark.sparkContext.defaultParallelism
+    right = max(1, min(4, int(parts / math.sqrt(tasks))))
+    left = max(1, min(16, parts * parts // (tasks * right)))
+    sides = [sides[0].coalesce(math.ceil(parts / left)), sides[1].coalesce(math.ceil(parts / right))]
     # of two tiles one, by a fixed rule, meets the other
     meets = ((F.col("noa") == F.col("nob")) | ((F.col("noa") < F.col("nob")) == (
         (F.shiftright("noa", 10) + F.shiftright("nob", 10)) % 2 == 1)))
-    pairs = left.hint("shuffle_replicate_nl").join(sides[1].hint("shuffle_replicate_nl"), meets & F.arrays_overlap(
+    pairs = sides[0].hint("shuffle_replicate_nl").join(sides[1].hint("shuffle_replicate_nl"), meets & F.arrays_overlap(
         "reacha", "cellsb") & F.arrays_overlap("reachb", "cellsa"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,18 +497,17 @@ def choose_planes(good: DataFrame, n: int, dim: int, threshold: float) -> tuple[
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
-    vec = F.col("vec")
-    ok = F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-                    & F.exists(vec, lambda x: x != 0), F.lit(False))
     spark = vectors.sparkSession
     kind = "float" if vectors.select(vec_col).dtypes[0][1] == "array<float>" else "double"
     dtype = {"float": "float32", "double": "float64"}[kind]
+    # compiled by Spark, unlike functions of elements; array_contains is null where only a null may hide one
+    vec, most, least, inf = F.col("vec"), F.array_max("vec"), F.array_min("vec"), F.lit(float("inf"))
+    ok = F.coalesce((F.size(vec) > 0) & ~F.array_contains(vec, inf.cast(kind)) & ~F.isnan(most) & (least > -inf)
+                    & ((most != 0) | (least != 0)), F.lit(False))
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
             .withColumn("ok", ok))
-    # equal vectors share a 128-bit hash; -0.0 and 0.0 are one number
-    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast(kind))
-    good = rows.where("ok").withColumn("vec", plain)
-    good = good.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
+    # equal vectors share a 128-bit hash, for which -0.0 and 0.0 are one number
+    good = rows.where("ok").withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
     size = good.agg(F.approx_count_distinct("h1").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     bad = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                           F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
