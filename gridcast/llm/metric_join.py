@@ -64,7 +64,7 @@ MAX_PIVOTS = 2048
 #: Vectors that one product compares, with a quarter of as many others.
 BLOCK = 1024
 #: Of a tile, two of which a task holds.
-TILE_BYTES = 24 << 20
+TILE_BYTES = 16 << 20
 #: Principal components, an eighth of all at least, that bound a cosine.
 AXES = 24
 #: Cells whose planes are looked at together.
